@@ -164,7 +164,7 @@ def split_valid(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]
 
 
 def rule_hits(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Long form ``(check, rule, severity, field, hits)`` from ONE aggregate.
+    """Long form ``(rule_set, rule, severity, field, hits)`` from ONE aggregate.
 
     All counts come out of a single pass (partial + final aggregation);
     the wide row is then turned long with ``stack``.
@@ -173,4 +173,4 @@ def rule_hits(df: DataFrame, rules: list[Rule]) -> DataFrame:
                     for i, r in enumerate(rules)])
     parts = ", ".join(f"'{r.check}', '{r.name}', '{r.severity}', '{r.field}', h{i}"
                       for i, r in enumerate(rules))
-    return wide.selectExpr(f"stack({len(rules)}, {parts}) AS (check, rule, severity, field, hits)")
+    return wide.selectExpr(f"stack({len(rules)}, {parts}) AS (rule_set, rule, severity, field, hits)")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registered
-from . import q_analytics  # noqa: F401
+from . import q_analytics, q_quality  # noqa: F401
 
 
 def queries():
