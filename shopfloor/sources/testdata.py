@@ -280,3 +280,71 @@ SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, event_id AS seq,
                        WHEN 'purchase' THEN CAST(FLOOR(value) AS INT) % 6 - 1 END AS quantity
 FROM events WHERE event_type <> 'view'
 """
+
+
+# ---------------------------------------------------------------------------
+# order commands (JSON text, as a message queue would carry them)
+# ---------------------------------------------------------------------------
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def order_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, action, data)`` commands from ``events``.
+
+    signup -> create_order (every 10th lacks ``quantity`` and is rejected),
+    click -> update_order of the status (every 13th has no field),
+    purchase -> update_order of quantity and shipping (every 7th sets
+    shipping to JSON null), error -> delete_order, view -> get_order (a
+    read command, not applied).  Target id = user_id * 100 + k.
+    """
+    e = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    oid = (F.col("user_id") * 100 + k).cast("string")
+    cents = F.floor(F.col("value") * 100).cast("long")
+    money = F.concat((cents / 100).cast("long").cast("string"), F.lit("."),
+                     F.lpad((cents % 100).cast("string"), 2, "0"))
+    seg = F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), (k % 5 + 1).cast("int"))
+    create = F.concat(
+        F.lit('{"customer_name": "Customer#'), F.col("user_id").cast("string"), F.lit('", '),
+        F.when(k % 10 != 0, F.concat(F.lit('"quantity": "'), (k % 50 + 1).cast("string"), F.lit('", ')))
+         .otherwise(F.lit("")),
+        F.lit('"subtotal_amount": "'), money, F.lit('", "category": "'), seg,
+        F.lit('", "subcategory": "web"}'))
+    status = F.when(k % 13 == 0, F.concat(F.lit('{"order_id": "'), oid, F.lit('"}'))) \
+        .otherwise(F.concat(F.lit('{"order_id": "'), oid, F.lit('", "status": "shipped"}')))
+    qty = F.concat(F.lit('{"order_id": "'), oid, F.lit('", "quantity": "'), (k % 20).cast("string"),
+                   F.lit('", "shipping_cost": '),
+                   F.when(k % 7 == 0, F.lit("null")).otherwise(F.concat(F.lit('"'), money, F.lit('"'))),
+                   F.lit("}"))
+    only_id = F.concat(F.lit('{"order_id": "'), oid, F.lit('"}'))
+    et = F.col("event_type")
+    return e.select(
+        F.col("event_id").alias("seq"),
+        F.when(et == "signup", "create_order").when(et == "click", "update_order")
+         .when(et == "purchase", "update_order").when(et == "error", "delete_order")
+         .otherwise("get_order").alias("action"),
+        F.when(et == "signup", create).when(et == "click", status).when(et == "purchase", qty)
+         .otherwise(only_id).alias("data"))
+
+
+ORDER_COMMANDS_SQL = """
+SELECT event_id AS seq,
+       CASE event_type WHEN 'signup' THEN 'create_order' WHEN 'click' THEN 'update_order'
+            WHEN 'purchase' THEN 'update_order' WHEN 'error' THEN 'delete_order' ELSE 'get_order' END AS action,
+       CASE event_type
+         WHEN 'signup' THEN '{"customer_name": "Customer#' || CAST(user_id AS VARCHAR) || '", '
+              || CASE WHEN k % 10 <> 0 THEN '"quantity": "' || CAST(k % 50 + 1 AS VARCHAR) || '", ' ELSE '' END
+              || '"subtotal_amount": "' || money || '", "category": "'
+              || ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][CAST(k % 5 + 1 AS INT)]
+              || '", "subcategory": "web"}'
+         WHEN 'click' THEN CASE WHEN k % 13 = 0 THEN '{"order_id": "' || oid || '"}'
+                                ELSE '{"order_id": "' || oid || '", "status": "shipped"}' END
+         WHEN 'purchase' THEN '{"order_id": "' || oid || '", "quantity": "' || CAST(k % 20 AS VARCHAR)
+              || '", "shipping_cost": ' || CASE WHEN k % 7 = 0 THEN 'null' ELSE '"' || money || '"' END || '}'
+         ELSE '{"order_id": "' || oid || '"}' END AS data
+FROM (SELECT *, CAST(user_id * 100 + k AS VARCHAR) AS oid,
+             CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS money
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+                   CAST(FLOOR(value * 100) AS BIGINT) AS cents FROM events) a) b
+"""
