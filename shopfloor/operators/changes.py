@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import as_of_date, as_of_timestamp, parse_id_list
 from .ids import dense_ids, next_id
 
@@ -30,6 +31,10 @@ CREATE_DEFAULTS = {"status": "pending", "tax_rate": "0.0", "shipping_cost": "0.0
 READ_ACTIONS = ["get_order", "get_stats", "search_orders"]   # request/response only
 _BIG = 2 ** 62
 
+# The Python fold below runs inside executors; ship this module's code by
+# value so executors do not need the package installed.
+_ship_by_value(__name__)
+
 
 def _typed(value: Column, field: str) -> Column:
     """Text from a command map -> the column's type (NULL if it does not parse)."""

@@ -348,3 +348,47 @@ FROM (SELECT *, CAST(user_id * 100 + k AS VARCHAR) AS oid,
       FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
                    CAST(FLOOR(value * 100) AS BIGINT) AS cents FROM events) a) b
 """
+
+
+# ---------------------------------------------------------------------------
+# checkout requests: one per cart session, customer data from ``customer``
+# ---------------------------------------------------------------------------
+
+def checkout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One checkout per session of :func:`cart_events` (session 'u<id>'
+    belongs to customer <id>).  Customers with a negative balance give a
+    malformed e-mail (rejected by the customer-info rules); BUILDING
+    customers pay by card."""
+    sessions = (read_table(spark, sf_dir, "events").select("user_id").distinct())
+    c = read_table(spark, sf_dir, "customer")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = sessions.join(c, sessions.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey, "left")
+    return j.select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("session_id"),
+        F.col("user_id").alias("seq"),
+        F.col("c_name").alias("customer_name"),
+        F.when(F.col("c_acctbal") >= 0,
+               F.concat(F.lit("customer"), F.col("c_custkey"), F.lit("@example.com")))
+         .otherwise(F.concat(F.lit("customer"), F.col("c_custkey"), F.lit("(at)example"))).alias("customer_email"),
+        F.lit(None).cast("string").alias("customer_phone"),
+        F.concat(F.col("c_custkey"), F.lit(" Main Street")).alias("shipping_address"),
+        F.col("n_name").alias("shipping_city"),
+        F.lit(None).cast("string").alias("shipping_state"),
+        F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("shipping_zip"),
+        F.lit(None).cast("string").alias("shipping_country"),
+        F.lit(None).cast("string").alias("notes"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "card").otherwise("simulated").alias("payment_method"))
+
+
+CHECKOUT_REQUESTS_SQL = """
+SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, user_id AS seq, c_name AS customer_name,
+       CASE WHEN c_acctbal >= 0 THEN 'customer' || CAST(c_custkey AS VARCHAR) || '@example.com'
+            ELSE 'customer' || CAST(c_custkey AS VARCHAR) || '(at)example' END AS customer_email,
+       CAST(NULL AS VARCHAR) AS customer_phone, CAST(c_custkey AS VARCHAR) || ' Main Street' AS shipping_address,
+       n_name AS shipping_city, CAST(NULL AS VARCHAR) AS shipping_state,
+       lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS shipping_zip, CAST(NULL AS VARCHAR) AS shipping_country,
+       CAST(NULL AS VARCHAR) AS notes,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'card' ELSE 'simulated' END AS payment_method
+FROM (SELECT DISTINCT user_id FROM events) s JOIN customer ON user_id = c_custkey
+LEFT JOIN nation ON c_nationkey = n_nationkey
+"""
