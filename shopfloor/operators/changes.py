@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import as_of_date, as_of_timestamp, parse_id_list
+from ..session import checkpoint_dir
 from .ids import dense_ids, next_id
 
 ORDER_TYPES = {f.name: f.dataType for f in S.ORDERS.fields}
@@ -99,6 +100,13 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
               .when(is_create & missing_req, "missing required field")
               .when((is_create | is_update) & _bad_value(F.col("data"), allowed), "invalid value"))
     checked = c.withColumn("_reason", reason)
+    if reliable_ids:
+        # Parse and classify once.  Without this cut, filter push-down
+        # inlines from_json(payload) into every predicate of every branch
+        # (creates, updates, deletes, rejects) and re-parses each message
+        # a dozen times; the checkpoint also pins the batch for the ids.
+        checkpoint_dir(commands.sparkSession)
+        checked = checked.checkpoint(eager=True)
     static_rejects = _reject(checked.filter(F.col("_reason").isNotNull()), F.col("_reason"))
     ok = checked.filter(F.col("_reason").isNull()).drop("_reason")
 

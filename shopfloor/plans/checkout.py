@@ -40,6 +40,11 @@ def checkout(lines: DataFrame, requests: DataFrame, products: DataFrame, custome
     (stock after), ``orders_new``, ``rejects`` and ``report``.
     """
     ts = as_of_timestamp(as_of)
+    if reliable:
+        # the folded lines feed pricing, validation and all outputs:
+        # materialise them once in the shared checkpoint folder
+        checkpoint_dir(lines.sparkSession)
+        lines = lines.checkpoint(eager=True)
     priced = K.price_lines(lines, products)
     totals = K.cart_totals(priced)
     valid = K.validate_carts(lines, products)
