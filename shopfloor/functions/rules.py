@@ -174,3 +174,28 @@ def rule_hits(df: DataFrame, rules: list[Rule]) -> DataFrame:
     parts = ", ".join(f"'{r.check}', '{r.name}', '{r.severity}', '{r.field}', h{i}"
                       for i, r in enumerate(rules))
     return wide.selectExpr(f"stack({len(rules)}, {parts}) AS (rule_set, rule, severity, field, hits)")
+
+
+def category_limits(df: DataFrame, limits: DataFrame, name: str = "over_category_limit") -> DataFrame:
+    """Rules per category/subcategory from a rules table.
+
+    ``limits``: (category, subcategory NULL = any, max_quantity,
+    max_subtotal).  A subcategory rule beats the category-wide one.  Two
+    left equi-joins against the (small, de-duplicated) rules table -- Spark
+    broadcasts it when its measured size allows; the orders are never
+    regrouped."""
+    rules = limits.groupBy("category", "subcategory").agg(F.min("max_quantity").alias("mq"),
+                                                          F.min("max_subtotal").alias("ms"))
+    spec = rules.filter(F.col("subcategory").isNotNull()).select(
+        F.col("category").alias("_c1"), F.col("subcategory").alias("_s1"),
+        F.col("mq").alias("_mq1"), F.col("ms").alias("_ms1"))
+    gen = rules.filter(F.col("subcategory").isNull()).select(
+        F.col("category").alias("_c2"), F.col("mq").alias("_mq2"), F.col("ms").alias("_ms2"))
+    j = (df.join(spec, (F.col("category") == F.col("_c1")) & (F.col("subcategory") == F.col("_s1")), "left")
+         .join(gen, F.col("category") == F.col("_c2"), "left"))
+    has_spec = F.col("_c1").isNotNull()
+    mq = F.when(has_spec, F.col("_mq1")).otherwise(F.col("_mq2"))
+    ms = F.when(has_spec, F.col("_ms1")).otherwise(F.col("_ms2"))
+    over = (F.coalesce(F.col("quantity") > mq, F.lit(False))
+            | F.coalesce(F.col("subtotal_amount") > ms, F.lit(False)))
+    return j.withColumn(name, over).select(*df.columns, name)

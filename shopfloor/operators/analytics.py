@@ -73,6 +73,12 @@ def page_after(orders: DataFrame, last_id: int | None, per_page: int = 50) -> Da
     return out.orderBy(F.col("order_id").desc()).limit(per_page)
 
 
+def customer_orders_page(orders: DataFrame, limit: int = 100, offset: int = 0,
+                         date_col: str = "order_date", id_col: str = "customer_order_id") -> DataFrame:
+    """L2: customer orders newest first (id breaks ties), LIMIT/OFFSET."""
+    return orders.orderBy(F.col(date_col).desc(), F.col(id_col).desc()).offset(offset).limit(limit)
+
+
 def page_info(orders: DataFrame, per_page: int = 50, **equals) -> DataFrame:
     """L1 header: total rows and page count for the filtered listing."""
     return (filter_orders(orders, **equals)
