@@ -41,16 +41,18 @@ def dense_ids(df: DataFrame, order_by: list, id_col: str = "id", base: int | Col
     ordered = (ordered.withColumn("_pid", F.shiftright(F.col("_mid"), _ROW_BITS))
                .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(_ROW_MASK))))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    # The base enters the running sum as a row before partition 0, so
+    # offset(p) = base + rows of all earlier partitions -- no join needed.
     if isinstance(base, DataFrame):
-        # fold the one-row base into the per-partition offsets
-        b = base.select(F.lit(1).alias("_k"), F.col("next_base").alias("_base"))
-        offsets = (offsets.withColumn("_k", F.lit(1)).join(b, "_k")
-                   .select("_pid", (F.col("_off") + F.col("_base")).alias("_off")))
+        base_row = base.select(F.lit(-1).cast("long").alias("_pid"), F.col("next_base").cast("long").alias("_cnt"))
     else:
-        offsets = offsets.withColumn("_off", F.col("_off") + (base if isinstance(base, Column)
-                                                              else F.lit(base)))
+        b = base if isinstance(base, Column) else F.lit(base)
+        base_row = counts.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_pid"),
+                                                        b.cast("long").alias("_cnt"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.unionByName(base_row)
+               .select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+               .filter(F.col("_pid") >= 0))
     # one row per partition: bounded by the partition count
     out = ordered.join(F.broadcast(offsets), "_pid")
     out = out.withColumn(id_col, (F.col("_off") + F.col("_row") + 1).cast("bigint"))
