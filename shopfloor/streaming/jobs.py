@@ -242,18 +242,20 @@ def _cart_state_fn(key, pdfs, state):
     lines, last_seq = ({int(k): v for k, v in json.loads(state.get[0]).items()}, state.get[1]) \
         if state.exists else ({}, -1)
     newest = None
-    for pdf in pdfs:
-        pdf = pdf.sort_values("seq")
-        for r in pdf.itertuples(index=False):
-            if r.seq <= last_seq:
-                continue                     # replayed action
-            pid = None if pd.isna(r.product_id) else int(r.product_id)
-            q = None if pd.isna(r.quantity) else int(r.quantity)
-            stock = None if pd.isna(r.p_stock) else int(r.p_stock)
-            cart_step(lines, r.action, pid, q, bool(r.p_exists), bool(r.p_active), stock)
-            last_seq = int(r.seq)
-            ts = int(pd.Timestamp(r.ts).timestamp() * 1000)
-            newest = ts if newest is None else max(newest, ts)
+    # A session's rows of one micro-batch may arrive in several Arrow
+    # chunks; they are folded in seq order, so the micro-batch (bounded by
+    # the trigger's maxFilesPerTrigger / maxOffsetsPerTrigger) is sorted whole.
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+    for r in pdf.itertuples(index=False):
+        if r.seq <= last_seq:
+            continue                     # replayed action
+        pid = None if pd.isna(r.product_id) else int(r.product_id)
+        q = None if pd.isna(r.quantity) else int(r.quantity)
+        stock = None if pd.isna(r.p_stock) else int(r.p_stock)
+        cart_step(lines, r.action, pid, q, bool(r.p_exists), bool(r.p_active), stock)
+        last_seq = int(r.seq)
+        ts = int(pd.Timestamp(r.ts).timestamp() * 1000)
+        newest = ts if newest is None else max(newest, ts)
     state.update((json.dumps({str(k): v for k, v in lines.items()}), last_seq))
     if newest is not None:
         state.setTimeoutTimestamp(newest + CART_TTL_MS)
