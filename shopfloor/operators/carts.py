@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import line_subtotal, shipping_tier
+from ..session import checkpoint_dir
 
 _BIG = 2 ** 62
 
@@ -268,3 +269,60 @@ def shipping_shares(lines: DataFrame, totals: DataFrame, exact_split: bool = Fal
     rest = (F.col("_ship") - share * F.col("line_count")).cast(S.MONEY)
     return j.withColumn("shipping_share", F.when(F.col("product_id") == F.col("_first"), share + rest)
                         .otherwise(share).cast(S.MONEY)).drop("_ship", "_first")
+
+
+# ---------------------------------------------------------------------------
+# C3, sequential: carts compete for stock in checkout order
+# ---------------------------------------------------------------------------
+
+def sequential_acceptance(lines: DataFrame, requests: DataFrame, products: DataFrame,
+                          max_rounds: int | None = None) -> DataFrame:
+    """Exact checkout-order semantics: cart k is accepted iff every line
+    fits the stock left after the carts accepted before it (as when each
+    checkout is validated against the live table).
+
+    Set-based fixpoint on bounds instead of a global sequential loop: per
+    line, ``lo`` = demand of earlier ACCEPTED carts on the product and
+    ``hi`` = demand of earlier carts not rejected.  A cart whose lines all
+    fit under ``hi`` is accepted, one with a line over stock under ``lo``
+    is rejected.  The earliest undecided cart has lo = hi, so every round
+    decides at least one cart: the loop ends without a cap.  Only
+    products whose total demand exceeds stock take part; the rest always
+    fit.  Returns ``(session_id, seq, accepted)``.
+    """
+    spark = lines.sparkSession
+    checkpoint_dir(spark)
+    req = requests.select("session_id", "seq")
+    p = products.select("product_id", F.col("stock_quantity").cast("long").alias("_stock"))
+    L = (lines.join(req, "session_id").join(p, "product_id", "left")
+         .select("session_id", "seq", "product_id", F.col("quantity").cast("long").alias("q"), "_stock"))
+    demand = L.groupBy("product_id").agg(F.sum("q").alias("_demand"), F.first("_stock").alias("_stock"))
+    binding = demand.filter(F.col("_stock").isNull() | (F.col("_demand") > F.col("_stock"))).select("product_id")
+    Lb = L.join(binding, "product_id", "left_semi").checkpoint(eager=True)
+    status = (L.select("session_id", "seq").distinct()
+              .join(Lb.select("session_id").distinct().withColumn("_b", F.lit(True)), "session_id", "left")
+              .select("session_id", "seq",
+                      F.when(F.col("_b").isNull(), F.lit("a")).otherwise(F.lit("u")).alias("st"))
+              .checkpoint(eager=True))
+    w = Window.partitionBy("product_id").orderBy("seq", "session_id") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    rounds = 0
+    while True:
+        if status.filter(F.col("st") == "u").limit(1).count() == 0:
+            break
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"sequential_acceptance did not settle in {max_rounds} rounds")
+        x = Lb.join(status, ["session_id", "seq"])
+        x = (x.withColumn("_lo", F.coalesce(F.sum(F.when(F.col("st") == "a", F.col("q"))).over(w), F.lit(0)))
+             .withColumn("_hi", F.coalesce(F.sum(F.when(F.col("st") != "r", F.col("q"))).over(w), F.lit(0))))
+        fits_hi = F.coalesce(F.col("_hi") + F.col("q") <= F.col("_stock"), F.lit(False))
+        fails_lo = F.coalesce(F.col("_lo") + F.col("q") > F.col("_stock"), F.lit(True))
+        dec = (x.filter(F.col("st") == "u").groupBy("session_id")
+               .agg(F.bool_and(fits_hi).alias("_acc"), F.bool_or(fails_lo).alias("_rej")))
+        status = (status.join(dec, "session_id", "left")
+                  .select("session_id", "seq",
+                          F.when(F.col("st") != "u", F.col("st")).when(F.col("_acc"), F.lit("a"))
+                           .when(F.col("_rej"), F.lit("r")).otherwise(F.lit("u")).alias("st"))
+                  .checkpoint(eager=True))
+    return status.select("session_id", "seq", (F.col("st") == "a").alias("accepted"))

@@ -30,12 +30,18 @@ from ..session import checkpoint_dir
 
 def checkout(lines: DataFrame, requests: DataFrame, products: DataFrame, customer_orders: DataFrame,
              order_items: DataFrame, orders: DataFrame, as_of: str | None = None,
-             exact_split: bool = False, reliable: bool = True) -> dict[str, DataFrame]:
+             exact_split: bool = False, reliable: bool = True,
+             mode: str = "snapshot") -> dict[str, DataFrame]:
     """Turn cart lines + checkout requests into the store tables.
 
     ``lines``: (session_id, product_id, quantity), e.g. from
     :func:`shopfloor.operators.carts.fold_carts`.  ``requests``: the
     ``CHECKOUT_REQUESTS`` schema (one per session; ``seq`` orders them).
+    ``mode="snapshot"`` validates every cart against the starting stock
+    and lets the guarded decrement catch oversell (reported);
+    ``mode="sequential"`` accepts carts in checkout order only when all
+    their lines fit the stock left by earlier accepted carts (exact
+    live-table semantics, :func:`carts.sequential_acceptance`).
     Returns ``customer_orders_new``, ``order_items_new``, ``products``
     (stock after), ``orders_new``, ``rejects`` and ``report``.
     """
@@ -47,9 +53,18 @@ def checkout(lines: DataFrame, requests: DataFrame, products: DataFrame, custome
         lines = lines.checkpoint(eager=True)
     priced = K.price_lines(lines, products)
     totals = K.cart_totals(priced)
-    valid = K.validate_carts(lines, products)
     rules = R.customer_info_rules(requests.schema)
     req = requests.withColumn("_info_errors", R.violations(rules))
+    if mode == "sequential":
+        # only carts that pass the other checks compete for stock
+        eligible = req.filter(F.size("_info_errors") == 0).select(*requests.columns)
+        acc = K.sequential_acceptance(lines, eligible, products)
+        valid = (lines.groupBy("session_id").agg(F.count(F.lit(1)).alias("line_count"))
+                 .join(acc.select("session_id", F.col("accepted").alias("ok")), "session_id", "left")
+                 .withColumn("ok", F.coalesce("ok", F.lit(True)))
+                 .withColumn("reason", F.when(~F.col("ok"), F.lit("insufficient stock"))))
+    else:
+        valid = K.validate_carts(lines, products)
 
     # One decision per request
     dec = (req.join(valid, "session_id", "left")

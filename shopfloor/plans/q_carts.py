@@ -220,3 +220,49 @@ def q_w6(spark, d):
     lines = _lines(spark, d)
     totals = K.cart_totals(K.price_lines(lines, td.products(spark, d)))
     return K.shipping_shares(lines, totals, exact_split=True).select("session_id", "product_id", "shipping_share")
+
+
+# ---------------------------------------------------------------------------
+# sequential checkout: carts compete for stock in checkout order
+# ---------------------------------------------------------------------------
+
+_SEQ = """
+, elig AS (SELECT session_id, seq FROM decided WHERE line_count IS NOT NULL AND info = ''),
+pidx AS (SELECT product_id, ROW_NUMBER() OVER (ORDER BY product_id) AS ix FROM (SELECT DISTINCT product_id FROM lines) t),
+carts AS (SELECT e.session_id, e.seq, ROW_NUMBER() OVER (ORDER BY e.seq, e.session_id) AS n,
+                 list({'ix': p.ix, 'q': CAST(l.quantity AS BIGINT)}) AS items
+          FROM elig e JOIN lines l ON l.session_id = e.session_id JOIN pidx p ON p.product_id = l.product_id
+          GROUP BY e.session_id, e.seq),
+init AS (SELECT list(CAST(pr.stock_quantity AS BIGINT) ORDER BY p.ix) AS st
+         FROM pidx p LEFT JOIN products pr ON pr.product_id = p.product_id),
+rec AS (
+  SELECT CAST(0 AS BIGINT) AS n, (SELECT st FROM init) AS st, CAST(NULL AS BOOLEAN) AS ok
+  UNION ALL
+  SELECT c.n,
+         CASE WHEN COALESCE(list_bool_and(list_transform(c.items, lambda x: r.st[x.ix] >= x.q)), false)
+              THEN list_transform(r.st, lambda s, j: s - COALESCE(list_sum(list_transform(
+                     list_filter(c.items, lambda x: x.ix = j), lambda x: x.q)), 0))
+              ELSE r.st END,
+         COALESCE(list_bool_and(list_transform(c.items, lambda x: r.st[x.ix] >= x.q)), false)
+  FROM rec r JOIN carts c ON c.n = r.n + 1)
+"""
+
+
+@register("c3_sequential_acceptance", CART_FOLD + _PRICED + _CHECKOUT + _SEQ + """
+SELECT c.session_id, c.seq, r.ok AS accepted FROM carts c JOIN rec r ON r.n = c.n""")
+def q_c3_seq(spark, d):
+    reqs = td.checkout_requests(spark, d)
+    from ..functions import rules as R
+    eligible = reqs.filter(F.size(R.violations(R.customer_info_rules(reqs.schema))) == 0)
+    return K.sequential_acceptance(_lines(spark, d), eligible, td.products(spark, d))
+
+
+@register("c6_stock_after_sequential", CART_FOLD + _PRICED + _CHECKOUT + _SEQ + """
+, fin AS (SELECT st FROM rec ORDER BY n DESC LIMIT 1)
+SELECT p.product_id, CAST(COALESCE(fin.st[x.ix], p.stock_quantity) AS BIGINT) AS stock_quantity
+FROM products p LEFT JOIN pidx x ON x.product_id = p.product_id, fin""")
+def q_c6_seq(spark, d):
+    out = CK.checkout(_lines(spark, d), td.checkout_requests(spark, d), td.products(spark, d),
+                      td.customer_orders(spark, d), td.order_items(spark, d), td.sales_orders(spark, d),
+                      as_of=AS_OF, mode="sequential")
+    return out["products"].select("product_id", F.col("stock_quantity").cast("bigint").alias("stock_quantity"))

@@ -67,3 +67,30 @@ def test_fold_matches_sequential(spark, evs):
     products = spark.createDataFrame(prods, S.PRODUCTS)
     got = rows_of(K.fold_carts(spark.createDataFrame(rows, S.CART_EVENTS), products))
     assert got == brute_force(rows, stock, active)
+
+
+def brute_force_checkout(carts, stock):
+    """Reference semantics: each checkout validated against live stock."""
+    st, acc = dict(stock), {}
+    for sid, seq, lines in sorted(carts, key=lambda c: (c[1], c[0])):
+        ok = all(st.get(p) is not None and st[p] >= q for p, q in lines)
+        if ok:
+            for p, q in lines:
+                st[p] -= q
+        acc[sid] = ok
+    return acc
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 4), st.integers(1, 6)), min_size=1, max_size=3,
+                         unique_by=lambda t: t[0]), min_size=1, max_size=12))
+def test_sequential_checkout_matches_live_stock(spark, carts):
+    stock = {1: 5, 2: 8, 3: 100}            # product 4 does not exist
+    cs = [(f"s{i}", i, lines) for i, lines in enumerate(carts)]
+    lines = spark.createDataFrame([(sid, p, q) for sid, _, ls in cs for p, q in ls],
+                                  "session_id string, product_id long, quantity int")
+    req = spark.createDataFrame([(sid, seq) for sid, seq, _ in cs], "session_id string, seq long")
+    prods = spark.createDataFrame([(p, f"p{p}", None, "c", "s", Decimal("1"), None, s, True, None, None)
+                                   for p, s in stock.items()], S.PRODUCTS)
+    got = {r.session_id: r.accepted for r in K.sequential_acceptance(lines, req, prods).collect()}
+    assert got == brute_force_checkout(cs, stock)
