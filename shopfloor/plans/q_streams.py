@@ -64,7 +64,7 @@ def q_r1(spark, d):
 @register("r7_daily_summary_stream", """
 WITH e AS (SELECT * FROM events), wm AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS w FROM e)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS status, COUNT(*) AS event_count,
-       SUM(value) AS amount
+       CAST(SUM(CAST(value AS DECIMAL(38,10))) AS DOUBLE) AS amount
 FROM e GROUP BY 1, 2
 HAVING CAST(MIN(date_trunc('day', ts)) + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT w FROM wm)""")
 def q_r7(spark, d):

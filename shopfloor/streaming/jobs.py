@@ -208,7 +208,9 @@ def daily_summary(events: DataFrame, ts_col: str = "ts", delay: str = "1 hour",
     t = F.col(ts_col).cast("timestamp")
     return (events.withColumn("_ts", t).withWatermark("_ts", delay)
             .groupBy(F.window("_ts", "1 day").alias("w"), F.col(status_col).alias("status"))
-            .agg(F.count(F.lit(1)).alias("event_count"), F.sum(amount_col).alias("amount"))
+            .agg(F.count(F.lit(1)).alias("event_count"),
+                 # exact decimal sum: independent of partitioning and order
+                 F.sum(F.col(amount_col).cast("decimal(38,10)")).cast("double").alias("amount"))
             .select(F.col("w.start").alias("day_start"), F.col("w.end").alias("day_end"),
                     "status", "event_count", "amount"))
 
