@@ -20,6 +20,8 @@ import pandas as pd
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+EXACT = bool(os.environ.get("ORACLE_EXACT"))
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -42,7 +44,7 @@ def norm(v):
             return None
         if v.is_integer() and abs(v) < 2 ** 53:
             return int(v)
-        return float(f"{v:.9g}")
+        return v if EXACT else float(f"{v:.9g}")
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.9g}")
     if isinstance(v, (dt.datetime, dt.date)):
