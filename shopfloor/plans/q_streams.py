@@ -16,6 +16,7 @@ from ..operators import changes as CH
 from ..sources import testdata as td
 from ..streaming import jobs as J
 from .q_changes import _CMD_TARGET, ORDER_CASTS
+from .q_carts import CART_FOLD
 from .registered import SO, oracle, register
 
 AS_OF = "2024-06-01 00:00:00"
@@ -153,11 +154,11 @@ def _cart_actions_stream(spark, d):
         F.col("ts")))
 
 
-@register("r8_cart_state_stream")
+@register("r8_cart_state_stream", CART_FOLD + "SELECT session_id, product_id, CAST(quantity AS BIGINT) AS quantity FROM lines")
 def q_r8(spark, d):
-    """Cart lines emitted by the stateful stream (update mode, appended
-    per trigger to parquet): live lines and, after the watermark passes a
-    session's last action + 7 days, its expired lines."""
+    """Cart lines as left by the stateful stream: for each session the rows
+    of the last trigger that emitted it, unless that emission is the
+    7-day expiry.  Update mode appends each trigger's changes to parquet."""
     st = J.cart_state_stream(_cart_actions_stream(spark, d), td.products(spark, d))
     base = J.run_dir(spark, "carts")
     out = os.path.join(base, "out")
@@ -167,4 +168,7 @@ def q_r8(spark, d):
     q = (st.writeStream.outputMode("update").option("checkpointLocation", os.path.join(base, "ckpt"))
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    emitted = spark.read.parquet(out)
+    last = emitted.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
+    return (emitted.join(last, ["session_id", "batch_id"]).filter(~F.col("expired"))
+            .select("session_id", "product_id", F.col("quantity").cast("bigint").alias("quantity")))
