@@ -23,7 +23,6 @@ from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import line_subtotal, shipping_tier
 from ..session import checkpoint_dir
 
-_BIG = 2 ** 62
 
 # The Python fold below runs inside executors; ship this module's code by
 # value so executors do not need the package installed.

@@ -1,5 +1,3 @@
-import datetime as dt
-from decimal import Decimal
 
 from pyspark.sql import functions as F
 

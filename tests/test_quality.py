@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions import rules as R
 from shopfloor.operators import quality as Q
-from conftest import rows_of
+
 
 
 def test_duplicates_keep_first_null_keys_equal(orders_small):

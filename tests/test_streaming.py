@@ -1,11 +1,9 @@
 import datetime as dt
 import json
 import os
-from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from shopfloor import schemas as S
 from shopfloor.operators import changes as CH
 from shopfloor.streaming import jobs as J
 from conftest import rows_of
