@@ -31,6 +31,19 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def event_time(c: str) -> "F.Column":
+    """Watermarks need TIMESTAMP.  A ``timestamp_ntz`` wall time is read as
+    UTC by exact arithmetic (micros since the NTZ epoch), so windows and
+    timeouts do not depend on the session time zone."""
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+    return F.timestamp_micros(micros)
+
+
+def utc_day(c) -> "F.Column":
+    """DATE of a TIMESTAMP instant in UTC, independent of the session zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(c) / 86400).cast("int"))
+
+
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None,
                 max_files: int | None = None) -> DataFrame:
     r = spark.readStream.format(fmt).schema(schema)
@@ -201,18 +214,19 @@ def high_value_alerts(orders: DataFrame, threshold, ts, amount_col: str = "subto
 
 def daily_summary(events: DataFrame, ts_col: str = "ts", delay: str = "1 hour",
                   status_col: str = "event_type", amount_col: str = "value") -> DataFrame:
-    """Per day and status: count and amount.  ``timestamp_ntz`` is cast
-    to ``timestamp`` (session time zone UTC) for the watermark; append mode
+    """Per day and status: count and amount.  A ``timestamp_ntz`` event
+    time is read as UTC (:func:`event_time`) for the watermark; append mode
     emits a day once the watermark passes its end, so late rows within
     ``delay`` are still counted and later ones are dropped."""
-    t = F.col(ts_col).cast("timestamp")
+    ntz = dict(events.dtypes).get(ts_col) == "timestamp_ntz"
+    t = event_time(ts_col) if ntz else F.col(ts_col)
     return (events.withColumn("_ts", t).withWatermark("_ts", delay)
             .groupBy(F.window("_ts", "1 day").alias("w"), F.col(status_col).alias("status"))
             .agg(F.count(F.lit(1)).alias("event_count"),
                  # exact decimal sum: independent of partitioning and order
                  F.sum(F.col(amount_col).cast("decimal(38,10)")).cast("double").alias("amount"))
-            .select(F.col("w.start").alias("day_start"), F.col("w.end").alias("day_end"),
-                    "status", "event_count", "amount"))
+            .select(utc_day(F.col("w.start")).alias("day"), F.col("w.start").alias("day_start"),
+                    F.col("w.end").alias("day_end"), "status", "event_count", "amount"))
 
 
 # ---------------------------------------------------------------------------
@@ -256,7 +270,7 @@ def _cart_state_fn(key, pdfs, state):
         stock = None if pd.isna(r.p_stock) else int(r.p_stock)
         cart_step(lines, r.action, pid, q, bool(r.p_exists), bool(r.p_active), stock)
         last_seq = int(r.seq)
-        ts = int(pd.Timestamp(r.ts).timestamp() * 1000)
+        ts = int(r.ts_ms)
         newest = ts if newest is None else max(newest, ts)
     state.update((json.dumps({str(k): v for k, v in lines.items()}), last_seq))
     if newest is not None:
@@ -274,7 +288,9 @@ def cart_state_stream(actions: DataFrame, products: DataFrame, delay: str = "1 h
     current lines of every session that changed, and expired carts."""
     p = products.select(F.col("product_id").alias("_pid"), F.col("stock_quantity").alias("p_stock"),
                         F.col("is_active").alias("p_active"), F.lit(True).alias("p_exists"))
-    ev = (actions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    ntz = dict(actions.dtypes).get("ts") == "timestamp_ntz"
+    ev = (actions.withColumn("ts", event_time("ts") if ntz else F.col("ts")).withWatermark("ts", delay)
+          .withColumn("ts_ms", F.unix_millis("ts"))
           .join(p, F.col("product_id") == F.col("_pid"), "left").drop("_pid")
           .withColumn("p_exists", F.coalesce("p_exists", F.lit(False)))
           .withColumn("p_active", F.coalesce("p_active", F.lit(False))))

@@ -105,7 +105,8 @@ def main(argv):
     pats = [a for a in argv[1:] if not a.startswith("/")]
     from shopfloor.session import build_session
     import __spark_entry__ as E
-    spark = build_session("local[8]", shuffle_partitions=8)
+    extra = {"spark.sql.session.timeZone": os.environ["ORACLE_TZ"]} if os.environ.get("ORACLE_TZ") else None
+    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
