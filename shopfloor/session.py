@@ -50,10 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not d:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="shopfloor-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - some deployments refuse core confs at runtime
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
