@@ -21,17 +21,40 @@ BASE_CONF = {
 }
 
 
+# Suggested settings for a large cluster (~100 TB inputs, ~1000 executors).
+# Start with many shuffle partitions and let AQE coalesce them to the
+# advisory size: each reduce task then holds ~256 MB, which fits executor
+# memory and spills gracefully.  Skewed partitions (a hot key) are split
+# when they exceed 5x the median and 1 GB.  Scan splits of 512 MB keep the
+# task count of a 100 TB scan near 200k.  The broadcast threshold bounds
+# every runtime-chosen broadcast.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "shopfloor",
                   shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
+                  extra: dict | None = None, cluster: bool = False) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
 
     ``master`` is only used when given; on a cluster the launcher decides.
+    ``cluster=True`` adds :data:`CLUSTER_CONF`.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
