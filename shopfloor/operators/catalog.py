@@ -127,10 +127,12 @@ def not_in(df: DataFrame, keep: DataFrame, key: str, keep_key: str | None = None
 
 
 def assign_images(products: DataFrame, images: DataFrame, name_col: str = "name",
-                  url_col: str = "image_url", as_of: str | None = None) -> dict[str, DataFrame]:
-    """Set ``image_url`` from a name -> URL table.
+                  url_col: str = "image_url", as_of: str | None = None,
+                  touch_updated_at: bool = False) -> dict[str, DataFrame]:
+    """Set ``image_url`` from a name -> URL table (exact name match).
 
-    Returns ``products`` (updated, ``updated_at`` touched on matches),
+    Like the reference's plain UPDATE, ``updated_at`` is left alone unless
+    ``touch_updated_at``.  Returns ``products`` (updated),
     ``unmatched`` (names in the map with no product) and ``report``
     (``updated_rows``, ``unmatched_names``).  The map is joined, not
     collected; Spark broadcasts it if its measured size allows.
@@ -140,9 +142,10 @@ def assign_images(products: DataFrame, images: DataFrame, name_col: str = "name"
          .agg(F.max(url_col).alias("_url")))           # one URL per name
     joined = products.join(m, F.col(name_col) == F.col("_n"), "left")
     hit = F.col("_n").isNotNull()
-    out = (joined.withColumn("image_url", F.when(hit, F.col("_url")).otherwise(F.col("image_url")))
-           .withColumn("updated_at", F.when(hit, as_of_timestamp(as_of)).otherwise(F.col("updated_at")))
-           .drop("_n", "_url"))
+    out = joined.withColumn("image_url", F.when(hit, F.col("_url")).otherwise(F.col("image_url")))
+    if touch_updated_at:
+        out = out.withColumn("updated_at", F.when(hit, as_of_timestamp(as_of)).otherwise(F.col("updated_at")))
+    out = out.drop("_n", "_url")
     unmatched = m.join(products.select(F.col(name_col).alias("_n")), "_n", "left_anti") \
         .select(F.col("_n").alias(name_col))
     report = joined.agg(F.count_if(hit).cast("bigint").alias("updated_rows"))

@@ -417,11 +417,13 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
     n = max(1, int(products.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     folded = (slow_rows.repartition(n, "product_id").sortWithinPartitions("product_id", "seq")
               .mapInPandas(_guarded_fold, _FOLD_SCHEMA))
-    slow_final = folded.groupBy("product_id").agg(F.max_by("stock_after", "seq").alias("_new"))
-    fast_final = fast.select("product_id", (F.col("_stock0") + F.col("_sum")).alias("_new"))
+    slow_final = folded.groupBy("product_id").agg(F.max_by("stock_after", "seq").alias("_new"),
+                                                  F.bool_or("applied").alias("_touched"))
+    fast_final = fast.select("product_id", (F.col("_stock0") + F.col("_sum")).alias("_new"),
+                             F.lit(True).alias("_touched"))
     final = fast_final.unionByName(slow_final)
     j = products.join(final.withColumnRenamed("product_id", "_pk"), products[key] == F.col("_pk"), "left")
-    changed = F.col("_new").isNotNull()
+    changed = F.coalesce(F.col("_touched"), F.lit(False))   # the guarded UPDATE ran at least once
     cols = []
     for f in products.schema.fields:
         if f.name == "stock_quantity":

@@ -183,8 +183,7 @@ IMG_SQL = """img AS (SELECT name, 'https://img.example/' || replace(name, ' ', '
 
 
 @register("m2_assign_images", PROD + f", {IMG_SQL}\n" + """
-SELECT p.product_id, COALESCE(m.url, p.image_url) AS image_url,
-       CASE WHEN m.name IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE p.updated_at END AS updated_at
+SELECT p.product_id, COALESCE(m.url, p.image_url) AS image_url, p.updated_at
 FROM products p LEFT JOIN (SELECT name, MAX(image_url) AS url FROM img GROUP BY name) m ON m.name = p.name""")
 def q_m2(spark, d):
     return C.assign_images(_products(spark, d), _image_map(spark, d),
