@@ -63,7 +63,8 @@ def _reject(df: DataFrame, reason: Column | str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | None = None,
-                         allowed=S.ORDER_FIELDS, reliable_ids: bool = True) -> dict[str, DataFrame]:
+                         allowed=S.ORDER_FIELDS, reliable_ids: bool = True,
+                         next_base: DataFrame | None = None) -> dict[str, DataFrame]:
     """Apply ``(seq, action, data)`` commands to ``orders``; ``data`` is the
     command's JSON text (parsed as ``map<string,string>``).
 
@@ -76,7 +77,11 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     and updates/deletes of an id that does not exist at that point of the
     sequence.
 
-    Returns ``target``, ``changes`` (R4 feed rows), ``rejects``, ``report``.
+    Returns ``target``, ``changes`` (R4 feed rows), ``rejects``,
+    ``report`` and ``delta``: only the touched rows -- ``(order_id, op,
+    seq, fields...)`` with op upsert/delete -- whose size follows the batch,
+    not the table (what a MERGE or a change log needs).  ``next_base``
+    (one row, ``next_base`` column) replaces the ``max(order_id)`` scan.
     """
     ts = as_of_timestamp(as_of)
     parsed = F.from_json("payload", "map<string,string>")
@@ -113,7 +118,8 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     # -- creates: fresh ids in seq order (W4), defaults (D2) -----------------
     creates = ok.filter(is_create)
     created = dense_ids(creates.select("seq", "data", "payload"), ["seq"], "order_id",
-                        base=next_id(target, "order_id"), reliable=reliable_ids)
+                        base=next_base if next_base is not None else next_id(target, "order_id"),
+                        reliable=reliable_ids)
     d = F.col("data")
 
     def create_value(f):
@@ -177,7 +183,20 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     rejects = static_rejects.unionByName(del_rejects).unionByName(up_rejects)
     report = (changes.groupBy("action").agg(F.count(F.lit(1)).alias("count"))
               .unionByName(rejects.agg(F.lit("rejected").alias("action"), F.count(F.lit(1)).alias("count"))))
-    return {"target": new_target, "changes": changes, "rejects": rejects, "report": report}
+    # -- delta: touched ids only --------------------------------------------
+    last_up = up_applied.groupBy("oid").agg(F.max("seq").alias("_lseq"))
+    touched = (last_up.unionByName(created.select(F.col("order_id").alias("oid"), F.col("seq").alias("_lseq")))
+               .groupBy("oid").agg(F.max("_lseq").alias("_lseq")))      # created then patched: once
+    upserts = (merged.join(touched.withColumnRenamed("oid", "_toid"), F.col("order_id") == F.col("_toid"))
+               .join(died.withColumnRenamed("oid", "_doid"), F.col("order_id") == F.col("_doid"), "left_anti")
+               .select(F.col("order_id"), F.lit("upsert").alias("op"), F.col("_lseq").alias("seq"),
+                       *new_cols[1:]))
+    deletes = died.join(births.filter(F.col("_born") < 0), "oid").select(
+        F.col("oid").alias("order_id"), F.lit("delete").alias("op"), F.col("_died").alias("seq"),
+        *[F.lit(None).cast(ORDER_TYPES[f]).alias(f) for f in S.ORDER_FIELDS])
+    delta = upserts.unionByName(deletes)
+    return {"target": new_target, "changes": changes, "rejects": rejects, "report": report,
+            "delta": delta}
 
 
 # ---------------------------------------------------------------------------

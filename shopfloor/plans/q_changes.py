@@ -468,3 +468,21 @@ SELECT COUNT(*) FILTER (WHERE order_id NOT IN (SELECT order_id FROM so)) AS inse
        COUNT(*) FILTER (WHERE order_id IN (SELECT order_id FROM so)) AS updated FROM last""")
 def q_d12_rep(spark, d):
     return CH.upsert(td.sales_orders(spark, d), _import_rows(spark, d), "order_id", seq="seq")["report"]
+
+
+_DELTA_SQL = _CMD_TARGET.replace("\nSELECT s.order_id,", ", new_t AS (SELECT s.order_id,", 1) + """)
+, touched AS (SELECT oid, MAX(seq) AS lseq FROM (SELECT oid, seq FROM applied UNION ALL SELECT order_id, seq FROM created) u
+              GROUP BY oid)
+SELECT n.order_id, 'upsert' AS op, t.lseq AS seq, n.status, n.customer_name, CAST(n.order_date AS VARCHAR) AS order_date,
+       CAST(n.quantity AS BIGINT) AS quantity, CAST(n.subtotal_amount AS DOUBLE) AS subtotal_amount,
+       CAST(n.tax_rate AS DOUBLE) AS tax_rate, CAST(n.shipping_cost AS DOUBLE) AS shipping_cost, n.category, n.subcategory
+FROM new_t n JOIN touched t ON t.oid = n.order_id
+UNION ALL
+SELECT d.oid, 'delete', d.died, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM died d JOIN state s ON s.order_id = d.oid AND s.born = -1"""
+
+
+@register("r2_commands_delta", _DELTA_SQL)
+def q_r2_delta(spark, d):
+    """The batch's touched rows only (what a MERGE or the change log takes)."""
+    return _apply_cmds(spark, d)["delta"]

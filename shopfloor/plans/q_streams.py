@@ -85,6 +85,21 @@ def _command_stream_target(spark, d):
     return J.current_orders(spark, os.path.join(base, "state"))
 
 
+@register("r2_changelog_stream_view", oracle(_CMD_TARGET, **ORDER_CASTS))
+def q_r2_log(spark, d):
+    """The command stream in the changelog layout: per batch only touched
+    rows are written; the view overlays them on the snapshot."""
+    base = J.run_dir(spark, "changelog")
+    src = os.path.join(base, "queue")
+    td.order_commands(spark, d).write.json(src)
+    cmds = J.file_stream(spark, src, "seq long, action string, data string", fmt="json")
+    snap = td.sales_orders(spark, d)
+    q = J.start_command_stream(spark, cmds, os.path.join(base, "state"), snap, as_of=AS_OF,
+                               trigger={"availableNow": True}, layout="changelog")
+    q.awaitTermination()
+    return J.changelog_view(spark, os.path.join(base, "state"), snap)
+
+
 @register("r2_command_stream_target", oracle(_CMD_TARGET, **ORDER_CASTS))
 def q_r2s(spark, d):
     return _command_stream_target(spark, d)

@@ -87,3 +87,28 @@ def test_dashboard_and_diff(spark, orders_small, scratch):
     assert d == {1: ("deleted", "Order Finished", None), 2: ("updated", "Order Finished", "delivered")}
     ev = J.change_events(J.diff_snapshots(orders_small, new), F.lit(AS_OF).cast("timestamp_ntz"))
     assert sorted(r.event_type for r in ev.collect()) == ["order_deleted", "order_status_changed", "order_updated"]
+
+
+def test_changelog_layout_matches_batch(spark, orders_small, scratch):
+    b1 = [(1, "update_order", {"order_id": "3", "status": "shipped"}),
+          (2, "create_order", {"customer_name": "Zed", "quantity": "2", "subtotal_amount": "20.00",
+                               "category": "T", "subcategory": "P"}),
+          (3, "delete_order", {"order_id": "10"})]
+    b2 = [(4, "delete_order", {"order_id": "11"}), (5, "update_order", {"order_id": "5", "quantity": "7"}),
+          (6, "create_order", {"customer_name": "Yan", "quantity": "1", "subtotal_amount": "5",
+                               "category": "F", "subcategory": "C"}),
+          (7, "update_order", {"order_id": "12", "status": "late"})]
+    queue, state = os.path.join(scratch, "queue"), os.path.join(scratch, "state")
+    schema = "seq long, action string, data string"
+    for i, rows in enumerate([b1, b2]):
+        _write_cmds(spark, os.path.join(queue, f"part{i}"), rows)
+        src = spark.readStream.schema(schema).json(os.path.join(queue, "*"))
+        q = J.start_command_stream(spark, src, state, orders_small, as_of=AS_OF,
+                                   trigger={"availableNow": True}, layout="changelog")
+        q.awaitTermination()
+    view = J.changelog_view(spark, state, orders_small)
+    all_cmds = spark.createDataFrame([(s, a, json.dumps(d)) for s, a, d in b1 + b2], schema)
+    expect = CH.apply_order_commands(orders_small, all_cmds, as_of=AS_OF)["target"]
+    assert rows_of(view) == rows_of(expect)
+    log = spark.read.parquet(os.path.join(state, "changelog"))
+    assert log.count() <= 6                      # only touched rows are written
