@@ -120,7 +120,10 @@ def _sorted_fold(ev: DataFrame, emit_lines: bool) -> DataFrame:
     cols = ["session_id", "seq", "action", "product_id", "quantity",
             F.col("_stock").alias("p_stock"), F.col("_active").alias("p_active"),
             F.col("_exists").alias("p_exists")]
-    srt = ev.select(*cols).repartition(n, "session_id").sortWithinPartitions("session_id", "seq")
+    # total order (ties on seq broken by the row itself): a recomputed task
+    # after a lost executor folds the rows in exactly the same order
+    srt = ev.select(*cols).repartition(n, "session_id").sortWithinPartitions(
+        "session_id", "seq", "action", "product_id", "quantity")
     return srt.mapInPandas(lambda it: _fold_sessions(it, emit_lines),
                            _LINES_SCHEMA if emit_lines else _OUTCOME_SCHEMA)
 

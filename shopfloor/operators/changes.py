@@ -434,7 +434,7 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
     slow_ids = per.filter(F.col("_stock0") + F.col("_neg") < 0).select("product_id")
     slow_rows = known.join(slow_ids, "product_id", "left_semi")
     n = max(1, int(products.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    folded = (slow_rows.repartition(n, "product_id").sortWithinPartitions("product_id", "seq")
+    folded = (slow_rows.repartition(n, "product_id").sortWithinPartitions("product_id", "seq", "delta")
               .mapInPandas(_guarded_fold, _FOLD_SCHEMA))
     slow_final = folded.groupBy("product_id").agg(F.max_by("stock_after", "seq").alias("_new"),
                                                   F.bool_or("applied").alias("_touched"))
