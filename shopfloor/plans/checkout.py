@@ -6,12 +6,12 @@ priced lines feed four outputs, so they are checkpointed once to the
 shared checkpoint folder (reliable: a lost executor does not re-derive
 different ids).
 
-Stock semantics: each cart is validated against the stock snapshot the
-batch starts from (the reference checks each cart at its own checkout);
-the decrements are then applied with the reference's guard (never below
-zero) in checkout order, and every decrement the guard skipped is
-reported (N8: the reference stores such an order anyway, and so does
-this job -- ``report`` makes the oversell visible).
+Stock semantics: by default carts compete in checkout order, each
+validated against the stock left by the carts accepted before it, as when
+the reference checks each checkout against the live table.  The snapshot
+mode validates all carts against the starting stock instead; decrements
+then run with the reference's guard (never below zero) and every skipped
+decrement is reported (N8: the reference stores such an order anyway).
 """
 
 from __future__ import annotations
@@ -31,17 +31,17 @@ from ..session import checkpoint_dir
 def checkout(lines: DataFrame, requests: DataFrame, products: DataFrame, customer_orders: DataFrame,
              order_items: DataFrame, orders: DataFrame, as_of: str | None = None,
              exact_split: bool = False, reliable: bool = True,
-             mode: str = "snapshot") -> dict[str, DataFrame]:
+             mode: str = "sequential") -> dict[str, DataFrame]:
     """Turn cart lines + checkout requests into the store tables.
 
     ``lines``: (session_id, product_id, quantity), e.g. from
     :func:`shopfloor.operators.carts.fold_carts`.  ``requests``: the
     ``CHECKOUT_REQUESTS`` schema (one per session; ``seq`` orders them).
+    ``mode="sequential"`` (default, the reference's semantics) accepts
+    carts in checkout order only when all their lines fit the stock left
+    by earlier accepted carts (:func:`carts.sequential_acceptance`);
     ``mode="snapshot"`` validates every cart against the starting stock
-    and lets the guarded decrement catch oversell (reported);
-    ``mode="sequential"`` accepts carts in checkout order only when all
-    their lines fit the stock left by earlier accepted carts (exact
-    live-table semantics, :func:`carts.sequential_acceptance`).
+    in one pass and lets the guarded decrement catch oversell (reported).
     Returns ``customer_orders_new``, ``order_items_new``, ``products``
     (stock after), ``orders_new``, ``rejects`` and ``report``.
     """

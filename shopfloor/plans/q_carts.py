@@ -146,9 +146,10 @@ def q_p19(spark, d):
 
 
 def _checkout(spark, d, exact_split=False):
+    """Snapshot mode: the oracle below validates against starting stock."""
     return CK.checkout(_lines(spark, d), td.checkout_requests(spark, d), td.products(spark, d),
                        td.customer_orders(spark, d), td.order_items(spark, d), td.sales_orders(spark, d),
-                       as_of=AS_OF, exact_split=exact_split)
+                       as_of=AS_OF, exact_split=exact_split, mode="snapshot")
 
 
 @register("c4_customer_orders_new", CART_FOLD + _PRICED + _CHECKOUT + f"""
