@@ -127,8 +127,10 @@ def verify_import(source: DataFrame, target: DataFrame, key: str = "order_id",
     versa (``exceptAll``, so duplicates count too)."""
     cols = [c for c in source.columns if c in target.columns]
     s, t = source.select(*cols), target.select(*cols)
-    return {"counts": s.agg(F.count(F.lit(1)).alias("source_rows")).unionByName(
-                t.agg(F.count(F.lit(1)).alias("source_rows")), allowMissingColumns=True),
+    counts = (s.select(F.lit(1).alias("_s"), F.lit(None).cast("int").alias("_t"))
+              .unionByName(t.select(F.lit(None).cast("int").alias("_s"), F.lit(1).alias("_t")))
+              .agg(F.count("_s").alias("source_rows"), F.count("_t").alias("target_rows")))
+    return {"counts": counts,
             "sample": t.orderBy(key).limit(sample),
             "missing": s.exceptAll(t), "unexpected": t.exceptAll(s)}
 

@@ -48,6 +48,8 @@ def test_verify_import(spark, orders_small):
     assert [r.order_id for r in v["missing"].collect()] == [3]
     assert v["unexpected"].count() == 0
     assert v["sample"].count() == 5
+    c = v["counts"].first()
+    assert (c.source_rows, c.target_rows) == (10, 9)
 
 
 def test_jdbc_options():
