@@ -167,8 +167,11 @@ def write_versioned(outputs: dict[str, DataFrame], base: str, version: int | str
 
 
 def read_latest(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """The newest published version of one output."""
-    v = spark.read.json(os.path.join(base, "_manifests")).agg(F.max("version")).first()[0]
+    """The newest published version of one output (numeric versions compare
+    as numbers, others as text)."""
+    m = spark.read.json(os.path.join(base, "_manifests"))
+    order = F.struct(F.col("version").try_cast("long"), F.col("version"))
+    v = m.agg(F.max_by("version", order)).first()[0]
     return spark.read.format(fmt).load(os.path.join(base, name, f"version={v}"))
 
 

@@ -39,8 +39,9 @@ def test_json_array_import_last_wins(spark, orders_small, scratch):
 
 def test_versioned_publication(spark, orders_small, scratch):
     FS.write_versioned({"orders": orders_small}, scratch, 1)
-    FS.write_versioned({"orders": orders_small.limit(3)}, scratch, 2)
-    assert FS.read_latest(spark, scratch, "orders").count() == 3
+    FS.write_versioned({"orders": orders_small.limit(3)}, scratch, 9)
+    FS.write_versioned({"orders": orders_small.limit(2)}, scratch, 10)
+    assert FS.read_latest(spark, scratch, "orders").count() == 2      # 10 > 9, not "10" < "9"
 
 
 def test_verify_import(spark, orders_small):
