@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 from decimal import Decimal
 
@@ -105,3 +106,91 @@ def test_stock_deltas_match_sequential(spark, ds):
     got = {r.product_id: r.stock_quantity for r in res["target"].collect()}
     assert got == _seq_fold(stock0, deltas)
     assert min(got.values()) >= 0
+
+
+def _simulate(rows0, cmds, as_of_date="2024-06-01"):
+    """Sequential reference model: one command at a time against a dict.
+    New ids continue after the largest id of the starting table (a deleted
+    max id is not reused within a batch)."""
+    table = {r[0]: list(r[1:]) for r in rows0}
+    fields = S.ORDER_FIELDS
+    next_id = max(table) if table else 0
+    for seq, action, data in sorted(cmds):
+        if action == "create_order":
+            if not all(k in data for k in CH.CREATE_REQUIRED):
+                continue
+            next_id += 1
+            row = []
+            for f in fields:
+                if f == "order_date":
+                    row.append(data.get(f) or as_of_date)
+                elif f in data:
+                    row.append(data[f])
+                else:
+                    row.append(CH.CREATE_DEFAULTS.get(f))
+            table[next_id] = row
+        elif action in ("update_order", "delete_order"):
+            oid = int(data.get("order_id") or 0)
+            if oid == 0 or oid not in table:
+                continue
+            if action == "delete_order":
+                del table[oid]
+            else:
+                for i, f in enumerate(fields):
+                    if f in data:
+                        table[oid][i] = data[f]
+    return table
+
+
+def _norm_row(r):
+    out = []
+    for f, v in zip(S.ORDER_FIELDS, r):
+        if v is None:
+            out.append(None)
+        elif f in ("subtotal_amount", "shipping_cost", "tax_rate"):
+            out.append(Decimal(str(v)).quantize(Decimal("0.01") if f != "tax_rate" else Decimal("0.0001")))
+        elif f == "quantity":
+            out.append(int(v))
+        else:
+            out.append(str(v))
+    return tuple(out)
+
+
+cmd_strategy = st.lists(st.tuples(
+    st.sampled_from(["create_order", "update_order", "update_order", "delete_order", "bogus"]),
+    st.integers(0, 6),                                  # target id (0 = missing)
+    st.sampled_from(["status", "quantity", "shipping_cost", "customer_name"]),
+    st.sampled_from(["shipped", "7", None, "3.5"]),
+    st.booleans()), min_size=1, max_size=25)
+
+
+@settings(max_examples=10, deadline=None)
+@given(cmd_strategy)
+def test_command_fold_matches_sequential_model(spark, spec):
+    base = [(1, "pending", "A", "2020-01-01", 1, "1.00", "0.0000", "1.00", "c", "s"),
+            (2, "shipped", "B", "2020-01-02", 2, "2.00", "0.0000", "2.00", "c", "s"),
+            (3, "pending", "C", "2020-01-03", 3, "3.00", "0.0000", "3.00", "c", "s")]
+    cmds = []
+    for seq, (action, oid, field, value, full) in enumerate(spec):
+        if action == "create_order":
+            data = {"customer_name": "N", "quantity": "1", "subtotal_amount": "5.00",
+                    "category": "x", "subcategory": "y"}
+            if not full:
+                data.pop("quantity")
+        else:
+            data = {"order_id": str(oid)} if oid else {}
+            if action == "update_order":
+                v = value
+                if field == "quantity" and v not in (None, "7"):
+                    v = "7"
+                if field == "shipping_cost" and v in ("shipped",):
+                    v = "3.5"
+                data[field] = v
+        cmds.append((seq, action, data))
+    target = spark.createDataFrame(
+        [(i, st_, c, dt.date.fromisoformat(d), q, Decimal(s), Decimal(t), Decimal(sh), cat, sub)
+         for i, st_, c, d, q, s, t, sh, cat, sub in base], S.ORDERS)
+    out = CH.apply_order_commands(target, _cmds(spark, cmds), as_of=AS_OF)["target"]
+    got = {r.order_id: _norm_row([r[f] for f in S.ORDER_FIELDS]) for r in out.collect()}
+    model = _simulate([(r[0], *r[1:]) for r in base], cmds)
+    assert got == {k: _norm_row(v) for k, v in model.items()}
