@@ -105,7 +105,10 @@ def main(argv):
     pats = [a for a in argv[1:] if not a.startswith("/")]
     from shopfloor.session import build_session
     import __spark_entry__ as E
-    extra = {"spark.sql.session.timeZone": os.environ["ORACLE_TZ"]} if os.environ.get("ORACLE_TZ") else None
+    extra = {"spark.sql.session.timeZone": os.environ["ORACLE_TZ"]} if os.environ.get("ORACLE_TZ") else {}
+    for kv in filter(None, os.environ.get("ORACLE_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        extra[k] = v
     spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
