@@ -161,19 +161,24 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``order_items`` from ``lineitem`` priced from the catalog.
 
     ``(l_orderkey, l_linenumber)`` is not unique in the test data, so the
-    item id is derived from the order key and the line's position among
-    all its lines ordered by every column (equal rows are interchangeable).
+    item id is the line's rank in a global order over all its columns
+    (dense ids: range sort + per-partition offsets, no window per order,
+    so a huge order is spread over many tasks; equal rows are
+    interchangeable, which makes the ids reproducible without a
+    checkpoint).
     """
-    from pyspark.sql import Window
+    from ..operators.ids import dense_ids
     li = read_table(spark, sf_dir, "lineitem")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
-                                                 "l_quantity", "l_extendedprice", "l_shipdate")
+    ranked = dense_ids(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                 "l_extendedprice", "l_shipdate"),
+                       ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                        "l_extendedprice", "l_shipdate"], "order_item_id", base=0, reliable=False)
     price = F.col("p_retailprice").cast(MONEY)
     qty = F.col("l_quantity").cast("int")
-    return (li.join(p, li.l_partkey == p.p_partkey, "left")
+    return (ranked.join(p, ranked.l_partkey == p.p_partkey, "left")
             .select(
-                (F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("order_item_id"),
+                "order_item_id",
                 F.col("l_orderkey").alias("customer_order_id"),
                 F.col("l_partkey").alias("product_id"),
                 F.col("p_name").alias("product_name"),
@@ -184,8 +189,8 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_ITEMS_SQL = """
-SELECT l_orderkey * 1000 + ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
-         l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS order_item_id,
+SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+                                   l_extendedprice, l_shipdate) AS order_item_id,
        l_orderkey AS customer_order_id, l_partkey AS product_id, p_name AS product_name,
        CAST(p_retailprice AS DECIMAL(18,2)) AS product_price, CAST(l_quantity AS INT) AS quantity,
        CAST(CAST(p_retailprice AS DECIMAL(18,2)) * CAST(l_quantity AS INT) AS DECIMAL(18,2)) AS subtotal,
