@@ -1,5 +1,7 @@
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,3 +96,21 @@ def test_sequential_checkout_matches_live_stock(spark, carts):
                                    for p, s in stock.items()], S.PRODUCTS)
     got = {r.session_id: r.accepted for r in K.sequential_acceptance(lines, req, prods).collect()}
     assert got == brute_force_checkout(cs, stock)
+
+
+def test_checkout_totals_equal_items(spark, products_seed):
+    from shopfloor.plans import checkout as CK
+    lines = K.fold_carts(_events(spark), products_seed)
+    req = spark.createDataFrame(
+        [(s, i, "Ann Smith", "ann@example.com", None, "1 Main Street", "Springfield", None, "12345", None,
+          None, "simulated") for i, s in enumerate(["a", "b", "c", "d", "e"])], S.CHECKOUT_REQUESTS)
+    empty_co = spark.createDataFrame([], S.CUSTOMER_ORDERS)
+    empty_items = spark.createDataFrame([], S.ORDER_ITEMS)
+    empty_orders = spark.createDataFrame([], S.ORDERS)
+    out = CK.checkout(lines, req, products_seed, empty_co, empty_items, empty_orders, as_of="2024-06-01 00:00:00")
+    heads = {r.customer_order_id: r for r in out["customer_orders_new"].collect()}
+    items = out["order_items_new"].groupBy("customer_order_id").agg(F.sum("subtotal").alias("s")).collect()
+    assert {r.customer_order_id: r.s for r in items} == {k: v.subtotal_amount for k, v in heads.items()}
+    assert sorted(heads) == [1, 2, 3]                                  # a, b, e; c empty, d has no lines
+    assert {r.session_id: r.reason for r in out["rejects"].collect()} == {"c": "Cart is empty", "d": "Cart is empty"}
+    assert sorted(r.order_id for r in out["orders_new"].collect()) == [1, 2, 3, 4, 5]

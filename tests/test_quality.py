@@ -83,3 +83,12 @@ def test_guide_counts(spark):
     assert Q.duplicate_report(df).first().duplicates_found == 2
     assert Q.incomplete_report(df).first().cleaned_records == 0
     assert Q.validation_report(df).first().warnings == 15455
+
+
+def test_mark_and_drop_add_up(spark):
+    from shopfloor.sources import testdata as td
+    df = td.sales_orders_dirty(spark, "/root/testdata/sf0.001")
+    marked = Q.mark_duplicates(df)
+    n, dups = df.count(), marked.filter("is_duplicate").count()
+    assert Q.drop_duplicates_keep_first(df).count() == n - dups
+    assert Q.duplicate_report(df).first().duplicates_found == dups > 0
