@@ -89,45 +89,73 @@ def checkout(lines: DataFrame, requests: DataFrame, products: DataFrame, custome
         payment_status(F.coalesce("payment_method", F.lit("simulated"))).alias("payment_status"),
         ts.alias("order_date"), "notes", "session_id")
 
-    # accepted priced lines, used by C5, C6 and C7: materialise once
-    acc_lines = (priced.join(heads.select("session_id", "seq", "customer_order_id", "customer_name",
-                                          "tax_rate", "shipping_cost", "line_count"), "session_id"))
-    acc_lines = K.shipping_shares(acc_lines.drop("shipping_cost", "line_count"),
-                                  totals.join(heads.select("session_id"), "session_id"),
-                                  exact_split=exact_split)
-    if reliable:
-        checkpoint_dir(lines.sparkSession)
-        acc_lines = acc_lines.checkpoint(eager=True)
-
-    # Order items
-    items = dense_ids(acc_lines.select("customer_order_id", "product_id", "product_name", "product_price",
-                                       "quantity", "subtotal"),
-                      ["customer_order_id", "product_id"], "order_item_id",
-                      base=next_id(order_items, "order_item_id"), reliable=reliable)
-    items_new = items.select("order_item_id", "customer_order_id", "product_id", "product_name",
-                             "product_price", F.col("quantity").cast("int").alias("quantity"),
-                             "subtotal", ts.alias("created_at"))
-
-    # Guarded decrement in checkout order
-    deltas = acc_lines.select("product_id", (F.col("seq") * F.lit(1 << 20)).alias("seq"),
-                              (-F.col("quantity")).alias("delta"))
-    stock = apply_stock_deltas(products, deltas, as_of=as_of)
-
-    # One orders row per line
-    orows = dense_ids(acc_lines.select("seq", "product_id", "customer_name", "quantity", "subtotal",
-                                       "tax_rate", "shipping_share", "product_name"),
-                      ["seq", "product_id"], "order_id", base=next_id(orders, "order_id"), reliable=reliable)
-    orders_new = orows.select(
-        "order_id", F.lit(S.STORE_ORDER_STATUS).alias("status"), "customer_name",
-        as_of_date(as_of).alias("order_date"), F.col("quantity").cast("int").alias("quantity"),
-        F.col("subtotal").alias("subtotal_amount"), F.col("tax_rate").cast(S.RATE).alias("tax_rate"),
-        F.col("shipping_share").alias("shipping_cost"), F.lit(S.STORE_ORDER_CATEGORY).alias("category"),
-        F.col("product_name").alias("subcategory"))
-
-    report = (co_new.agg(F.lit("orders_created").alias("metric"), F.count(F.lit(1)).alias("value"))
-              .unionByName(rejects.agg(F.lit("checkouts_rejected").alias("metric"),
-                                       F.count(F.lit(1)).alias("value")))
-              .unionByName(stock["decisions"].agg(F.lit("decrements_skipped").alias("metric"),
-                                                  F.count_if(~F.col("applied")).alias("value"))))
-    return {"customer_orders_new": co_new, "order_items_new": items_new, "products": stock["target"],
-            "orders_new": orders_new, "rejects": rejects, "report": report}
+    # Everything below is built on first access: asking only for the
+    # customer orders does not materialise the lines or assign item ids.
+    def acc_lines():
+        al = (priced.join(heads.select("session_id", "seq", "customer_order_id", "customer_name",
+                                       "tax_rate", "shipping_cost", "line_count"), "session_id"))
+        al = K.shipping_shares(al.drop("shipping_cost", "line_count"),
+                               totals.join(heads.select("session_id"), "session_id"),
+                               exact_split=exact_split)
+        if reliable:          # used by C5, C6 and C7: materialise once
+            checkpoint_dir(lines.sparkSession)
+            al = al.checkpoint(eager=True)
+        return al
+
+    def items_new(o):
+        items = dense_ids(o["_acc_lines"].select("customer_order_id", "product_id", "product_name",
+                                                 "product_price", "quantity", "subtotal"),
+                          ["customer_order_id", "product_id"], "order_item_id",
+                          base=next_id(order_items, "order_item_id"), reliable=reliable)
+        return items.select("order_item_id", "customer_order_id", "product_id", "product_name",
+                            "product_price", F.col("quantity").cast("int").alias("quantity"),
+                            "subtotal", ts.alias("created_at"))
+
+    def stock(o):           # C6: guarded decrement in checkout order
+        deltas = o["_acc_lines"].select("product_id", (F.col("seq") * F.lit(1 << 20)).alias("seq"),
+                                        (-F.col("quantity")).alias("delta"))
+        return apply_stock_deltas(products, deltas, as_of=as_of)
+
+    def orders_new(o):      # C7: one orders row per line
+        orows = dense_ids(o["_acc_lines"].select("seq", "product_id", "customer_name", "quantity", "subtotal",
+                                                 "tax_rate", "shipping_share", "product_name"),
+                          ["seq", "product_id"], "order_id", base=next_id(orders, "order_id"),
+                          reliable=reliable)
+        return orows.select(
+            "order_id", F.lit(S.STORE_ORDER_STATUS).alias("status"), "customer_name",
+            as_of_date(as_of).alias("order_date"), F.col("quantity").cast("int").alias("quantity"),
+            F.col("subtotal").alias("subtotal_amount"), F.col("tax_rate").cast(S.RATE).alias("tax_rate"),
+            F.col("shipping_share").alias("shipping_cost"), F.lit(S.STORE_ORDER_CATEGORY).alias("category"),
+            F.col("product_name").alias("subcategory"))
+
+    def report(o):
+        return (co_new.agg(F.lit("orders_created").alias("metric"), F.count(F.lit(1)).alias("value"))
+                .unionByName(rejects.agg(F.lit("checkouts_rejected").alias("metric"),
+                                         F.count(F.lit(1)).alias("value")))
+                .unionByName(o["_stock"]["decisions"].agg(F.lit("decrements_skipped").alias("metric"),
+                                                          F.count_if(~F.col("applied")).alias("value"))))
+
+    return LazyOutputs(
+        {"customer_orders_new": co_new, "rejects": rejects},
+        {"_acc_lines": lambda o: acc_lines(), "order_items_new": items_new, "_stock": stock,
+         "products": lambda o: o["_stock"]["target"], "orders_new": orders_new, "report": report})
+
+
+class LazyOutputs(dict):
+    """A dict of job outputs whose expensive members are built on first
+    access (and once).  Keys starting with ``_`` are shared internals."""
+
+    def __init__(self, ready: dict, builders: dict):
+        super().__init__(ready)
+        self._builders = builders
+
+    def __getitem__(self, key):
+        if not dict.__contains__(self, key) and key in self._builders:
+            dict.__setitem__(self, key, self._builders[key](self))
+        return dict.__getitem__(self, key)
+
+    def __contains__(self, key):
+        return dict.__contains__(self, key) or key in self._builders
+
+    def keys(self):
+        return [k for k in list(dict.keys(self)) + list(self._builders) if not k.startswith("_")]
