@@ -117,9 +117,12 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
 
     # -- creates: fresh ids in seq order (W4), defaults (D2) -----------------
     creates = ok.filter(is_create)
-    created = dense_ids(creates.select("seq", "data", "payload"), ["seq"], "order_id",
+    # The parsed batch is already checkpointed (when reliable_ids): ordering
+    # its creates by (seq, payload) is a total order over a stable input,
+    # so the ids are reproducible without a second checkpoint.
+    created = dense_ids(creates.select("seq", "data", "payload"), ["seq", "payload"], "order_id",
                         base=next_base if next_base is not None else next_id(target, "order_id"),
-                        reliable=reliable_ids)
+                        reliable=False)
     d = F.col("data")
 
     def create_value(f):
