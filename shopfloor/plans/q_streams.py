@@ -168,7 +168,13 @@ def _cart_actions_stream(spark, d):
         F.col("ts")))
 
 
-@register("r8_cart_state_stream", CART_FOLD + "SELECT session_id, product_id, CAST(quantity AS BIGINT) AS quantity FROM lines")
+@register("r8_cart_state_stream", CART_FOLD + """
+, last_ts AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, MAX(ts) AS ts FROM events
+              WHERE event_type <> 'view' GROUP BY user_id),
+wm AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS w FROM events WHERE event_type <> 'view')
+SELECT l.session_id, l.product_id, CAST(l.quantity AS BIGINT) AS quantity
+FROM lines l JOIN last_ts t ON t.session_id = l.session_id
+WHERE t.ts + INTERVAL 7 DAY >= (SELECT w FROM wm)     -- carts idle 7 days by the end expire""")
 def q_r8(spark, d):
     """Cart lines as left by the stateful stream: for each session the rows
     of the last trigger that emitted it, unless that emission is the
