@@ -18,8 +18,11 @@ SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()          # final AQE plan
-    return df._jdf.queryExecution().executedPlan().toString()
+    """AQE's final plan: run the DataFrame's own query (test data is small)."""
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in p
+    return p.split("== Initial Plan ==")[0]
 
 
 def formatted(df) -> str:
@@ -68,3 +71,38 @@ def test_dense_ids_range_sorted_no_row_window(spark):
     assert "rangepartitioning" in p
     # the only single-partition step is the running sum over per-partition counts
     assert p.count("SinglePartition") <= 1 and "BroadcastNestedLoopJoin" not in p
+
+
+def test_hot_duplicate_key_is_split_by_aqe(spark):
+    """One duplicate key holds a third of the rows: with broadcasts off, the
+    join back of mark_duplicates is a sort-merge join and AQE splits the
+    skewed partition (results stay exact)."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 30000
+        hot = F.col("id") % 3 == 0
+        df = spark.range(n).select(
+            F.col("id").alias("order_id"),
+            F.when(hot, F.lit("HOT")).otherwise(F.concat(F.lit("c"), (F.col("id") % 5000).cast("string")))
+             .alias("customer_name"),
+            F.lit(None).cast("date").alias("order_date"), F.lit("x").alias("category"),
+            F.lit(1).alias("quantity"), F.lit(1).cast("decimal(18,2)").alias("subtotal_amount"))
+        marked = Q.mark_duplicates(df)
+        p = plan(marked)
+        assert "SortMergeJoin(skew=true)" in p and "AQEShuffleRead skewed" in p
+        dups = marked.filter("is_duplicate").count()
+        assert dups == n - marked.select("customer_name").distinct().count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
