@@ -12,7 +12,6 @@ from ..sources import testdata as td
 from .registered import CO, ITEMS, PROD, SO, oracle, register
 
 PROD_DOUBLES = ("price",)
-ITEM_DOUBLES = ("product_price", "subtotal")
 
 
 def _products(spark, d):

@@ -66,6 +66,3 @@ SOD = f"WITH so AS ({td.SALES_ORDERS_DIRTY_SQL})\n"
 PROD = f"WITH products AS ({td.PRODUCTS_SQL})\n"
 ITEMS = f"order_items AS ({td.ORDER_ITEMS_SQL})"
 CO = f"customer_orders AS ({td.CUSTOMER_ORDERS_SQL})"
-CARTEV = f"cart_events AS ({td.CART_EVENTS_SQL})"
-ORDER_COLS = ("order_id, status, customer_name, order_date, quantity, subtotal_amount, "
-              "tax_rate, shipping_cost, category, subcategory")

@@ -112,3 +112,16 @@ def test_changelog_layout_matches_batch(spark, orders_small, scratch):
     assert rows_of(view) == rows_of(expect)
     log = spark.read.parquet(os.path.join(state, "changelog"))
     assert log.count() <= 6                      # only touched rows are written
+
+
+def test_compact_changelog(spark, orders_small, scratch):
+    queue, state = os.path.join(scratch, "queue"), os.path.join(scratch, "state")
+    _write_cmds(spark, os.path.join(queue, "p0"), [(1, "delete_order", {"order_id": "1"}),
+                                                   (2, "update_order", {"order_id": "2", "status": "x"})])
+    src = spark.readStream.schema("seq long, action string, data string").json(os.path.join(queue, "*"))
+    J.start_command_stream(spark, src, state, orders_small, as_of=AS_OF, trigger={"availableNow": True},
+                           layout="changelog").awaitTermination()
+    out = os.path.join(scratch, "snapshot2")
+    J.compact_changelog(spark, state, orders_small, out)
+    snap = spark.read.parquet(out)
+    assert snap.count() == 9 and snap.filter("order_id = 2").first().status == "x"
