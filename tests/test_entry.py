@@ -27,7 +27,8 @@ def test_registry_consistent():
 # A quick representative oracle sweep; SHOPFLOOR_FULL_ORACLE=1 runs all.
 QUICK = ["a5_category_summary", "a8_bi_summary", "w1_mark_duplicates", "a19_incomplete_report",
          "m1_report", "w4_dense_ids", "d9_stock_deltas", "r2_commands_target", "c1_cart_lines",
-         "c4_customer_orders_new", "r7_daily_summary_stream", "s7_csv_import_upsert"]
+         "c4_customer_orders_new", "r7_daily_summary_stream", "s7_csv_import_upsert",
+         "r2_changelog_stream_view", "r8_cart_state_stream", "c3_sequential_acceptance"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("SHOPFLOOR_FULL_ORACLE") else QUICK
 
 
