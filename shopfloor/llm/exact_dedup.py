@@ -1,8 +1,8 @@
 """Exact deduplication by content sort (operator 6).
 
 Texts are normalised (white space deleted) and range-partitioned by their
-bytes with sampled splitters; Spark's external sort places equal texts
-next to each other.  Each task then compares every text with its
+first bytes and a hash, with sampled splitters; Spark's external sort
+places equal texts next to each other.  Each task then compares every text with its
 neighbour, whole text against whole text, and numbers the runs of equal
 ones.  The sort key ends with the order of preference and the id, so a
 group of copies of any size spreads over as many tasks as it needs; a run
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import ids_text, offsets, written
 
 WHITE = " \t\n\x0b\x0c\r"
+HEAD = 48                             # code points of a text that splitters look at
 TASK_ROWS_BROADCAST = 1_000_000       # tasks up to which their offsets are broadcast
 
 
@@ -38,9 +39,13 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
     rows = docs.select(ids_text()).select(
         "doc_id", F.translate(F.coalesce("text", F.lit("")), WHITE, "").alias("norm"),
         F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"))
-    # the same expressions for the splitters and for the sort in each task
-    order = [F.col("norm"), F.col("n_points").desc(), F.col("doc_id").asc_nulls_last()]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Splitters are drawn from short keys, so that the sample stays small however long texts
+    # are: the first bytes, then 128 bits of hash where these are equal.
+    rows = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("h1", F.xxhash64("norm")) \
+        .withColumn("h2", F.xxhash64(F.lit("content"), "norm"))
+    last = [F.col("n_points").desc(), F.col("doc_id").asc_nulls_last()]
+    placed = rows.repartitionByRange("head", "h1", "h2", *last).sortWithinPartitions("head", "h1", "h2", "norm", *last) \
+        .select("norm", "n_points", "doc_id")
 
     def scan(batches):
         import pyarrow as pa
