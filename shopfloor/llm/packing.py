@@ -1,9 +1,9 @@
 """Packing by non-negative least squares (operator 9).
 
 Every text's ids with an end id are cut into full windows and a rest.
-Lengths count in units of ``quantum`` ids, rounded up.  All combinations
-of at most three lengths that fill a window exactly are the columns of a
-matrix, the number of pieces of each length its right-hand side.
+Lengths count in units of ``quantum`` ids, rounded up.  Shallow
+combinations that fill a window exactly (up to three pieces, or one
+length several times with one more piece) are the columns of a matrix, the number of pieces of each length its right-hand side.
 Non-negative least squares gives the repeat counts, which are rounded
 down; the pieces that no combination takes are laid end to end and cut
 where a window ends.  The very last window is split at powers of two, so
@@ -33,12 +33,17 @@ from .tokens import token_pieces
 BROADCAST_ROWS = 1_000_000      # (task, length) rows up to which their offsets are broadcast
 
 
-def combinations(units: int) -> np.ndarray:
-    """Rows of three lengths (0: none) in falling order that add up to ``units``."""
-    out = [(units, 0, 0)]
-    out += [(units - b, b, 0) for b in range(1, units // 2 + 1)]
-    out += [(units - b - c, b, c) for c in range(1, units // 3 + 1) for b in range(c, (units - c) // 2 + 1)]
-    return np.array(out)
+def combinations(units: int) -> list[tuple[tuple[int, int], ...]]:
+    """Combinations ((length, times), ...) of few different lengths that add up to ``units``:
+    up to three pieces, or one length several times with one more piece."""
+    triples = [(units - b - c, b, c) for b in range(units // 2 + 1) for c in range(min(b, units - 2 * b) + 1)
+               if units - b - c >= b]
+    out = [tuple((x, t.count(x)) for x in dict.fromkeys(t) if x) for t in triples]
+    for c in range(1, units // 3 + 1):
+        for m in range(3, units // c + 1):
+            rest = units - m * c
+            out.append(((c, m + (rest == c)),) if rest in (0, c) else ((c, m), (rest, 1)))
+    return list(dict.fromkeys(tuple(sorted(c, reverse=True)) for c in out))
 
 
 def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -78,24 +83,21 @@ def plan(histogram: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]
     if left[units]:
         out.append(((units,), int(left[units])))
         left[units] = 0
-    combos = combinations(units)[1:]
-    have = np.append(left > 0, True)
-    have[0] = True
-    combos = combos[have[combos].all(1)]
-    if not len(combos):
+    combos = [c for c in combinations(units) if all(left[x] >= m for x, m in c)]
+    if not combos:
         return out
     matrix = np.zeros((units + 1, len(combos)))
-    for k in range(3):
-        np.add.at(matrix, (combos[:, k], np.arange(len(combos))), 1.0)
-    matrix[0] = 0
-    x = nnls(matrix, left.astype(float))
+    for j, c in enumerate(combos):
+        for x, m in c:
+            matrix[x, j] = m
+    # lengths weigh by their size: what counts is ids, not pieces
+    weight = np.sqrt(np.arange(units + 1.0))[:, None]
+    x = nnls(matrix * weight, left * weight[:, 0])
     for j in np.argsort(-x, kind="stable"):
-        lengths = tuple(int(c) for c in combos[j] if c)
-        times = {c: lengths.count(c) for c in lengths}
-        n = min(int(x[j] + 1e-6), *(int(left[c]) // m for c, m in times.items()))
+        n = min(int(x[j] + 1e-6), *(int(left[c]) // m for c, m in combos[j]), 1 << 62)
         if n > 0:
-            out.append((lengths, n))
-            for c, m in times.items():
+            out.append((tuple(c for c, m in combos[j] for _ in range(m)), n))
+            for c, m in combos[j]:
                 left[c] -= m * n
     return out
 
