@@ -92,7 +92,7 @@ def statistics(texts: list[str]) -> np.ndarray:
 STATS = "_stats"
 
 
-def with_statistics(rows: DataFrame, batch_chars: int = 1 << 22) -> DataFrame:
+def with_statistics(rows: DataFrame, batch_chars: int = 1 << 20) -> DataFrame:
     """``rows`` with the array ``_stats`` of the statistics of ``text`` (null: empty)."""
     kinds = T.StructType([*rows.schema.fields, T.StructField(STATS, T.ArrayType(T.DoubleType()))])
 

@@ -19,7 +19,7 @@ from .runs import Powers, hashes
 from .vocab import _L, _N, _S, NOT_LATIN, Vocabulary, vocabulary
 
 WORD_TABLE = 1_000_000          # words kept per Python worker (about 60 bytes each)
-BATCH_CHARS = 1 << 22           # code points handled at once (a longer text alone)
+BATCH_CHARS = 1 << 20           # code points handled at once (a longer text alone)
 
 NONE = 1 << 62
 _APOSTROPHE = ord("'")
