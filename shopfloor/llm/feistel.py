@@ -55,9 +55,9 @@ def permuted(numbers: np.ndarray, total: int, key: int, backward: bool = False)
 
 
 def sequences(docs: DataFrame, vocab_path: str, seq_len: int = 1024, end_id: int = 2, key: int = 7,
-              per_shard: int = 4096) -> tuple[DataFrame, int]:
+              per_shard: int = 4096, dtype: str = "<u2") -> tuple[DataFrame, int]:
     """(doc_id, seq_no, n_tokens, ids, ids_crc32, slot, shard) of every sequence, and
-    how many there are."""
+    how many there are.  ``ids`` are bytes of ``dtype``; the checksum is of 32-bit ids."""
     pieces = token_pieces(docs, vocab_path, seq_len, end_id, seq_len)
     # one length class for the count: a part's rows in the order it made them
     counts = pieces.groupBy("part", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -71,7 +71,8 @@ def sequences(docs: DataFrame, vocab_path: str, seq_len: int = 1024, end_id: int
         import pyarrow as pa
         for b in batches:
             slot = permuted(b.column("number").to_numpy(), total, key) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column("doc_id"), b.column("seq_no"), b.column("length"), b.column("ids"),
+            ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in b.column("ids").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("seq_no"), b.column("length"), pa.array(ids, pa.binary()),
                                    b.column("ids_crc32"), pa.array(slot, pa.int64())], names=names)
 
     out = numbered.select("doc_id", (F.col("start") / seq_len).cast("long").alias("seq_no"), "length", "ids", "ids_crc32",
@@ -118,7 +119,7 @@ def shard_blocks(seqs: DataFrame, total: int, seq_len: int = 1024, per_shard: in
                     state["rows"] = []
                 state["b"] = k
                 record = np.full(seq_len, pad_id, dtype)
-                got = np.frombuffer(ids.as_py(), "<u4")
+                got = np.frombuffer(ids.as_py(), dtype)
                 record[:len(got)] = got
                 state["rows"].append(record.tobytes())
         if state["rows"]:
