@@ -45,6 +45,24 @@ def rows_of(batches, columns):
         yield from zip(*(b.column(c).to_pylist() for c in columns))
 
 
+BATCH_CHARS = 1 << 20           # bytes of text handled at once (a longer text alone)
+
+
+def text_slices(batches, most: int = BATCH_CHARS):
+    """Slices of Arrow batches with about ``most`` bytes of text, and their texts (null: empty)."""
+    import numpy as np
+    import pyarrow.compute as pc
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, n = 0, b.num_rows
+        while at < n:
+            start = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, start + most, side="right")))
+            part = b.slice(at, end - at)
+            yield part, [t or "" for t in part.column("text").to_pylist()]
+            at = end
+
+
 def ids_text(doc_id: str = "doc_id", text: str = "text"):
     """The two columns an operator reads, under its own names; extra columns
     of the input, whatever they are called, go no further."""

@@ -33,10 +33,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_text, written
+from .common import ids_text, text_slices, written
 from .components import components
 from .shingles import DEPTH, TREES, labels, set_hashes, shingle_sets, signatures
-from .tokens import BATCH_CHARS
 
 SIGNATURE = TREES * DEPTH
 AGREE = 33                      # of SIGNATURE values, below which a pair isn't confirmed
@@ -44,20 +43,6 @@ BLOCK = 384
 BROADCAST_IDS = 1_000_000       # ids up to which they are broadcast
 
 
-def _texts(batches, most=BATCH_CHARS):
-    """Slices of Arrow batches of about ``most`` code points, with their texts."""
-    for b in batches:
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= most):
-                size += len(texts[end])
-                end += 1
-            yield b.slice(at, end - at), texts[at:end]
-            at = end
-
-
 def _binary(matrix):
     import pyarrow as pa
     width = matrix.shape[1] * matrix.itemsize
@@ -70,7 +55,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        for b, texts in _texts(batches):
+        for b, texts in text_slices(batches):
             h, edges = shingle_sets(texts, width)
             sig = signatures(h, edges)
             one, two = set_hashes(h, edges)
@@ -222,7 +207,7 @@ def _links(docs: DataFrame, promising: DataFrame, width: int) -> DataFrame:
 
     def members(batches):
         import pyarrow as pa
-        for b, part in _texts(batches):
+        for b, part in text_slices(batches):
             h, edges = shingle_sets(part, width)
             yield pa.record_batch([b.column("doc_id"), pa.array([h[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:])],
                                                                 pa.binary())], names=["rep", "members"])

@@ -30,7 +30,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_before, ids_text, rest_of, written
+from .common import as_before, ids_text, rest_of, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -146,10 +146,9 @@ def found(docs: DataFrame) -> DataFrame:
         span = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
         near = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("seed", pa.bool_()),
                                    ("i", pa.string()), ("p", pa.list_(pa.string()))]))
-        for b in batches:
+        for b, texts in text_slices(batches):
             bases, nears = [], []
-            for t in b.column("text").to_pylist():
-                t = t or ""
+            for t in texts:
                 base = base_spans(t)
                 more = candidates(t, base)
                 bases.append([{"s": s, "k": k, "e": e} for s, k, e in base])
@@ -221,10 +220,10 @@ def redacted(docs: DataFrame, **bounds) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b, texts in text_slices(batches):
             out = []
-            for t, more in zip(b.column("text").to_pylist(), b.column("added").to_pylist()):
-                if t is None:
+            for t, there, more in zip(texts, b.column("text").is_valid().to_pylist(), b.column("added").to_pylist()):
+                if not there:
                     out.append(None)
                     continue
                 parts, at = [], 0

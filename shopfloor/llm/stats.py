@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import process_cache
+from .common import process_cache, text_slices
 from .runs import Powers, hashes
 
 NAMES = ["log_chars", "log_words", "mean_word", "max_word", "upper", "digit", "stops", "marks", "bangs", "bars", "signs",
@@ -92,24 +92,14 @@ def statistics(texts: list[str]) -> np.ndarray:
 STATS = "_stats"
 
 
-def with_statistics(rows: DataFrame, batch_chars: int = 1 << 20) -> DataFrame:
+def with_statistics(rows: DataFrame) -> DataFrame:
     """``rows`` with the array ``_stats`` of the statistics of ``text`` (null: empty)."""
     kinds = T.StructType([*rows.schema.fields, T.StructField(STATS, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         import pyarrow as pa
-        for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= batch_chars):
-                    size += len(texts[end])
-                    end += 1
-                got = statistics(texts[at:end])
-                yield pa.record_batch([*(c[at:end] for c in b.columns),
-                                       pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), len(NAMES)).cast(
-                                           pa.list_(pa.float64()))], names=[*b.schema.names, STATS])
-                at = end
+        for b, texts in text_slices(batches):
+            got = pa.FixedSizeListArray.from_arrays(pa.array(statistics(texts).ravel()), len(NAMES))
+            yield pa.record_batch([*b.columns, got.cast(pa.list_(pa.float64()))], names=[*b.schema.names, STATS])
 
     return rows.mapInArrow(run, kinds)

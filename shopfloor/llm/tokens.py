@@ -14,12 +14,11 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import ids_text, process_cache, written
+from .common import ids_text, process_cache, text_slices, written
 from .runs import Powers, hashes
 from .vocab import _L, _N, _S, NOT_LATIN, Vocabulary, vocabulary
 
 WORD_TABLE = 1_000_000          # words kept per Python worker (about 60 bytes each)
-BATCH_CHARS = 1 << 20           # code points handled at once (a longer text alone)
 
 NONE = 1 << 62
 _APOSTROPHE = ord("'")
@@ -212,19 +211,10 @@ def fast_ids(path: str) -> FastIds:
     return process_cache(f"fast ids {path}", lambda: FastIds(vocabulary(path)))
 
 
-def batches_of_texts(batches, most: int = BATCH_CHARS):
-    """Lists of (doc_id, text) of about ``most`` code points; null counts as empty."""
-    got, n = [], 0
-    for b in batches:
-        for i in range(b.num_rows):
-            t = b.column("text")[i].as_py() or ""
-            got.append((b.column("doc_id")[i].as_py(), t))
-            n += len(t)
-            if n >= most:
-                yield got
-                got, n = [], 0
-    if got:
-        yield got
+def batches_of_texts(batches):
+    """Lists of (doc_id, text) of bounded size; null counts as empty."""
+    for b, texts in text_slices(batches):
+        yield list(zip(b.column("doc_id").to_pylist(), texts))
 
 
 PIECES = ("part int, doc_id long, start long, length int, doc_tokens long, class int, pos long, before long, "
