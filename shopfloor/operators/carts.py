@@ -277,8 +277,7 @@ def shipping_shares(lines: DataFrame, totals: DataFrame, exact_split: bool = Fal
 # C3, sequential: carts compete for stock in checkout order
 # ---------------------------------------------------------------------------
 
-def sequential_acceptance(lines: DataFrame, requests: DataFrame, products: DataFrame,
-                          max_rounds: int | None = None) -> DataFrame:
+def sequential_acceptance(lines: DataFrame, requests: DataFrame, products: DataFrame) -> DataFrame:
     """Exact checkout-order semantics: cart k is accepted iff every line
     fits the stock left after the carts accepted before it (as when each
     checkout is validated against the live table).
@@ -308,13 +307,9 @@ def sequential_acceptance(lines: DataFrame, requests: DataFrame, products: DataF
               .checkpoint(eager=True))
     w = Window.partitionBy("product_id").orderBy("seq", "session_id") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    rounds = 0
     while True:
         if status.filter(F.col("st") == "u").limit(1).count() == 0:
             break
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"sequential_acceptance did not settle in {max_rounds} rounds")
         x = Lb.join(status, ["session_id", "seq"])
         x = (x.withColumn("_lo", F.coalesce(F.sum(F.when(F.col("st") == "a", F.col("q"))).over(w), F.lit(0)))
              .withColumn("_hi", F.coalesce(F.sum(F.when(F.col("st") != "r", F.col("q"))).over(w), F.lit(0))))

@@ -117,12 +117,9 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
 
     # -- creates: fresh ids in seq order (W4), defaults (D2) -----------------
     creates = ok.filter(is_create)
-    # The parsed batch is already checkpointed (when reliable_ids): ordering
-    # its creates by (seq, payload) is a total order over a stable input,
-    # so the ids are reproducible without a second checkpoint.
+    # Table, feed and delta below all use the ids of this one checkpointed copy.
     created = dense_ids(creates.select("seq", "data", "payload"), ["seq", "payload"], "order_id",
-                        base=next_base if next_base is not None else next_id(target, "order_id"),
-                        reliable=False)
+                        base=next_base if next_base is not None else next_id(target, "order_id"))
     d = F.col("data")
 
     def create_value(f):
@@ -207,7 +204,7 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
 # ---------------------------------------------------------------------------
 
 def create_rows(target: DataFrame, new_rows: DataFrame, id_col: str, order_by: list,
-                required=(), defaults: dict | None = None, reliable_ids: bool = True) -> dict[str, DataFrame]:
+                required=(), defaults: dict | None = None) -> dict[str, DataFrame]:
     """Append rows with ids max + 1, + 2, ... in ``order_by`` order.
 
     ``required`` columns must be non-NULL (P18); ``defaults`` fill NULLs
@@ -223,7 +220,7 @@ def create_rows(target: DataFrame, new_rows: DataFrame, id_col: str, order_by: l
     rejects = df.filter(F.size("_missing") > 0).withColumn(
         "reason", F.concat(F.lit("missing: "), F.array_join("_missing", ","))).drop("_missing")
     created = dense_ids(good.drop(id_col) if id_col in good.columns else good, order_by, id_col,
-                        base=next_id(target, id_col), reliable=reliable_ids)
+                        base=next_id(target, id_col))
     created = created.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
     return {"target": target.unionByName(created), "created": created, "rejects": rejects}
 
@@ -235,10 +232,11 @@ def create_rows(target: DataFrame, new_rows: DataFrame, id_col: str, order_by: l
 def replace_rows(target: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> dict[str, DataFrame]:
     """D3: the source row replaces every non-key field of the target row.
 
-    Several source rows for one key: the last by ``seq`` wins (W5).
-    Keys missing from the target are returned as ``not_found``.
+    Several source rows for one key: the last by ``seq`` wins (W5); without
+    ``seq`` the one whose row is last in its text form, so that a key never
+    gets two rows.  Keys missing from the target are returned as ``not_found``.
     """
-    src = last_per_key(rows, key, seq) if seq else rows
+    src = last_per_key(rows, key, seq) if seq else _one_per_key(rows, key)
     src = src.select(*target.columns)
     keys = src.select(F.col(key).alias("_k"))
     kept = target.join(keys, target[key] == keys["_k"], "left_anti")
@@ -352,10 +350,17 @@ def last_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """The last record per key wins (``max_by`` over a struct: a
     combinable aggregate, no window, hot keys pre-aggregate map-side)."""
     others = [c for c in rows.columns if c != key]
-    return (rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_r"))
+    # rows without a position have no place in the order; equal positions are
+    # ordered by the whole row's text, so the choice doesn't depend on the run
+    order = F.struct(F.col(seq), F.to_json(F.struct(*others)))
+    return (rows.where(F.col(seq).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_r"))
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
 
+def _one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    return last_per_key(rows.withColumn("_seq", F.lit(0)), key, "_seq").drop("_seq")
+
+
 def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = None) -> dict[str, DataFrame]:
     """Insert new keys, replace all non-key columns of existing ones.
 
@@ -363,7 +368,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = Non
     ``target`` minus source keys (``left_anti``) plus the source rows.
     Written once by the caller (atomically, to a new directory/version).
     """
-    src = last_per_key(source, key, seq) if seq else source.dropDuplicates([key])
+    src = last_per_key(source, key, seq) if seq else _one_per_key(source, key)
     src = src.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
     keys = src.select(F.col(key).alias("_k"))
     kept = target.join(keys, target[key] == keys["_k"], "left_anti")
@@ -378,7 +383,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = Non
 # Guarded stock deltas
 # ---------------------------------------------------------------------------
 
-_FOLD_SCHEMA = "product_id long, seq long, delta long, applied boolean, stock_after long"
+_FOLD_SCHEMA = "product_id long, seq long, delta long, applied boolean, stock_after long, nth long"
 
 
 def _guarded_fold(batches):
@@ -387,29 +392,32 @@ def _guarded_fold(batches):
     number of deltas of a product."""
     import numpy as np
     import pandas as pd
-    cur_pid, cur = None, 0
+    cur_pid, cur, nth = None, 0, 0
     for pdf in batches:
         pids = pdf["product_id"].to_numpy()
         base = pdf["_stock0"].to_numpy()
         deltas = pdf["delta"].to_numpy()
         applied = np.zeros(len(pdf), dtype=bool)
         after = np.zeros(len(pdf), dtype=np.int64)
+        places = np.zeros(len(pdf), dtype=np.int64)
         for i in range(len(pdf)):
             if pids[i] != cur_pid:
-                cur_pid, cur = pids[i], int(base[i])
+                cur_pid, cur, nth = pids[i], int(base[i]), 0
             nxt = cur + int(deltas[i])
             if nxt >= 0:
                 cur, applied[i] = nxt, True
-            after[i] = cur
+            after[i], places[i] = cur, nth
+            nth += 1
         yield pd.DataFrame({"product_id": pids, "seq": pdf["seq"].to_numpy(), "delta": deltas,
-                            "applied": applied, "stock_after": after})
+                            "applied": applied, "stock_after": after, "nth": places})
 
 
 def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "product_id",
                        seq: str = "seq", delta: str = "delta",
                        as_of: str | None = None) -> dict[str, DataFrame]:
     """``stock = stock + delta`` only when the result stays >= 0, in
-    ``seq`` order per product.  Unknown products' deltas are rejected.
+    ``seq`` order per product (equal ``seq``: by delta).  Deltas of unknown
+    products and NULL deltas are not applied.
 
     Fast path (exact, combinable): if the product's stock plus the sum of
     all its NEGATIVE deltas is >= 0, no guard can ever trigger, so every
@@ -428,7 +436,8 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
     p0 = products.select(F.col(key).alias("product_id"), F.col("stock_quantity").cast("long").alias("_stock0"))
     dj = d.join(p0, "product_id", "left")
     unknown = dj.filter(F.col("_stock0").isNull()).select("product_id", "seq", "delta")
-    known = dj.filter(F.col("_stock0").isNotNull())
+    no_delta = dj.filter(F.col("_stock0").isNotNull() & F.col("delta").isNull()).select("product_id", "seq", "delta")
+    known = dj.filter(F.col("_stock0").isNotNull() & F.col("delta").isNotNull())
     per = known.groupBy("product_id").agg(
         F.first("_stock0").alias("_stock0"),
         F.sum(F.least(F.col("delta"), F.lit(0))).alias("_neg"),
@@ -439,7 +448,7 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
     n = max(1, int(products.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     folded = (slow_rows.repartition(n, "product_id").sortWithinPartitions("product_id", "seq", "delta")
               .mapInPandas(_guarded_fold, _FOLD_SCHEMA))
-    slow_final = folded.groupBy("product_id").agg(F.max_by("stock_after", "seq").alias("_new"),
+    slow_final = folded.groupBy("product_id").agg(F.max_by("stock_after", "nth").alias("_new"),
                                                   F.bool_or("applied").alias("_touched"))
     fast_final = fast.select("product_id", (F.col("_stock0") + F.col("_sum")).alias("_new"),
                              F.lit(True).alias("_touched"))
@@ -457,7 +466,7 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
     fast_dec = known.join(fast.select("product_id"), "product_id", "left_semi") \
         .select("product_id", "seq", "delta", F.lit(True).alias("applied"))
     decisions = fast_dec.unionByName(folded.select("product_id", "seq", "delta", "applied")) \
-        .unionByName(unknown.withColumn("applied", F.lit(False)))
+        .unionByName(unknown.unionByName(no_delta).withColumn("applied", F.lit(False)))
     report = decisions.agg(F.count_if("applied").cast("bigint").alias("applied"),
                            F.count_if(~F.col("applied")).cast("bigint").alias("skipped"))
     return {"target": j.select(*cols), "decisions": decisions, "report": report}

@@ -23,21 +23,23 @@ def next_id(target: DataFrame, id_col: str) -> DataFrame:
     return target.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("next_base"))
 
 
-def dense_ids(df: DataFrame, order_by: list, id_col: str = "id", base: int | Column | DataFrame = 0,
-              reliable: bool = True) -> DataFrame:
+def dense_ids(df: DataFrame, order_by: list, id_col: str = "id",
+              base: int | Column | DataFrame = 0) -> DataFrame:
     """Add ``id_col`` = base + 1, base + 2, ... in ``order_by`` order.
 
     ``order_by`` must be a total order (end it with a unique key) so the
     ids are reproducible.  ``base`` may be an int, a literal Column, or a
     one-row DataFrame with a ``next_base`` column (see :func:`next_id`).
-    With ``reliable`` the sorted, position-tagged rows are checkpointed to
-    the shared checkpoint folder, so recomputation after a lost executor
-    sees exactly the same positions.
+
+    The sorted, position-tagged rows are always checkpointed to the shared
+    checkpoint folder.  The counts and the rows then read one and the same
+    copy: as two branches of one plan each would have a range exchange of
+    its own, sampled and coalesced by its own size, and a position would
+    mean different rows in each.
     """
     ordered = df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id())
-    if reliable:
-        checkpoint_dir(df.sparkSession)
-        ordered = ordered.checkpoint(eager=True)
+    checkpoint_dir(df.sparkSession)
+    ordered = ordered.checkpoint(eager=True)
     ordered = (ordered.withColumn("_pid", F.shiftright(F.col("_mid"), _ROW_BITS))
                .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(_ROW_MASK))))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))

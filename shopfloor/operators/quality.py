@@ -232,7 +232,7 @@ def status_counts(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def kpis(df: DataFrame, completed_statuses=("Order Finished", "delivered")) -> DataFrame:
+def kpis(df: DataFrame, completed_statuses=("Order Finished",)) -> DataFrame:
     """Completed orders and category count next to the total."""
     return df.agg(F.count(F.lit(1)).alias("total_orders"),
                   F.count_if(F.col("status").isin(list(completed_statuses))).cast("bigint")

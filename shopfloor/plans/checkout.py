@@ -78,7 +78,7 @@ def checkout(lines: DataFrame, requests: DataFrame, products: DataFrame, custome
     # C4: customer orders, ids max + 1 ... in request order
     heads = accepted.join(totals, "session_id")
     heads = dense_ids(heads, ["seq", "session_id"], "customer_order_id",
-                      base=next_id(customer_orders, "customer_order_id"), reliable=reliable)
+                      base=next_id(customer_orders, "customer_order_id"))
     co_new = heads.select(
         "customer_order_id", "customer_name", "customer_email", "customer_phone", "shipping_address",
         "shipping_city", "shipping_state", "shipping_zip",
@@ -106,21 +106,20 @@ def checkout(lines: DataFrame, requests: DataFrame, products: DataFrame, custome
         items = dense_ids(o["_acc_lines"].select("customer_order_id", "product_id", "product_name",
                                                  "product_price", "quantity", "subtotal"),
                           ["customer_order_id", "product_id"], "order_item_id",
-                          base=next_id(order_items, "order_item_id"), reliable=reliable)
+                          base=next_id(order_items, "order_item_id"))
         return items.select("order_item_id", "customer_order_id", "product_id", "product_name",
                             "product_price", F.col("quantity").cast("int").alias("quantity"),
                             "subtotal", ts.alias("created_at"))
 
     def stock(o):           # C6: guarded decrement in checkout order
-        deltas = o["_acc_lines"].select("product_id", (F.col("seq") * F.lit(1 << 20)).alias("seq"),
+        deltas = o["_acc_lines"].select("product_id", "seq",
                                         (-F.col("quantity")).alias("delta"))
         return apply_stock_deltas(products, deltas, as_of=as_of)
 
     def orders_new(o):      # C7: one orders row per line
         orows = dense_ids(o["_acc_lines"].select("seq", "product_id", "customer_name", "quantity", "subtotal",
                                                  "tax_rate", "shipping_share", "product_name"),
-                          ["seq", "product_id"], "order_id", base=next_id(orders, "order_id"),
-                          reliable=reliable)
+                          ["seq", "product_id"], "order_id", base=next_id(orders, "order_id"))
         return orows.select(
             "order_id", F.lit(S.STORE_ORDER_STATUS).alias("status"), "customer_name",
             as_of_date(as_of).alias("order_date"), F.col("quantity").cast("int").alias("quantity"),

@@ -76,20 +76,35 @@ def q_j1(spark, d):
     return C.orders_with_items(o, i)
 
 
-@register("j1_order_item_arrays", oracle(f"WITH {CO}, {ITEMS}\n" + """
-SELECT o.customer_order_id, COUNT(i.order_item_id) AS n_items,
-       COALESCE(SUM(i.subtotal), 0) AS items_subtotal, MIN(i.order_item_id) AS first_item_id
+@register("j1_order_item_arrays", f"WITH {CO}, {ITEMS}\n" + """
+SELECT o.customer_order_id, o.status, COALESCE(string_agg(CAST(i.order_item_id AS VARCHAR) || ':' || CAST(i.product_id AS VARCHAR)
+         || ':' || CAST(i.subtotal AS VARCHAR), ',' ORDER BY i.order_item_id), '') AS item_list
 FROM customer_orders o LEFT JOIN order_items i ON o.customer_order_id = i.customer_order_id
-GROUP BY o.customer_order_id""", doubles=("items_subtotal",)))
+WHERE o.customer_order_id IN (SELECT l_orderkey FROM lineitem)
+GROUP BY o.customer_order_id, o.status""")
 def q_j1_nested(spark, d):
-    o = td.customer_orders(spark, d).select("customer_order_id")
-    i = td.order_items(spark, d).select("order_item_id", "customer_order_id", "subtotal")
-    nested = C.orders_with_item_arrays(o, i, max_items=3)
-    return (nested.select("customer_order_id", F.explode_outer("items").alias("it"))
-            .groupBy("customer_order_id")
-            .agg(F.count("it.order_item_id").alias("n_items"),
-                 F.coalesce(F.sum("it.subtotal"), F.lit(0)).cast("decimal(38,2)").alias("items_subtotal"),
-                 F.min("it.order_item_id").alias("first_item_id")))
+    """The item list of every order that a line item names."""
+    o = td.customer_orders(spark, d).select("customer_order_id", "status")
+    i = td.order_items(spark, d).select("order_item_id", "customer_order_id", "product_id", "subtotal")
+    asked = td.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("customer_order_id"))
+    return C.orders_with_item_arrays(o, i, asked).select("customer_order_id", "status", _item_list())
+
+
+def _item_list():
+    return F.expr("array_join(transform(items, x -> concat(x.order_item_id, ':', x.product_id, ':', x.subtotal)), ',')") \
+        .alias("item_list")
+
+
+@register("j2_orders_by_email_lists", f"WITH {CO}, {ITEMS}\n" + """
+SELECT o.customer_order_id, COALESCE(string_agg(CAST(i.order_item_id AS VARCHAR) || ':' || CAST(i.product_id AS VARCHAR)
+         || ':' || CAST(i.subtotal AS VARCHAR), ',' ORDER BY i.order_item_id), '') AS item_list
+FROM customer_orders o LEFT JOIN order_items i ON o.customer_order_id = i.customer_order_id
+WHERE o.customer_email = 'customer7@example.com'
+GROUP BY o.customer_order_id""")
+def q_j2_lists(spark, d):
+    o = td.customer_orders(spark, d).select("customer_order_id", "customer_email", "order_date")
+    i = td.order_items(spark, d).select("order_item_id", "customer_order_id", "product_id", "subtotal")
+    return C.orders_by_email(o, i, "customer7@example.com", nested=True).select("customer_order_id", _item_list())
 
 
 @register("j2_orders_by_email", oracle(f"WITH {CO}, {ITEMS}\n" + """

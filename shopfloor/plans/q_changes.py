@@ -486,3 +486,32 @@ FROM died d JOIN state s ON s.order_id = d.oid AND s.born = -1"""
 def q_r2_delta(spark, d):
     """The batch's touched rows only (what a MERGE or the change log takes)."""
     return _apply_cmds(spark, d)["delta"]
+
+
+# -- W4 / D2: ids of creates agree in table, feed and delta ----------------
+
+def _create_commands(spark, d):
+    """One create command per line item, in no order."""
+    li = td.read_table(spark, d, "lineitem")
+    payload = F.concat(F.lit('{"customer_name": "c'), "l_suppkey", F.lit('", "quantity": "'), F.col("l_quantity").cast("int"),
+                       F.lit('", "subtotal_amount": "'), F.col("l_extendedprice").cast("decimal(18,2)"),
+                       F.lit('", "category": "'), "l_partkey", F.lit('", "subcategory": "'), "l_linenumber", F.lit('"}'))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq"),
+                     F.lit("create_order").alias("action"), payload.alias("data"))
+
+
+@register("w4_create_ids_agree", SO + """
+, c AS (SELECT l_orderkey * 10 + l_linenumber AS seq,
+               '{"customer_name": "c' || l_suppkey || '", "quantity": "' || CAST(l_quantity AS INT) || '", "subtotal_amount": "'
+               || CAST(l_extendedprice AS DECIMAL(18,2)) || '", "category": "' || l_partkey || '", "subcategory": "'
+               || l_linenumber || '"}' AS payload, CAST(l_extendedprice AS DECIMAL(18,2)) AS subtotal FROM lineitem),
+n AS (SELECT (SELECT MAX(order_id) FROM so) + ROW_NUMBER() OVER (ORDER BY seq, payload) AS order_id, seq, subtotal FROM c)
+SELECT order_id, seq, CAST(subtotal AS DOUBLE) AS in_table, CAST(subtotal AS DOUBLE) AS in_feed,
+       CAST(subtotal AS DOUBLE) AS in_delta FROM n""")
+def q_w4_agree(spark, d):
+    out = CH.apply_order_commands(td.sales_orders(spark, d), _create_commands(spark, d), as_of="2024-06-01 00:00:00")
+    feed = out["changes"].select("order_id", "seq", F.get_json_object("data", "$.subtotal_amount").cast("decimal(18,2)")
+                                 .alias("in_feed"))
+    table = out["target"].select("order_id", F.col("subtotal_amount").alias("in_table"))
+    delta = out["delta"].select("order_id", F.col("subtotal_amount").alias("in_delta"))
+    return feed.join(table, "order_id", "left").join(delta, "order_id", "left")

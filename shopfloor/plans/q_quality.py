@@ -195,7 +195,7 @@ def q_a13(spark, d):
 
 @register("a21_kpis", SOD + """
 SELECT COUNT(*) AS total_orders,
-       COUNT(*) FILTER (WHERE status IN ('Order Finished', 'delivered')) AS completed_orders,
+       COUNT(*) FILTER (WHERE status = 'Order Finished') AS completed_orders,
        COUNT(DISTINCT category) AS category_count FROM so""")
 def q_a21(spark, d):
     return Q.kpis(_dirty(spark, d))

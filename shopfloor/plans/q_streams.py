@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import changes as CH
+from ..sources import files as FS
 from ..sources import testdata as td
 from ..streaming import jobs as J
 from .q_changes import _CMD_TARGET, ORDER_CASTS
@@ -59,7 +60,7 @@ def q_r1(spark, d):
     out = os.path.join(base, "out")
     q = J.start_dashboard(agg, out, os.path.join(base, "ckpt"), trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return FS.read_latest(spark, out, "dashboard")
 
 
 @register("r7_daily_summary_stream", """

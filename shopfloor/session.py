@@ -69,14 +69,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder for lineage cuts and versioned outputs.
 
     A cluster names it in ``spark.checkpoint.dir``; that value is always
-    used.  Only when it is unset (tests, local runs) a private scratch
-    folder is created and registered.
+    used.  Only when it is unset and the master is local (tests, local
+    runs) a private scratch folder is created and registered; a cluster
+    without a shared folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="shopfloor-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

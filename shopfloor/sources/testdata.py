@@ -163,9 +163,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``(l_orderkey, l_linenumber)`` is not unique in the test data, so the
     item id is the line's rank in a global order over all its columns
     (dense ids: range sort + per-partition offsets, no window per order,
-    so a huge order is spread over many tasks; equal rows are
-    interchangeable, which makes the ids reproducible without a
-    checkpoint).
+    so a huge order is spread over many tasks).
     """
     from ..operators.ids import dense_ids
     li = read_table(spark, sf_dir, "lineitem")
@@ -173,7 +171,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = dense_ids(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                  "l_extendedprice", "l_shipdate"),
                        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                        "l_extendedprice", "l_shipdate"], "order_item_id", base=0, reliable=False)
+                        "l_extendedprice", "l_shipdate"], "order_item_id", base=0)
     price = F.col("p_retailprice").cast(MONEY)
     qty = F.col("l_quantity").cast("int")
     return (ranked.join(p, ranked.l_partkey == p.p_partkey, "left")

@@ -22,6 +22,7 @@ from ..functions.columns import envelope
 from ..operators.carts import cart_step
 from ..operators.changes import apply_order_commands
 from ..session import checkpoint_dir
+from ..sources.files import write_versioned
 
 _ship_by_value(__name__)
 
@@ -73,10 +74,11 @@ def dashboard_counts(orders: DataFrame) -> DataFrame:
 
 
 def start_dashboard(agg: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
-    """Complete-mode sink: each micro-batch overwrites the result table
-    (file sinks accept only append, so the write goes through foreachBatch)."""
+    """Complete-mode sink: each micro-batch is a new version of the result
+    (``files.read_latest(spark, out_path, "dashboard")``), published by its
+    manifest, so readers and a crash never meet a table half written."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        write_versioned({"dashboard": batch}, out_path, batch_id)
     w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     return w.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
@@ -99,33 +101,50 @@ def command_batch_writer(spark: SparkSession, base: str, initial_target: DataFra
     skipped, so the sink is idempotent; readers follow the newest
     manifest, so a half-written version is never visible.
     """
-    def latest_version() -> int | None:
-        mdir = os.path.join(base, "_manifests")
-        try:
-            entries = spark.read.json(mdir).select(F.max("version").alias("v")).first()
-            return entries["v"] if entries else None
-        except Exception:  # noqa: BLE001 - no manifest yet
-            return None
-
     def write(batch: DataFrame, batch_id: int) -> None:
         man = _manifest(base, batch_id)
         if _exists(spark, man):
             return                                  # replay: already applied
-        v = latest_version()
-        if v is None:
-            target = initial_target
-        else:
-            target = spark.read.parquet(os.path.join(base, "target", f"version={v}"))
-        out = apply_order_commands(target, batch, as_of=as_of)
+        last = _last_committed(spark, base)
+        target = initial_target if last is None else \
+            spark.read.parquet(os.path.join(base, "target", f"version={last['version']}"))
+        prev_max = _max_id(target) if last is None else last["max_id"]
+        out = apply_order_commands(target, batch, as_of=as_of, next_base=_base_row(spark, prev_max))
         nv = batch_id
         out["target"].write.mode("overwrite").parquet(os.path.join(base, "target", f"version={nv}"))
         out["changes"].write.mode("overwrite").parquet(os.path.join(base, "changes", f"batch={batch_id}"))
         out["rejects"].write.mode("overwrite").parquet(os.path.join(base, "rejects", f"batch={batch_id}"))
-        spark.createDataFrame([(batch_id, nv)], "batch_id long, version long") \
-            .coalesce(1).write.mode("overwrite").json(man)
+        spark.createDataFrame([(batch_id, nv, _created_max(spark, base, batch_id, prev_max))],
+                              "batch_id long, version long, max_id long").coalesce(1).write.mode("overwrite").json(man)
     return write
 
 
+def _last_committed(spark: SparkSession, base: str):
+    """The newest manifest's row, or None if nothing is committed yet.  A
+    manifest that can't be read fails the batch: taking it for "nothing
+    yet" would start again from the initial table."""
+    mdir = os.path.join(base, "_manifests")
+    if not _exists(spark, mdir):
+        return None
+    return spark.read.json(mdir).orderBy(F.desc("batch_id")).first()
+
+
+def _max_id(target: DataFrame) -> int:
+    return target.agg(F.coalesce(F.max("order_id"), F.lit(0))).first()[0]
+
+
+def _base_row(spark: SparkSession, prev_max: int) -> DataFrame:
+    return spark.range(1).select(F.lit(prev_max).cast("long").alias("next_base"))
+
+
+def _created_max(spark: SparkSession, base: str, batch_id: int, prev_max: int) -> int:
+    """Highest id ever given out: also of rows created and deleted in one
+    batch, so that no layout gives an id twice."""
+    new = spark.read.parquet(os.path.join(base, "changes", f"batch={batch_id}")) \
+        .where("action = 'created'").agg(F.max("order_id")).first()[0]
+    return max(prev_max, new) if new is not None else prev_max
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -173,23 +192,15 @@ def changelog_batch_writer(spark: SparkSession, base: str, snapshot: DataFrame,
     def write(batch: DataFrame, batch_id: int) -> None:
         if _exists(spark, _manifest(base, batch_id)):
             return
-        try:
-            m = spark.read.json(os.path.join(base, "_manifests"))
-            prev_max = m.agg(F.max("max_id")).first()[0]
-        except Exception:  # noqa: BLE001 - first batch
-            prev_max = None
-        if prev_max is None:
-            prev_max = snapshot.agg(F.coalesce(F.max("order_id"), F.lit(0))).first()[0]
+        last = _last_committed(spark, base)
+        prev_max = _max_id(snapshot) if last is None else last["max_id"]
         target = changelog_view(spark, base, snapshot)
-        nb = spark.range(1).select(F.lit(prev_max).cast("long").alias("next_base"))
-        out = apply_order_commands(target, batch, as_of=as_of, next_base=nb)
+        out = apply_order_commands(target, batch, as_of=as_of, next_base=_base_row(spark, prev_max))
         delta = out["delta"].withColumn("batch_id", F.lit(batch_id).cast("long"))
         delta.write.mode("overwrite").parquet(os.path.join(base, "changelog", f"batch_id={batch_id}"))
         out["rejects"].write.mode("overwrite").parquet(os.path.join(base, "rejects", f"batch={batch_id}"))
         out["changes"].write.mode("overwrite").parquet(os.path.join(base, "changes", f"batch={batch_id}"))
-        new_max = spark.read.parquet(os.path.join(base, "changelog", f"batch_id={batch_id}")) \
-            .agg(F.max("order_id")).first()[0]
-        mx = max(prev_max, new_max) if new_max is not None else prev_max
+        mx = _created_max(spark, base, batch_id, prev_max)
         spark.createDataFrame([(batch_id, mx)], "batch_id long, max_id long") \
             .coalesce(1).write.mode("overwrite").json(_manifest(base, batch_id))
     return write

@@ -48,15 +48,14 @@ def test_assign_images(spark, products_seed):
     assert out["report"].first().updated_rows == 1
 
 
-def test_orders_with_items_nested_parts(spark):
+def test_orders_with_items_nested(spark):
     orders = spark.createDataFrame([(1,), (2,)], "customer_order_id long")
     items = spark.range(25).select((F.col("id") + 1).alias("order_item_id"),
                                    F.lit(1).cast("long").alias("customer_order_id"))
-    nested = C.orders_with_item_arrays(orders, items, max_items=4)
-    sizes = nested.select("customer_order_id", F.size("items").alias("n")).collect()
-    assert sum(r.n for r in sizes if r.customer_order_id == 1) == 25
-    assert max(r.n for r in sizes) <= 4
-    assert [r.n for r in sizes if r.customer_order_id == 2] == [0]
+    nested = C.orders_with_item_arrays(orders, items, orders).collect()
+    lists = {r.customer_order_id: [x.order_item_id for x in r["items"]] for r in nested}
+    assert len(nested) == 2 and lists == {1: list(range(1, 26)), 2: []}
+    assert C.orders_with_item_arrays(orders, items, orders.limit(0)).count() == 0
     flat = C.orders_with_items(orders, items)
     assert flat.count() == 26
 
@@ -77,3 +76,23 @@ def test_cascade_and_orphans(spark):
     assert rows_of(C.orphans(kids, parents, "customer_order_id", "customer_order_id"), "id") == [(12,)]
     gone = spark.createDataFrame([(2,)], "customer_order_id long")
     assert rows_of(C.cascade_delete(kids, gone, "customer_order_id"), "id") == [(10,), (12,), (13,)]
+
+
+def test_dense_ids_hold_at_size(spark):
+    """Unsorted rows, many or few partitions, a small advisory size: no id is lost or doubled."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("k"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int"))
+                                     .alias("pad")).repartition(13, "pad")
+    for conf in ({"spark.sql.shuffle.partitions": "200"}, {"spark.sql.shuffle.partitions": "16"},
+                 {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+                  "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+        old = {k: spark.conf.get(k, None) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            out = I.dense_ids(df, ["k"], "new_id", base=0)
+            assert out.where("new_id != k + 1").count() == 0
+            r = out.agg(F.count("*").alias("n"), F.count_distinct("new_id").alias("d"), F.max("new_id").alias("m")).first()
+            assert (r.n, r.d, r.m) == (200_000,) * 3
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

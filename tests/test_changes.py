@@ -194,3 +194,21 @@ def test_command_fold_matches_sequential_model(spark, spec):
     got = {r.order_id: _norm_row([r[f] for f in S.ORDER_FIELDS]) for r in out.collect()}
     model = _simulate([(r[0], *r[1:]) for r in base], cmds)
     assert got == {k: _norm_row(v) for k, v in model.items()}
+
+
+def test_stock_deltas_with_nulls_and_ties(spark, products_seed):
+    """A NULL delta is not applied on either path; equal positions fold by delta."""
+    rows = [(1, 1, None), (1, 2, 5), (5, 1, -20), (5, 1, -15), (5, 2, None), (5, 3, -100)]
+    out = CH.apply_stock_deltas(products_seed, spark.createDataFrame(rows, "product_id long, seq long, delta long"))
+    stock = {r.product_id: r.stock_quantity for r in out["target"].collect()}
+    assert stock[1] == 55 and stock[5] == 10
+    got = sorted((r.product_id, r.seq, r.delta if r.delta is not None else 0, r.applied) for r in out["decisions"].collect())
+    assert got == [(1, 1, 0, False), (1, 2, 5, True), (5, 1, -20, True), (5, 1, -15, False), (5, 2, 0, False), (5, 3, -100, False)]
+
+
+def test_one_row_per_key_without_positions(spark, orders_small):
+    twice = orders_small.where("order_id = 1").unionByName(orders_small.where("order_id = 1").withColumn("quantity", F.lit(9)))
+    out = CH.replace_rows(orders_small, twice, "order_id")
+    assert out["target"].count() == orders_small.count()
+    rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (2, 1, "c")], "k long, seq long, v string")
+    assert [(r.k, r.v) for r in CH.last_per_key(rows, "k", "seq").collect()] == [(2, "c")]

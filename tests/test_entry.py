@@ -28,7 +28,7 @@ def test_registry_consistent():
 QUICK = ["a5_category_summary", "a8_bi_summary", "w1_mark_duplicates", "a19_incomplete_report",
          "m1_report", "w4_dense_ids", "d9_stock_deltas", "r2_commands_target", "c1_cart_lines",
          "c4_customer_orders_new", "r7_daily_summary_stream", "s7_csv_import_upsert",
-         "r2_changelog_stream_view", "r8_cart_state_stream", "c3_sequential_acceptance"]
+         "r2_changelog_stream_view", "w4_create_ids_agree", "j1_order_item_arrays", "j2_orders_by_email_lists", "r8_cart_state_stream", "c3_sequential_acceptance"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("SHOPFLOOR_FULL_ORACLE") else QUICK
 
 

@@ -65,12 +65,12 @@ def test_command_fold_has_no_nested_loops(spark):
         assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
-def test_dense_ids_range_sorted_no_row_window(spark):
+def test_dense_ids_no_row_window(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"))
-    p = plan(I.dense_ids(df, ["k"], "x", base=0, reliable=False))
-    assert "rangepartitioning" in p
-    # the only single-partition step is the running sum over per-partition counts
-    assert p.count("SinglePartition") <= 1 and "BroadcastNestedLoopJoin" not in p
+    p = plan(I.dense_ids(df, ["k"], "x", base=0))
+    # the only single-partition step is the running sum over per-partition counts, and rows
+    # and counts read one checkpointed copy
+    assert p.count("SinglePartition") <= 1 and "BroadcastNestedLoopJoin" not in p and "rangepartitioning" not in p
 
 
 def test_hot_duplicate_key_is_split_by_aqe(spark):

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from shopfloor.operators import changes as CH
@@ -125,3 +126,43 @@ def test_compact_changelog(spark, orders_small, scratch):
     J.compact_changelog(spark, state, orders_small, out)
     snap = spark.read.parquet(out)
     assert snap.count() == 9 and snap.filter("order_id = 2").first().status == "x"
+
+
+NEW = {"customer_name": "Zed", "quantity": "2", "subtotal_amount": "20.00", "category": "T", "subcategory": "P"}
+CMDS = "seq long, action string, data string"
+
+
+def _batch(spark, *rows):
+    return spark.createDataFrame([(s, a, json.dumps(d)) for s, a, d in rows], CMDS)
+
+
+@pytest.mark.parametrize("layout", ["snapshot", "changelog"])
+def test_ids_are_never_given_twice(spark, orders_small, scratch, layout):
+    """Deleting the highest id, or creating and deleting within one batch, frees no id."""
+    base = os.path.join(scratch, layout)
+    write = J.command_batch_writer(spark, base, orders_small, AS_OF) if layout == "snapshot" else \
+        J.changelog_batch_writer(spark, base, orders_small, AS_OF)
+    write(_batch(spark, (1, "delete_order", {"order_id": "10"})), 0)
+    write(_batch(spark, (2, "create_order", NEW), (3, "delete_order", {"order_id": "11"})), 1)
+    write(_batch(spark, (4, "create_order", NEW)), 2)
+    final = J.current_orders(spark, base) if layout == "snapshot" else J.changelog_view(spark, base, orders_small)
+    assert sorted(r.order_id for r in final.collect()) == [*range(1, 10), 12]
+
+
+@pytest.mark.parametrize("layout", ["snapshot", "changelog"])
+def test_an_unreadable_manifest_fails_the_batch(spark, orders_small, scratch, layout):
+    base = os.path.join(scratch, layout)
+    write = J.command_batch_writer(spark, base, orders_small, AS_OF) if layout == "snapshot" else \
+        J.changelog_batch_writer(spark, base, orders_small, AS_OF)
+    write(_batch(spark, (1, "create_order", NEW)), 0)
+    manifest = os.path.join(base, "_manifests", "batch=0")
+    for name in os.listdir(manifest):
+        if name.endswith(".json"):
+            with open(os.path.join(manifest, name), "w") as f:
+                f.write("not json")
+            crc = os.path.join(manifest, f".{name}.crc")
+            if os.path.exists(crc):
+                os.remove(crc)
+    with pytest.raises(Exception):
+        write(_batch(spark, (2, "create_order", NEW)), 1)
+    assert not os.path.exists(os.path.join(base, "_manifests", "batch=1"))
