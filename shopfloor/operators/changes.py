@@ -229,20 +229,26 @@ def create_rows(target: DataFrame, new_rows: DataFrame, id_col: str, order_by: l
 # D3: full replace
 # ---------------------------------------------------------------------------
 
-def replace_rows(target: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> dict[str, DataFrame]:
+def replace_rows(target: DataFrame, rows: DataFrame, key: str, seq: str | None = None,
+                 required: list[str] = ()) -> dict[str, DataFrame]:
     """D3: the source row replaces every non-key field of the target row.
 
+    A row without one of the ``required`` fields goes to ``rejects`` (P18).
+
     Several source rows for one key: the last by ``seq`` wins (W5); without
     ``seq`` the one whose row is last in its text form, so that a key never
     gets two rows.  Keys missing from the target are returned as ``not_found``.
     """
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required], F.lit(True))
+    rejects, rows = rows.filter(~whole), rows.filter(whole)
     src = last_per_key(rows, key, seq) if seq else _one_per_key(rows, key)
     src = src.select(*target.columns)
     keys = src.select(F.col(key).alias("_k"))
     kept = target.join(keys, target[key] == keys["_k"], "left_anti")
     found = src.join(target.select(key), key, "left_semi")
     not_found = src.join(target.select(key), key, "left_anti").select(key)
-    return {"target": kept.unionByName(found), "replaced": found.select(key), "not_found": not_found}
+    return {"target": kept.unionByName(found), "replaced": found.select(key), "not_found": not_found,
+            "rejects": rejects}
 
 
 # ---------------------------------------------------------------------------

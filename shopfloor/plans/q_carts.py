@@ -152,26 +152,33 @@ def _checkout(spark, d, exact_split=False):
                        as_of=AS_OF, exact_split=exact_split, mode="snapshot")
 
 
-@register("c4_customer_orders_new", CART_FOLD + _PRICED + _CHECKOUT + f"""
+C4_COLUMNS = ("customer_order_id", "customer_name", "customer_email", "shipping_city", "shipping_country",
+              "subtotal_amount", "tax_amount", "shipping_cost", "total_amount", "status", "payment_method",
+              "payment_status", "order_date", "session_id")
+
+_C4 = f"""
 SELECT customer_order_id, customer_name, customer_email, shipping_city, COALESCE(shipping_country, 'USA') AS shipping_country,
        CAST(subtotal AS DOUBLE) AS subtotal_amount, CAST(tax_amount AS DOUBLE) AS tax_amount,
        CAST(shipping_cost AS DOUBLE) AS shipping_cost, CAST(total AS DOUBLE) AS total_amount, 'pending' AS status,
        payment_method, CASE WHEN payment_method = 'simulated' THEN 'completed' ELSE 'pending' END AS payment_status,
        TIMESTAMP '{AS_OF}' AS order_date, session_id
-FROM heads""")
+FROM heads"""
+
+
+@register("c4_customer_orders_new", CART_FOLD + _PRICED + _CHECKOUT + _C4)
 def q_c4(spark, d):
-    return _checkout(spark, d)["customer_orders_new"].select(
-        "customer_order_id", "customer_name", "customer_email", "shipping_city", "shipping_country",
-        "subtotal_amount", "tax_amount", "shipping_cost", "total_amount", "status", "payment_method",
-        "payment_status", "order_date", "session_id")
+    return _checkout(spark, d)["customer_orders_new"].select(*C4_COLUMNS)
 
 
-@register("c5_order_items_new", CART_FOLD + _PRICED + _CHECKOUT + f"""
+_C5 = f"""
 SELECT (SELECT MAX(order_item_id) FROM order_items) + ROW_NUMBER() OVER (ORDER BY customer_order_id, product_id)
          AS order_item_id,
        customer_order_id, product_id, product_name, CAST(product_price AS DOUBLE) AS product_price,
        CAST(quantity AS BIGINT) AS quantity, CAST(subtotal AS DOUBLE) AS subtotal, TIMESTAMP '{AS_OF}' AS created_at
-FROM acc""")
+FROM acc"""
+
+
+@register("c5_order_items_new", CART_FOLD + _PRICED + _CHECKOUT + _C5)
 def q_c5(spark, d):
     return _checkout(spark, d)["order_items_new"]
 
@@ -192,18 +199,24 @@ def q_c6(spark, d):
         "product_id", F.col("stock_quantity").cast("bigint").alias("stock_quantity"))
 
 
-@register("c7_orders_new", CART_FOLD + _PRICED + _CHECKOUT + f"""
+_C7 = f"""
 SELECT (SELECT MAX(order_id) FROM so) + ROW_NUMBER() OVER (ORDER BY seq, product_id) AS order_id,
        'Order Finished' AS status, customer_name, '{AS_OF_DATE}' AS order_date, CAST(quantity AS BIGINT) AS quantity,
        CAST(subtotal AS DOUBLE) AS subtotal_amount, CAST(tax_rate AS DOUBLE) AS tax_rate,
        CAST(shipping_share AS DOUBLE) AS shipping_cost, 'Store Order' AS category, product_name AS subcategory
-FROM acc""")
+FROM acc"""
+
+
+@register("c7_orders_new", CART_FOLD + _PRICED + _CHECKOUT + _C7)
 def q_c7(spark, d):
     return _checkout(spark, d)["orders_new"]
 
 
-@register("c8_checkout_rejects", CART_FOLD + _PRICED + _CHECKOUT + """
-SELECT session_id, seq, reason FROM decided WHERE reason IS NOT NULL""")
+_C8 = """
+SELECT session_id, seq, reason FROM decided WHERE reason IS NOT NULL"""
+
+
+@register("c8_checkout_rejects", CART_FOLD + _PRICED + _CHECKOUT + _C8)
 def q_c8(spark, d):
     return _checkout(spark, d)["rejects"]
 
@@ -258,12 +271,57 @@ def q_c3_seq(spark, d):
     return K.sequential_acceptance(_lines(spark, d), eligible, td.products(spark, d))
 
 
+# decisions of the recursion above, and what they make
+_SEQ_CHECKOUT = """
+, seq_ok AS (SELECT c.session_id, r.ok FROM carts c JOIN rec r ON r.n = c.n),
+seq_decided AS (SELECT d.* EXCLUDE (ok, reason),
+                       CASE WHEN line_count IS NULL THEN 'Cart is empty'
+                            WHEN info <> '' THEN 'invalid customer info: ' || info
+                            WHEN NOT s.ok THEN 'insufficient stock' END AS reason
+                FROM decided d LEFT JOIN seq_ok s ON s.session_id = d.session_id),
+seq_heads AS (SELECT d.*, t.subtotal, t.tax_rate, t.tax_amount, t.shipping_cost, t.total, t.line_count AS n_lines,
+                     (SELECT MAX(customer_order_id) FROM customer_orders)
+                       + ROW_NUMBER() OVER (ORDER BY d.seq, d.session_id) AS customer_order_id
+              FROM seq_decided d JOIN totals t ON t.session_id = d.session_id WHERE d.reason IS NULL),
+seq_acc AS (SELECT p.*, h.seq, h.customer_order_id, h.customer_name, h.tax_rate,
+                   CAST(h.shipping_cost / h.n_lines AS DECIMAL(18,2)) AS shipping_share
+            FROM priced p JOIN seq_heads h ON h.session_id = p.session_id)
+"""
+
+
+def _seq_checkout(spark, d):
+    return CK.checkout(_lines(spark, d), td.checkout_requests(spark, d), td.products(spark, d),
+                       td.customer_orders(spark, d), td.order_items(spark, d), td.sales_orders(spark, d),
+                       as_of=AS_OF, mode="sequential")
+
+
+def _seq_sql(select, table):
+    return CART_FOLD + _PRICED + _CHECKOUT + _SEQ + _SEQ_CHECKOUT + select.replace(f"FROM {table}", f"FROM seq_{table}")
+
+
+@register("c4_customer_orders_sequential", _seq_sql(_C4, "heads"))
+def q_c4_seq(spark, d):
+    return _seq_checkout(spark, d)["customer_orders_new"].select(*C4_COLUMNS)
+
+
+@register("c5_order_items_sequential", _seq_sql(_C5, "acc"))
+def q_c5_seq(spark, d):
+    return _seq_checkout(spark, d)["order_items_new"]
+
+
+@register("c7_orders_sequential", _seq_sql(_C7, "acc"))
+def q_c7_seq(spark, d):
+    return _seq_checkout(spark, d)["orders_new"]
+
+
+@register("c8_rejects_sequential", _seq_sql(_C8, "decided"))
+def q_c8_seq(spark, d):
+    return _seq_checkout(spark, d)["rejects"]
+
+
 @register("c6_stock_after_sequential", CART_FOLD + _PRICED + _CHECKOUT + _SEQ + """
 , fin AS (SELECT st FROM rec ORDER BY n DESC LIMIT 1)
 SELECT p.product_id, CAST(COALESCE(fin.st[x.ix], p.stock_quantity) AS BIGINT) AS stock_quantity
 FROM products p LEFT JOIN pidx x ON x.product_id = p.product_id, fin""")
 def q_c6_seq(spark, d):
-    out = CK.checkout(_lines(spark, d), td.checkout_requests(spark, d), td.products(spark, d),
-                      td.customer_orders(spark, d), td.order_items(spark, d), td.sales_orders(spark, d),
-                      as_of=AS_OF, mode="sequential")
-    return out["products"].select("product_id", F.col("stock_quantity").cast("bigint").alias("stock_quantity"))
+    return _seq_checkout(spark, d)["products"].select("product_id", F.col("stock_quantity").cast("bigint").alias("stock_quantity"))

@@ -137,7 +137,7 @@ def q_r2_rejects(spark, d):
 # ---------------------------------------------------------------------------
 
 def _new_orders(spark, d):
-    co = td.customer_orders(spark, d).filter(F.col("status") == "pending")
+    co = td.customer_orders(spark, d)
     return co.select(
         "customer_order_id",
         F.lit("pending").alias("status"), "customer_name",
@@ -153,18 +153,18 @@ new_rows AS (SELECT customer_order_id, 'pending' AS status, customer_name, CAST(
        CASE WHEN customer_order_id % 11 <> 0 THEN CAST(customer_order_id % 7 + 1 AS INT) END AS quantity,
        subtotal_amount, CAST(0.08 AS DECIMAL(6,4)) AS tax_rate, shipping_cost,
        'Store Order' AS category, shipping_city AS subcategory
-FROM customer_orders WHERE status = 'pending')"""
+FROM customer_orders)"""
 
 
 @register("d1_create_orders", oracle(f"WITH {_NEW_ORDERS_SQL}\n" + """
 SELECT (SELECT MAX(order_id) FROM so) + ROW_NUMBER() OVER (ORDER BY order_date, customer_order_id) AS order_id,
        status, customer_name, order_date, quantity, subtotal_amount, tax_rate, shipping_cost, category, subcategory
-FROM new_rows WHERE customer_name IS NOT NULL AND quantity IS NOT NULL AND subtotal_amount IS NOT NULL""",
+FROM new_rows WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in S.ORDER_FIELDS),
                                      **ORDER_CASTS))
 def q_d1(spark, d):
     r = CH.create_rows(td.sales_orders(spark, d), _new_orders(spark, d), "order_id",
                        ["order_date", "customer_order_id"],
-                       required=["customer_name", "quantity", "subtotal_amount"])
+                       required=S.ORDER_FIELDS)
     return r["created"]
 
 
@@ -173,7 +173,7 @@ SELECT customer_order_id, 'missing: quantity' AS reason FROM new_rows WHERE quan
 def q_d1_rej(spark, d):
     r = CH.create_rows(td.sales_orders(spark, d), _new_orders(spark, d), "order_id",
                        ["order_date", "customer_order_id"],
-                       required=["customer_name", "quantity", "subtotal_amount"])
+                       required=S.ORDER_FIELDS)
     return r["rejects"].select("customer_order_id", "reason")
 
 
@@ -183,26 +183,37 @@ def q_d1_rej(spark, d):
 
 def _replacements(spark, d):
     so = td.sales_orders(spark, d)
-    urgent = so.filter(F.col("subcategory") == "1-URGENT") \
-        .withColumn("status", F.lit("delivered")).withColumn("shipping_cost", F.lit(0).cast(S.MONEY))
-    ghosts = so.filter((F.col("subcategory") == "5-LOW") & (F.col("category") == "BUILDING")) \
-        .withColumn("order_id", F.col("order_id") + 10 ** 9)
-    return urgent.unionByName(ghosts)
+    unknown = (F.col("subcategory") == "5-LOW") & (F.col("category") == "BUILDING")
+    return so.select(
+        F.when(unknown, F.col("order_id") + 10 ** 9).otherwise(F.col("order_id")).alias("order_id"),
+        F.lit("delivered").alias("status"), *[c for c in so.columns if c not in ("order_id", "status", "shipping_cost")],
+        F.lit(0).cast(S.MONEY).alias("shipping_cost"))
+
+
+_D3_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in S.ORDER_FIELDS if c not in ("status", "shipping_cost"))
 
 
 @register("d3_replace_orders", oracle(SO + """
-SELECT order_id, CASE WHEN subcategory = '1-URGENT' THEN 'delivered' ELSE status END AS status,
-       customer_name, order_date, quantity, subtotal_amount, tax_rate,
-       CASE WHEN subcategory = '1-URGENT' THEN CAST(0 AS DECIMAL(18,2)) ELSE shipping_cost END AS shipping_cost,
-       category, subcategory FROM so""", **ORDER_CASTS))
+SELECT order_id, CASE WHEN fits THEN 'delivered' ELSE status END AS status, customer_name, order_date, quantity,
+       subtotal_amount, tax_rate, CASE WHEN fits THEN CAST(0 AS DECIMAL(18,2)) ELSE shipping_cost END AS shipping_cost,
+       category, subcategory
+FROM (SELECT *, NOT (subcategory = '5-LOW' AND category = 'BUILDING') """ + f"AND {_D3_WHOLE} AS fits FROM so) t", **ORDER_CASTS))
 def q_d3(spark, d):
-    return CH.replace_rows(td.sales_orders(spark, d), _replacements(spark, d), "order_id")["target"]
+    return CH.replace_rows(td.sales_orders(spark, d), _replacements(spark, d), "order_id", required=S.ORDER_FIELDS)["target"]
 
 
 @register("d3_replace_not_found", SO + """
-SELECT order_id + 1000000000 AS order_id FROM so WHERE subcategory = '5-LOW' AND category = 'BUILDING'""")
+SELECT order_id + 1000000000 AS order_id FROM so WHERE subcategory = '5-LOW' AND category = 'BUILDING' AND """ + _D3_WHOLE)
 def q_d3_nf(spark, d):
-    return CH.replace_rows(td.sales_orders(spark, d), _replacements(spark, d), "order_id")["not_found"]
+    return CH.replace_rows(td.sales_orders(spark, d), _replacements(spark, d), "order_id", required=S.ORDER_FIELDS)["not_found"]
+
+
+@register("d3_replace_rejects", SO + f"""
+SELECT CASE WHEN subcategory = '5-LOW' AND category = 'BUILDING' THEN order_id + 1000000000 ELSE order_id END AS order_id
+FROM so WHERE NOT ({_D3_WHOLE})""")
+def q_d3_rej(spark, d):
+    return CH.replace_rows(td.sales_orders(spark, d), _replacements(spark, d), "order_id",
+                           required=S.ORDER_FIELDS)["rejects"].select("order_id")
 
 
 # ---------------------------------------------------------------------------
@@ -210,7 +221,7 @@ def q_d3_nf(spark, d):
 # ---------------------------------------------------------------------------
 
 def _product_patches(spark, d):
-    e = _events(spark, d).filter(F.col("event_type").isin("click", "purchase", "error"))
+    e = _events(spark, d)
     return e.select(
         F.when(F.col("event_type") == "error", F.col("k") + 5000).otherwise(F.col("k") * 7).alias("product_id"),
         F.col("event_id").alias("seq"),
@@ -222,7 +233,7 @@ _PATCH_SQL = f"""{EV}, patches AS (
   SELECT CASE WHEN event_type = 'error' THEN k + 5000 ELSE k * 7 END AS product_id, event_id AS seq,
          CAST(CASE WHEN event_type = 'click' THEN value END AS DECIMAL(18,2)) AS price,
          CAST(CASE WHEN event_type = 'purchase' THEN FLOOR(value) END AS INT) AS stock_quantity
-  FROM ev WHERE event_type IN ('click', 'purchase', 'error'))"""
+  FROM ev)"""
 
 
 @register("d5_patch_products", oracle(PROD + f", {_PATCH_SQL}" + f"""
@@ -251,13 +262,13 @@ def q_d5_nf(spark, d):
 # ---------------------------------------------------------------------------
 
 def _delete_ids(spark, d):
-    li = td.read_table(spark, d, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
-    return li.select(F.col("l_orderkey").alias("order_id")).unionByName(
-        li.select((F.col("l_orderkey") + 10 ** 9).alias("order_id")))
+    gone = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)
+    return td.read_table(spark, d, "lineitem").select(
+        F.when(gone, F.col("l_orderkey")).otherwise(F.col("l_orderkey") + 10 ** 9).alias("order_id"))
 
 
-_DEL_SQL = """del AS (SELECT l_orderkey AS order_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45
-  UNION ALL SELECT l_orderkey + 1000000000 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)"""
+_DEL_SQL = """del AS (SELECT CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN l_orderkey ELSE l_orderkey + 1000000000 END
+  AS order_id FROM lineitem)"""
 
 
 @register("d6_delete_orders", oracle(SO + f", {_DEL_SQL}\n"
@@ -280,7 +291,8 @@ SELECT product_id, CASE WHEN product_id IN (SELECT p_partkey FROM part WHERE p_s
             ELSE updated_at END AS updated_at
 FROM products""")
 def q_d10(spark, d):
-    ids = td.read_table(spark, d, "part").filter(F.col("p_size") > 48).select(F.col("p_partkey").alias("product_id"))
+    ids = td.read_table(spark, d, "part").select(
+        F.when(F.col("p_size") > 48, F.col("p_partkey")).otherwise(F.col("p_partkey") + 10 ** 9).alias("product_id"))
     return CH.soft_delete(td.products(spark, d), ids, as_of=AS_OF).select("product_id", "is_active", "updated_at")
 
 
@@ -289,14 +301,14 @@ def q_d10(spark, d):
 # ---------------------------------------------------------------------------
 
 def _id_texts(spark, d):
-    e = _events(spark, d).filter(F.col("event_type") == "click")
+    e = _events(spark, d)
     return e.select(F.concat((F.col("user_id") * 100 + F.col("k")).cast("string"), F.lit(", "),
                              F.col("k").cast("string"), F.lit(",x, "), (F.col("k") + 1).cast("string"),
                              F.lit("b")).alias("ids"))
 
 
 _IDS_SQL = f"""{EV}, ids AS (
-  SELECT DISTINCT unnest([user_id * 100 + k, k, k + 1]) AS order_id FROM ev WHERE event_type = 'click')"""
+  SELECT DISTINCT unnest([user_id * 100 + k, k, k + 1]) AS order_id FROM ev)"""
 
 
 @register("f11_ids_from_text", f"WITH {_IDS_SQL}\nSELECT order_id FROM ids")
@@ -355,7 +367,7 @@ def q_d8_rej(spark, d):
 # ---------------------------------------------------------------------------
 
 def _stock_deltas(spark, d):
-    e = _events(spark, d).filter(F.col("event_type").isin("purchase", "click", "signup"))
+    e = _events(spark, d)
     delta = (F.when(F.col("event_type") == "purchase", -F.floor("value"))
              .when(F.col("event_type") == "click", -(F.floor("value") % 5 + 1))
              .otherwise(F.lit(10)))
@@ -367,7 +379,7 @@ _DELTAS_SQL = f"""{EV}, deltas AS (
   SELECT k + 100 * (user_id % 20) AS product_id, event_id AS seq,
          CAST(CASE event_type WHEN 'purchase' THEN -FLOOR(value) WHEN 'click' THEN -(FLOOR(value) % 5 + 1)
               ELSE 10 END AS BIGINT) AS delta
-  FROM ev WHERE event_type IN ('purchase', 'click', 'signup'))"""
+  FROM ev)"""
 
 _FOLD_SQL = f"""WITH RECURSIVE {_DELTAS_SQL},
 products AS ({td.PRODUCTS_SQL}),

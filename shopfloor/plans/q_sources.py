@@ -71,6 +71,42 @@ def q_s7_rej(spark, d):
     return _import(spark, d)["rejects"].select(F.col("order_id").cast("bigint").alias("order_id"))
 
 
+def _text_import(spark, d):
+    """An all-text import of every order: whole numbers as 3.0 and 1e3, numbers
+    too long for their column, texts for dates, and broken lines."""
+    p = os.path.join(_dir(spark, "text-import"), "orders")
+    oid = F.col("order_id")
+    rows = td.sales_orders(spark, d).select(
+        oid, F.lit("imported").alias("status"), "customer_name",
+        F.when(oid % 17 == 0, "soon").otherwise(F.col("order_date").cast("string")).alias("order_date"),
+        F.when(oid % 11 == 0, "99999999999").when(oid % 7 == 0, "1e3").when(oid % 5 == 0, F.concat("quantity", F.lit(".0")))
+         .otherwise(F.col("quantity").cast("string")).alias("quantity"),
+        F.when(oid % 13 == 0, "1" + "0" * 20).otherwise(F.col("subtotal_amount").cast("string")).alias("subtotal_amount"),
+        "tax_rate", "shipping_cost", "category", "subcategory")
+    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in rows.columns]))
+    rows.select(F.when(oid % 19 == 0, F.substring(line, 1, 5)).otherwise(line).alias("value")).write.text(p)
+    raw = FS.with_file_order(FS.read_orders(spark, p, "json", raw=True))
+    return FS.import_orders(td.sales_orders(spark, d), raw)
+
+
+_TEXT_BAD = f"(order_id % 11 = 0 OR order_id % 13 = 0 OR order_id % 17 = 0 OR order_id % 19 = 0 OR NOT ({_GOOD}))"
+
+
+@register("s8_text_import_upsert", oracle(SO + f"""
+SELECT * REPLACE (CASE WHEN {_TEXT_BAD} THEN status ELSE 'imported' END AS status,
+                  CASE WHEN {_TEXT_BAD} OR order_id % 7 <> 0 THEN quantity ELSE 1000 END AS quantity) FROM so""", **ORDER_CASTS))
+def q_s8(spark, d):
+    return _text_import(spark, d)["target"]
+
+
+@register("s8_text_import_rejects", SO + f"""
+SELECT CASE WHEN order_id % 19 <> 0 THEN order_id END AS order_id, order_id % 19 = 0 AS malformed FROM so
+WHERE {_TEXT_BAD}""")
+def q_s8_rej(spark, d):
+    return _text_import(spark, d)["rejects"].select(F.col("order_id").cast("bigint").alias("order_id"),
+                                                    F.array_contains("violations", "malformed").alias("malformed"))
+
+
 @register("s13_bi_feed", oracle(SO + """
 SELECT order_id, status, customer_name, order_date, quantity, subtotal_amount, tax_rate, shipping_cost,
        category, subcategory, CAST(year(order_date) AS BIGINT) AS year, CAST(month(order_date) AS BIGINT) AS month,
@@ -101,11 +137,14 @@ def q_s14(spark, d):
 
 
 @register("s15_envelope_sink", f"WITH products AS ({td.PRODUCTS_SQL})\n" + """
-SELECT 'low_stock_alert' AS event_type, 'shopfloor' AS source, product_id FROM products WHERE stock_quantity < 5""")
+SELECT 'inventory.low_stock' AS event_type, 'shopfloor' AS source, name AS product,
+       CAST(stock_quantity AS BIGINT) AS current_stock, CAST(5 AS BIGINT) AS threshold FROM products WHERE stock_quantity < 5""")
 def q_s15(spark, d):
     p = os.path.join(_dir(spark, "envelopes"), "events")
     alerts = J.low_stock_alerts(td.products(spark, d), 5, F.current_timestamp())
     FS.write_envelopes(alerts, p)
     back = spark.read.schema("event_type string, timestamp string, source string, data string").json(p)
     return back.select("event_type", "source",
-                       F.get_json_object("data", "$.product_id").cast("long").alias("product_id"))
+                       F.get_json_object("data", "$.product").alias("product"),
+                       F.get_json_object("data", "$.current_stock").cast("long").alias("current_stock"),
+                       F.get_json_object("data", "$.threshold").cast("long").alias("threshold"))

@@ -121,39 +121,79 @@ WHERE o.order_id IS NULL OR n.order_id IS NULL
 
 def _diff(spark, d):
     new = CH.apply_order_commands(td.sales_orders(spark, d), td.order_commands(spark, d), as_of=AS_OF)["target"]
-    return J.diff_snapshots(td.sales_orders(spark, d), new)
+    return J.diff_snapshots(td.sales_orders(spark, d), new, ts=F.lit(AS_OF).cast("timestamp_ntz"))
 
 
-@register("r4_snapshot_diff", _DIFF_SQL)
+@register("r4_snapshot_diff", _DIFF_SQL.replace("       o.status AS old_status", f"""       CASE WHEN o.order_id IS NULL
+            THEN 'success' WHEN n.order_id IS NULL THEN 'warning' ELSE 'info' END AS severity,
+       TIMESTAMP '{AS_OF}' AS timestamp, o.status AS old_status""", 1))
 def q_r4(spark, d):
-    return _diff(spark, d)
+    return _diff(spark, d).drop("row")
+
+
+_PAYLOAD = {"status": "string", "customer_name": "string", "order_date": "string", "quantity": "bigint",
+            "subtotal_amount": "double", "tax_rate": "double", "shipping_cost": "double", "category": "string",
+            "subcategory": "string", "old_status": "string", "new_status": "string"}
+_ROW_SQL = """n.customer_name, CAST(n.order_date AS VARCHAR) AS order_date, CAST(n.quantity AS BIGINT) AS quantity,
+       CAST(n.subtotal_amount AS DOUBLE) AS subtotal_amount, CAST(n.tax_rate AS DOUBLE) AS tax_rate,
+       CAST(n.shipping_cost AS DOUBLE) AS shipping_cost, n.category, n.subcategory"""
 
 
 @register("r5_change_events", _DIFF_SQL.replace(
-    "SELECT COALESCE(o.order_id, n.order_id) AS order_id,", ", diff AS (SELECT COALESCE(o.order_id, n.order_id) AS order_id,", 1)
-    + """)
-SELECT 'order_' || action AS event_type, order_id FROM diff
+    "SELECT COALESCE(o.order_id, n.order_id) AS order_id,",
+    f", diff AS (SELECT COALESCE(o.order_id, n.order_id) AS order_id, {_ROW_SQL},", 1)
+    + f""")
+SELECT 'order.' || action AS event_type, TIMESTAMP '{AS_OF}' AS timestamp, 'shopfloor' AS source, order_id,
+       new_status AS status, customer_name, order_date, quantity, subtotal_amount, tax_rate, shipping_cost, category,
+       subcategory, NULL AS old_status, NULL AS new_status FROM diff
 UNION ALL
-SELECT 'order_status_changed', order_id FROM diff WHERE action = 'updated' AND old_status IS DISTINCT FROM new_status""")
+SELECT 'order.status_changed', TIMESTAMP '{AS_OF}', 'shopfloor', order_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       NULL, old_status, new_status FROM diff WHERE action = 'updated' AND old_status IS DISTINCT FROM new_status""")
 def q_r5(spark, d):
     ev = J.change_events(_diff(spark, d), F.lit(AS_OF).cast("timestamp_ntz"))
-    return ev.select("event_type", "order_id")
+    return ev.select("event_type", "timestamp", "source", _payload("order_id", "bigint"),
+                     *[_payload(c, t) for c, t in _PAYLOAD.items()])
+
+
+def _payload(name, kind):
+    return F.get_json_object("data", f"$.{name}").cast(kind).alias(name)
+
+
+@register("r5_bulk_status_events", SO + """
+, asked AS (SELECT event_id AS batch_id, user_id * 100 + CAST(json_extract(props, '$.k') AS BIGINT) AS a,
+                   CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events),
+hits AS (SELECT batch_id, COUNT(*) AS n FROM (SELECT batch_id, a AS id FROM asked UNION SELECT batch_id, b FROM asked) u
+         WHERE id IN (SELECT order_id FROM so) GROUP BY batch_id)
+SELECT 'order.bulk_status_update' AS event_type, asked.batch_id, '[' || a || ',' || b || ']' AS order_ids,
+       'shipped' AS new_status, COALESCE(n, 0) AS updated_count
+FROM asked LEFT JOIN hits ON hits.batch_id = asked.batch_id""")
+def q_r5_bulk(spark, d):
+    k = F.get_json_object("props", "$.k")
+    asked = td.read_table(spark, d, "events").select(
+        F.col("event_id").alias("batch_id"),
+        F.concat((F.col("user_id") * 100 + k.cast("long")).cast("string"), F.lit(", x, "), k).alias("ids"))
+    ev = J.bulk_status_events(asked, td.sales_orders(spark, d), "shipped", F.lit(AS_OF).cast("timestamp_ntz"))
+    return ev.select("event_type", "batch_id", _payload("order_ids", "string"), _payload("new_status", "string"),
+                     _payload("updated_count", "bigint"))
 
 
 @register("r6_high_value_alerts_stream", SO + """
-SELECT 'high_value_order' AS event_type, order_id, 'shopfloor' AS source FROM so WHERE subtotal_amount > 450000""")
+SELECT 'order.high_value' AS event_type, order_id, 'shopfloor' AS source, CAST(subtotal_amount AS DOUBLE) AS amount,
+       customer_name AS customer FROM so WHERE subtotal_amount > 450000""")
 def q_r6(spark, d):
     alerts = J.high_value_alerts(_orders_stream(spark, d), 450000, F.current_timestamp())
-    return _run_append(spark, alerts, "alerts").select("event_type", "order_id", "source")
+    return _run_append(spark, alerts, "alerts").select("event_type", _payload("order_id", "bigint"), "source", _payload("amount", "double"),
+                                                         _payload("customer", "string"))
 
 
 @register("r6_low_stock_alerts", f"WITH products AS ({td.PRODUCTS_SQL})\n" + """
-SELECT 'low_stock_alert' AS event_type, product_id, stock_quantity AS current_stock FROM products
+SELECT 'inventory.low_stock' AS event_type, product_id, name AS product, CAST(stock_quantity AS BIGINT) AS current_stock,
+       CAST(5 AS BIGINT) AS threshold FROM products
 WHERE stock_quantity < 5""")
 def q_r6_low(spark, d):
     al = J.low_stock_alerts(td.products(spark, d), 5, F.lit(AS_OF).cast("timestamp_ntz"))
-    return al.select("event_type", "product_id",
-                     F.get_json_object("data", "$.current_stock").cast("bigint").alias("current_stock"))
+    return al.select("event_type", "product_id", _payload("product", "string"), _payload("current_stock", "bigint"),
+                     _payload("threshold", "bigint"))
 
 
 def _cart_actions_stream(spark, d):
@@ -191,5 +231,5 @@ def q_r8(spark, d):
     q.awaitTermination()
     emitted = spark.read.parquet(out)
     last = emitted.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
-    return (emitted.join(last, ["session_id", "batch_id"]).filter(~F.col("expired"))
+    return (emitted.join(last, ["session_id", "batch_id"]).filter(~F.col("expired") & F.col("product_id").isNotNull())
             .select("session_id", "product_id", F.col("quantity").cast("bigint").alias("quantity")))

@@ -82,21 +82,37 @@ def with_file_order(df: DataFrame, col: str = "_seq") -> DataFrame:
                                        F.monotonically_increasing_id()))
 
 
+def _import_value(field: T.StructField) -> "F.Column":
+    """Import text as the column's type; NULL where the type can't hold it."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return c
+    if isinstance(field.dataType, T.DateType):
+        return c.try_cast("timestamp").try_cast("date")
+    number = c.try_cast("decimal(38,10)")
+    if isinstance(field.dataType, T.IntegralType):
+        return F.when(number == F.floor(number), number.try_cast(field.dataType))
+    return number.try_cast(field.dataType)
+
+
 def import_orders(target: DataFrame, source: DataFrame) -> dict[str, DataFrame]:
     """Validate an import BEFORE writing, then upsert.
 
     ``source`` is a raw (all-text) order file read with ``read_orders(...,
     raw=True)`` plus ``with_file_order``.  Rows that fail coercion, NOT
-    NULL or CHECK constraints of the table go to ``rejects`` with their
-    violations; the rest are typed, reduced to the last row per order id
-    (file order) and upserted.  Nothing is written here.
+    NULL or CHECK constraints of the table, or whose value the column's type
+    can't hold, go to ``rejects`` with their violations; the rest are typed,
+    reduced to the last row per order id (file order) and upserted.  A whole
+    number may be written as ``3.0`` or ``1e3``.  Nothing is written here.
     """
     sch = source.schema
-    rules = (R.validation_rules(sch)[:5]                         # coercion + date
+    values = {f.name: _import_value(f) for f in S.ORDERS.fields}
+    rules = ([r for r in R.validation_rules(sch) if r.name.startswith("non_numeric_") or r.name == "invalid_order_date"]
+             + [R.Rule(f"unfit_{c}", "import", "error", c, F.col(c).isNotNull() & v.isNull()) for c, v in values.items()]
              + [R.Rule(f"null_{c}", "import", "error", c, F.col(c).isNull()) for c in S.ORDER_FIELDS]
              + R.order_model_rules(sch)
              + [R.Rule("order_id_invalid", "import", "error", "order_id",
-                       F.expr("try_cast(order_id AS BIGINT)").isNull())])
+                       values["order_id"].isNull())])
     tagged = source.withColumn("violations", R.violations(rules))
     if "_corrupt_record" in source.columns:
         tagged = tagged.withColumn("violations", F.when(F.col("_corrupt_record").isNotNull(),
@@ -104,7 +120,7 @@ def import_orders(target: DataFrame, source: DataFrame) -> dict[str, DataFrame]:
                                    .otherwise(F.col("violations")))
     good = tagged.filter(F.size("violations") == 0)
     rejects = tagged.filter(F.size("violations") > 0).drop("_seq")
-    typed = good.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.ORDERS.fields], "_seq")
+    typed = good.select(*[values[f.name].alias(f.name) for f in S.ORDERS.fields], "_seq")
     res = upsert(target, typed, "order_id", seq="_seq")
     return {"target": res["target"], "rejects": rejects, "report": res["report"]}
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
-from ..functions.columns import envelope
+from ..functions.columns import envelope, parse_id_list
 from ..operators.carts import cart_step
 from ..operators.changes import apply_order_commands
 from ..session import checkpoint_dir
@@ -231,10 +231,11 @@ def start_command_stream(spark: SparkSession, commands: DataFrame, base: str, in
 # ---------------------------------------------------------------------------
 
 def diff_snapshots(old: DataFrame, new: DataFrame, key: str = "order_id",
-                   compare=S.ORDER_FIELDS) -> DataFrame:
-    """``(key, action, old_status, new_status)`` by a full outer join of
-    two snapshots: created / deleted / updated (any compared field differs,
-    NULL-safely)."""
+                   compare=S.ORDER_FIELDS, ts=None) -> DataFrame:
+    """``(key, action, severity, timestamp, old_status, new_status, row)``
+    by a full outer join of two snapshots: created / deleted / updated (any
+    compared field differs, NULL-safely).  ``row`` has the compared fields as
+    they are now (all NULL for a deleted row)."""
     o = old.select(F.col(key).alias("_k"), F.lit(True).alias("_o"),
                    *[F.col(c).alias(f"o_{c}") for c in compare])
     n = new.select(F.col(key).alias("_k"), F.lit(True).alias("_n"),
@@ -247,20 +248,28 @@ def diff_snapshots(old: DataFrame, new: DataFrame, key: str = "order_id",
     action = (F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNull(), "deleted")
               .when(changed, "updated"))
     return (j.withColumn("action", action).filter(F.col("action").isNotNull())
-            .select(F.col("_k").alias(key), "action",
-                    F.col("o_status").alias("old_status"), F.col("n_status").alias("new_status")))
+            .withColumn("severity", F.when(F.col("action") == "created", "success")
+                        .when(F.col("action") == "deleted", "warning").otherwise("info"))
+            .select(F.col("_k").alias(key), "action", "severity",
+                    (ts if ts is not None else F.current_timestamp()).alias("timestamp"),
+                    F.col("o_status").alias("old_status"), F.col("n_status").alias("new_status"),
+                    F.struct(*[F.col(f"n_{c}").alias(c) for c in compare]).alias("row")))
 
 
 def change_events(diff: DataFrame, ts, source: str = "shopfloor", key: str = "order_id") -> DataFrame:
-    """Envelopes order_created / order_updated / order_deleted, plus
-    order_status_changed where old and new status differ."""
+    """Envelopes order.created / order.updated (id and fields) and
+    order.deleted (id), plus order.status_changed where old and new status
+    differ."""
+    live = F.col("action") != "deleted"             # to_json leaves out NULL members
     base = diff.select(
-        *envelope(F.concat(F.lit("order_"), F.col("action")),
-                  F.struct(F.col(key).alias("order_id"), F.col("new_status").alias("status")), ts, source),
+        *envelope(F.concat(F.lit("order."), F.col("action")),
+                  F.struct(F.col(key).alias("order_id"),
+                           *[F.when(live, F.col(f"row.{c}")).alias(c) for c in diff.schema["row"].dataType.names]),
+                  ts, source),
         F.col(key).alias(key))
     status = diff.filter((F.col("action") == "updated")
                          & ~F.col("old_status").eqNullSafe(F.col("new_status"))).select(
-        *envelope("order_status_changed",
+        *envelope("order.status_changed",
                   F.struct(F.col(key).alias("order_id"), F.col("old_status"), F.col("new_status")), ts, source),
         F.col(key).alias(key))
     return base.unionByName(status)
@@ -270,21 +279,43 @@ def change_events(diff: DataFrame, ts, source: str = "shopfloor", key: str = "or
 # Alerts (stateless)
 # ---------------------------------------------------------------------------
 
-def low_stock_alerts(products: DataFrame, threshold: int, ts) -> DataFrame:
+def bulk_status_events(requests: DataFrame, orders: DataFrame, new_status: str, ts,
+                       source: str = "shopfloor", batch: str = "batch_id", ids: str = "ids") -> DataFrame:
+    """One order.bulk_status_update per request: its ids, the status, and how
+    many orders have one of them.  The id list is the request's own text; the
+    counts are one aggregate over all requests."""
+    asked = requests.select(F.col(batch).alias("_b"), parse_id_list(F.col(ids)).alias("_ids"))
+    hits = (asked.select("_b", F.explode(F.array_distinct("_ids")).alias("_id"))
+            .join(orders.select(F.col("order_id").alias("_id")), "_id", "left_semi")
+            .groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
+    return asked.join(hits, "_b", "left").select(
+        *envelope("order.bulk_status_update",
+                  F.struct(F.col("_ids").alias("order_ids"), F.lit(new_status).alias("new_status"),
+                           F.coalesce("_n", F.lit(0)).alias("updated_count")), ts, source), F.col("_b").alias(batch))
+
+
+def daily_summary_events(summary: DataFrame, ts, source: str = "shopfloor") -> DataFrame:
+    """R7 rows as report.daily_summary envelopes, one per day and status."""
+    return summary.select(*envelope("report.daily_summary", F.struct("day", "status", "event_count", "amount"), ts, source),
+                          "day", "status")
+
+
+def low_stock_alerts(products: DataFrame, threshold: int, ts, source: str = "shopfloor") -> DataFrame:
     """Envelope per product whose stock fell below ``threshold``."""
     low = products.filter(F.col("stock_quantity") < threshold)
-    return low.select(*envelope("low_stock_alert",
-                                F.struct("product_id", F.col("name").alias("product_name"),
+    return low.select(*envelope("inventory.low_stock",
+                                F.struct(F.col("name").alias("product"),
                                          F.col("stock_quantity").alias("current_stock"),
-                                         F.lit(threshold).alias("threshold")), ts), "product_id")
+                                         F.lit(threshold).alias("threshold")), ts, source), "product_id")
 
 
-def high_value_alerts(orders: DataFrame, threshold, ts, amount_col: str = "subtotal_amount") -> DataFrame:
+def high_value_alerts(orders: DataFrame, threshold, ts, amount_col: str = "subtotal_amount",
+                      source: str = "shopfloor") -> DataFrame:
     """Envelope per order above ``threshold``."""
     hv = orders.filter(F.col(amount_col) > F.lit(threshold))
-    return hv.select(*envelope("high_value_order",
+    return hv.select(*envelope("order.high_value",
                                F.struct("order_id", F.col(amount_col).cast("double").alias("amount"),
-                                        F.col("customer_name").alias("customer")), ts), "order_id")
+                                        F.col("customer_name").alias("customer")), ts, source), "order_id")
 
 
 # ---------------------------------------------------------------------------
@@ -312,7 +343,7 @@ def daily_summary(events: DataFrame, ts_col: str = "ts", delay: str = "1 hour",
 # Cart state per session with a 7-day inactivity timeout
 # ---------------------------------------------------------------------------
 
-CART_STATE_SCHEMA = "lines string, last_seq long"
+CART_STATE_SCHEMA = "lines string, last_seq long, newest long"
 CART_OUT_SCHEMA = "session_id string, product_id long, quantity int, expired boolean"
 CART_TTL_MS = 7 * 24 * 3600 * 1000
 
@@ -323,20 +354,26 @@ def _cart_state_fn(key, pdfs, state):
     State: the cart as JSON ``{product: quantity}``.  The event-time
     timeout is pushed 7 days past the newest action; when it fires the
     cart expires (emitted once with ``expired=true``) and the state is
-    removed.  Memory holds one cart per active session.
+    removed.  A cart without lines is one row without product and quantity,
+    so that readers see it replace the lines before.  An action older than
+    one already seen never moves the timeout back.  Memory holds one cart per
+    active session.
     """
     import pandas as pd
     (session_id,) = key
+
+    def emitted(lines, expired):
+        pids, quantities = (list(lines), list(lines.values())) if lines else ([None], [None])
+        return pd.DataFrame({"session_id": [session_id] * len(pids), "product_id": pd.array(pids, "Int64"),
+                             "quantity": pd.array(quantities, "Int32"), "expired": [expired] * len(pids)})
+
     if state.hasTimedOut:
-        lines = json.loads(state.get[0])
+        lines = {int(k): v for k, v in json.loads(state.get[0]).items()}
         state.remove()
-        yield pd.DataFrame({"session_id": [session_id] * len(lines),
-                            "product_id": [int(p) for p in lines], "quantity": list(lines.values()),
-                            "expired": [True] * len(lines)})
+        yield emitted(lines, True)
         return
-    lines, last_seq = ({int(k): v for k, v in json.loads(state.get[0]).items()}, state.get[1]) \
-        if state.exists else ({}, -1)
-    newest = None
+    lines, last_seq, newest = ({int(k): v for k, v in json.loads(state.get[0]).items()}, state.get[1], state.get[2]) \
+        if state.exists else ({}, -1, None)
     # A session's rows of one micro-batch may arrive in several Arrow
     # chunks; they are folded in seq order, so the micro-batch (bounded by
     # the trigger's maxFilesPerTrigger / maxOffsetsPerTrigger) is sorted whole.
@@ -351,11 +388,10 @@ def _cart_state_fn(key, pdfs, state):
         last_seq = int(r.seq)
         ts = int(r.ts_ms)
         newest = ts if newest is None else max(newest, ts)
-    state.update((json.dumps({str(k): v for k, v in lines.items()}), last_seq))
+    state.update((json.dumps({str(k): v for k, v in lines.items()}), last_seq, newest))
     if newest is not None:
-        state.setTimeoutTimestamp(newest + CART_TTL_MS)
-    yield pd.DataFrame({"session_id": [session_id] * len(lines), "product_id": list(lines.keys()),
-                        "quantity": list(lines.values()), "expired": [False] * len(lines)})
+        state.setTimeoutTimestamp(max(newest + CART_TTL_MS, state.getCurrentWatermarkMs() + 1))
+    yield emitted(lines, False)
 
 
 def cart_state_stream(actions: DataFrame, products: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -364,7 +400,8 @@ def cart_state_stream(actions: DataFrame, products: DataFrame, delay: str = "1 h
 
     ``actions``: streaming ``(session_id, seq, action, product_id,
     quantity, ts)``.  Output mode ``update``: each trigger emits the
-    current lines of every session that changed, and expired carts."""
+    current lines of every session that changed (a row without product if
+    there are none), and expired carts."""
     p = products.select(F.col("product_id").alias("_pid"), F.col("stock_quantity").alias("p_stock"),
                         F.col("is_active").alias("p_active"), F.lit(True).alias("p_exists"))
     ntz = dict(actions.dtypes).get("ts") == "timestamp_ntz"

@@ -212,3 +212,12 @@ def test_one_row_per_key_without_positions(spark, orders_small):
     assert out["target"].count() == orders_small.count()
     rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (2, 1, "c")], "k long, seq long, v string")
     assert [(r.k, r.v) for r in CH.last_per_key(rows, "k", "seq").collect()] == [(2, "c")]
+
+
+def test_replace_needs_all_required_fields(spark, orders_small):
+    rows = orders_small.filter("order_id IN (1, 2)").withColumn("status", F.lit("delivered")).withColumn(
+        "category", F.when(F.col("order_id") == 1, F.col("category")))
+    out = CH.replace_rows(orders_small, rows, "order_id", required=["status", "category"])
+    assert [r.order_id for r in out["replaced"].collect()] == [1]
+    assert [r.order_id for r in out["rejects"].collect()] == [2]
+    assert out["target"].count() == orders_small.count()

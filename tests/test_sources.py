@@ -1,6 +1,9 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
+from shopfloor import schemas as S
 from shopfloor.sources import files as FS
 from shopfloor.sources import jdbc as JD
 from conftest import rows_of
@@ -65,3 +68,16 @@ def test_bound_parameters(spark, orders_small):
     orders_small.createOrReplaceTempView("orders_small_view")
     df = JD.query(spark, "SELECT order_id FROM orders_small_view WHERE status = :s", s="pending")
     assert rows_of(df) == [(5,), (10,)]
+
+
+def test_import_rejects_what_the_table_cannot_hold(spark, orders_small):
+    row = {f.name: "x" for f in S.ORDERS.fields} | {
+        "order_date": "2012-01-02", "quantity": "3", "subtotal_amount": "1.5", "tax_rate": "0.1", "shipping_cost": "0"}
+    changes = [{"quantity": "3.0"}, {"quantity": "1e3"}, {"quantity": "3.5"}, {"quantity": "99999999999"},
+               {"subtotal_amount": "1" + "0" * 20}, {"order_date": "soon"}, {"order_id": "1.0"}]
+    rows = [row | {"order_id": str(900 + i)} | c for i, c in enumerate(changes)]
+    raw = spark.createDataFrame([tuple(r[c] for c in S.ORDERS.names) for r in rows], S.ORDERS_RAW).withColumn(
+        "_seq", F.monotonically_increasing_id())
+    out = FS.import_orders(orders_small, raw)
+    assert {r.order_id: r.quantity for r in out["target"].filter("order_id >= 900 OR order_id = 1").collect()} == {900: 3, 901: 1000, 1: 3}
+    assert {r.order_id for r in out["rejects"].collect()} == {"902", "903", "904", "905"}

@@ -87,7 +87,7 @@ def test_dashboard_and_diff(spark, orders_small, scratch):
     d = {r.order_id: (r.action, r.old_status, r.new_status) for r in J.diff_snapshots(orders_small, new).collect()}
     assert d == {1: ("deleted", "Order Finished", None), 2: ("updated", "Order Finished", "delivered")}
     ev = J.change_events(J.diff_snapshots(orders_small, new), F.lit(AS_OF).cast("timestamp_ntz"))
-    assert sorted(r.event_type for r in ev.collect()) == ["order_deleted", "order_status_changed", "order_updated"]
+    assert sorted(r.event_type for r in ev.collect()) == ["order.deleted", "order.status_changed", "order.updated"]
 
 
 def test_changelog_layout_matches_batch(spark, orders_small, scratch):
@@ -166,3 +166,46 @@ def test_an_unreadable_manifest_fails_the_batch(spark, orders_small, scratch, la
     with pytest.raises(Exception):
         write(_batch(spark, (2, "create_order", NEW)), 1)
     assert not os.path.exists(os.path.join(base, "_manifests", "batch=1"))
+
+
+def test_cart_state_shows_emptied_carts_over_triggers(spark, products_seed, scratch):
+    """A clear in a later trigger replaces the lines before; an older event time doesn't bring the expiry forward."""
+    src, out, ck = (os.path.join(scratch, n) for n in ("clears", "clears-out", "clears-ck"))
+    sch = "session_id string, seq long, action string, product_id long, quantity int, ts timestamp_ntz"
+    parts = [[("a", 1, "add", 2, 1, dt.datetime(2024, 1, 2)), ("b", 2, "add", 3, 2, dt.datetime(2024, 1, 2))],
+             [("a", 3, "clear", None, None, dt.datetime(2024, 1, 2)), ("b", 4, "add", 3, 1, dt.datetime(2024, 1, 1, 23, 30))],
+             [("c", 5, "add", 1, 1, dt.datetime(2024, 1, 9, 0, 45))]]
+
+    def write(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, sch).coalesce(1).write.parquet(os.path.join(src, f"p{i}"))
+        stream = spark.readStream.schema(sch).parquet(os.path.join(src, "*"))
+        q = (J.cart_state_stream(stream, products_seed).writeStream.outputMode("update")
+             .option("checkpointLocation", ck).foreachBatch(write).trigger(availableNow=True).start())
+        q.awaitTermination()
+    res = spark.read.parquet(out)
+    last = res.filter("session_id = 'a' AND NOT expired").orderBy(F.desc("batch_id")).first()
+    assert (last.product_id, last.quantity) == (None, None)
+    # the watermark ends at 23:45 on 8 January: past b's older event plus 7 days, not past its newest
+    assert res.filter("session_id = 'b' AND expired").count() == 0
+    assert res.filter("session_id = 'b'").orderBy(F.desc("batch_id")).first().quantity == 3
+
+
+def test_event_payloads(spark, orders_small):
+    ts = F.lit(AS_OF).cast("timestamp_ntz")
+    new = orders_small.filter("order_id <> 1").withColumn(
+        "status", F.when(F.col("order_id") == 2, "delivered").otherwise(F.col("status")))
+    ev = {r.event_type: json.loads(r.data) for r in
+          J.change_events(J.diff_snapshots(orders_small, new, ts=ts), ts, source="shop").collect()}
+    assert ev["order.deleted"] == {"order_id": 1}
+    assert ev["order.status_changed"] == {"order_id": 2, "old_status": "Order Finished", "new_status": "delivered"}
+    assert ev["order.updated"]["status"] == "delivered" and "customer_name" in ev["order.updated"]
+    asked = spark.createDataFrame([(1, "1, 2, x, 2"), (2, ""), (3, None)], "batch_id long, ids string")
+    bulk = {r.batch_id: json.loads(r.data) for r in J.bulk_status_events(asked, orders_small, "shipped", ts).collect()}
+    assert bulk[1] == {"order_ids": [1, 2, 2], "new_status": "shipped", "updated_count": 2}
+    assert bulk[2]["updated_count"] == bulk[3]["updated_count"] == 0
+    day = spark.createDataFrame([(dt.date(2024, 1, 1), "click", 3, 4.5)], "day date, status string, event_count long, amount double")
+    (row,) = J.daily_summary_events(day, ts).collect()
+    assert row.event_type == "report.daily_summary"
+    assert json.loads(row.data) == {"day": "2024-01-01", "status": "click", "event_count": 3, "amount": 4.5}
