@@ -35,13 +35,12 @@ def q_p5(spark, d):
 
 
 def _requested_ids(spark, d):
-    """A set of requested product ids derived from the line items; doubled
-    keys beyond the catalog give not-found ids."""
-    return (td.read_table(spark, d, "lineitem").filter(F.col("l_quantity") >= 45)
-            .select((F.col("l_partkey") * 2).alias("product_id")))
+    """A set of requested product ids, one per line item; doubled keys beyond
+    the catalog give not-found ids, and odd ones are never asked for."""
+    return td.read_table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("product_id"))
 
 
-REQ_SQL = "req AS (SELECT l_partkey * 2 AS product_id FROM lineitem WHERE l_quantity >= 45)"
+REQ_SQL = "req AS (SELECT l_partkey * 2 AS product_id FROM lineitem)"
 
 
 @register("p7_lookup_products", oracle(PROD + f", {REQ_SQL}\n"
@@ -183,17 +182,17 @@ def q_m1_sum(spark, d):
 
 
 def _image_map(spark, d):
-    """name -> URL for the names of large parts, plus nation names that
-    match no product (they show up as unmatched)."""
-    p = (td.read_table(spark, d, "part").filter(F.col("p_size") > 45)
-         .select(F.col("p_name").alias("name")))
+    """name -> URL for every part; the names of small parts are changed so that
+    they match no product (unmatched), as do the nation names."""
+    p = td.read_table(spark, d, "part").select(
+        F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" spare"))).alias("name"))
     n = td.read_table(spark, d, "nation").select(F.col("n_name").alias("name"))
     return p.unionByName(n).select("name", F.concat(F.lit("https://img.example/"),
                                                     F.regexp_replace("name", " ", "-")).alias("image_url"))
 
 
 IMG_SQL = """img AS (SELECT name, 'https://img.example/' || replace(name, ' ', '-') AS image_url FROM (
-  SELECT p_name AS name FROM part WHERE p_size > 45 UNION ALL SELECT n_name FROM nation) t)"""
+  SELECT CASE WHEN p_size > 45 THEN p_name ELSE p_name || ' spare' END AS name FROM part UNION ALL SELECT n_name FROM nation) t)"""
 
 
 @register("m2_assign_images", PROD + f", {IMG_SQL}\n" + """

@@ -200,19 +200,18 @@ def _cart_actions_stream(spark, d):
     ev = J.file_stream(spark, d, EVENTS_SRC, glob="events.parquet")
     base = F.floor(F.col("value")).cast("int")
     et = F.col("event_type")
-    return (ev.filter(et != "view").select(
+    return (ev.select(
         F.concat(F.lit("u"), F.col("user_id")).alias("session_id"), F.col("event_id").alias("seq"),
         F.when(et == "click", "add").when(et == "purchase", "update").when(et == "error", "remove")
-         .when(et == "signup", "clear").alias("action"),
+         .when(et == "signup", "clear").otherwise("view").alias("action"),
         F.when(et != "signup", F.get_json_object("props", "$.k").cast("long")).alias("product_id"),
         F.when(et == "click", base % 5 + 1).when(et == "purchase", base % 6 - 1).alias("quantity"),
         F.col("ts")))
 
 
 @register("r8_cart_state_stream", CART_FOLD + """
-, last_ts AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, MAX(ts) AS ts FROM events
-              WHERE event_type <> 'view' GROUP BY user_id),
-wm AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS w FROM events WHERE event_type <> 'view')
+, last_ts AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, MAX(ts) AS ts FROM events GROUP BY user_id),
+wm AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS w FROM events)
 SELECT l.session_id, l.product_id, CAST(l.quantity AS BIGINT) AS quantity
 FROM lines l JOIN last_ts t ON t.session_id = l.session_id
 WHERE t.ts + INTERVAL 7 DAY >= (SELECT w FROM wm)     -- carts idle 7 days by the end expire""")

@@ -254,34 +254,31 @@ def cart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cart actions from the ``events`` stream.
 
     click -> add (1..5 units), purchase -> update (-1..4 units, <= 0
-    removes), error -> remove, signup -> clear; views are not cart
-    actions.  The product is the ``k`` of the event's JSON properties.
+    removes), error -> remove, signup -> clear; a view is an action that
+    carts don't know.  The product is the ``k`` of the event's JSON properties.
     """
     e = read_table(spark, sf_dir, "events")
     base = F.floor(F.col("value")).cast("int")
     action = (F.when(F.col("event_type") == "click", "add")
               .when(F.col("event_type") == "purchase", "update")
               .when(F.col("event_type") == "error", "remove")
-              .when(F.col("event_type") == "signup", "clear"))
+              .when(F.col("event_type") == "signup", "clear").otherwise("view"))
     qty = (F.when(F.col("event_type") == "click", base % 5 + 1)
            .when(F.col("event_type") == "purchase", base % 6 - 1))
-    return (e.filter(F.col("event_type") != "view")
-            .select(F.concat(F.lit("u"), F.col("user_id")).alias("session_id"),
-                    F.col("event_id").alias("seq"),
-                    action.alias("action"),
-                    F.when(F.col("event_type") != "signup",
-                           F.get_json_object("props", "$.k").cast("long")).alias("product_id"),
-                    qty.alias("quantity")))
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("session_id"), F.col("event_id").alias("seq"), action.alias("action"),
+        F.when(F.col("event_type") != "signup", F.get_json_object("props", "$.k").cast("long")).alias("product_id"),
+        qty.alias("quantity"))
 
 
 CART_EVENTS_SQL = """
 SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, event_id AS seq,
        CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'update'
-                       WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'clear' END AS action,
+                       WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'clear' ELSE 'view' END AS action,
        CASE WHEN event_type <> 'signup' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS product_id,
        CASE event_type WHEN 'click' THEN CAST(FLOOR(value) AS INT) % 5 + 1
                        WHEN 'purchase' THEN CAST(FLOOR(value) AS INT) % 6 - 1 END AS quantity
-FROM events WHERE event_type <> 'view'
+FROM events
 """
 
 
