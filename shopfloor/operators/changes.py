@@ -53,6 +53,18 @@ def _bad_value(data: Column, fields) -> Column:
     return reduce(lambda a, b: a | b, checks, F.lit(False))
 
 
+def _null_value(data: Column, fields) -> Column:
+    """True when a field is present without a value."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.map_contains_key(data, f) & data[f].isNull(), F.lit(False))
+                                       for f in fields])
+
+
+def _negative_value(data: Column, fields) -> Column:
+    """True when a present number is below 0."""
+    return reduce(lambda a, b: a | b, [F.coalesce(_typed(data[f], f) < 0, F.lit(False))
+                                       for f in fields if f in S.NUMERIC_FIELDS], F.lit(False))
+
+
 def _reject(df: DataFrame, reason: Column | str) -> DataFrame:
     r = F.lit(reason) if isinstance(reason, str) else reason
     return df.select("seq", "action", F.col("oid").alias("order_id"), r.alias("reason"))
@@ -64,18 +76,19 @@ def _reject(df: DataFrame, reason: Column | str) -> DataFrame:
 
 def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | None = None,
                          allowed=S.ORDER_FIELDS, reliable_ids: bool = True,
-                         next_base: DataFrame | None = None) -> dict[str, DataFrame]:
+                         next_base: DataFrame | None = None, constraints: bool = True) -> dict[str, DataFrame]:
     """Apply ``(seq, action, data)`` commands to ``orders``; ``data`` is the
     command's JSON text (parsed as ``map<string,string>``).
 
     Actions: ``create_order`` (D2: defaults for status, date, tax, shipping;
     id = max + 1, + 2 ... in seq order), ``update_order`` (D4: only the
-    PRESENT allowed fields change; a present null sets NULL), and
-    ``delete_order`` (D6).  Anything else is rejected, as are updates and
-    deletes without ``order_id`` (a 0 counts as missing, as in the
-    reference), updates with no allowed field, values that do not parse,
-    and updates/deletes of an id that does not exist at that point of the
-    sequence.
+    PRESENT allowed fields change), and ``delete_order`` (D6).  Anything else
+    is rejected, as are updates and deletes without ``order_id`` (a 0 counts
+    as missing, as in the reference), updates with no allowed field, values
+    that do not parse, and updates/deletes of an id that does not exist at
+    that point of the sequence.  The table's NOT NULL and CHECK constraints
+    (numbers at least 0) also reject a command; for a table without them
+    pass ``constraints=False``, and a present null sets NULL.
 
     Returns ``target``, ``changes`` (R4 feed rows), ``rejects``,
     ``report`` and ``delta``: only the touched rows -- ``(order_id, op,
@@ -104,6 +117,9 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
               .when(is_update & ~has_field, "No fields to update")
               .when(is_create & missing_req, "missing required field")
               .when((is_create | is_update) & _bad_value(F.col("data"), allowed), "invalid value"))
+    if constraints:
+        reason = (reason.when((is_create | is_update) & _null_value(F.col("data"), allowed), "NULL not allowed")
+                  .when((is_create | is_update) & _negative_value(F.col("data"), allowed), "negative value"))
     checked = c.withColumn("_reason", reason)
     if reliable_ids:
         # Parse and classify once.  Without this cut, filter push-down

@@ -17,6 +17,9 @@ from .. import schemas as S
 from ..functions import rules as R
 
 
+REPEATS = 100_000      # copies of one identical row that a task writes out
+
+
 # -- W1: duplicates -----------------------------------------------------------
 
 def duplicate_groups(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_id") -> DataFrame:
@@ -30,8 +33,26 @@ def duplicate_groups(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_
             .filter(F.col("_n") > 1))
 
 
+def _matched(df: DataFrame, keys, id_col: str):
+    """``df`` with ``_n``, ``_first_id`` of its key group if that has several rows."""
+    g = duplicate_groups(df, keys, id_col)
+    g = g.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first_id", "_n")
+    cond = reduce(lambda a, b: a & b,
+                  [df[k].eqNullSafe(g[f"_k{i}"]) for i, k in enumerate(keys)])
+    return df.join(g, cond, "left"), F.col(id_col).eqNullSafe(F.col("_first_id"))
+
+
+def _first_rows(tied: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows of ``tied`` with their count, and the smallest row per key."""
+    cols = [F.col(c) for c in tied.columns]
+    rows = tied.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    low = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]) \
+        .agg(F.min(F.struct(*cols)).alias("_low"))
+    return rows, low
+
+
 def mark_duplicates(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_id",
-                    flag: str = "is_duplicate") -> DataFrame:
+                    flag: str = "is_duplicate", unique_ids: bool = False) -> DataFrame:
     """Flag every row but the first (smallest id) of its key group.
 
     Instead of a window over the key (which sends a hot group to one task),
@@ -40,21 +61,40 @@ def mark_duplicates(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_i
     small when duplicates are rare, and AQE then broadcasts it (its size is
     measured at runtime) so the table itself is not shuffled; otherwise the
     join is sort-merge with skew splitting.
-    Assumes ``id_col`` is unique (the table's primary key).
+
+    Rows that share the first id are told apart by their other columns, the
+    smallest row being the first; identical rows are counted, and all but one
+    of them flagged.  A NULL id comes after every other.  ``unique_ids=True``
+    skips that step for a table whose ``id_col`` is its primary key.
     """
-    g = duplicate_groups(df, keys, id_col)
-    g = g.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first_id")
+    joined, first = _matched(df, keys, id_col)
+    several = F.col("_n").isNotNull()
+    if unique_ids:
+        return joined.withColumn(flag, several & ~first).select(*df.columns, flag)
+    rest = joined.filter(~several | ~first).select(*df.columns, several.alias(flag))
+    rows, low = _first_rows(joined.filter(several & first).select(*df.columns), keys)
     cond = reduce(lambda a, b: a & b,
-                  [df[k].eqNullSafe(g[f"_k{i}"]) for i, k in enumerate(keys)])
-    out = df.join(g, cond, "left")
-    return (out.withColumn(flag, F.coalesce(F.col(id_col) != F.col("_first_id"), F.lit(False)))
-            .drop("_first_id", *[f"_k{i}" for i in range(len(keys))]))
-
-
-def drop_duplicates_keep_first(df: DataFrame, keys=S.DUPLICATE_KEYS,
-                               id_col: str = "order_id") -> DataFrame:
+                  [rows[k].eqNullSafe(low[f"_k{i}"]) for i, k in enumerate(keys)])
+    # a row repeated very often is written out again by many tasks
+    parts = (rows.join(low, cond)
+             .withColumn("_is_low", F.struct(*[rows[c] for c in df.columns]).eqNullSafe(F.col("_low")))
+             .select(*[rows[c] for c in df.columns], "_c", "_is_low",
+                     F.explode(F.expr(f"sequence(0, (_c - 1) div {REPEATS})")).alias("_part"))
+             .repartition("_part", id_col))
+    again = parts.select("*", F.explode(F.expr(
+        f"sequence(_part * {REPEATS} + 1, least(_c, (_part + 1) * {REPEATS}))")).alias("_i"))
+    return rest.unionByName(again.select(*df.columns, (~(F.col("_is_low") & (F.col("_i") == 1))).alias(flag)))
+
+
+def drop_duplicates_keep_first(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_id",
+                               unique_ids: bool = False) -> DataFrame:
     """``mode="drop"``: the table without the flagged rows."""
-    return mark_duplicates(df, keys, id_col, "_dup").filter(~F.col("_dup")).drop("_dup")
+    if unique_ids:
+        return mark_duplicates(df, keys, id_col, "_dup", True).filter(~F.col("_dup")).drop("_dup")
+    joined, first = _matched(df, keys, id_col)
+    several = F.col("_n").isNotNull()
+    low = _first_rows(joined.filter(several & first).select(*df.columns), keys)[1]
+    return joined.filter(~several).select(*df.columns).unionByName(low.select("_low.*"))
 
 
 def duplicate_report(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_id") -> DataFrame:
@@ -72,9 +112,9 @@ def duplicate_report(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_
 
 
 def duplicate_examples(df: DataFrame, keys=S.DUPLICATE_KEYS, id_col: str = "order_id",
-                       n: int = 10) -> DataFrame:
+                       n: int = 10, unique_ids: bool = False) -> DataFrame:
     """The first ``n`` duplicate rows by id (deterministic)."""
-    return (mark_duplicates(df, keys, id_col, "_dup").filter("_dup")
+    return (mark_duplicates(df, keys, id_col, "_dup", unique_ids).filter("_dup")
             .select(id_col, "customer_name", "order_date", "category")
             .orderBy(id_col).limit(n))
 

@@ -34,7 +34,7 @@ EV = ("ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k F
 # R2 (batch form) / D2 / D4 / D6: order commands in sequence order
 # ---------------------------------------------------------------------------
 
-def _cmd_sql():
+def _cmd_sql(constraints=True):
     """DuckDB twin of apply_order_commands, written with windows and
     arg_max instead of the Spark aggregate/join formulation."""
     f_all = S.ORDER_FIELDS
@@ -42,6 +42,10 @@ def _cmd_sql():
     val = lambda f: f"json_extract_string(data, '$.{f}')"
     bad = " OR ".join(f"COALESCE({has(f)} AND {val(f)} IS NOT NULL AND TRY_CAST({val(f)} AS {t}) IS NULL, false)"
                       for f, t in SQL_TYPES.items())
+    null = " OR ".join(f"({has(f)} AND {val(f)} IS NULL)" for f in f_all)
+    negative = " OR ".join(f"COALESCE(TRY_CAST({val(f)} AS {t}) < 0, false)" for f, t in SQL_TYPES.items() if f != "order_date")
+    broken = (f"WHEN action IN ('create_order', 'update_order') AND ({null}) THEN 'NULL not allowed'\n"
+              f"    WHEN action IN ('create_order', 'update_order') AND ({negative}) THEN 'negative value'") if constraints else ""
     any_field = " OR ".join(has(f) for f in f_all)
     miss_req = " OR ".join(f"NOT {has(f)}" for f in CH.CREATE_REQUIRED)
 
@@ -70,6 +74,7 @@ chk AS (SELECT *, CASE
     WHEN action = 'update_order' AND NOT ({any_field}) THEN 'No fields to update'
     WHEN action = 'create_order' AND ({miss_req}) THEN 'missing required field'
     WHEN action IN ('create_order', 'update_order') AND ({bad}) THEN 'invalid value'
+    {broken}
   END AS reason FROM c),
 ok AS (SELECT * FROM chk WHERE reason IS NULL),
 created AS (SELECT (SELECT COALESCE(MAX(order_id), 0) FROM so) + ROW_NUMBER() OVER (ORDER BY seq) AS order_id,
@@ -88,7 +93,7 @@ patch AS (SELECT oid, {patch_cols} FROM applied GROUP BY oid)
 """
 
 
-_CMD_TARGET = _cmd_sql() + f"""
+_SELECT_TARGET = f"""
 SELECT s.order_id, {', '.join(
     (f"CASE WHEN p.p_{f} IS NOT NULL THEN TRY_CAST(p.p_{f}.v AS {SQL_TYPES[f]}) ELSE s.{f} END AS {f}"
      if f in SQL_TYPES else f"CASE WHEN p.p_{f} IS NOT NULL THEN p.p_{f}.v ELSE s.{f} END AS {f}")
@@ -96,6 +101,8 @@ SELECT s.order_id, {', '.join(
 FROM state s LEFT JOIN patch p ON p.oid = s.order_id
 WHERE s.order_id NOT IN (SELECT oid FROM died)"""
 
+_CMD_TARGET = _cmd_sql() + _SELECT_TARGET
+
 _CMD_CHANGES = _cmd_sql() + f"""
 SELECT seq, order_id, action, severity, data, TIMESTAMP '{AS_OF}' AS timestamp FROM (
   SELECT seq, order_id, 'created' AS action, 'success' AS severity, data FROM created
@@ -122,6 +129,13 @@ def q_r2_target(spark, d):
     return _apply_cmds(spark, d)["target"]
 
 
+@register("r2_commands_target_unconstrained", oracle(_cmd_sql(constraints=False) + _SELECT_TARGET, **ORDER_CASTS))
+def q_r2_target_free(spark, d):
+    """A table without constraints: a present null sets NULL."""
+    return CH.apply_order_commands(td.sales_orders(spark, d), td.order_commands(spark, d), as_of=AS_OF,
+                                   constraints=False)["target"]
+
+
 @register("r2_commands_changes", _CMD_CHANGES)
 def q_r2_changes(spark, d):
     return _apply_cmds(spark, d)["changes"]

@@ -26,7 +26,7 @@ SELECT order_id, COALESCE(ROW_NUMBER() OVER (PARTITION BY {KEYS} ORDER BY order_
          AS is_duplicate
 FROM so""")
 def q_w1(spark, d):
-    return Q.mark_duplicates(_dirty(spark, d)).select("order_id", "is_duplicate")
+    return Q.mark_duplicates(_dirty(spark, d), unique_ids=True).select("order_id", "is_duplicate")
 
 
 @register("w1_drop_duplicates", oracle(SOD + f"""
@@ -34,7 +34,37 @@ SELECT * EXCLUDE (rn) FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEYS} ORDER BY order_id) AS rn FROM so) t
 WHERE rn = 1""", doubles=MONEY_COLS, texts=("order_date",), bigints=("quantity",)))
 def q_w1_drop(spark, d):
-    return Q.drop_duplicates_keep_first(_dirty(spark, d))
+    return Q.drop_duplicates_keep_first(_dirty(spark, d), unique_ids=True)
+
+
+#: The table with some rows twice more: as they are, and with another status.
+_REPEATED = SOD + """, rep AS (
+  SELECT * FROM so UNION ALL SELECT * FROM so WHERE order_id % 3 = 0
+  UNION ALL SELECT * REPLACE ('again' AS status) FROM so WHERE order_id % 5 = 0)"""
+
+
+def _repeated(spark, d):
+    df = _dirty(spark, d)
+    again = df.filter("order_id % 5 = 0").withColumn("status", F.lit("again"))
+    return df.unionByName(df.filter("order_id % 3 = 0")).unionByName(again)
+
+
+@register("w1_mark_repeated_rows", _REPEATED + f"""
+SELECT order_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE rn > 1) AS flagged FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEYS} ORDER BY order_id) AS rn FROM rep) t
+GROUP BY order_id""")
+def q_w1_repeated(spark, d):
+    """Rows that share an id, identical ones too: one of them stays unflagged."""
+    return Q.mark_duplicates(_repeated(spark, d)).groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_duplicate").alias("flagged"))
+
+
+@register("w1_drop_repeated_rows", _REPEATED + f"""
+SELECT order_id, customer_name, category, CAST(quantity AS BIGINT) AS quantity FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEYS} ORDER BY order_id) AS rn FROM rep) t
+WHERE rn = 1""")
+def q_w1_drop_repeated(spark, d):
+    return Q.drop_duplicates_keep_first(_repeated(spark, d)).select("order_id", "customer_name", "category", "quantity")
 
 
 @register("a18_duplicate_report", SOD + f"""
@@ -51,7 +81,7 @@ SELECT order_id, customer_name, order_date, category FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEYS} ORDER BY order_id) AS rn FROM so) t
 WHERE rn > 1 ORDER BY order_id LIMIT 10""", texts=("order_date",)))
 def q_a18_ex(spark, d):
-    return Q.duplicate_examples(_dirty(spark, d), n=10)
+    return Q.duplicate_examples(_dirty(spark, d), n=10, unique_ids=True)
 
 
 # -- A19 --------------------------------------------------------------------------

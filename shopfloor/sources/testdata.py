@@ -294,8 +294,8 @@ def order_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     signup -> create_order (every 10th lacks ``quantity`` and is rejected),
     click -> update_order of the status (every 13th has no field),
-    purchase -> update_order of quantity and shipping (every 7th sets
-    shipping to JSON null), error -> delete_order, view -> get_order (a
+    purchase -> update_order of quantity (every 20th is -1) and shipping
+    (every 7th is JSON null), error -> delete_order, view -> get_order (a
     read command, not applied).  Target id = user_id * 100 + k.
     """
     e = read_table(spark, sf_dir, "events")
@@ -313,7 +313,7 @@ def order_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('", "subcategory": "web"}'))
     status = F.when(k % 13 == 0, F.concat(F.lit('{"order_id": "'), oid, F.lit('"}'))) \
         .otherwise(F.concat(F.lit('{"order_id": "'), oid, F.lit('", "status": "shipped"}')))
-    qty = F.concat(F.lit('{"order_id": "'), oid, F.lit('", "quantity": "'), (k % 20).cast("string"),
+    qty = F.concat(F.lit('{"order_id": "'), oid, F.lit('", "quantity": "'), (k % 20 - 1).cast("string"),
                    F.lit('", "shipping_cost": '),
                    F.when(k % 7 == 0, F.lit("null")).otherwise(F.concat(F.lit('"'), money, F.lit('"'))),
                    F.lit("}"))
@@ -340,7 +340,7 @@ SELECT event_id AS seq,
               || '", "subcategory": "web"}'
          WHEN 'click' THEN CASE WHEN k % 13 = 0 THEN '{"order_id": "' || oid || '"}'
                                 ELSE '{"order_id": "' || oid || '", "status": "shipped"}' END
-         WHEN 'purchase' THEN '{"order_id": "' || oid || '", "quantity": "' || CAST(k % 20 AS VARCHAR)
+         WHEN 'purchase' THEN '{"order_id": "' || oid || '", "quantity": "' || CAST(k % 20 - 1 AS VARCHAR)
               || '", "shipping_cost": ' || CASE WHEN k % 7 = 0 THEN 'null' ELSE '"' || money || '"' END || '}'
          ELSE '{"order_id": "' || oid || '"}' END AS data
 FROM (SELECT *, CAST(user_id * 100 + k AS VARCHAR) AS oid,

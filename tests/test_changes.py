@@ -37,7 +37,7 @@ def test_command_fixture(spark, orders_small):
         (12, "create_order", {"customer_name": "NoQty", "subtotal_amount": "5", "category": "x", "subcategory": "y"}),
         (13, "update_order", {"order_id": "0", "status": "x"}),
     ]
-    out = CH.apply_order_commands(orders_small, _cmds(spark, rows), as_of=AS_OF)
+    out = CH.apply_order_commands(orders_small, _cmds(spark, rows), as_of=AS_OF, constraints=False)
     t = {r.order_id: r for r in out["target"].collect()}
     assert 8 not in t and 12 not in t                       # deleted, incl. the one created in the batch
     z = t[11]
@@ -53,6 +53,22 @@ def test_command_fixture(spark, orders_small):
     assert (8, "updated", "info") in ch and (9, "deleted", "warning") in ch
 
 
+def test_commands_keep_the_table_constraints(spark, orders_small):
+    new = {"customer_name": "Zed", "quantity": "2", "subtotal_amount": "20.00", "category": "T", "subcategory": "P"}
+    rows = [(1, "create_order", new | {"quantity": "-5"}), (2, "create_order", new | {"order_date": None}),
+            (3, "create_order", new | {"tax_rate": "0"}), (4, "update_order", {"order_id": "3", "status": None}),
+            (5, "update_order", {"order_id": "3", "shipping_cost": "-0.01"}),
+            (6, "update_order", {"order_id": "3", "quantity": "0", "note": None}),
+            (7, "update_order", {"order_id": "3", "quantity": "many"}), (8, "delete_order", {"order_id": "999", "status": None})]
+    out = CH.apply_order_commands(orders_small, _cmds(spark, rows), as_of=AS_OF)
+    assert {r.seq: r.reason for r in out["rejects"].collect()} == {
+        1: "negative value", 2: "NULL not allowed", 4: "NULL not allowed", 5: "negative value", 7: "invalid value",
+        8: "Order not found"}
+    t = {r.order_id: r for r in out["target"].collect()}
+    before = {r.order_id: r for r in orders_small.collect()}
+    assert len(t) == 11 and t[11].customer_name == "Zed" and t[3].quantity == 0 and t[3].status == before[3].status
+
+
 def test_ids_from_text(spark):
     df = spark.createDataFrame([("1, 2,x, 4b",)], "ids string")
     assert [r.order_id for r in CH.ids_from_text(df).collect()] == [1, 2, 4]
@@ -108,14 +124,19 @@ def test_stock_deltas_match_sequential(spark, ds):
     assert min(got.values()) >= 0
 
 
-def _simulate(rows0, cmds, as_of_date="2024-06-01"):
+def _simulate(rows0, cmds, as_of_date="2024-06-01", constraints=True):
     """Sequential reference model: one command at a time against a dict.
     New ids continue after the largest id of the starting table (a deleted
     max id is not reused within a batch)."""
     table = {r[0]: list(r[1:]) for r in rows0}
     fields = S.ORDER_FIELDS
     next_id = max(table) if table else 0
-    for seq, action, data in sorted(cmds):
+    def broken(f, v):
+        return v is None or f in S.NUMERIC_FIELDS and float(v) < 0
+
+    for seq, action, data in sorted(cmds, key=lambda c: c[0]):
+        if constraints and any(broken(f, data[f]) for f in fields if f in data):
+            continue
         if action == "create_order":
             if not all(k in data for k in CH.CREATE_REQUIRED):
                 continue
@@ -160,13 +181,13 @@ cmd_strategy = st.lists(st.tuples(
     st.sampled_from(["create_order", "update_order", "update_order", "delete_order", "bogus"]),
     st.integers(0, 6),                                  # target id (0 = missing)
     st.sampled_from(["status", "quantity", "shipping_cost", "customer_name"]),
-    st.sampled_from(["shipped", "7", None, "3.5"]),
+    st.sampled_from(["shipped", "7", None, "3.5", "-2"]),
     st.booleans()), min_size=1, max_size=25)
 
 
 @settings(max_examples=10, deadline=None)
-@given(cmd_strategy)
-def test_command_fold_matches_sequential_model(spark, spec):
+@given(cmd_strategy, st.booleans())
+def test_command_fold_matches_sequential_model(spark, spec, constraints):
     base = [(1, "pending", "A", "2020-01-01", 1, "1.00", "0.0000", "1.00", "c", "s"),
             (2, "shipped", "B", "2020-01-02", 2, "2.00", "0.0000", "2.00", "c", "s"),
             (3, "pending", "C", "2020-01-03", 3, "3.00", "0.0000", "3.00", "c", "s")]
@@ -181,7 +202,7 @@ def test_command_fold_matches_sequential_model(spark, spec):
             data = {"order_id": str(oid)} if oid else {}
             if action == "update_order":
                 v = value
-                if field == "quantity" and v not in (None, "7"):
+                if field == "quantity" and v not in (None, "7", "-2"):
                     v = "7"
                 if field == "shipping_cost" and v in ("shipped",):
                     v = "3.5"
@@ -190,9 +211,9 @@ def test_command_fold_matches_sequential_model(spark, spec):
     target = spark.createDataFrame(
         [(i, st_, c, dt.date.fromisoformat(d), q, Decimal(s), Decimal(t), Decimal(sh), cat, sub)
          for i, st_, c, d, q, s, t, sh, cat, sub in base], S.ORDERS)
-    out = CH.apply_order_commands(target, _cmds(spark, cmds), as_of=AS_OF)["target"]
+    out = CH.apply_order_commands(target, _cmds(spark, cmds), as_of=AS_OF, constraints=constraints)["target"]
     got = {r.order_id: _norm_row([r[f] for f in S.ORDER_FIELDS]) for r in out.collect()}
-    model = _simulate([(r[0], *r[1:]) for r in base], cmds)
+    model = _simulate([(r[0], *r[1:]) for r in base], cmds, constraints=constraints)
     assert got == {k: _norm_row(v) for k, v in model.items()}
 
 

@@ -15,6 +15,20 @@ def test_duplicates_keep_first_null_keys_equal(orders_small):
     assert [r.order_id for r in Q.duplicate_examples(orders_small).collect()] == [2, 10]
 
 
+def test_repeated_ids_and_identical_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q, "REPEATS", 2)                  # a row's copies are written out by several tasks
+    rows = [(1, "a", "x")] * 5 + [(1, "a", "w"), (2, "a", "x"), (None, "a", "x"), (3, "b", "x"), (None, None, "x"),
+                                  (None, None, "x"), (4, "c", None), (4, "c", None)]
+    df = spark.createDataFrame(rows, "order_id long, customer_name string, status string")
+    marked = Q.mark_duplicates(df, keys=["customer_name"])
+    kept = sorted(map(tuple, marked.filter("NOT is_duplicate").drop("is_duplicate").collect()), key=str)
+    assert kept == sorted([(1, "a", "w"), (3, "b", "x"), (None, None, "x"), (4, "c", None)], key=str)
+    assert sorted(map(tuple, marked.drop("is_duplicate").collect()), key=str) == sorted(rows, key=str)
+    assert marked.filter("is_duplicate").count() == Q.duplicate_report(df, keys=["customer_name"]).first().duplicates_found
+    assert sorted(map(tuple, Q.drop_duplicates_keep_first(df, keys=["customer_name"]).collect()), key=str) == kept
+    assert Q.mark_duplicates(df.limit(0), keys=["customer_name"]).count() == 0
+
+
 def test_incomplete_counts(orders_small):
     rep = Q.incomplete_report(orders_small).first()
     assert (rep.total_records, rep.cleaned_records, rep.errors, rep.warnings) == (10, 6, 5, 10)
