@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import ids_text, process_cache, rows_of
+from .common import ids_text, process_cache, rows_of, small_batches
 from .tokens import FastIds, batches_of_texts, ragged
 from .vocab import Vocabulary, vocabulary
 
@@ -77,7 +77,7 @@ def encode_decode(docs: DataFrame, vocab_path: str) -> DataFrame:
                 pa.array([c.strings.sha256(i) for i in ids], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(ids_text()).mapInArrow(
+    return docs.select(ids_text()).transform(small_batches).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -93,7 +93,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
                                    pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))],
                                   names=["doc_id", "ids"])
 
-    return docs.select(ids_text()).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(ids_text()).transform(small_batches).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -107,4 +107,4 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
             yield pa.record_batch([pa.array([x[0] for x in got], pa.int64()),
                                    pa.array([x[1] for x in got], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").transform(small_batches).mapInArrow(run, "doc_id long, text string")

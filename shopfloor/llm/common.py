@@ -45,6 +45,22 @@ def rows_of(batches, columns):
         yield from zip(*(b.column(c).to_pylist() for c in columns))
 
 
+ARROW_BYTES = 2 << 20           # bytes of an Arrow batch on its way to a Python worker (a longer row alone)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is, its session's Arrow batches bounded by ``ARROW_BYTES``.
+
+    Rows hold whole texts, and a batch of 10,000 of them is held by the JVM
+    and by the worker at once.  A lower bound set by the user stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return df
+
+
 BATCH_CHARS = 1 << 20           # bytes of text handled at once (a longer text alone)
 
 

@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_text, offsets, written
+from .common import ids_text, offsets, small_batches, written
 
 WHITE = " \t\n\x0b\x0c\r"
 HEAD = 48                             # code points of a text that splitters look at
@@ -80,7 +80,7 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
         if waiting is not None:
             yield pa.record_batch([*waiting, pa.array([last], pa.string())], names=names)
 
-    return written(placed.mapInArrow(scan, "part int, run long, doc_id long, n_points int, text_sha256 string, "
+    return written(placed.transform(small_batches).mapInArrow(scan, "part int, run long, doc_id long, n_points int, text_sha256 string, "
                                            "first_text string, last_text string"), "content-order")
 
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import offsets
+from .common import offsets, small_batches
 from .packing import BROADCAST_ROWS
 from .runs import mix
 from .tokens import token_pieces
@@ -76,7 +76,7 @@ def sequences(docs: DataFrame, vocab_path: str, seq_len: int = 1024, end_id: int
                                    b.column("ids_crc32"), pa.array(slot, pa.int64())], names=names)
 
     out = numbered.select("doc_id", (F.col("start") / seq_len).cast("long").alias("seq_no"), "length", "ids", "ids_crc32",
-                          "number").mapInArrow(
+                          "number").transform(small_batches).mapInArrow(
         run, "doc_id long, seq_no long, n_tokens int, ids binary, ids_crc32 long, slot long")
     return out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")), total
 
@@ -126,7 +126,7 @@ def shard_blocks(seqs: DataFrame, total: int, seq_len: int = 1024, per_shard: in
             yield close()
 
     return (blocks.select("_b", "slot", "ids").repartition(tasks, "_b").sortWithinPartitions("_b", "slot")
-            .mapInArrow(run, SHARD_ROWS))
+            .transform(small_batches).mapInArrow(run, SHARD_ROWS))
 
 
 def write_shards(blocks: DataFrame, path: str) -> None:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_text, text_slices, written
+from .common import ids_text, small_batches, text_slices, written
 from .components import components
 from .shingles import DEPTH, TREES, labels, set_hashes, shingle_sets, signatures
 
@@ -63,7 +63,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                                    pa.array(two, pa.int64()), _binary(labels(sig)), _binary((sig & 255).astype(np.uint8))],
                                   names=["doc_id", "n_shingles", "set_a", "set_b", "labels", "sig"])
 
-    return written(docs.select(ids_text()).mapInArrow(
+    return written(docs.select(ids_text()).transform(small_batches).mapInArrow(
         run, "doc_id long, n_shingles long, set_a long, set_b long, labels binary, sig binary"), "signatures")
 
 
@@ -99,7 +99,7 @@ def _members(classes: DataFrame) -> DataFrame:
                                    pa.array(np.repeat(b.column("rep").to_numpy(), TREES), pa.int64())],
                                   names=["label", "tree", "rep"])
 
-    rows = classes.select("rep", "labels").mapInArrow(spread, "label long, tree int, rep long")
+    rows = classes.select("rep", "labels").transform(small_batches).mapInArrow(spread, "label long, tree int, rep long")
     regions = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # a large region: each member meets its own block and every other block of its region
     return (rows.join(regions, "label")
@@ -155,7 +155,7 @@ def _promising(classes: DataFrame) -> DataFrame:
             yield flush()
 
     members = _members(classes).join(classes.select("rep", "n", "sig", "labels"), "rep")
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, side int, rep long")
+    return members.repartition("key").sortWithinPartitions("key").transform(small_batches).mapInArrow(run, "key long, side int, rep long")
 
 
 def jaccard_links(sets: list[np.ndarray], allowed: np.ndarray) -> list[tuple[int, int]]:
@@ -212,7 +212,7 @@ def _links(docs: DataFrame, promising: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), pa.array([h[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:])],
                                                                 pa.binary())], names=["rep", "members"])
 
-    sets = texts.mapInArrow(members, "rep long, members binary").where("length(members) > 0").distinct()
+    sets = texts.transform(small_batches).mapInArrow(members, "rep long, members binary").where("length(members) > 0").distinct()
 
     def confirm(batches):
         import pyarrow as pa
@@ -227,7 +227,7 @@ def _links(docs: DataFrame, promising: DataFrame, width: int) -> DataFrame:
                                        pa.array([int(rep[j]) for _, j in got], pa.int64())], names=["a", "b"])
 
     return (promising.join(sets, "rep").repartition("key").sortWithinPartitions("key")
-            .mapInArrow(confirm, "a long, b long").where("a != b"))
+            .transform(small_batches).mapInArrow(confirm, "a long, b long").where("a != b"))
 
 
 def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import offsets
+from .common import offsets, small_batches
 from .tokens import token_pieces
 
 BROADCAST_ROWS = 1_000_000      # (task, length) rows up to which their offsets are broadcast
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, vocab_path: str, window: int = 4096, end_id: int = 2,
             yield pa.record_batch([pa.array(x, k) for x, k in list(zip(got, kinds))[:len(columns)]], names=columns)
 
     kinds = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, sequence_id long, place long"
-    placed = pieces.join(near(where), ["part", "class"]).mapInArrow(assign, kinds + ", ids binary" * with_ids)
+    placed = pieces.join(near(where), ["part", "class"]).transform(small_batches).mapInArrow(assign, kinds + ", ids binary" * with_ids)
     # at most ``window`` pieces meet in a sequence
     w = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long")) \

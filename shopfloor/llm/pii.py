@@ -30,7 +30,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_before, ids_text, rest_of, text_slices, written
+from .common import as_before, ids_text, rest_of, small_batches, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -158,7 +158,7 @@ def found(docs: DataFrame) -> DataFrame:
                                   names=["doc_id", "text_key", "base", "near"])
 
     rows = docs.select(*ids_text()).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return written(rows.mapInArrow(run, FOUND), "pii")
+    return written(rows.transform(small_batches).mapInArrow(run, FOUND), "pii")
 
 
 def bootstrapped(rows: DataFrame, rounds: int = ROUNDS, pattern_bound: float = PATTERN_BOUND,
@@ -236,5 +236,5 @@ def redacted(docs: DataFrame, **bounds) -> DataFrame:
                 out.append("".join([*parts, t[at:]]))
             yield pa.record_batch([b.column("rest"), pa.array(out, pa.string())], names=["rest", "text"])
 
-    done = joined.mapInArrow(run, joined.drop("added").schema)
+    done = joined.transform(small_batches).mapInArrow(run, joined.drop("added").schema)
     return as_before(done, docs.columns, text=F.col("text"))

@@ -26,7 +26,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, written
+from .common import offsets, small_batches, written
 
 OVERHEAD = 16
 NO_SHARD = -1                   # the old shard of rows that have none; all of them move
@@ -124,7 +124,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_new: int, capacity: dict[int,
                                    pa.array([n for n, _ in before], pa.int64()), pa.array([s for _, s in before], pa.int64())],
                                   names=[*b.schema.names, "part", "nth", "before"])
 
-    rows = written(placed.mapInArrow(running, "doc_id long, old_shard int, size long, text_crc32 long, part int, nth long, "
+    rows = written(placed.transform(small_batches).mapInArrow(running, "doc_id long, old_shard int, size long, text_crc32 long, part int, nth long, "
                                               "before long"), "reshard")
     sums = rows.groupBy("part", "old_shard").agg(F.sum("size").alias("bytes"))
     supply = {r[0]: r[1] for r in sums.groupBy("old_shard").agg(F.sum("bytes")).collect()}     # one row a shard

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import process_cache, text_slices
+from .common import process_cache, small_batches, text_slices
 from .runs import Powers, hashes
 
 NAMES = ["log_chars", "log_words", "mean_word", "max_word", "upper", "digit", "stops", "marks", "bangs", "bars", "signs",
@@ -102,4 +102,4 @@ def with_statistics(rows: DataFrame) -> DataFrame:
             got = pa.FixedSizeListArray.from_arrays(pa.array(statistics(texts).ravel()), len(NAMES))
             yield pa.record_batch([*b.columns, got.cast(pa.list_(pa.float64()))], names=[*b.schema.names, STATS])
 
-    return rows.mapInArrow(run, kinds)
+    return rows.transform(small_batches).mapInArrow(run, kinds)

@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import ids_text, process_cache, text_slices, written
+from .common import ids_text, process_cache, small_batches, text_slices, written
 from .runs import Powers, hashes
 from .vocab import _L, _N, _S, NOT_LATIN, Vocabulary, vocabulary
 
@@ -60,8 +60,8 @@ class LockStep:
         for width in self.WIDTHS:
             chosen = np.flatnonzero((sizes > least) & (sizes <= width))
             least = width
-            for at in range(0, len(chosen), 20_000):
-                rows = chosen[at:at + 20_000]
+            for at in range(0, len(chosen), 5_000):
+                rows = chosen[at:at + 5_000]
                 ids, counts[rows] = self._merge([data[i] for i in rows.tolist()], sizes[rows], width)
                 parts.append((rows, ids))
         for i in np.flatnonzero(sizes > least).tolist():
@@ -256,4 +256,4 @@ def token_pieces(docs: DataFrame, vocab_path: str, window: int, end_id: int, qua
                 yield pa.record_batch([pa.array(c[at:at + 2000], k) for c, k in zip(cols, kinds)],
                                       names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return written(docs.select(ids_text()).mapInArrow(run, PIECES), "pieces")
+    return written(docs.select(ids_text()).transform(small_batches).mapInArrow(run, PIECES), "pieces")
