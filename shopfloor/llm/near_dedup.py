@@ -22,9 +22,16 @@ Defined results: null texts, empty texts and texts without words have an
 empty set and are linked with nothing; texts with fewer words than the
 width have their whole sequence as one shingle; rows that repeat a doc_id
 count as one document with the sets of all of them, and each row is
-returned; a null doc_id can't be a representative: such rows take the
-component of their class, or null; an empty table gives an empty table;
-further columns are ignored (``deduplicated`` keeps them).
+returned; rows without a doc_id are compared like all others, but a null
+can't name a component: it has the smallest doc_id of its rows, or null if
+none has one; an empty table gives an empty table; further columns are
+ignored (``deduplicated`` keeps them).
+
+``kept`` is a document's mark, so rows that repeat a kept doc_id all have it.
+``deduplicated`` returns one row of each component: the one with the smallest
+doc_id (null last), then checksum, then row number.  Of the rows of a doc_id
+without words one stays, or none if the doc_id has other texts; rows without
+both words and doc_id all stay.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_text, small_batches, text_slices, written
+from .common import as_before, ids_text, rest_of, small_batches, text_slices, written
 from .components import components
 from .shingles import DEPTH, TREES, labels, set_hashes, shingle_sets, signatures
 
@@ -50,8 +57,16 @@ def _binary(matrix):
     return pa.array([raw[i * width:(i + 1) * width] for i in range(len(matrix))], pa.binary())
 
 
+def _checksum():
+    """A row's 64 bits, to find it again; what it finds is then told by its set."""
+    return F.xxhash64("doc_id", "text")
+
+
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """A written table with every row's set size, set hash, labels and signature."""
+    """A written table with every row's set size, set hash, labels and signature.
+
+    ``docs`` has doc_id, text and the row's number.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -59,12 +74,14 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             h, edges = shingle_sets(texts, width)
             sig = signatures(h, edges)
             one, two = set_hashes(h, edges)
-            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(edges), pa.int64()), pa.array(one, pa.int64()),
-                                   pa.array(two, pa.int64()), _binary(labels(sig)), _binary((sig & 255).astype(np.uint8))],
-                                  names=["doc_id", "n_shingles", "set_a", "set_b", "labels", "sig"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), b.column("checksum"), pa.array(np.diff(edges), pa.int64()),
+                                   pa.array(one, pa.int64()), pa.array(two, pa.int64()), _binary(labels(sig)),
+                                   _binary((sig & 255).astype(np.uint8))],
+                                  names=["doc_id", "row", "checksum", "n_shingles", "set_a", "set_b", "labels", "sig"])
 
-    return written(docs.select(ids_text()).transform(small_batches).mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, labels binary, sig binary"), "signatures")
+    return written(docs.select("doc_id", "row", _checksum().alias("checksum"), "text").transform(small_batches).mapInArrow(
+        run, "doc_id long, row long, checksum long, n_shingles long, set_a long, set_b long, labels binary, sig binary"),
+        "signatures")
 
 
 def _groups(batches, key: str):
@@ -198,21 +215,24 @@ def jaccard_links(sets: list[np.ndarray], allowed: np.ndarray) -> list[tuple[int
     return out
 
 
-def _links(docs: DataFrame, promising: DataFrame, width: int) -> DataFrame:
-    """Confirmed links (a, b) between representatives."""
-    promising = written(promising, "promising")
-    ids = promising.select(F.col("rep").alias("_rep")).distinct()
+def _links(docs: DataFrame, classes: DataFrame, promising: DataFrame, width: int) -> DataFrame:
+    """Confirmed links (a, b) between classes."""
+    promising = written(promising.join(classes.select("rep", "keeper.checksum", "set_a", "set_b"), "rep"), "promising")
+    ids = promising.select(F.col("checksum").alias("_checksum")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(ids_text()).join(ids, F.col("doc_id") == F.col("_rep"), "left_semi")
+    texts = docs.select("doc_id", "text").join(ids, _checksum() == F.col("_checksum"), "left_semi").select("text")
 
     def members(batches):
         import pyarrow as pa
-        for b, part in text_slices(batches):
+        for _, part in text_slices(batches):
             h, edges = shingle_sets(part, width)
-            yield pa.record_batch([b.column("doc_id"), pa.array([h[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:])],
-                                                                pa.binary())], names=["rep", "members"])
+            one, two = set_hashes(h, edges)
+            yield pa.record_batch([pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                                   pa.array([h[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:])], pa.binary())],
+                                  names=["set_a", "set_b", "members"])
 
-    sets = texts.transform(small_batches).mapInArrow(members, "rep long, members binary").where("length(members) > 0").distinct()
+    sets = texts.transform(small_batches).mapInArrow(members, "set_a long, set_b long, members binary") \
+        .where("length(members) > 0").distinct()
 
     def confirm(batches):
         import pyarrow as pa
@@ -226,39 +246,60 @@ def _links(docs: DataFrame, promising: DataFrame, width: int) -> DataFrame:
                 yield pa.record_batch([pa.array([int(rep[i]) for i, _ in got], pa.int64()),
                                        pa.array([int(rep[j]) for _, j in got], pa.int64())], names=["a", "b"])
 
-    return (promising.join(sets, "rep").repartition("key").sortWithinPartitions("key")
+    return (promising.select("key", "side", "rep", "set_a", "set_b").join(sets, ["set_a", "set_b"])
+            .select("key", "side", "rep", "members").repartition("key").sortWithinPartitions("key")
             .transform(small_batches).mapInArrow(confirm, "a long, b long").where("a != b"))
 
 
-def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _grouped(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``docs`` (doc_id, text, row), and the component of each
+    class: set_a, set_b, keeper (its first row), component (a class number),
+    component_id (the smallest doc_id, or null)."""
     rows = signed(docs, width)
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"),
-        F.first("labels").alias("labels"))
-    classes = written(classes, "classes")
-    compared = classes.where("rep IS NOT NULL")
-    roots = components(_links(docs, _promising(compared), width))
-    ends = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "set_a", "set_b", F.coalesce("root", "rep").alias("component"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "checksum", "row")).alias("keeper"),
+        F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("labels").alias("labels"))
+    # a class is known by its number in the written table: some have no doc_id, and a doc_id may have several
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    links = _links(docs, classes, _promising(classes), width)
     # rows that repeat a doc_id with other texts belong together
     several = (full.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("l"),
                                                                         F.max(F.struct("set_a", "set_b")).alias("h"))
-               .where("l != h").select(F.col("doc_id").alias("_id")))
-    found = rows.join(ends, ["set_a", "set_b"], "left")
+               .where("l != h").select(F.col("doc_id").alias("_id"), "l"))
     if not several.isEmpty():
-        tied = found.join(several, F.col("doc_id") == F.col("_id"), "left_semi").where("component IS NOT NULL")
-        again = components(tied.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
-        found = found.join(again, F.col("component") == F.col("node"), "left").withColumn(
-            "component", F.coalesce("root", "component"))
-    empty = F.col("n_shingles") == 0
-    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+        numbers = lambda c: classes.select(F.col("set_a").alias(c + "_a"), F.col("set_b").alias(c + "_b"), F.col("rep").alias(c))
+        tied = full.join(several, F.col("doc_id") == F.col("_id")).select(
+            F.col("l.set_a").alias("a_a"), F.col("l.set_b").alias("a_b"), F.col("set_a").alias("b_a"), F.col("set_b").alias("b_b"))
+        links = links.union(tied.distinct().join(numbers("a"), ["a_a", "a_b"]).join(numbers("b"), ["b_a", "b_b"]).select("a", "b"))
+    roots = components(links)
+    linked = classes.select("rep", "keeper").join(roots, F.col("rep") == F.col("node"))
+    lowest = linked.groupBy("root").agg(F.min("keeper.doc_id").alias("low")).withColumnRenamed("root", "_root")
+    named = roots.join(lowest, F.col("root") == F.col("_root")).select("node", "root", "low")
+    ends = classes.join(named, F.col("rep") == F.col("node"), "left").select(
+        "set_a", "set_b", "keeper", F.coalesce("root", "rep").alias("component"),
+        F.when(F.col("root").isNull(), F.col("keeper.doc_id")).otherwise(F.col("low")).alias("component_id"))
+    return rows, ends
+
+
+def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    rows, ends = _grouped(docs.select(*ids_text(), F.monotonically_increasing_id().alias("row")), width)
+    found = rows.where("n_shingles > 0").join(ends.select("set_a", "set_b", "component_id"), ["set_a", "set_b"], "left")
+    every = found.select("doc_id", "n_shingles", "component_id").union(
+        rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return every.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One document of each group, with all its columns; rows without an id stay."""
-    gone = near_groups(docs, width).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """One row of each component, with all its columns."""
+    # the copy fixes the rows' numbers
+    every = written(docs.select(rest_of(docs, "text"), F.col("`doc_id`").cast("long").alias("doc_id"),
+                                F.col("`text`").alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows, ends = _grouped(every.select(*ids_text(), "row"), width)
+    kept = ends.groupBy("component").agg(F.min("keeper").alias("keeper")).select("keeper.row")
+    empty = rows.where("n_shingles = 0")
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("most"), F.min("row").alias("row"))
+    kept = kept.union(ids.where("most = 0").select("row")).union(empty.where("doc_id IS NULL").select("row"))
+    gone = rows.select("row").join(kept, "row", "left_anti")
+    return as_before(every.join(gone, "row", "left_anti"), docs.columns, text=F.col("text"))

@@ -172,6 +172,23 @@ def test_near_groups_in_a_large_region(spark, monkeypatch):
     assert got == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Replayed rows, copies without an id and ids with several texts: rows are counted, not ids."""
+    text = [" ".join(f"t{k}x{i}" for i in range(40)) for k in range(6)]
+    data = [(1, text[0])] * 30 + [(2, text[0] + " more"), (3, text[1]), (None, text[1]), (None, text[1] + " end")]
+    data += [(None, text[2])] * 20 + [(None, text[2] + " tail")] * 5                    # no id in the whole group
+    data += [(6, text[3]), (6, text[4]), (7, text[4]), (6, ""), (8, ""), (8, ""), (None, ""), (None, None), (9, text[5])]
+    df = spark.createDataFrame([(i, t, f"r{n}") for n, (i, t) in enumerate(data)], "doc_id long, text string, extra string").repartition(5)
+    got = near_dedup.deduplicated(df, 5).collect()
+    assert collections.Counter(r.doc_id for r in got) == {1: 1, 3: 1, None: 3, 6: 1, 8: 1, 9: 1}
+    assert sorted(r.text or "" for r in got if r.doc_id is None)[:2] == ["", ""]
+    assert len({r.extra for r in got}) == len(got) and all((r.doc_id, r.text) == data[int(r.extra[1:])] for r in got)
+    rows = near_dedup.near_groups(df, 5).collect()
+    assert len(rows) == len(data)
+    assert collections.Counter(r.component_id for r in rows if r.doc_id is None) == {3: 2, None: 27}
+    assert {r.component_id for r in rows if r.doc_id in (6, 7) and r.n_shingles} == {6}
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(60).select((F.col("id") * 7 % 61).alias("a"), ((F.col("id") + 1) * 7 % 61).alias("b"))
     got = {r.node: r.root for r in components.components(links).collect()}
