@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import offsets, small_batches, written
+from .common import offsets, rest_of, small_batches, written
 
 OVERHEAD = 16
 NO_SHARD = -1                   # the old shard of rows that have none; all of them move
@@ -94,6 +94,13 @@ def block_edges(flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int, i
     return out
 
 
+def _keys(old_shard: Column, overhead: int) -> list[Column]:
+    """doc_id, old_shard, size, text_crc32 of a row."""
+    text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
+    return [F.col("`doc_id`").cast("long").alias("doc_id"), F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD)).alias("old_shard"),
+            (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32")]
+
+
 def reshard(docs: DataFrame, old_shard: Column, n_new: int, capacity: dict[int, int] | None = None,
             overhead: int = OVERHEAD) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot of every row.
@@ -102,10 +109,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_new: int, capacity: dict[int,
     rows of a new shard from 0.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
-    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD)).alias("old_shard"),
-                       (F.octet_length(text) + overhead).cast("long").alias("size"),
-                       F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    rows = docs.select(*_keys(old_shard, overhead))
     order = [F.col("old_shard"), F.col("size").desc(), F.col("doc_id"), F.col("text_crc32")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -158,12 +162,38 @@ def transfers(assignment: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
 
 
-def rewrite(docs: DataFrame, assignment: DataFrame, path: str) -> None:
-    """Write the shards whose rows change (given or taken); the others stay as they are."""
+CHUNK = 1 << 16                 # equal rows that are numbered together at most
+
+
+def _copies(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``copy``: the number of each among equal rows, from 0, in ``order`` of chunk and column.
+
+    Equal rows are numbered by chunks, so one row with a third of all repeats is no single task's work.
+    """
+    keys = ["no_id", "id", "size", "text_crc32", "old_shard"]
+    rows = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    before = offsets(rows.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n")), "chunk", "n", "base", by=keys)
+    nth = F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy(order)) - 1
+    return rows.withColumn("nth", nth).join(before.select(*keys, "chunk", "base"), [*keys, "chunk"]) \
+        .withColumn("copy", F.col("base") + F.col("nth")).drop("base", "nth", "chunk", "doc_id")
+
+
+def rewrite(docs: DataFrame, old_shard: Column, assignment: DataFrame, path: str, overhead: int = OVERHEAD) -> None:
+    """Write the shards whose rows change (given or taken); the others stay as they are.
+
+    ``docs``, ``old_shard`` and ``overhead`` are those of :func:`reshard`.  Each
+    row of ``docs`` takes one row of ``assignment`` with its doc_id, size,
+    checksum and old shard; rows that agree in these are interchangeable.
+    """
     moved = transfers(assignment)
     affected = moved.select(F.col("old_shard").alias("_shard")).union(moved.select("shard")).distinct()
-    rows = assignment.join(F.broadcast(affected), F.col("shard") == F.col("_shard"), "left_semi") \
-        .select(F.col("doc_id").alias("_doc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    (docs.join(rows, F.col("doc_id") == F.col("_doc")).drop("_doc")
+    # the copy fixes the rows' numbers
+    every = written(docs.select(rest_of(docs), *_keys(old_shard, overhead), F.monotonically_increasing_id().alias("row")), "rewrite")
+    rows = _copies(every.drop("rest").withColumn("chunk", F.floor(F.col("row") / CHUNK)), "row")
+    places = _copies(assignment.withColumn("chunk", F.struct("shard", F.floor(F.col("slot") / CHUNK).alias("c"))), "slot")
+    to = (rows.join(places, ["no_id", "id", "size", "text_crc32", "old_shard", "copy"])
+          .join(F.broadcast(affected), F.col("shard") == F.col("_shard"), "left_semi").select("row", "shard", "slot"))
+    (every.select("rest", "row").join(to, "row")
+     .select("rest.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
      .repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
      .write.partitionBy("_shard").parquet(path))

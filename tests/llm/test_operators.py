@@ -303,6 +303,29 @@ def test_sizes_are_near_equal(spark):
     assert len(sizes) == 10 and max(sizes) - min(sizes) < 0.005 * sum(sizes)
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 4])
+def test_rewritten_and_untouched_shards_hold_each_row_once(spark, scratch, monkeypatch, chunk):
+    monkeypatch.setattr(reshard, "CHUNK", chunk)
+    data = [(i, "x" * (i % 13), i % 3) for i in range(60)] + [(None, "no id", k % 4) for k in range(9)]
+    data += [(7, "again", k % 3) for k in range(40)] + [(8, None, 2), (8, "", 2), (None, None, None)]
+    keep = [(1000 + k, "stays", 5) for k in range(6)] + [(7, "again", 5)] * 3
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(data + keep)], "doc_id long, text string, old int, _row int").repartition(3)
+    old = F.col("old")
+    total = sum(len((t or "").encode()) + 16 for _, t, _ in data)
+    room = {n: total // 4 + 40 for n in range(4)} | {5: sum(len(t) + 16 for _, t, _ in keep)}
+    plan = reshard.reshard(df, old, 5, room).cache()
+    moves = {(r.old_shard, r.shard) for r in reshard.transfers(plan).collect()}
+    assert moves and all(5 not in m for m in moves)
+    reshard.rewrite(df, old, plan, scratch + "/new")
+    new = spark.read.parquet(scratch + "/new")
+    got = new.collect()
+    untouched = [n for n, r in enumerate(data + keep) if r[2] == 5]
+    assert sorted([r["_row"] for r in got] + untouched) == list(range(len(data + keep)))
+    assert all((r.doc_id, r.text, r.old) == (data + keep)[r["_row"]] for r in got)
+    places = lambda x: sorted((s, k) for s, k in x if s != 5)
+    assert places((r["_shard"], r["_slot"]) for r in got) == places((r.shard, r.slot) for r in plan.collect())
+
+
 # -- 8: training order -----------------------------------------------------------------------
 
 def test_permutation():
