@@ -5,12 +5,20 @@ They are the seed entities.  The words around them are lexical patterns:
 the two words before, and the word before with the word after.  The same
 patterns also stand around candidates: strings of the shape of an
 identifier that no base rule takes (an address without a domain ending, a
-number that fails its check, ...).  Patterns and instances form a graph,
-with a seed's score fixed at 1.  In each round a pattern's score is the
-share of its instances that are believed, damped for few instances, and an
-instance's score is the chance that at least one of its trusted patterns is
-right.  Patterns and instances above the bounds are trusted; occurrences of
-trusted instances inside a trusted pattern are added to the base spans.
+number that fails its check, ...).  Patterns and instances form a graph.  In
+each round a pattern's score is the share of believed instances in its
+evidence, damped for little evidence: against it are instances known to be
+something else, which are the seeds of other kinds in the same words, dates,
+and candidates that are a seed of another kind elsewhere.  An instance that
+isn't known yet is no evidence either way, so a context may hold any share of
+them.  An instance's score is the chance that at least one of its trusted
+patterns is right.  Patterns and instances above the bounds are trusted, and
+stay so; rounds go on until none is added.  Occurrences of trusted instances
+inside a trusted pattern are added to the base spans.
+
+A word of a pattern longer than ``WORD`` characters counts by the ``WORD``
+nearest to the span, and ends the pattern on its side; white space of any
+length is skipped.
 
 The graph is a table of (pattern, kind, instance) counts and lives in
 Spark; its two sides are summed with partial aggregation, so a pattern that
@@ -33,11 +41,11 @@ from pyspark.sql import functions as F
 from .common import as_before, ids_text, rest_of, small_batches, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 PATTERN_BOUND = 0.8
 INSTANCE_BOUND = 0.8
 SUPPORT = 4                     # believed instances that a pattern needs
 DAMPING = 1.0
+WORD = 256                      # characters of a word in a pattern
 
 # An address is found from its @: whatever stands before it belongs to it.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,22 +128,47 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 
+_NEXT = re.compile(r"\s*(\S{0,%d})" % WORD)
+
+
+def _before(text: str, end: int) -> tuple[str, int]:
+    """The word before ``end``, or its last part, and where it begins (0 if no pattern goes further)."""
+    while end and text[end - 1].isspace():
+        end -= 1
+    start, least = end, max(0, end - WORD)
+    while start > least and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end], 0 if start and not text[start - 1].isspace() else start
+
+
+def _alike(word: str) -> str:
+    return re.sub("[0-9]+", "0", word.lower())
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span; digits are made alike."""
-    left = text[max(0, start - 80):start].lower().split()
-    right = text[end:end + 40].lower().split()
-    alike = lambda w: re.sub("[0-9]+", "0", w)[-24:]
-    a, b = alike(left[-2]) if len(left) > 1 else "", alike(left[-1]) if left else ""
-    c = alike(right[0]) if right else ""
+    b, at = _before(text, start)
+    a = _alike(_before(text, at)[0])
+    b, c = _alike(b), _alike(_NEXT.match(text, end)[1])
     return [f"l {a} {b}", f"b {b} _ {c}"]
 
 
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([ ./-]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])"
+                   r"|(?:0?[1-9]|[12][0-9]|3[01])([ ./-])(?:0?[1-9]|1[0-2])\2(?:19|20)[0-9]{2}"
+                   r"|(?:19|20)[0-9]{2} ?- ?(?:19|20)[0-9]{2}")
+
+
+def known_wrong(text: str) -> bool:
+    """A candidate that is something else: a date or a span of years."""
+    return _DATE.fullmatch(text) is not None
+
+
 def instance(text: str, k: int) -> str:
     return text.lower() if k == 0 else _digits(text) if k != 1 else text
 
 
 FOUND = ("doc_id long, text_key long, base array<struct<s:int,k:int,e:int>>, "
-         "near array<struct<s:int,k:int,e:int,seed:boolean,i:string,p:array<string>>>")
+         "near array<struct<s:int,k:int,e:int,seed:boolean,wrong:boolean,i:string,p:array<string>>>")
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -145,14 +178,15 @@ def found(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         span = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
         near = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("seed", pa.bool_()),
-                                   ("i", pa.string()), ("p", pa.list_(pa.string()))]))
+                                   ("wrong", pa.bool_()), ("i", pa.string()), ("p", pa.list_(pa.string()))]))
         for b, texts in text_slices(batches):
             bases, nears = [], []
             for t in texts:
                 base = base_spans(t)
                 more = candidates(t, base)
                 bases.append([{"s": s, "k": k, "e": e} for s, k, e in base])
-                nears.append([{"s": s, "k": k, "e": e, "seed": seed, "i": instance(t[s:e], k), "p": contexts(t, s, e)}
+                nears.append([{"s": s, "k": k, "e": e, "seed": seed, "wrong": not seed and known_wrong(t[s:e]),
+                               "i": instance(t[s:e], k), "p": contexts(t, s, e)}
                               for seed, spans in ((True, base), (False, more)) for s, k, e in spans])
             yield pa.record_batch([b.column("doc_id"), b.column("text_key"), pa.array(bases, span), pa.array(nears, near)],
                                   names=["doc_id", "text_key", "base", "near"])
@@ -161,33 +195,44 @@ def found(docs: DataFrame) -> DataFrame:
     return written(rows.transform(small_batches).mapInArrow(run, FOUND), "pii")
 
 
-def bootstrapped(rows: DataFrame, rounds: int = ROUNDS, pattern_bound: float = PATTERN_BOUND,
-                 instance_bound: float = INSTANCE_BOUND, support: int = SUPPORT,
-                 damping: float = DAMPING) -> DataFrame:
+def bootstrapped(rows: DataFrame, pattern_bound: float = PATTERN_BOUND, instance_bound: float = INSTANCE_BOUND,
+                 support: int = SUPPORT, damping: float = DAMPING) -> DataFrame:
     """(doc_id, text_key, added): the spans that trusted patterns add."""
     near = rows.select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.*")
     # an edge once, however often it occurs: copies of a text are no evidence
-    edges = near.select(F.explode("p").alias("p"), "k", "i", "seed").groupBy("p", "k", "i") \
-        .agg(F.max("seed").alias("seed"))
-    # patterns without a seed can't be trusted in the first round, nor later ones without believed instances
+    edges = near.select(F.explode("p").alias("p"), "k", "i", "seed", "wrong").groupBy("p", "k", "i") \
+        .agg(F.max("seed").alias("seed"), F.max("wrong").alias("wrong"))
+    edges = written(edges, "pii-edges")
+    seeds = edges.where("seed").select("k", "i").distinct()
+    # digits that are a seed of another kind elsewhere are better explained by that
+    other = (edges.where("NOT seed").select("k", "i").distinct().join(seeds.withColumnRenamed("k", "_k"), "i")
+             .where("k != _k").select("k", "i").distinct().join(seeds, ["k", "i"], "left_anti").withColumn("other", F.lit(True)))
+    edges = edges.join(other, ["k", "i"], "left").select(
+        "p", "k", "i", "seed", (~F.col("seed") & (F.col("wrong") | F.coalesce("other", F.lit(False)))).alias("wrong"))
     edges = written(edges, "pii-edges")
-    scores = edges.groupBy("k", "i").agg(F.max(F.col("seed").cast("double")).alias("score")).where("score > 0")
-    trusted = None
-    for _ in range(rounds):
-        patterns = (edges.join(scores, ["k", "i"], "left").groupBy("p", "k").agg(
-            F.sum(F.coalesce("score", F.lit(0.0))).alias("good"), F.count(F.lit(1)).alias("all"))
-            .select("p", "k", "good", (F.col("good") / (F.col("all") + F.lit(damping))).alias("trust"))
-            .where((F.col("good") >= support) & (F.col("trust") >= pattern_bound)))
-        trusted = written(patterns.select("p", "k", "trust"), "pii-patterns")
-        # the chance that one of the patterns is right; seeds stay at 1
-        scores = (edges.join(trusted, ["p", "k"]).groupBy("k", "i").agg(
-            F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-12)))))).alias("s"))
-            .select("k", "i", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("s")).alias("score"))
-            .where(F.col("score") >= instance_bound))
-        scores = written(scores.unionByName(edges.where("seed").select("k", "i", F.lit(1.0).alias("score")))
-                         .groupBy("k", "i").agg(F.max("score").alias("score")), "pii-scores")
-    more = near.where(~F.col("seed")).select("doc_id", "text_key", "s", "k", "e", "i", F.explode("p").alias("p"))
-    added = (more.join(trusted.select("p", "k"), ["p", "k"], "left_semi").join(scores.select("k", "i"), ["k", "i"], "left_semi")
+    # the evidence against a pattern stays the same in all rounds: more belief never takes trust away
+    every = edges.groupBy("p").agg(F.sum(F.col("seed").cast("long")).alias("seeds"))
+    against = (edges.groupBy("p", "k").agg(F.sum(F.col("seed").cast("long")).alias("own"), F.sum(F.col("wrong").cast("long")).alias("wrong"))
+               .join(every, "p").select("p", "k", (F.col("wrong") + F.col("seeds") - F.col("own")).alias("bad")))
+    against = written(against, "pii-against")
+    believed, n_patterns, n_believed = written(seeds, "pii-believed"), 0, seeds.count()
+    while True:
+        patterns = (edges.join(believed, ["k", "i"]).groupBy("p", "k").agg(F.count(F.lit(1)).alias("good"))
+                    .where(F.col("good") >= support).join(against, ["p", "k"])
+                    .select("p", "k", (F.col("good") / (F.col("good") + F.col("bad") + F.lit(damping))).alias("trust"))
+                    .where(F.col("trust") >= pattern_bound))
+        trusted = written(patterns, "pii-patterns")
+        # the chance that one of the patterns is right; what is known to be wrong is never believed
+        scores = (edges.where("NOT wrong").join(trusted, ["p", "k"]).groupBy("k", "i").agg(
+            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-12)))))).alias("score"))
+            .where(F.col("score") >= instance_bound).select("k", "i"))
+        believed = written(scores.union(believed).distinct(), "pii-believed")
+        now = trusted.count(), believed.count()
+        if now == (n_patterns, n_believed):                      # both only grow
+            break
+        n_patterns, n_believed = now
+    more = near.where("NOT seed AND NOT wrong").select("doc_id", "text_key", "s", "k", "e", "i", F.explode("p").alias("p"))
+    added = (more.join(trusted.select("p", "k"), ["p", "k"], "left_semi").join(believed, ["k", "i"], "left_semi")
              .select("doc_id", "text_key", "s", "k", "e").distinct())
     return added.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("added"))
 

@@ -246,6 +246,51 @@ def test_trusted_contexts_add_spans(spark):
     assert got[101] == [] and got[3] == []
 
 
+def card(k, good=True):
+    body = f"4{k:014d}"
+    c = next(c for c in range(10) if pii.luhn(body + str(c)))
+    return body + str(c if good else (c + 1) % 10)
+
+
+def added_in(spark, texts):
+    """Per text, the strings that were added."""
+    got = {r.doc_id: r.added for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [[t[x.s:x.e] for x in got[k]] for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("share", [10, 25, 50])
+def test_a_context_may_hold_many_unseen_identifiers(spark, share):
+    n = 20
+    unseen = [card(100 + k, False) for k in range(n * share // (100 - share))]
+    texts = [f"please charge card number {x} today friend" for x in [card(k) for k in range(n)] + unseen]
+    assert added_in(spark, texts) == [[]] * n + [[x] for x in unseen]
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    """Each hop's identifiers stand among those of the hop before."""
+    hops = [[card(100 * h + k, h == 0) for k in range(5)] for h in range(8)]
+    texts = [f"some {'abcdefgh'[h]}tag {x} after {'abcdefgh'[h]}end" for h in range(7) for x in hops[h] + hops[h + 1]]
+    want = [[] if x in hops[0] else [x] for h in range(7) for x in hops[h] + hops[h + 1]]
+    assert added_in(spark, texts) == want
+
+
+def test_words_around_a_span_are_whole_and_found_over_white_space(spark):
+    long = "q" * 60
+    assert pii.contexts(f"x {long}A {long}b" + " " * 200 + "1.2.3.4" + " " * 90 + f"{long}Tail z", 325, 332) == [
+        f"l {long}a {long}b", f"b {long}b _ {long}tail"]
+    assert pii.contexts("1.2.3.4", 0, 7) == ["l  ", "b  _ "]
+    assert pii.contexts("a tel:1.2.3.4,b c", 6, 13) == ["l a tel:", "b tel: _ ,b"]
+
+
+def test_evidence_against_a_context(spark):
+    """Words that stand around several kinds, and dates, are no sign of one kind."""
+    texts = [f"it is the {x} of that" for k in range(8) for x in (card(k), f"10.0.0.{k}", f"a{k}@b.example")]
+    texts += [f"it is the {card(500, False)} of that"]
+    texts += [f"call us on +1 212 555 01{k:02d} or so" for k in range(8)] + ["call us on 2019-05-12 or so", "call us on 212 555 0177 or so"]
+    got = added_in(spark, texts)
+    assert got[:-1] == [[]] * (len(texts) - 1) and got[-1] == [texts[-1][11:23]]
+
+
 # -- 7: quality --------------------------------------------------------------------------
 
 def test_scores(spark, docs, clashing, empty):
