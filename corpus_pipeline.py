@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.remove_repeated_lines(docs, drop_emptied=True))
+    return _counted(line_dedup.remove_repeated_lines(docs, drop_emptied=True, passage_words=line_dedup.PASSAGE_WORDS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

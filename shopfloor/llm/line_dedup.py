@@ -6,13 +6,19 @@ position); every later occurrence covers its three lines.  Covered
 positions of a document are merged and these lines are removed.  Only
 DataFrame functions, no Python in the tasks.
 
+The strict windows miss a shared passage of one or two lines.  With
+``passage_words`` a run of fewer lines is a window too if it has more words
+than that; the corpus pipeline asks for it, ``op4_line_windows`` and its SQL
+twin do not.
+
 A frequent window is first counted and reduced to its first occurrence
 within each task, so no key's rows meet in one task; the way back from
 windows to documents carries the repeated windows only.
 
 Defined results: lines are split at newlines; a window of three blank
 lines (white space only) never counts; a null text stays null and has no
-lines; texts with fewer than three lines stay as they are; a document
+lines; texts with fewer than three lines stay as they are (without
+``passage_words``); a document
 may lose all lines (its text is then empty); rows that repeat a doc_id
 are taken apart by their text, the copies of one row keep the same lines,
 as the first of them does; an empty table gives an empty table; further
@@ -27,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import as_before, ids_text, rest_of
 
 LINES = 3
+PASSAGE_WORDS = 50              # a run of fewer lines needs more words than this
 
 
 def _window_hashes(lines: str, n: int) -> str:
@@ -38,25 +45,39 @@ def _window_hashes(lines: str, n: int) -> str:
             f"NULL, named_struct('p', p, 'a', xxhash64({parts}), 'b', xxhash64('w', {back})))), w -> w IS NOT NULL)")
 
 
-def covered_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
+def _passage_hashes(lines: str, words: str, n: int, most: int) -> str:
+    """SQL: as ``_window_hashes``, of the runs of ``n`` lines with more than ``most`` words."""
+    parts = ", ".join(f"{lines}[p + {k}]" for k in range(n))
+    back = ", ".join(f"{lines}[p + {k}]" for k in reversed(range(n)))
+    count = " + ".join(f"{words}[p + {k}]" for k in range(n))
+    return (f"transform(filter(sequence(0, greatest(size({lines}) - {n}, 0)), p -> p + {n} <= size({lines}) AND {count} > {most}), "
+            f"p -> named_struct('p', p, 'a', xxhash64({n}, {parts}), 'b', xxhash64('w', {n}, {back})))")
+
+
+def covered_lines(docs: DataFrame, n: int = LINES, passage_words: int | None = None) -> DataFrame:
     """(doc_id, text_key, covered): the positions that later occurrences cover."""
-    rows = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", F.xxhash64("text").alias("text_key"),
-        F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= n)
-    windows = rows.select("doc_id", "text_key", F.expr(f"inline({_window_hashes('lines', n)})"))
+    every = docs.where(F.col("text").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n", -1).alias("lines"))
+    rows = every.where(F.size("lines") >= n)
+    windows = rows.select("doc_id", "text_key", F.lit(n).alias("n"), F.expr(f"inline({_window_hashes('lines', n)})"))
+    if passage_words is not None:
+        counted = every.withColumn("words", F.expr("transform(lines, x -> regexp_count(x, '[^ \\t\\r\\f\\x0B]+'))"))
+        for k in range(1, n):
+            windows = windows.unionByName(counted.select(
+                "doc_id", "text_key", F.lit(k).alias("n"), F.expr(f"inline({_passage_hashes('lines', 'words', k, passage_words)})")))
     first = windows.groupBy("a", "b").agg(
         F.min(F.struct(F.col("doc_id"), F.col("text_key"), F.col("p"))).alias("first"),
         F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b", "first")
     later = windows.join(first, ["a", "b"]).where(
         F.struct("doc_id", "text_key", "p") != F.col("first"))
-    return (later.groupBy("doc_id", "text_key").agg(F.collect_set("p").alias("at"))
+    return (later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "n")).alias("at"))
             .select("doc_id", "text_key",
-                    F.expr(f"array_distinct(flatten(transform(at, p -> sequence(p, p + {n - 1}))))").alias("covered")))
+                    F.expr("array_distinct(flatten(transform(at, x -> sequence(x.p, x.p + x.n - 1))))").alias("covered")))
 
 
-def with_counts(docs: DataFrame, n: int = LINES) -> DataFrame:
+def with_counts(docs: DataFrame, n: int = LINES, passage_words: int | None = None) -> DataFrame:
     """rest (the other columns), doc_id, text without covered lines, n_lines, n_removed of every row."""
-    covered = covered_lines(docs.select(ids_text()), n).select(
+    covered = covered_lines(docs.select(ids_text()), n, passage_words).select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("covered"))
     rows = docs.select(rest_of(docs, "text"), *ids_text())
     joined = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
@@ -69,10 +90,11 @@ def with_counts(docs: DataFrame, n: int = LINES) -> DataFrame:
         F.expr(f"IF(covered IS NULL, text, {kept})").alias("text"))
 
 
-def remove_repeated_lines(docs: DataFrame, n: int = LINES, drop_emptied: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, n: int = LINES, drop_emptied: bool = False,
+                          passage_words: int | None = None) -> DataFrame:
     """``docs`` with the text without covered lines; documents that lose all their
     lines go if ``drop_emptied``."""
-    rows = with_counts(docs, n)
+    rows = with_counts(docs, n, passage_words)
     if drop_emptied:
         rows = rows.where("n_removed = 0 OR n_removed < n_lines")
     return as_before(rows, docs.columns, text=F.col("text"))

@@ -67,6 +67,15 @@ def test_line_stage_drops_emptied_documents(spark, folder):
     assert got == sorted(((i, t) for i, n, gone, t in lines_expected() if gone == 0 or gone < n), key=repr)
 
 
+def test_line_stage_drops_passages_of_one_and_two_lines(spark, folder):
+    passage = lambda k, n: " ".join(f"p{k}w{i}" for i in range(n))
+    one, x, y, short = passage(1, 51), passage(2, 20), passage(3, 31), passage(4, 50)
+    texts = [one, f"a\n{one}\nb", f"c\n{x}\n{y}\nd", f"e\n{x}\n{y}\nf", f"{y}\ng\n{x}", one, f"h\n{short}\ni", f"j\n{short}\nk"]
+    docs = spark.createDataFrame([(k, t, None, None, len(t)) for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.text for r in P.drop_repeated_lines(spark, docs, folder).collect()}
+    assert got == {0: one, 1: "a\nb", 2: texts[2], 3: "e\nf", 4: texts[4], 6: texts[6], 7: texts[7]}
+
+
 def test_empty_tables(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
