@@ -138,10 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
               .where(~held_out("_id")).orderBy(F.xxhash64("_id", F.lit("fit")), "_id").limit(fit_rows))
     rows = docs.select(F.col("`doc_id`").cast("long").alias("_id"), F.col("`text`").cast("string").alias("text")) \
         .join(F.broadcast(chosen), "_id")                 # at most ``fit_rows`` rows of two numbers
-    got = with_statistics(rows).select("_id", "_y", STATS).toPandas()
-    # rows that repeat a document: the one with the smallest statistics
+    # rows that repeat a document: the one with the smallest statistics, so that ``fit_rows`` rows reach the driver at most
+    got = with_statistics(rows).groupBy("_id").agg(F.min("_y").alias("_y"), F.min(STATS).alias(STATS)).toPandas()
     got = sorted(zip(got["_id"], got["_y"], map(tuple, got[STATS])))
-    got = [g for k, g in enumerate(got) if k == 0 or g[0] != got[k - 1][0]]
     return fit(np.array([g[2] for g in got], float).reshape(-1, len(NAMES)), np.array([g[1] for g in got], float))
 
 

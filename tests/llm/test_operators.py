@@ -306,6 +306,23 @@ def test_scores(spark, docs, clashing, empty):
     assert kept.columns == clashing.columns and kept.count() == len(rows())
 
 
+def test_one_row_of_a_document_reaches_the_driver(spark, monkeypatch):
+    """A labelled document with most of the rows, its texts not all alike."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    once = [(k, f"text number {k} " * (k % 7 + 1) + "!" * (k % 2 * 40)) for k in range(60)]
+    hot = next(k for k in range(1, 60, 2) if zlib.crc32(str(k).encode()) % 5)
+    more = [(hot, once[hot][1])] * 200 + [(hot, "zzz " * 30)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    sent, plain = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda df: sent.append(plain(df)) or sent[-1])
+    models = [quality.train(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (once, once + more[:-1], once + more)]
+    assert [len(x) for x in sent] == [sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(60))] * 3
+    assert models[0] == models[1]
+    rows = [tuple(s) for k, s in zip(sent[2]["_id"], sent[2][quality.STATS]) if k == hot]
+    both = quality.with_statistics(spark.createDataFrame([more[0], more[-1]], "doc_id long, text string")).collect()
+    assert rows == [min(tuple(r[quality.STATS]) for r in both)]
+
+
 def test_held_out_accuracy(spark):
     q = E.queries()["op7_rule_ensemble"](spark, "/root/testdata/sf0.01")
     got = q.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
