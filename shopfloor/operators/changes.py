@@ -249,14 +249,19 @@ def replace_rows(target: DataFrame, rows: DataFrame, key: str, seq: str | None =
                  required: list[str] = ()) -> dict[str, DataFrame]:
     """D3: the source row replaces every non-key field of the target row.
 
-    A row without one of the ``required`` fields goes to ``rejects`` (P18).
+    A row without one of the ``required`` fields, or without a given ``seq``,
+    goes to ``rejects`` with a reason (P18).
 
     Several source rows for one key: the last by ``seq`` wins (W5); without
     ``seq`` the one whose row is last in its text form, so that a key never
     gets two rows.  Keys missing from the target are returned as ``not_found``.
     """
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required], F.lit(True))
-    rejects, rows = rows.filter(~whole), rows.filter(whole)
+    rejects = rows.filter(~whole).withColumn("reason", F.concat(F.lit("missing: "), F.concat_ws(
+        ",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required])))
+    rows = rows.filter(whole)
+    if seq:
+        rejects = rejects.unionByName(without_position(rows, seq))
     src = last_per_key(rows, key, seq) if seq else _one_per_key(rows, key)
     src = src.select(*target.columns)
     keys = src.select(F.col(key).alias("_k"))
@@ -379,6 +384,11 @@ def last_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
 
+def without_position(rows: DataFrame, seq: str) -> DataFrame:
+    """The rows that :func:`last_per_key` can't place, with a reason."""
+    return rows.where(F.col(seq).isNull()).withColumn("reason", F.lit(f"no {seq}"))
+
+
 def _one_per_key(rows: DataFrame, key: str) -> DataFrame:
     return last_per_key(rows.withColumn("_seq", F.lit(0)), key, "_seq").drop("_seq")
 
@@ -388,8 +398,10 @@ def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = Non
 
     The source is first reduced to one row per key (last by ``seq``), then
     ``target`` minus source keys (``left_anti``) plus the source rows.
+    Source rows without a ``seq`` are ``rejects`` with a reason.
     Written once by the caller (atomically, to a new directory/version).
     """
+    rejects = without_position(source, seq) if seq else source.where(F.lit(False)).withColumn("reason", F.lit(""))
     src = last_per_key(source, key, seq) if seq else _one_per_key(source, key)
     src = src.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
     keys = src.select(F.col(key).alias("_k"))
@@ -397,8 +409,9 @@ def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = Non
     existing = src.join(target.select(key), key, "left_semi")
     report = (src.join(target.select(key).withColumn("_old", F.lit(True)), key, "left")
               .agg(F.count_if(F.col("_old").isNull()).cast("bigint").alias("inserted"),
-                   F.count_if(F.col("_old").isNotNull()).cast("bigint").alias("updated")))
-    return {"target": kept.unionByName(src), "updated": existing.select(key), "report": report}
+                   F.count_if(F.col("_old").isNotNull()).cast("bigint").alias("updated"))
+              .crossJoin(rejects.agg(F.count(F.lit(1)).alias("rejected"))))
+    return {"target": kept.unionByName(src), "updated": existing.select(key), "rejects": rejects, "report": report}
 
 
 # ---------------------------------------------------------------------------

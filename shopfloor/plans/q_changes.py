@@ -493,7 +493,7 @@ def q_d12(spark, d):
 SELECT COUNT(*) FILTER (WHERE order_id NOT IN (SELECT order_id FROM so)) AS inserted,
        COUNT(*) FILTER (WHERE order_id IN (SELECT order_id FROM so)) AS updated FROM last""")
 def q_d12_rep(spark, d):
-    return CH.upsert(td.sales_orders(spark, d), _import_rows(spark, d), "order_id", seq="seq")["report"]
+    return CH.upsert(td.sales_orders(spark, d), _import_rows(spark, d), "order_id", seq="seq")["report"].drop("rejected")
 
 
 _DELTA_SQL = _CMD_TARGET.replace("\nSELECT s.order_id,", ", new_t AS (SELECT s.order_id,", 1) + """)

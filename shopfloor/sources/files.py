@@ -122,7 +122,7 @@ def import_orders(target: DataFrame, source: DataFrame) -> dict[str, DataFrame]:
     rejects = tagged.filter(F.size("violations") > 0).drop("_seq")
     typed = good.select(*[values[f.name].alias(f.name) for f in S.ORDERS.fields], "_seq")
     res = upsert(target, typed, "order_id", seq="_seq")
-    return {"target": res["target"], "rejects": rejects, "report": res["report"]}
+    return {"target": res["target"], "rejects": rejects, "report": res["report"].drop("rejected")}
 
 
 def bi_feed(orders: DataFrame, path: str, as_of_ts=None) -> DataFrame:

@@ -235,6 +235,20 @@ def test_one_row_per_key_without_positions(spark, orders_small):
     assert [(r.k, r.v) for r in CH.last_per_key(rows, "k", "seq").collect()] == [(2, "c")]
 
 
+def test_rows_without_a_position_are_rejects(spark, orders_small):
+    src = orders_small.filter("order_id IN (1, 2, 3)").withColumn("seq", F.when(F.col("order_id") != 2, F.col("order_id"))) \
+        .withColumn("quantity", F.lit(9))
+    up = CH.upsert(orders_small, src, "order_id", seq="seq")
+    assert [(r.order_id, r.reason) for r in up["rejects"].collect()] == [(2, "no seq")]
+    assert tuple(up["report"].first()) == (0, 2, 1) and up["report"].columns == ["inserted", "updated", "rejected"]
+    assert up["target"].count() == orders_small.count()
+    new = CH.replace_rows(orders_small, src.withColumn("category", F.when(F.col("order_id") != 3, F.col("category"))), "order_id",
+                          seq="seq", required=["status", "category"])
+    assert sorted((r.order_id, r.reason) for r in new["rejects"].collect()) == [(2, "no seq"), (3, "missing: category")]
+    assert [r.order_id for r in new["replaced"].collect()] == [1]
+    assert CH.upsert(orders_small, src.drop("seq"), "order_id")["rejects"].count() == 0
+
+
 def test_replace_needs_all_required_fields(spark, orders_small):
     rows = orders_small.filter("order_id IN (1, 2)").withColumn("status", F.lit("delivered")).withColumn(
         "category", F.when(F.col("order_id") == 1, F.col("category")))
