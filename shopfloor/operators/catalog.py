@@ -74,8 +74,9 @@ def orders_with_item_arrays(orders: DataFrame, items: DataFrame, ids: DataFrame,
 
     ``ids`` has the asked order ids in ``key``.  Both tables are reduced to
     them before anything is gathered, so only lists that were asked for are
-    built; whole tables use the flat form.  An order without items has an
-    empty list.
+    built.  If all orders are asked for, all items are gathered, and a hot
+    order is one group, one task and one row; the flat form has no such
+    bound.  An order without items has an empty list.
     """
     asked = ids.select(key).where(F.col(key).isNotNull()).distinct()
     mine, theirs = orders.join(asked, key, "left_semi"), items.join(asked, key, "left_semi")
