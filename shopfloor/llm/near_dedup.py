@@ -1,13 +1,12 @@
-"""MinHash near-deduplication with an LSH forest (operator 3).
+"""MinHash near-deduplication (operator 3): banding in place of an LSH forest.
 
 A document is the set of its shingles.  Documents with equal sets are one
-class, known by 128 bits, with the smallest doc_id as representative.
-Each class has a MinHash signature of 60 values; each of 20 trees orders
-the classes by its own part of the signature first.  Classes whose common
-prefix in a tree's order has at least three values are a region, and the
-neighbours there are candidates.  Within a region the whole signature is
-compared, so that depth adapts to the region: a pair goes on if 33 of the 60
-values agree.  Pairs are looked at in the first tree in which they meet.
+class, known by 128 bits.  Each class has a MinHash signature of 60 values,
+in 20 trees of three values each.  Classes that share a tree's three values
+are a region, and meet there as candidates.  A forest would sort by whole
+signatures and go deeper in large regions; that loses links, so depth is
+fixed here.  A pair goes on if 33 of all 60 values agree.  Pairs are looked
+at in the first tree in which they meet.
 
 A region of more than ``BLOCK`` classes is cut into blocks, and each pair of
 blocks is a task's work; no region meets in one task and none is cut
@@ -106,7 +105,10 @@ def _column(rows, name):
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, tree, side, rep) of every class in every block of a region of several classes."""
+    """(key, tree, side, rep) of every class in every block of a region of several classes.
+
+    A region of m classes makes about m * m / BLOCK rows.
+    """
 
     def spread(batches):
         import pyarrow as pa
