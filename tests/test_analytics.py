@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.operators import analytics as an
 from shopfloor.operators import quality as Q
-from conftest import rows_of
+from domain_rows import rows_of
 
 
 def test_category_revenue_null_first(orders_small):

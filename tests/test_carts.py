@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from shopfloor import schemas as S
 from shopfloor.operators import carts as K
-from conftest import rows_of
+from domain_rows import rows_of
 
 # FIXTURES.md section 5
 CART_EVENTS = [

@@ -5,7 +5,7 @@ from shopfloor import schemas as S
 from shopfloor.operators import catalog as C
 from shopfloor.operators import dedupe as D
 from shopfloor.operators import ids as I
-from conftest import product_rows, rows_of
+from domain_rows import product_rows, rows_of
 
 
 def test_search_and_listing(spark, products_seed):

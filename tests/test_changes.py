@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shopfloor import schemas as S
 from shopfloor.operators import changes as CH
-from conftest import rows_of
+from domain_rows import rows_of
 
 AS_OF = "2024-06-01 00:00:00"
 CMD = "seq long, action string, data string"

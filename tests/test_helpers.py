@@ -8,7 +8,7 @@ from shopfloor.functions import rules as R
 from shopfloor.operators import dedupe as D
 from shopfloor.operators import quality as Q
 from shopfloor.sources import files as FS
-from conftest import rows_of
+from domain_rows import rows_of
 
 
 def test_schema_export_and_table(spark, scratch):

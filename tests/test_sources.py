@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shopfloor import schemas as S
 from shopfloor.sources import files as FS
 from shopfloor.sources import jdbc as JD
-from conftest import rows_of
+from domain_rows import rows_of
 
 
 def test_csv_json_roundtrip(spark, orders_small, scratch):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.operators import changes as CH
 from shopfloor.streaming import jobs as J
-from conftest import rows_of
+from domain_rows import rows_of
 
 AS_OF = "2024-06-01 00:00:00"
 
