@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import LONG, TEXTS, WHITE, rows
+from corpus_rows import LONG, TEXTS, WHITE, rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E

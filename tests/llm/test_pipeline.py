@@ -4,7 +4,7 @@ import os
 import re
 
 import pytest
-from conftest import SCHEMA, rows
+from corpus_rows import SCHEMA, rows
 from test_operators import check_packing, lines_expected, near_expected, plain_spans
 
 import corpus_pipeline as P
