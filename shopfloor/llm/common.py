@@ -64,8 +64,8 @@ def small_batches(df: DataFrame) -> DataFrame:
 BATCH_CHARS = 1 << 20           # bytes of text handled at once (a longer text alone)
 
 
-def text_slices(batches, most: int = BATCH_CHARS):
-    """Slices of Arrow batches with about ``most`` bytes of text, and their texts (null: empty)."""
+def slices(batches, most: int = BATCH_CHARS):
+    """Slices of Arrow batches with about ``most`` bytes of text."""
     import numpy as np
     import pyarrow.compute as pc
     for b in batches:
@@ -74,11 +74,27 @@ def text_slices(batches, most: int = BATCH_CHARS):
         while at < n:
             start = ends[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(ends, start + most, side="right")))
-            part = b.slice(at, end - at)
-            yield part, [t or "" for t in part.column("text").to_pylist()]
+            yield b.slice(at, end - at)
             at = end
 
 
+def text_slices(batches, most: int = BATCH_CHARS):
+    """As ``slices``, with the texts of each (null: empty)."""
+    for part in slices(batches, most):
+        yield part, [t or "" for t in part.column("text").to_pylist()]
+
+
+def utf8_of(column):
+    """The bytes of a string column, one text after the other, and where each begins and ends (null: empty)."""
+    import numpy as np
+    column = column.fill_null("")
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    if data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
 def ids_text(doc_id: str = "doc_id", text: str = "text"):
     """The two columns an operator reads, under its own names; extra columns
     of the input, whatever they are called, go no further."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, feistel, line_dedup, near_dedup, packing, pii, quality, reshard
+from . import ann, bpe, exact_dedup, feistel, fim, line_dedup, near_dedup, packing, pii, quality, reshard
 from .common import table
 
 #: The vocabulary file; any folder of tokenizer files may be given instead.
@@ -71,8 +71,15 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+def op11_wavelet_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_min_cost_reshard, op2_contextual_pii, op3_minhash_forest, op4_line_windows, op5_bpe_queue, op6_content_sort,
-    op7_rule_ensemble, op8_feistel_order, op9_nnls_packing, op10_kmeans_tree)}
+    op7_rule_ensemble, op8_feistel_order, op9_nnls_packing, op10_kmeans_tree, op11_wavelet_fim)}
 
-ORACLE = {"op4_line_windows": line_dedup.ORACLE_SQL, "op6_content_sort": exact_dedup.ORACLE_SQL}
+ORACLE = {"op4_line_windows": line_dedup.ORACLE_SQL, "op6_content_sort": exact_dedup.ORACLE_SQL,
+          "op11_wavelet_fim": fim.ORACLE_SQL}
