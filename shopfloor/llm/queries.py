@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, feistel, fim, line_dedup, near_dedup, packing, pii, quality, reshard
+from . import ann, bpe, chat, divergence, exact_dedup, feistel, fim, line_dedup, near_dedup, packing, pii, quality, reshard
 from .common import table
 
 #: The vocabulary file; any folder of tokenizer files may be given instead.
@@ -77,6 +77,10 @@ def op11_wavelet_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(fim.restored(), 256).alias("restored_sha256"))
 
 
+def op12_hash_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = chat.log_of(chat.with_trap(table(spark, sf_dir, "conversations")))
     return chat.digests(chat.read_back(chat.render(chat.fold(log))))
@@ -85,7 +89,8 @@ def op13_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_min_cost_reshard, op2_contextual_pii, op3_minhash_forest, op4_line_windows, op5_bpe_queue, op6_content_sort,
     op7_rule_ensemble, op8_feistel_order, op9_nnls_packing, op10_kmeans_tree, op11_wavelet_fim,
-    op13_event_chat)}
+    op12_hash_recount, op13_event_chat)}
 
 ORACLE = {"op4_line_windows": line_dedup.ORACLE_SQL, "op6_content_sort": exact_dedup.ORACLE_SQL,
-          "op11_wavelet_fim": fim.ORACLE_SQL, "op13_event_chat": chat.ORACLE_SQL}
+          "op11_wavelet_fim": fim.ORACLE_SQL, "op12_hash_recount": divergence.ORACLE_SQL,
+          "op13_event_chat": chat.ORACLE_SQL}
