@@ -3,11 +3,11 @@
 First pass: the terms that at least ``MIN_DOCS`` documents of a language hold
 are counted exactly.  They are built into minimal perfect hashes in shards
 (one row a shard, made by the tasks), which are broadcast.  Second pass: each
-task finds its terms' slots, compares the stored keys, and adds to a dense
-row of slots for each (language, source); full rows are given out as counts
-and summed.  The kept terms go round in portions of at most
-``BROADCAST_BYTES``, each with a pass of its own, so neither the driver nor a
-task ever holds more of them, however many there are.
+task finds its terms' slots, compares the stored keys, and counts them in a
+dense row of slots for each (language, source); the counts are summed.  The
+kept terms go round in portions of at most ``BROADCAST_BYTES``, each with a
+pass of its own, so neither the driver nor a task ever holds more of them,
+however many there are.
 
 Differences of all pairs of sources come from dense blocks of slots: a block
 holds all sources of a language and at most ``CELLS`` counts.
@@ -38,10 +38,10 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 SCALE = 1_000_000_000
 SMOOTHING = 5
-SHARD_TERMS = 1 << 15           # terms of a shard, about
+SHARD_TERMS = 1 << 12           # terms of a shard, about
 SHARD_BYTES = 1 << 20           # bytes of its keys, about (a longer key alone)
 BROADCAST_BYTES = 32 << 20      # of shards broadcast at once (one shard, if that is larger)
-SLOT_CELLS = 1 << 21            # counters a task holds before it gives them out (one row, if that is longer)
+TOKENS = 1 << 22                # occurrences a task holds before it gives out their counts (more, if a slice of texts has more)
 CELLS = 1 << 20                 # counts of a block for the pairs
 BLOCK_SLOTS = 4096              # slots of a block at most
 
@@ -144,35 +144,45 @@ class _Vocabulary:
 
 
 class _Counters:
-    """Dense rows of slots, one for each (language, source) met."""
+    """Slots met by each (language, source), counted in a dense row at a time.
+
+    Groups come in any order, and their dense rows together may be larger than
+    memory.  So slots are kept as they come, up to ``TOKENS``, then dealt by
+    group, and one dense row of slots serves all groups in turn.
+    """
 
     def __init__(self, vocabulary: _Vocabulary):
-        self.v, self.rows, self.used = vocabulary, {}, 0
-        self.cells = np.zeros(max([SLOT_CELLS, *vocabulary.size.values()]), np.int64)
-
-    def row(self, lang: str, source: str) -> int:
-        """The first cell of a row; -1 if there is no room."""
-        at = self.rows.get((lang, source))
-        if at is None:
-            if self.used + self.v.size[lang] > len(self.cells):
-                return -1
-            at = self.rows[lang, source] = self.used
-            self.used += self.v.size[lang]
-        return at
+        self.v, self.groups, self.parts, self.n = vocabulary, {}, [], 0
+        self.dense = np.zeros(max([0, *vocabulary.size.values()]), np.int64)
+
+    def group(self, lang: str, source: str) -> int:
+        return self.groups.setdefault((lang, source), len(self.groups))
+
+    def add(self, group: np.ndarray, slots: np.ndarray) -> None:
+        self.parts.append((group.astype(np.int32), slots.astype(np.int32)))
+        self.n += len(slots)
 
     def given_out(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), at in self.rows.items():
-            own = self.cells[at:at + self.v.size[lang]]
-            found = np.flatnonzero(own)
-            if len(found):
-                here = found + self.v.low[lang]
-                shard = np.searchsorted(self.v.hashes.first_slot, here, side="right") - 1
-                slot = here - self.v.hashes.first_slot[shard] + self.v.slot_in_lang[shard]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found)), pa.array(slot // self.v.block[lang]), pa.array(slot), pa.array([source] * len(found)),
-                     pa.array(own[found])], names=["lang", "block", "slot", "source", "n"])
-        self.cells[:self.used] = 0
-        self.rows, self.used = {}, 0
+        if not self.n:
+            return
+        group, slots = (np.concatenate(x) for x in zip(*self.parts))
+        slots = slots[np.argsort(group, kind="stable")]
+        ends = np.cumsum(np.bincount(group, minlength=len(self.groups)))
+        for (lang, source), low, high in zip(self.groups, [0, *ends[:-1]], ends):
+            own = slots[low:high]
+            if not len(own):
+                continue
+            np.add.at(self.dense, own, 1)
+            found = np.flatnonzero(self.dense[:self.v.size[lang]]) if len(own) * 8 > self.v.size[lang] else np.unique(own).astype(np.int64)
+            counts = self.dense[found]
+            self.dense[found] = 0
+            here = found + self.v.low[lang]
+            shard = np.searchsorted(self.v.hashes.first_slot, here, side="right") - 1
+            slot = here - self.v.hashes.first_slot[shard] + self.v.slot_in_lang[shard]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found)), pa.array(slot // self.v.block[lang]), pa.array(slot), pa.array([source] * len(found)),
+                 pa.array(counts)], names=["lang", "block", "slot", "source", "n"])
+        self.groups, self.parts, self.n = {}, [], 0
 
 
 def _count_task(shards, name: str):
@@ -192,23 +202,11 @@ def _count_task(shards, name: str):
             slots = vocabulary.slots(data, starts, ends, lang_of[doc], names)
             found = slots >= 0
             slots, doc = slots[found], doc[found]
-            slots -= np.array([vocabulary.low.get(n, 0) for n in names] or [0], np.int64)[lang_of[doc]]
-            first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            rows = np.full(part.num_rows, -1, np.int64)
-            since = 0                   # documents whose rows are placed but not yet counted
-            for d in range(part.num_rows + 1):
-                if d < part.num_rows:
-                    if first[d] == first[d + 1]:
-                        continue
-                    rows[d] = counters.row(names[lang_of[d]], sources[d])
-                    if rows[d] >= 0:
-                        continue
-                low, high = first[since], first[d]
-                np.add.at(counters.cells, rows[doc[low:high]] + slots[low:high], 1)
-                since = d
-                if d < part.num_rows:
-                    yield from counters.given_out()
-                    rows[d] = counters.row(names[lang_of[d]], sources[d])
+            low = np.array([vocabulary.low.get(n, 0) for n in names] or [0], np.int64)[lang_of]
+            group = np.array([counters.group(names[k], s) for k, s in zip(lang_of, sources)], np.int64)
+            counters.add(group[doc], slots - low[doc])
+            if counters.n >= TOKENS:
+                yield from counters.given_out()
         yield from counters.given_out()
     return count
 
@@ -229,7 +227,7 @@ def _portions(shards: list) -> Iterator[list]:
 def recount(docs: DataFrame, shards: DataFrame) -> DataFrame:
     """(lang, block, slot, source, n): how often each kept term occurs in each group, zeros left out."""
     spark = docs.sparkSession
-    # sizes only: a row for each 32,768 kept terms
+    # sizes only: a row for each 4,096 kept terms
     sizes = [r.asDict() for r in shards.select("lang", "shard", "n_terms", F.expr(
         "octet_length(bits) + octet_length(lengths) + octet_length(keys) + 8 * size(sizes) + 100").alias("size")).orderBy("lang", "shard").collect()]
     first, total = {}, {}

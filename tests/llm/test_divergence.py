@@ -64,7 +64,7 @@ def got(df):
 @pytest.mark.parametrize("small", [False, True])
 def test_audit(spark, monkeypatch, small):
     if small:               # many shards, portions, counters given out and blocks
-        for name, value in (("SHARD_TERMS", 3), ("BROADCAST_BYTES", 700), ("SLOT_CELLS", 12), ("CELLS", 12)):
+        for name, value in (("SHARD_TERMS", 3), ("BROADCAST_BYTES", 700), ("TOKENS", 12), ("CELLS", 12)):
             monkeypatch.setattr(divergence, name, value)
     data = fixture()
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
