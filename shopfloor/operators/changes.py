@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,6 @@ ORDER_TYPES = {f.name: f.dataType for f in S.ORDERS.fields}
 CREATE_REQUIRED = ["customer_name", "quantity", "subtotal_amount", "category", "subcategory"]
 CREATE_DEFAULTS = {"status": "pending", "tax_rate": "0.0", "shipping_cost": "0.0"}
 READ_ACTIONS = ["get_order", "get_stats", "search_orders"]   # request/response only
-_BIG = 2 ** 62
 
 # The Python fold below runs inside executors; ship this module's code by
 # value so executors do not need the package installed.
@@ -85,8 +84,9 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     PRESENT allowed fields change), and ``delete_order`` (D6).  Anything else
     is rejected, as are updates and deletes without ``order_id`` (a 0 counts
     as missing, as in the reference), updates with no allowed field, values
-    that do not parse, and updates/deletes of an id that does not exist at
-    that point of the sequence.  The table's NOT NULL and CHECK constraints
+    that do not parse, commands without a ``seq``, and updates/deletes of an
+    id that does not exist at that point of the sequence.  Commands of equal
+    ``seq`` are ordered by action, then payload.  The table's NOT NULL and CHECK constraints
     (numbers at least 0) also reject a command; for a table without them
     pass ``constraints=False``, and a present null sets NULL.
 
@@ -110,7 +110,8 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     missing_req = reduce(lambda a, b: a | b,
                          [~F.coalesce(F.map_contains_key("data", f), F.lit(False)) for f in CREATE_REQUIRED])
 
-    reason = (F.when(F.col("action").isin(READ_ACTIONS), "read-only action (not applied)")
+    reason = (F.when(F.col("seq").isNull(), "no seq")
+              .when(F.col("action").isin(READ_ACTIONS), "read-only action (not applied)")
               .when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("Unknown action: "),
                                                                 F.coalesce("action", F.lit("null"))))
               .when((is_update | is_delete) & no_id, "order_id is required")
@@ -120,21 +121,18 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     if constraints:
         reason = (reason.when((is_create | is_update) & _null_value(F.col("data"), allowed), "NULL not allowed")
                   .when((is_create | is_update) & _negative_value(F.col("data"), allowed), "negative value"))
-    checked = c.withColumn("_reason", reason)
-    if reliable_ids:
-        # Parse and classify once.  Without this cut, filter push-down
-        # inlines from_json(payload) into every predicate of every branch
-        # (creates, updates, deletes, rejects) and re-parses each message
-        # a dozen times; the checkpoint also pins the batch for the ids.
-        checkpoint_dir(commands.sparkSession)
-        checked = checked.checkpoint(eager=True)
+    # Parse and classify once, and give every command a place of its own:
+    # equal seq is ordered by action, then payload.  Without the checkpointed
+    # copy behind the places, filter push-down inlines from_json(payload)
+    # into every predicate of every branch and re-parses each message.
+    checked = dense_ids(c.withColumn("_reason", reason), ["seq", "action", "payload"], "_pos")
     static_rejects = _reject(checked.filter(F.col("_reason").isNotNull()), F.col("_reason"))
     ok = checked.filter(F.col("_reason").isNull()).drop("_reason")
 
-    # -- creates: fresh ids in seq order (W4), defaults (D2) -----------------
+    # -- creates: fresh ids in command order (W4), defaults (D2) --------------
     creates = ok.filter(is_create)
     # Table, feed and delta below all use the ids of this one checkpointed copy.
-    created = dense_ids(creates.select("seq", "data", "payload"), ["seq", "payload"], "order_id",
+    created = dense_ids(creates.select("_pos", "seq", "data", "payload"), ["_pos"], "order_id",
                         base=next_base if next_base is not None else next_id(target, "order_id"))
     d = F.col("data")
 
@@ -146,44 +144,45 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
             v = F.when(F.map_contains_key(d, f), v).otherwise(F.lit(CREATE_DEFAULTS[f]))
         return _typed(v, f).cast(ORDER_TYPES[f]).alias(f)
     created_rows = created.select("order_id", *[create_value(f) for f in S.ORDER_FIELDS],
-                                  F.col("seq").alias("_born"))
+                                  F.col("_pos").alias("_born"), F.col("seq").alias("_bseq"))
 
-    # -- births of every row: existing rows at -1, created rows at their seq --
-    state = target.select(*S.ORDERS.names, F.lit(-1).cast("long").alias("_born")) \
-        .unionByName(created_rows)
+    # -- the rows the batch names: all that follows is of the batch's size ----
+    asked = ok.filter(~is_create).select(F.col("oid").alias("_asked")).distinct()
+    named = target.join(asked, target.order_id == F.col("_asked"), "left_semi").select(
+        *S.ORDERS.names, F.lit(0).cast("long").alias("_born"), F.lit(None).cast("long").alias("_bseq"))
+    if reliable_ids:
+        # read by deletes, updates, patches and delta: the table is searched once
+        checkpoint_dir(commands.sparkSession)
+        named = named.checkpoint(eager=True)
+    state = named.unionByName(created_rows)
     births = state.select(F.col("order_id").alias("oid"), "_born")
 
-    # -- deletes: the first delete after birth kills the row ---------------
-    dels = ok.filter(is_delete).select("seq", "action", "oid", "payload")
-    dj = dels.join(births, "oid", "left")
-    valid_del = dj.filter(F.col("_born").isNotNull() & (F.col("seq") > F.col("_born")))
-    died = valid_del.groupBy("oid").agg(F.min("seq").alias("_died"))
-    dj2 = dj.join(died, "oid", "left")
-    del_applied = dj2.filter(F.col("seq") == F.col("_died"))
-    del_rejects = _reject(dj2.filter(F.col("_died").isNull() | (F.col("seq") != F.col("_died"))
-                                     | F.col("_born").isNull()), "Order not found")
-
-    # -- updates: applied while the row is alive ------------------------------
-    ups = ok.filter(is_update).select("seq", "action", "oid", "data", "payload")
-    uj = ups.join(births, "oid", "left").join(died, "oid", "left")
-    alive = (F.col("_born").isNotNull() & (F.col("seq") > F.col("_born"))
-             & (F.col("seq") < F.coalesce(F.col("_died"), F.lit(_BIG))))
-    up_applied = uj.filter(alive)
-    up_rejects = _reject(uj.filter(~alive), "Order not found")
+    # -- a row lives from its birth to its first later delete ------------------
+    placed = ok.filter(~is_create).select("_pos", "seq", "action", "oid", "data", "payload").join(births, "oid", "left")
+    born = F.col("_born").isNotNull() & (F.col("_pos") > F.col("_born"))
+    died = placed.filter(born & is_delete).groupBy("oid").agg(
+        F.min("_pos").alias("_died"), F.min_by("seq", "_pos").alias("_dseq"))
+    placed = placed.join(died.select("oid", "_died"), "oid", "left")
+    applied = F.coalesce(born & F.when(is_delete, F.col("_pos") == F.col("_died"))
+                         .otherwise(F.col("_died").isNull() | (F.col("_pos") < F.col("_died"))), F.lit(False))
+    placed = placed.withColumn("_applied", applied)
+    up_applied = placed.filter(F.col("_applied") & is_update)
+    del_applied = placed.filter(F.col("_applied") & is_delete)
 
     # last write wins per field; struct keeps "set to NULL" apart from "absent"
     patch = up_applied.groupBy("oid").agg(*[
         F.max_by(F.struct(F.col("data")[f].alias("v")),
-                 F.when(F.map_contains_key("data", f), F.col("seq"))).alias(f"_p_{f}")
-        for f in allowed])
-    merged = state.join(patch, state.order_id == patch.oid, "left")
-    new_cols = [F.col("order_id")] + [
+                 F.when(F.map_contains_key("data", f), F.col("_pos"))).alias(f"_p_{f}")
+        for f in allowed], F.max_by("seq", "_pos").alias("_useq"))
+    merged = (state.join(patch, state.order_id == patch.oid, "left").drop("oid")
+              .join(died.withColumnRenamed("oid", "_doid"), F.col("order_id") == F.col("_doid"), "left"))
+    new_cols = [
         (F.when(F.col(f"_p_{f}").isNotNull(), _typed(F.col(f"_p_{f}.v"), f)).otherwise(F.col(f))
          if f in allowed else F.col(f)).cast(ORDER_TYPES[f]).alias(f)
         for f in S.ORDER_FIELDS]
-    new_target = (merged.join(died.withColumnRenamed("oid", "_doid"),
-                              F.col("order_id") == F.col("_doid"), "left_anti")
-                  .select(*new_cols))
+    alive = merged.filter(F.col("_died").isNull())
+    new_target = (target.join(asked, target.order_id == F.col("_asked"), "left_anti").select(*S.ORDERS.names)
+                  .unionByName(alive.select("order_id", *new_cols)))
 
     # -- R4 change feed --------------------------------------------------------
     changes = (created.select("order_id", F.lit("created").alias("action"),
@@ -196,19 +195,14 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     changes = changes.select("seq", "order_id", "action", sev[F.col("action")].alias("severity"),
                              "data", ts.alias("timestamp"))
 
-    rejects = static_rejects.unionByName(del_rejects).unionByName(up_rejects)
+    rejects = static_rejects.unionByName(_reject(placed.filter(~F.col("_applied")), "Order not found"))
     report = (changes.groupBy("action").agg(F.count(F.lit(1)).alias("count"))
               .unionByName(rejects.agg(F.lit("rejected").alias("action"), F.count(F.lit(1)).alias("count"))))
     # -- delta: touched ids only --------------------------------------------
-    last_up = up_applied.groupBy("oid").agg(F.max("seq").alias("_lseq"))
-    touched = (last_up.unionByName(created.select(F.col("order_id").alias("oid"), F.col("seq").alias("_lseq")))
-               .groupBy("oid").agg(F.max("_lseq").alias("_lseq")))      # created then patched: once
-    upserts = (merged.join(touched.withColumnRenamed("oid", "_toid"), F.col("order_id") == F.col("_toid"))
-               .join(died.withColumnRenamed("oid", "_doid"), F.col("order_id") == F.col("_doid"), "left_anti")
-               .select(F.col("order_id"), F.lit("upsert").alias("op"), F.col("_lseq").alias("seq"),
-                       *new_cols[1:]))
-    deletes = died.join(births.filter(F.col("_born") < 0), "oid").select(
-        F.col("oid").alias("order_id"), F.lit("delete").alias("op"), F.col("_died").alias("seq"),
+    last = F.coalesce("_useq", "_bseq")         # created then patched: once
+    upserts = alive.filter(last.isNotNull()).select("order_id", F.lit("upsert").alias("op"), last.alias("seq"), *new_cols)
+    deletes = merged.filter(F.col("_died").isNotNull() & (F.col("_born") == 0)).select(
+        "order_id", F.lit("delete").alias("op"), F.col("_dseq").alias("seq"),
         *[F.lit(None).cast(ORDER_TYPES[f]).alias(f) for f in S.ORDER_FIELDS])
     delta = upserts.unionByName(deletes)
     return {"target": new_target, "changes": changes, "rejects": rejects, "report": report,
@@ -219,22 +213,30 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
 # creates
 # ---------------------------------------------------------------------------
 
+def _broken_constraints(required, not_negative) -> Column:
+    """Array of what a row breaks: ``missing: a,b`` and ``negative: c``; empty if it is whole."""
+    def names(label, cols, broken):
+        found = F.array_compact(F.array(*[F.when(broken(F.col(c)), F.lit(c)) for c in cols]))
+        return F.when(F.size(found) > 0, F.concat(F.lit(f"{label}: "), F.array_join(found, ",")))
+    parts = ([names("missing", required, lambda c: c.isNull())] if len(required) else []) + \
+        ([names("negative", not_negative, lambda c: c < 0)] if len(not_negative) else [])
+    return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+
+
 def create_rows(target: DataFrame, new_rows: DataFrame, id_col: str, order_by: list,
-                required=(), defaults: dict | None = None) -> dict[str, DataFrame]:
+                required=(), defaults: dict | None = None, not_negative=()) -> dict[str, DataFrame]:
     """Append rows with ids max + 1, + 2, ... in ``order_by`` order.
 
-    ``required`` columns must be non-NULL (P18); ``defaults`` fill NULLs
-    first (D2).  Returns ``target`` (old rows + new), ``created``, ``rejects``.
+    ``required`` columns must be non-NULL (P18), ``not_negative`` ones at
+    least 0 where present (P17); ``defaults`` fill NULLs first (D2).
+    Returns ``target`` (old rows + new), ``created``, ``rejects`` with a reason.
     """
     df = new_rows
     for k, v in (defaults or {}).items():
         df = df.withColumn(k, F.coalesce(F.col(k), v if isinstance(v, Column) else F.lit(v)))
-    miss = F.filter(F.array(*[F.when(F.col(r).isNull(), F.lit(r)) for r in required]),
-                    lambda x: x.isNotNull()) if required else F.array().cast("array<string>")
-    df = df.withColumn("_missing", miss)
-    good = df.filter(F.size("_missing") == 0).drop("_missing")
-    rejects = df.filter(F.size("_missing") > 0).withColumn(
-        "reason", F.concat(F.lit("missing: "), F.array_join("_missing", ","))).drop("_missing")
+    df = df.withColumn("_broken", _broken_constraints(required, not_negative))
+    good = df.filter(F.size("_broken") == 0).drop("_broken")
+    rejects = df.filter(F.size("_broken") > 0).withColumn("reason", F.array_join("_broken", "; ")).drop("_broken")
     created = dense_ids(good.drop(id_col) if id_col in good.columns else good, order_by, id_col,
                         base=next_id(target, id_col))
     created = created.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
@@ -246,20 +248,20 @@ def create_rows(target: DataFrame, new_rows: DataFrame, id_col: str, order_by: l
 # ---------------------------------------------------------------------------
 
 def replace_rows(target: DataFrame, rows: DataFrame, key: str, seq: str | None = None,
-                 required: list[str] = ()) -> dict[str, DataFrame]:
+                 required: list[str] = (), not_negative: list[str] = ()) -> dict[str, DataFrame]:
     """D3: the source row replaces every non-key field of the target row.
 
-    A row without one of the ``required`` fields, or without a given ``seq``,
-    goes to ``rejects`` with a reason (P18).
+    A row without one of the ``required`` fields, with a ``not_negative``
+    one below 0, or without a given ``seq``, goes to ``rejects`` with a
+    reason (P17, P18).
 
     Several source rows for one key: the last by ``seq`` wins (W5); without
     ``seq`` the one whose row is last in its text form, so that a key never
     gets two rows.  Keys missing from the target are returned as ``not_found``.
     """
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required], F.lit(True))
-    rejects = rows.filter(~whole).withColumn("reason", F.concat(F.lit("missing: "), F.concat_ws(
-        ",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required])))
-    rows = rows.filter(whole)
+    checked = rows.withColumn("_broken", _broken_constraints(required, not_negative))
+    rejects = checked.filter(F.size("_broken") > 0).withColumn("reason", F.array_join("_broken", "; ")).drop("_broken")
+    rows = checked.filter(F.size("_broken") == 0).drop("_broken")
     if seq:
         rejects = rejects.unionByName(without_position(rows, seq))
     src = last_per_key(rows, key, seq) if seq else _one_per_key(rows, key)
@@ -282,12 +284,14 @@ def patch_products(products: DataFrame, patches: DataFrame, key: str = "product_
     """Each non-NULL field of a patch overwrites; NULL leaves the value.
 
     Several patches per product fold in ``seq`` order (last non-NULL per
-    field wins).  ``updated_at`` changes only on products with at least
-    one non-NULL field; patches for unknown products are ``not_found``.
+    field wins; equal ``seq``: the greater value).  ``updated_at`` changes
+    only on products with at least one non-NULL field; patches for unknown
+    products are ``not_found``, patches without a ``seq`` ``rejects``.
     """
     fields = [f for f in fields if f in patches.columns]
+    rejects, patches = without_position(patches, seq), patches.where(F.col(seq).isNotNull())
     last = patches.groupBy(F.col(key).alias("_pk")).agg(*[
-        F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(seq))).alias(f"_n_{f}") for f in fields],
+        F.max(F.when(F.col(f).isNotNull(), F.struct(F.col(seq), F.col(f).alias("v"))))["v"].alias(f"_n_{f}") for f in fields],
         F.count_if(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields])).alias("_nn"))
     j = products.join(last, products[key] == last["_pk"], "left")
     touched = F.coalesce(F.col("_nn") > 0, F.lit(False))
@@ -301,7 +305,7 @@ def patch_products(products: DataFrame, patches: DataFrame, key: str = "product_
             cols.append(F.col(f.name))
     not_found = last.join(products.select(F.col(key).alias("_pk")), "_pk", "left_anti") \
         .select(F.col("_pk").alias(key))
-    return {"target": j.select(*cols), "not_found": not_found,
+    return {"target": j.select(*cols), "not_found": not_found, "rejects": rejects,
             "report": j.agg(F.count_if(touched).cast("bigint").alias("updated_rows"))}
 
 
@@ -356,11 +360,14 @@ def set_customer_order_status(orders: DataFrame, changes: DataFrame, key: str =
                               seq: str | None = "seq",
                               domain=S.CUSTOMER_ORDER_STATUSES) -> dict[str, DataFrame]:
     """Per-order status changes, checked against the (case-sensitive)
-    domain; the last valid change per order wins; rejects carry a reason."""
+    domain; the last valid change per order wins (equal ``seq``: the status
+    last in the alphabet); rejects carry a reason, a missing ``seq`` too."""
     ok = F.coalesce(F.col("status").isin(list(domain)), F.lit(False))
     rejects = changes.filter(~ok).withColumn("reason", F.lit("invalid status"))
     good = changes.filter(ok)
-    last = (good.groupBy(key).agg(F.max_by("status", seq).alias("_new"))
+    if seq:
+        rejects, good = rejects.unionByName(without_position(good, seq)), good.filter(F.col(seq).isNotNull())
+    last = (good.groupBy(key).agg(F.max(F.struct(seq, "status"))["status"].alias("_new"))
             if seq else good.groupBy(key).agg(F.max("status").alias("_new")))
     j = orders.join(last, key, "left")
     new = j.withColumn("status", F.coalesce("_new", "status")).select(*orders.columns)
@@ -374,14 +381,14 @@ def set_customer_order_status(orders: DataFrame, changes: DataFrame, key: str =
 # ---------------------------------------------------------------------------
 
 def last_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The last record per key wins (``max_by`` over a struct: a
-    combinable aggregate, no window, hot keys pre-aggregate map-side)."""
-    others = [c for c in rows.columns if c != key]
-    # rows without a position have no place in the order; equal positions are
-    # ordered by the whole row's text, so the choice doesn't depend on the run
-    order = F.struct(F.col(seq), F.to_json(F.struct(*others)))
-    return (rows.where(F.col(seq).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_r"))
-            .select(key, *[F.col(f"_r.{c}").alias(c) for c in others]))
+    """The last record per key wins (``max`` over a struct that begins
+    with ``seq``: a combinable aggregate, no window, hot keys pre-aggregate
+    map-side).  Rows without a position have no place in the order; equal
+    positions are ordered by the other columns, so the choice doesn't depend
+    on the run."""
+    others = [c for c in rows.columns if c not in (key, seq)]
+    return (rows.where(F.col(seq).isNotNull()).groupBy(key).agg(F.max(F.struct(seq, *others)).alias("_r"))
+            .select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns]))
 
 
 def without_position(rows: DataFrame, seq: str) -> DataFrame:
@@ -407,10 +414,10 @@ def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = Non
     keys = src.select(F.col(key).alias("_k"))
     kept = target.join(keys, target[key] == keys["_k"], "left_anti")
     existing = src.join(target.select(key), key, "left_semi")
-    report = (src.join(target.select(key).withColumn("_old", F.lit(True)), key, "left")
-              .agg(F.count_if(F.col("_old").isNull()).cast("bigint").alias("inserted"),
-                   F.count_if(F.col("_old").isNotNull()).cast("bigint").alias("updated"))
-              .crossJoin(rejects.agg(F.count(F.lit(1)).alias("rejected"))))
+    kinds = (src.join(target.select(key).withColumn("_old", F.lit(True)), key, "left")
+             .select(F.when(F.col("_old"), "updated").otherwise("inserted").alias("_kind"))
+             .unionByName(rejects.select(F.lit("rejected").alias("_kind"))))
+    report = kinds.agg(*[F.count_if(F.col("_kind") == k).cast("bigint").alias(k) for k in ("inserted", "updated", "rejected")])
     return {"target": kept.unionByName(src), "updated": existing.select(key), "rejects": rejects, "report": report}
 
 
@@ -418,20 +425,20 @@ def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = Non
 # Guarded stock deltas
 # ---------------------------------------------------------------------------
 
-_FOLD_SCHEMA = "product_id long, seq long, delta long, applied boolean, stock_after long, nth long"
+BLOCK_ROWS = 4096               # deltas of a block
+
+_FOLD_SCHEMA = "product_id long, seq long, delta long, applied boolean, stock_after long, nth long, whole boolean"
 
 
 def _guarded_fold(batches):
-    """Stream sorted (product, seq) rows; apply a delta only if stock stays
-    >= 0.  State is one product at a time: memory does not grow with the
-    number of deltas of a product."""
+    """Stream items sorted by product and order; a delta applies only if stock
+    stays >= 0, a whole run always.  State is one product at a time: memory
+    does not grow with the number of items of a product."""
     import numpy as np
     import pandas as pd
     cur_pid, cur, nth = None, 0, 0
     for pdf in batches:
-        pids = pdf["product_id"].to_numpy()
-        base = pdf["_stock0"].to_numpy()
-        deltas = pdf["delta"].to_numpy()
+        pids, base, deltas, whole = (pdf[c].to_numpy() for c in ("product_id", "_stock0", "delta", "_whole"))
         applied = np.zeros(len(pdf), dtype=bool)
         after = np.zeros(len(pdf), dtype=np.int64)
         places = np.zeros(len(pdf), dtype=np.int64)
@@ -439,40 +446,104 @@ def _guarded_fold(batches):
             if pids[i] != cur_pid:
                 cur_pid, cur, nth = pids[i], int(base[i]), 0
             nxt = cur + int(deltas[i])
-            if nxt >= 0:
+            if whole[i] or nxt >= 0:
                 cur, applied[i] = nxt, True
             after[i], places[i] = cur, nth
             nth += 1
-        yield pd.DataFrame({"product_id": pids, "seq": pdf["seq"].to_numpy(), "delta": deltas,
-                            "applied": applied, "stock_after": after, "nth": places})
+        yield pd.DataFrame({"product_id": pids, "seq": pdf["seq"], "delta": deltas,
+                            "applied": applied, "stock_after": after, "nth": places, "whole": whole})
+
+
+def stock_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Cut each product's deltas, in order, into blocks; tell the safe ones.
+
+    ``rows``: (product_id, seq, delta, _stock0).  Returns the rows with their
+    block ``(_pid, _blk)`` and place ``_row``, and one summary a block: sum,
+    ``_safe`` and ``_risky_before`` (risky blocks up to and with this one).
+
+    The rows are sorted over all partitions, so a product with very many
+    deltas lies in many.  With P_k the sum of a product's first k deltas,
+    L_k = P_k + max(stock, -min(P_1..P_k)) never exceeds the guarded stock:
+    a skipped delta leaves the guarded stock where it is and the bound at 0.
+    So a block whose lowest prefix sum stays >= 0 above the bound at its
+    start applies as a whole, whatever happened before.  P and its minimum
+    come from the blocks' sums and lowest prefixes alone.
+    """
+    checkpoint_dir(rows.sparkSession)
+    placed = rows.orderBy("product_id", "seq", "delta").withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    placed = placed.select("product_id", "seq", "delta", "_stock0", F.shiftright("_mid", 33).alias("_pid"),
+                           F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")) \
+        .withColumn("_blk", F.expr(f"_row div {block_rows}"))
+    key = ["product_id", "_pid", "_blk"]
+    prefix = F.sum("delta").over(Window.partitionBy(*key).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = placed.withColumn("_prefix", prefix).groupBy(*key).agg(
+        F.sum("delta").alias("_sum"), F.min("_prefix").alias("_lowest"), F.first("_stock0").alias("_stock0"))
+    # one row a block
+    order = Window.partitionBy("product_id").orderBy("_pid", "_blk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_min", F.min(F.col("_start") + F.col("_lowest")).over(before))
+    bound = F.col("_start") + F.greatest(F.col("_stock0"), -F.coalesce("_min", -F.col("_stock0")))
+    # below 0 from the start, even an increase may be refused: nothing is known
+    blocks = blocks.withColumn("_safe", (F.col("_stock0") >= 0) & (bound + F.col("_lowest") >= 0))
+    blocks = blocks.withColumn("_risky_before", F.sum(F.when(F.col("_safe"), 0).otherwise(1))
+                               .over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed, blocks.select(*key, "_stock0", "_sum", "_safe", "_risky_before")
+
+
+def _fold_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Decisions of all ``rows`` and the final stock of their products: safe
+    blocks as wholes, only the rows of risky blocks one by one."""
+    key = ["product_id", "_pid", "_blk"]
+    placed, blocks = stock_blocks(rows, block_rows)
+    marked = placed.join(blocks.select(*key, "_safe", "_risky_before"), key)
+    opened = marked.filter(~F.col("_safe")).select(
+        "product_id", "_stock0", "_risky_before", F.lit(0).alias("_run"), "_pid", "_row", "seq", "delta", F.lit(False).alias("_whole"))
+    # the safe blocks between two risky ones are one item
+    runs = blocks.filter("_safe").groupBy("product_id", "_risky_before").agg(
+        F.sum("_sum").alias("delta"), F.first("_stock0").alias("_stock0")).select(
+        "product_id", "_stock0", "_risky_before", F.lit(1).alias("_run"), F.lit(0).cast("long").alias("_pid"),
+        F.lit(0).cast("long").alias("_row"), F.lit(0).cast("long").alias("seq"), "delta", F.lit(True).alias("_whole"))
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    folded = (opened.unionByName(runs).repartition(n, "product_id")
+              .sortWithinPartitions("product_id", "_risky_before", "_run", "_pid", "_row")
+              .mapInPandas(_guarded_fold, _FOLD_SCHEMA))
+    decisions = marked.filter("_safe").select("product_id", "seq", "delta", F.lit(True).alias("applied")).unionByName(
+        folded.filter("NOT whole").select("product_id", "seq", "delta", "applied"))
+    final = folded.groupBy("product_id").agg(F.max_by("stock_after", "nth").alias("_new"), F.bool_or("applied").alias("_touched"))
+    return decisions, final
 
 
 def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "product_id",
                        seq: str = "seq", delta: str = "delta",
-                       as_of: str | None = None) -> dict[str, DataFrame]:
+                       as_of: str | None = None, block_rows: int = BLOCK_ROWS) -> dict[str, DataFrame]:
     """``stock = stock + delta`` only when the result stays >= 0, in
     ``seq`` order per product (equal ``seq``: by delta).  Deltas of unknown
     products and NULL deltas are not applied.
 
+    Deltas without a ``seq`` have no place and are not applied either.
+
     Fast path (exact, combinable): if the product's stock plus the sum of
     all its NEGATIVE deltas is >= 0, no guard can ever trigger, so every
     delta applies and the new stock is stock + sum(deltas) -- one
     aggregate, hot products pre-aggregate map-side.
-    Slow path (only products whose demand can exceed stock): the guard is
-    order-dependent, so their deltas are hash-partitioned by product,
-    sorted by (product, seq) and folded by a streaming ``mapInPandas``
-    with O(1) state; nothing is collected per product.
-
-    Returns ``target``, ``decisions`` (per delta: applied, stock_after for
-    slow-path products; applied for all) and ``report``.
+    The other products' deltas are cut into blocks (:func:`stock_blocks`).
+    A block that cannot bring the stock below 0 applies as a whole; only
+    the rows of the others are folded one by one, in order, by a streaming
+    ``mapInPandas`` with O(1) state.  So a product with very many deltas
+    is sorted and summed by many tasks, and its one task reads the risky
+    blocks' rows alone.
+
+    Returns ``target``, ``decisions`` (per delta: applied) and ``report``.
     """
     d = deltas.select(F.col(key).alias("product_id"), F.col(seq).alias("seq"),
                       F.col(delta).cast("long").alias("delta"))
     p0 = products.select(F.col(key).alias("product_id"), F.col("stock_quantity").cast("long").alias("_stock0"))
     dj = d.join(p0, "product_id", "left")
     unknown = dj.filter(F.col("_stock0").isNull()).select("product_id", "seq", "delta")
-    no_delta = dj.filter(F.col("_stock0").isNotNull() & F.col("delta").isNull()).select("product_id", "seq", "delta")
-    known = dj.filter(F.col("_stock0").isNotNull() & F.col("delta").isNotNull())
+    usable = F.col("delta").isNotNull() & F.col("seq").isNotNull()
+    no_delta = dj.filter(F.col("_stock0").isNotNull() & ~usable).select("product_id", "seq", "delta")
+    known = dj.filter(F.col("_stock0").isNotNull() & usable)
     per = known.groupBy("product_id").agg(
         F.first("_stock0").alias("_stock0"),
         F.sum(F.least(F.col("delta"), F.lit(0))).alias("_neg"),
@@ -480,11 +551,7 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
     fast = per.filter(F.col("_stock0") + F.col("_neg") >= 0)
     slow_ids = per.filter(F.col("_stock0") + F.col("_neg") < 0).select("product_id")
     slow_rows = known.join(slow_ids, "product_id", "left_semi")
-    n = max(1, int(products.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    folded = (slow_rows.repartition(n, "product_id").sortWithinPartitions("product_id", "seq", "delta")
-              .mapInPandas(_guarded_fold, _FOLD_SCHEMA))
-    slow_final = folded.groupBy("product_id").agg(F.max_by("stock_after", "nth").alias("_new"),
-                                                  F.bool_or("applied").alias("_touched"))
+    slow_dec, slow_final = _fold_blocks(slow_rows, block_rows)
     fast_final = fast.select("product_id", (F.col("_stock0") + F.col("_sum")).alias("_new"),
                              F.lit(True).alias("_touched"))
     final = fast_final.unionByName(slow_final)
@@ -500,7 +567,7 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
             cols.append(F.col(f.name))
     fast_dec = known.join(fast.select("product_id"), "product_id", "left_semi") \
         .select("product_id", "seq", "delta", F.lit(True).alias("applied"))
-    decisions = fast_dec.unionByName(folded.select("product_id", "seq", "delta", "applied")) \
+    decisions = fast_dec.unionByName(slow_dec) \
         .unionByName(unknown.unionByName(no_delta).withColumn("applied", F.lit(False)))
     report = decisions.agg(F.count_if("applied").cast("bigint").alias("applied"),
                            F.count_if(~F.col("applied")).cast("bigint").alias("skipped"))

@@ -25,9 +25,10 @@ def keep_ids(products: DataFrame, key: str = "name", id_col: str = "product_id")
 
 def id_mapping(products: DataFrame, key: str = "name", id_col: str = "product_id") -> DataFrame:
     """``(old_id, keep_id)`` for every product that is not the kept one."""
-    k = keep_ids(products, key, id_col)
-    return (products.select(key, F.col(id_col).alias("old_id"))
-            .join(k, key).filter(F.col("old_id") != F.col("keep_id"))
+    k = keep_ids(products, key, id_col).withColumnRenamed(key, "_key")
+    # null-safe: products without a name are a group like any other
+    return (products.select(F.col(key).alias("_name"), F.col(id_col).alias("old_id"))
+            .join(k, F.col("_name").eqNullSafe(F.col("_key"))).filter(F.col("old_id") != F.col("keep_id"))
             .select("old_id", "keep_id"))
 
 
@@ -46,10 +47,11 @@ def dedupe_products(products: DataFrame, items: DataFrame | None = None, key: st
 
     ``sum_stock=True`` gives the kept row the stock of its whole group
     (N13); by default the other rows' stock is dropped, as in the reference.
+    Products without a name are one group, so before = after + deleted.
     """
-    stats = products.groupBy(key).agg(F.min(id_col).alias("keep_id"),
+    stats = products.groupBy(F.col(key).alias("_key")).agg(F.min(id_col).alias("keep_id"),
                                       F.sum("stock_quantity").alias("_group_stock"))
-    tagged = products.join(stats, key)
+    tagged = products.join(stats, F.col(key).eqNullSafe(F.col("_key")))
     kept = tagged.filter(F.col(id_col) == F.col("keep_id"))
     if sum_stock:
         kept = kept.withColumn("stock_quantity", F.col("_group_stock").cast("int"))

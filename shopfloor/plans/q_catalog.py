@@ -181,6 +181,27 @@ def q_m1_sum(spark, d):
         .select("product_id", "name", "stock_quantity")
 
 
+def _nameless(spark, d):
+    return _products(spark, d).withColumn("name", F.when(F.col("product_id") % 9 != 0, F.col("name")))
+
+
+_NAMELESS = PROD + ", q AS (SELECT * REPLACE (CASE WHEN product_id % 9 <> 0 THEN name END AS name) FROM products)"
+
+
+@register("m1_nameless_products", _NAMELESS + """
+SELECT MIN(product_id) AS product_id, name, CAST(SUM(stock_quantity) AS BIGINT) AS stock_quantity FROM q GROUP BY name""")
+def q_m1_nameless(spark, d):
+    """Products without a name are a group of their own; none vanishes."""
+    return D.dedupe_products(_nameless(spark, d), sum_stock=True)["products"].select("product_id", "name", "stock_quantity")
+
+
+@register("w2_nameless_mapping", _NAMELESS + """
+, k AS (SELECT name, MIN(product_id) AS keep_id FROM q GROUP BY name)
+SELECT q.product_id AS old_id, k.keep_id FROM q JOIN k ON k.name IS NOT DISTINCT FROM q.name WHERE q.product_id <> k.keep_id""")
+def q_w2_nameless(spark, d):
+    return D.id_mapping(_nameless(spark, d))
+
+
 def _image_map(spark, d):
     """name -> URL for every part; the names of small parts are changed so that
     they match no product (unmatched), as do the nation names."""

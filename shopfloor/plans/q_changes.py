@@ -34,7 +34,7 @@ EV = ("ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k F
 # R2 (batch form) / D2 / D4 / D6: order commands in sequence order
 # ---------------------------------------------------------------------------
 
-def _cmd_sql(constraints=True):
+def _cmd_sql(constraints=True, cmd=CMD):
     """DuckDB twin of apply_order_commands, written with windows and
     arg_max instead of the Spark aggregate/join formulation."""
     f_all = S.ORDER_FIELDS
@@ -58,15 +58,16 @@ def _cmd_sql(constraints=True):
         t = SQL_TYPES.get(f)
         return f"TRY_CAST({v} AS {t}) AS {f}" if t else f"{v} AS {f}"
 
-    patch_cols = ", ".join(f"arg_max({{'v': {val(f)}}}, seq) FILTER (WHERE {has(f)}) AS p_{f}" for f in f_all)
+    patch_cols = ", ".join(f"arg_max({{'v': {val(f)}}}, pos) FILTER (WHERE {has(f)}) AS p_{f}" for f in f_all)
     new_cols = ", ".join(
         (f"CASE WHEN p.p_{f} IS NOT NULL THEN TRY_CAST(p.p_{f}.v AS {SQL_TYPES[f]}) ELSE s.{f} END AS {f}"
          if f in SQL_TYPES else f"CASE WHEN p.p_{f} IS NOT NULL THEN p.p_{f}.v ELSE s.{f} END AS {f}")
         for f in f_all)
     return f"""
-WITH so AS ({td.SALES_ORDERS_SQL}), {CMD},
-c AS (SELECT seq, action, data, TRY_CAST({val('order_id')} AS BIGINT) AS oid FROM cmd),
+WITH so AS ({td.SALES_ORDERS_SQL}), {cmd},
+c AS (SELECT ROW_NUMBER() OVER (ORDER BY seq NULLS FIRST, action, data) AS pos, seq, action, data, TRY_CAST({val('order_id')} AS BIGINT) AS oid FROM cmd),
 chk AS (SELECT *, CASE
+    WHEN seq IS NULL THEN 'no seq'
     WHEN action IN ('get_order', 'get_stats', 'search_orders') THEN 'read-only action (not applied)'
     WHEN action IS NULL OR action NOT IN ('create_order', 'update_order', 'delete_order')
       THEN 'Unknown action: ' || COALESCE(action, 'null')
@@ -77,18 +78,18 @@ chk AS (SELECT *, CASE
     {broken}
   END AS reason FROM c),
 ok AS (SELECT * FROM chk WHERE reason IS NULL),
-created AS (SELECT (SELECT COALESCE(MAX(order_id), 0) FROM so) + ROW_NUMBER() OVER (ORDER BY seq) AS order_id,
-                   seq, data FROM ok WHERE action = 'create_order'),
+created AS (SELECT (SELECT COALESCE(MAX(order_id), 0) FROM so) + ROW_NUMBER() OVER (ORDER BY pos) AS order_id,
+                   pos, seq, data FROM ok WHERE action = 'create_order'),
 state AS (SELECT order_id, status, customer_name, order_date, quantity, subtotal_amount, tax_rate,
                  shipping_cost, category, subcategory, -1 AS born FROM so
           UNION ALL
-          SELECT order_id, {', '.join(create_val(f) for f in f_all)}, seq AS born FROM created),
-dels AS (SELECT d.seq, d.oid, s.born FROM ok d LEFT JOIN state s ON s.order_id = d.oid
+          SELECT order_id, {', '.join(create_val(f) for f in f_all)}, pos AS born FROM created),
+dels AS (SELECT d.pos, d.seq, d.oid, s.born FROM ok d LEFT JOIN state s ON s.order_id = d.oid
          WHERE d.action = 'delete_order'),
-died AS (SELECT oid, MIN(seq) AS died FROM dels WHERE born IS NOT NULL AND seq > born GROUP BY oid),
-ups AS (SELECT u.seq, u.oid, u.data, s.born, dd.died FROM ok u LEFT JOIN state s ON s.order_id = u.oid
+died AS (SELECT oid, MIN(pos) AS died FROM dels WHERE born IS NOT NULL AND pos > born GROUP BY oid),
+ups AS (SELECT u.pos, u.seq, u.oid, u.data, s.born, dd.died FROM ok u LEFT JOIN state s ON s.order_id = u.oid
         LEFT JOIN died dd ON dd.oid = u.oid WHERE u.action = 'update_order'),
-applied AS (SELECT * FROM ups WHERE born IS NOT NULL AND seq > born AND seq < COALESCE(died, 4611686018427387904)),
+applied AS (SELECT * FROM ups WHERE born IS NOT NULL AND pos > born AND pos < COALESCE(died, 4611686018427387904)),
 patch AS (SELECT oid, {patch_cols} FROM applied GROUP BY oid)
 """
 
@@ -103,21 +104,25 @@ WHERE s.order_id NOT IN (SELECT oid FROM died)"""
 
 _CMD_TARGET = _cmd_sql() + _SELECT_TARGET
 
-_CMD_CHANGES = _cmd_sql() + f"""
+_SELECT_CHANGES = f"""
 SELECT seq, order_id, action, severity, data, TIMESTAMP '{AS_OF}' AS timestamp FROM (
   SELECT seq, order_id, 'created' AS action, 'success' AS severity, data FROM created
-  UNION ALL SELECT a.seq, a.oid, 'updated', 'info', c.data FROM applied a JOIN cmd c ON c.seq = a.seq
-  UNION ALL SELECT d.seq, d.oid, 'deleted', 'warning', NULL FROM dels d JOIN died x ON x.oid = d.oid AND x.died = d.seq
+  UNION ALL SELECT seq, oid, 'updated', 'info', data FROM applied
+  UNION ALL SELECT d.seq, d.oid, 'deleted', 'warning', NULL FROM dels d JOIN died x ON x.oid = d.oid AND x.died = d.pos
 ) t"""
 
-_CMD_REJECTS = _cmd_sql() + """
+_CMD_CHANGES = _cmd_sql() + _SELECT_CHANGES
+
+_SELECT_REJECTS = """
 SELECT seq, action, oid AS order_id, reason FROM chk WHERE reason IS NOT NULL
 UNION ALL
 SELECT d.seq, 'delete_order', d.oid, 'Order not found' FROM dels d LEFT JOIN died x ON x.oid = d.oid
-WHERE x.died IS NULL OR x.died <> d.seq
+WHERE x.died IS NULL OR x.died <> d.pos
 UNION ALL
 SELECT seq, 'update_order', oid, 'Order not found' FROM ups
-WHERE NOT (born IS NOT NULL AND seq > born AND seq < COALESCE(died, 4611686018427387904))"""
+WHERE NOT (born IS NOT NULL AND pos > born AND pos < COALESCE(died, 4611686018427387904))"""
+
+_CMD_REJECTS = _cmd_sql() + _SELECT_REJECTS
 
 
 def _apply_cmds(spark, d):
@@ -136,6 +141,40 @@ def q_r2_target_free(spark, d):
                                    constraints=False)["target"]
 
 
+# Commands as a queue may bring them: some without a place, several with the same one.
+_QUEUE_CMD = f"""raw AS ({td.ORDER_COMMANDS_SQL}),
+cmd AS (SELECT CASE WHEN seq % 17 <> 0 THEN seq // 40 END AS seq, action, data FROM raw)"""
+
+
+def _apply_queue(spark, d):
+    cmds = td.order_commands(spark, d).withColumn("seq", F.when(F.col("seq") % 17 != 0, F.expr("seq div 40")))
+    return CH.apply_order_commands(td.sales_orders(spark, d), cmds, as_of=AS_OF)
+
+
+@register("r2_queue_target", oracle(_cmd_sql(cmd=_QUEUE_CMD) + _SELECT_TARGET, **ORDER_CASTS))
+def q_r2_queue_target(spark, d):
+    """Commands without a place or sharing one: table."""
+    return _apply_queue(spark, d)["target"]
+
+
+@register("r2_queue_changes", _cmd_sql(cmd=_QUEUE_CMD) + _SELECT_CHANGES)
+def q_r2_queue_changes(spark, d):
+    return _apply_queue(spark, d)["changes"]
+
+
+@register("r2_queue_rejects", _cmd_sql(cmd=_QUEUE_CMD) + _SELECT_REJECTS)
+def q_r2_queue_rejects(spark, d):
+    return _apply_queue(spark, d)["rejects"]
+
+
+@register("r2_queue_report", _cmd_sql(cmd=_QUEUE_CMD) + f"""
+SELECT action, COUNT(*) AS count FROM ({_SELECT_CHANGES}) x GROUP BY action
+UNION ALL SELECT 'rejected', COUNT(*) FROM ({_SELECT_REJECTS}) y""")
+def q_r2_queue_report(spark, d):
+    """Every command is counted once: created, updated, deleted or rejected."""
+    return _apply_queue(spark, d)["report"]
+
+
 @register("r2_commands_changes", _CMD_CHANGES)
 def q_r2_changes(spark, d):
     return _apply_cmds(spark, d)["changes"]
@@ -271,6 +310,37 @@ def q_d5_nf(spark, d):
     return CH.patch_products(td.products(spark, d), _product_patches(spark, d))["not_found"]
 
 
+_UNPLACED = "CASE WHEN seq % 13 <> 0 THEN seq // 30 END AS seq"
+
+
+def _unplaced(changes):
+    return changes.withColumn("seq", F.when(F.col("seq") % 13 != 0, F.expr("seq div 30")))
+
+
+_D5_QUEUE = f"""{_PATCH_SQL}, q AS (SELECT product_id, {_UNPLACED}, price, stock_quantity FROM patches)"""
+
+
+@register("d5_queue_patches", oracle(PROD + f", {_D5_QUEUE}" + f"""
+, last AS (SELECT product_id, arg_max(price, {{'s': seq, 'v': price}}) FILTER (WHERE price IS NOT NULL) AS price,
+                  arg_max(stock_quantity, {{'s': seq, 'v': stock_quantity}}) FILTER (WHERE stock_quantity IS NOT NULL) AS stock_quantity,
+                  COUNT(*) FILTER (WHERE price IS NOT NULL OR stock_quantity IS NOT NULL) AS nn
+           FROM q WHERE seq IS NOT NULL GROUP BY product_id)
+SELECT p.product_id, COALESCE(l.price, p.price) AS price, COALESCE(l.stock_quantity, p.stock_quantity) AS stock_quantity,
+       CASE WHEN COALESCE(l.nn, 0) > 0 THEN TIMESTAMP '{AS_OF}' ELSE p.updated_at END AS updated_at
+FROM products p LEFT JOIN last l ON l.product_id = p.product_id""", doubles=("price",), bigints=("stock_quantity",)))
+def q_d5_queue(spark, d):
+    """Patches without a place change nothing, those that share one are ordered by value."""
+    out = CH.patch_products(td.products(spark, d), _unplaced(_product_patches(spark, d)), as_of=AS_OF)
+    return out["target"].select("product_id", "price", "stock_quantity", "updated_at")
+
+
+@register("d5_queue_rejects", oracle(f"WITH {_D5_QUEUE}\n" + """
+SELECT product_id, seq, price, stock_quantity, 'no seq' AS reason FROM q WHERE seq IS NULL""",
+                                     doubles=("price",), bigints=("stock_quantity",)))
+def q_d5_queue_rejects(spark, d):
+    return CH.patch_products(td.products(spark, d), _unplaced(_product_patches(spark, d)))["rejects"]
+
+
 # ---------------------------------------------------------------------------
 # deletes
 # ---------------------------------------------------------------------------
@@ -376,6 +446,27 @@ def q_d8_rej(spark, d):
     return CH.set_customer_order_status(td.customer_orders(spark, d), _status_changes(spark, d))["rejects"]
 
 
+_D8_QUEUE = f"{_STATUS_SQL}, q AS (SELECT customer_order_id, {_UNPLACED}, status FROM ch)"
+_D8_DOMAIN = "('pending', 'processing', 'shipped', 'delivered', 'cancelled')"
+
+
+@register("d8_queue_status", f"WITH {CO}, {_D8_QUEUE}\n" + f"""
+, good AS (SELECT customer_order_id, MAX({{'s': seq, 'v': status}}).v AS new_status FROM q
+           WHERE status IN {_D8_DOMAIN} AND seq IS NOT NULL GROUP BY customer_order_id)
+SELECT o.customer_order_id, COALESCE(g.new_status, o.status) AS status
+FROM customer_orders o LEFT JOIN good g ON g.customer_order_id = o.customer_order_id""")
+def q_d8_queue(spark, d):
+    return CH.set_customer_order_status(td.customer_orders(spark, d), _unplaced(_status_changes(spark, d)))["target"] \
+        .select("customer_order_id", "status")
+
+
+@register("d8_queue_rejects", f"WITH {_D8_QUEUE}\n" + f"""
+SELECT customer_order_id, seq, status, CASE WHEN status NOT IN {_D8_DOMAIN} THEN 'invalid status' ELSE 'no seq' END AS reason
+FROM q WHERE status NOT IN {_D8_DOMAIN} OR seq IS NULL""")
+def q_d8_queue_rejects(spark, d):
+    return CH.set_customer_order_status(td.customer_orders(spark, d), _unplaced(_status_changes(spark, d)))["rejects"]
+
+
 # ---------------------------------------------------------------------------
 # Guarded stock deltas (fast combinable path + streaming fold)
 # ---------------------------------------------------------------------------
@@ -496,6 +587,34 @@ def q_d12_rep(spark, d):
     return CH.upsert(td.sales_orders(spark, d), _import_rows(spark, d), "order_id", seq="seq")["report"].drop("rejected")
 
 
+@register("d12_queue_report", SO + f", {_IMPORT_SQL}\n" + """
+, q AS (SELECT * REPLACE (CASE WHEN seq % 13 <> 0 THEN seq // 30 END AS seq) FROM src),
+k AS (SELECT DISTINCT order_id FROM q WHERE seq IS NOT NULL)
+SELECT COUNT(*) FILTER (WHERE order_id NOT IN (SELECT order_id FROM so)) AS inserted,
+       COUNT(*) FILTER (WHERE order_id IN (SELECT order_id FROM so)) AS updated,
+       (SELECT COUNT(*) FROM q WHERE seq IS NULL) AS rejected FROM k""")
+def q_d12_queue_rep(spark, d):
+    """Every file row without a place is counted as rejected."""
+    return CH.upsert(td.sales_orders(spark, d), _unplaced(_import_rows(spark, d)), "order_id", seq="seq")["report"]
+
+
+@register("p17_create_rejects", f"WITH {_NEW_ORDERS_SQL}\n" + """
+, v AS (SELECT customer_order_id, CASE WHEN customer_order_id % 5 = 0 THEN -quantity ELSE quantity END AS quantity,
+               CASE WHEN customer_order_id % 9 <> 0 THEN subtotal_amount ELSE -1 END AS subtotal_amount FROM new_rows)
+SELECT customer_order_id, concat_ws('; ', CASE WHEN quantity IS NULL THEN 'missing: quantity' END,
+         CASE WHEN quantity < 0 OR subtotal_amount < 0 THEN 'negative: ' || concat_ws(',', CASE WHEN quantity < 0 THEN 'quantity' END,
+              CASE WHEN subtotal_amount < 0 THEN 'subtotal_amount' END) END) AS reason
+FROM v WHERE quantity IS NULL OR quantity < 0 OR subtotal_amount < 0""")
+def q_p17_create(spark, d):
+    """Creates that break a NOT NULL or >= 0 constraint, with all that they break."""
+    i = F.col("customer_order_id")
+    rows = (_new_orders(spark, d).withColumn("quantity", F.when(i % 5 == 0, -F.col("quantity")).otherwise(F.col("quantity")))
+            .withColumn("subtotal_amount", F.when(i % 9 != 0, F.col("subtotal_amount")).otherwise(F.lit(-1).cast(S.MONEY))))
+    out = CH.create_rows(td.sales_orders(spark, d), rows, "order_id", ["order_date", "customer_order_id"],
+                         required=["customer_name", "quantity", "subtotal_amount"], not_negative=S.NUMERIC_FIELDS)
+    return out["rejects"].select("customer_order_id", "reason")
+
+
 _DELTA_SQL = _CMD_TARGET.replace("\nSELECT s.order_id,", ", new_t AS (SELECT s.order_id,", 1) + """)
 , touched AS (SELECT oid, MAX(seq) AS lseq FROM (SELECT oid, seq FROM applied UNION ALL SELECT order_id, seq FROM created) u
               GROUP BY oid)
@@ -504,8 +623,8 @@ SELECT n.order_id, 'upsert' AS op, t.lseq AS seq, n.status, n.customer_name, CAS
        CAST(n.tax_rate AS DOUBLE) AS tax_rate, CAST(n.shipping_cost AS DOUBLE) AS shipping_cost, n.category, n.subcategory
 FROM new_t n JOIN touched t ON t.oid = n.order_id
 UNION ALL
-SELECT d.oid, 'delete', d.died, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-FROM died d JOIN state s ON s.order_id = d.oid AND s.born = -1"""
+SELECT d.oid, 'delete', k.seq, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM died d JOIN state s ON s.order_id = d.oid AND s.born = -1 JOIN dels k ON k.oid = d.oid AND k.pos = d.died"""
 
 
 @register("r2_commands_delta", _DELTA_SQL)

@@ -1,11 +1,11 @@
 
+from domain_rows import product_rows, rows_of
 from pyspark.sql import functions as F
 
 from shopfloor import schemas as S
 from shopfloor.operators import catalog as C
 from shopfloor.operators import dedupe as D
 from shopfloor.operators import ids as I
-from domain_rows import product_rows, rows_of
 
 
 def test_search_and_listing(spark, products_seed):
@@ -96,3 +96,11 @@ def test_dense_ids_hold_at_size(spark):
         finally:
             for k, v in old.items():
                 spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_products_without_a_name_stay(spark, products_seed):
+    rows = products_seed.withColumn("name", F.when(F.col("product_id") > 3, F.col("name")))
+    out = D.dedupe_products(rows.unionByName(rows.withColumn("product_id", F.col("product_id") + 100)))
+    report = {r.metric: r.value for r in out["report"].collect()}
+    assert report == {"products_before": 20, "products_after": 8, "products_deleted": 12}
+    assert rows_of(out["products"], "product_id") == [(1,), (4,), (5,), (6,), (7,), (8,), (9,), (10,)]

@@ -1,14 +1,16 @@
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from domain_rows import rows_of
 from pyspark.sql import functions as F
 
 from shopfloor import schemas as S
 from shopfloor.operators import changes as CH
-from domain_rows import rows_of
 
 AS_OF = "2024-06-01 00:00:00"
 CMD = "seq long, action string, data string"
@@ -256,3 +258,91 @@ def test_replace_needs_all_required_fields(spark, orders_small):
     assert [r.order_id for r in out["replaced"].collect()] == [1]
     assert [r.order_id for r in out["rejects"].collect()] == [2]
     assert out["target"].count() == orders_small.count()
+
+
+def test_no_command_without_a_place_vanishes(spark, orders_small):
+    create = {"customer_name": "N", "quantity": "1", "subtotal_amount": "5.00", "category": "x", "subcategory": "y"}
+    cmds = [(None, "create_order", create), (None, "update_order", {"order_id": "1", "status": "shipped"}),
+            (None, "delete_order", {"order_id": "2"}), (5, "delete_order", {"order_id": "3"}), (5, "delete_order", {"order_id": "3"}),
+            (6, "update_order", {"order_id": "4", "status": "b"}), (6, "update_order", {"order_id": "4", "status": "a"}),
+            (7, "create_order", create), (8, "update_order", {"order_id": "11", "status": "late"})]
+    out = CH.apply_order_commands(orders_small, _cmds(spark, cmds), as_of=AS_OF, constraints=False)
+    changes = rows_of(out["changes"], "seq", "order_id", "action")
+    rejects = rows_of(out["rejects"], "seq", "action", "order_id", "reason")
+    assert len(changes) + len(rejects) == len(cmds)
+    assert changes == [(5, 3, "deleted"), (6, 4, "updated"), (6, 4, "updated"), (7, 11, "created"), (8, 11, "updated")]
+    assert [r[3] for r in rejects] == ["Order not found", "no seq", "no seq", "no seq"]
+    status = {r.order_id: r.status for r in out["target"].collect()}
+    assert status[4] == "b" and status[11] == "late" and 3 not in status and 2 in status and len(status) == 10
+    assert {r["action"]: r["count"] for r in out["report"].collect()} == {"created": 1, "updated": 3, "deleted": 1, "rejected": 4}
+    assert rows_of(out["delta"], "order_id", "op", "seq") == [(3, "delete", 5), (4, "upsert", 6), (11, "upsert", 8)]
+
+
+def test_patches_and_status_changes_without_a_place(spark, products_seed):
+    patches = spark.createDataFrame([(1, None, 7), (2, 1, 5), (2, 1, 9), (2, 0, 50)], "product_id long, seq long, stock_quantity int")
+    out = CH.patch_products(products_seed, patches, as_of=AS_OF)
+    stock = {r.product_id: (r.stock_quantity, str(r.updated_at)) for r in out["target"].collect()}
+    assert stock[1][0] == 50 and stock[2] == (9, AS_OF) and stock[1][1] != AS_OF
+    assert rows_of(out["rejects"]) == [(1, None, 7, "no seq")] and out["report"].first()[0] == 1
+    orders = spark.createDataFrame([(1, "pending"), (2, "pending")], "customer_order_id long, status string")
+    ch = spark.createDataFrame([(1, None, "shipped"), (2, 3, "delivered"), (2, 3, "shipped"), (2, 9, "gone")],
+                               "customer_order_id long, seq long, status string")
+    out = CH.set_customer_order_status(orders, ch)
+    assert rows_of(out["target"]) == [(1, "pending"), (2, "shipped")]
+    assert rows_of(out["rejects"]) == [(1, None, "shipped", "no seq"), (2, 9, "gone", "invalid status")]
+
+
+def test_creates_and_replacements_keep_the_constraints(spark, orders_small):
+    rows = orders_small.where("order_id IN (1, 5, 7, 8)").withColumn("_src", F.col("order_id"))
+    out = CH.create_rows(orders_small, rows, "order_id", ["_src"], required=["quantity"],
+                         not_negative=["quantity", "subtotal_amount"])
+    assert rows_of(out["rejects"], "_src", "reason") == [(7, "missing: quantity"), (8, "negative: quantity,subtotal_amount")]
+    assert out["created"].count() == 2
+    out = CH.replace_rows(orders_small, rows.drop("_src"), "order_id", required=["category"], not_negative=["quantity"])
+    assert rows_of(out["rejects"], "order_id", "reason") == [(7, "missing: category"), (8, "negative: quantity")]
+
+
+def _stock_model(stock, deltas):
+    """Stock and decisions after ``deltas`` (product, seq, delta), one after the other."""
+    stock, out = dict(stock), []
+    for p, seq, x in sorted(deltas):
+        ok = p in stock and stock[p] + x >= 0
+        if ok:
+            stock[p] += x
+        out.append((p, seq, x, ok))
+    return stock, sorted(out)
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 7, 50])
+def test_stock_blocks_equal_the_sequential_fold(spark, products_seed, block_rows):
+    """Products that hover at 0, recover, start below 0 or share positions, in blocks of any size."""
+    rng = random.Random(block_rows)
+    start = {1: 0, 2: 5, 3: 40, 4: -4, 5: 10 ** 6}
+    deltas = [(p, rng.randint(0, 300), rng.choice([-60, -9, -3, -1, 0, 1, 2, 8, 30])) for p in start for _ in range(400)]
+    deltas += [(5, 301, -2 * 10 ** 6), (99, 1, 5)]
+    products = products_seed.where("product_id <= 5").withColumn("stock_quantity", F.create_map(
+        *[F.lit(x) for k in start for x in (k, start[k])])[F.col("product_id").cast("int")].cast("int"))
+    out = CH.apply_stock_deltas(products, spark.createDataFrame(deltas, "product_id long, seq long, delta long").repartition(5),
+                                block_rows=block_rows)
+    stock, decisions = _stock_model(start, deltas)
+    assert {r.product_id: r.stock_quantity for r in out["target"].collect()} == stock
+    assert sorted(tuple(r) for r in out["decisions"].select("product_id", "seq", "delta", "applied").collect()) == decisions
+
+
+def test_a_product_with_most_deltas_is_not_folded_in_one_task(spark):
+    """One product holds nearly all deltas; only the blocks where the guard can act are opened."""
+    n = 60_000
+    rows = (spark.range(n).select(F.when(F.col("id") % 20 == 0, F.col("id") % 50).otherwise(F.lit(7)).alias("product_id"),
+                                  F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, 3).otherwise(-3).cast("long").alias("delta"))
+            .withColumn("delta", F.when(F.col("seq") == 30_001, F.lit(-10 ** 6)).otherwise(F.col("delta")))
+            .withColumn("_stock0", F.lit(100).cast("long")))
+    placed, blocks = CH.stock_blocks(rows, 500)
+    hot = blocks.where("product_id = 7")
+    assert hot.select("_pid").distinct().count() > 1 and hot.where("NOT _safe").count() == 1
+    widest = placed.where("product_id = 7").groupBy("_pid", "_blk").count().agg(F.max("count")).first()[0]
+    assert widest <= 500
+    dec, final = CH._fold_blocks(rows, 500)
+    stock, decisions = _stock_model({p: 100 for p in range(50)}, [tuple(r) for r in rows.select("product_id", "seq", "delta").collect()])
+    assert sorted(tuple(r) for r in dec.collect()) == decisions
+    # products all of whose blocks are safe end with their sums, the others with the fold
+    assert all(stock[r.product_id] == r._new for r in final.collect())
