@@ -22,6 +22,7 @@ from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import line_subtotal, shipping_tier
 from ..session import checkpoint_dir
+from .prefix import BLOCK_ROWS, in_blocks, running_sums
 
 
 # The Python fold below runs inside executors; ship this module's code by
@@ -72,39 +73,40 @@ _OUTCOME_SCHEMA = "session_id string, seq long, action string, product_id long,
 _LINES_SCHEMA = "session_id string, product_id long, quantity int"
 
 
-def _fold_sessions(batches, emit_lines: bool):
-    """Stream rows sorted by (session_id, seq); the state is one cart."""
+def _fold_lines(batches, emit_lines: bool):
+    """Stream rows sorted by key, then order; the state is one cart line.
+
+    Between two clears of a session (an epoch) the actions on one product
+    depend on each other alone."""
     import pandas as pd
     cur, lines = None, {}
-    out_lines = []
+    out = []
 
     def flush():
-        for pid, q in lines.items():
-            out_lines.append((cur, int(pid), int(q)))
+        out.extend((cur[0], pid, q) for pid, q in lines.items())
 
     for pdf in batches:
-        rows = pdf.itertuples(index=False)
         res = []
-        for r in rows:
-            if r.session_id != cur:
-                if emit_lines and cur is not None:
-                    flush()
-                cur, lines = r.session_id, {}
+        for r in pdf.itertuples(index=False):
             pid = None if pd.isna(r.product_id) else int(r.product_id)
+            key = (r.session_id, r.epoch, pid)
+            if key != cur:
+                flush()
+                cur, lines = key, {}
             q = None if pd.isna(r.quantity) else int(r.quantity)
             stock = None if pd.isna(r.p_stock) else int(r.p_stock)
             why = cart_step(lines, r.action, pid, q, bool(r.p_exists), bool(r.p_active), stock)
             if not emit_lines:
                 res.append((r.session_id, int(r.seq), r.action, pid, why is None, why))
-        if not emit_lines:
-            yield pd.DataFrame(res, columns=["session_id", "seq", "action", "product_id", "accepted", "reason"])
-        elif out_lines:
-            yield pd.DataFrame(out_lines, columns=["session_id", "product_id", "quantity"])
-            out_lines = []
-    if emit_lines and cur is not None:
-        flush()
-        if out_lines:
-            yield pd.DataFrame(out_lines, columns=["session_id", "product_id", "quantity"])
+        if emit_lines:
+            yield pd.DataFrame(out, columns=["session_id", "product_id", "quantity"])
+            out = []
+        else:
+            out = []
+            yield pd.DataFrame(res, columns=["session_id", "seq", "action", "product_id", "accepted", "reason"]).astype({"product_id": "Int64"})
+    flush()
+    if emit_lines and out:
+        yield pd.DataFrame(out, columns=["session_id", "product_id", "quantity"])
 
 
 def _with_product(events: DataFrame, products: DataFrame) -> DataFrame:
@@ -115,82 +117,115 @@ def _with_product(events: DataFrame, products: DataFrame) -> DataFrame:
             .withColumn("_active", F.coalesce("_active", F.lit(False))))
 
 
+LINE = ["session_id", "epoch", "product_id"]
+
+
 def _sorted_fold(ev: DataFrame, emit_lines: bool) -> DataFrame:
     n = max(1, int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    cols = ["session_id", "seq", "action", "product_id", "quantity",
+    cols = ["session_id", "epoch", "seq", "action", "product_id", "quantity",
             F.col("_stock").alias("p_stock"), F.col("_active").alias("p_active"),
             F.col("_exists").alias("p_exists")]
     # total order (ties on seq broken by the row itself): a recomputed task
     # after a lost executor folds the rows in exactly the same order
-    srt = ev.select(*cols).repartition(n, "session_id").sortWithinPartitions(
-        "session_id", "seq", "action", "product_id", "quantity")
-    return srt.mapInPandas(lambda it: _fold_sessions(it, emit_lines),
+    srt = ev.select(*cols).repartition(n, *LINE).sortWithinPartitions(*LINE, "seq", "action", "quantity")
+    return srt.mapInPandas(lambda it: _fold_lines(it, emit_lines),
                            _LINES_SCHEMA if emit_lines else _OUTCOME_SCHEMA)
 
 
-def cart_event_outcomes(events: DataFrame, products: DataFrame) -> DataFrame:
+def with_epochs(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``events`` with ``epoch``: the clears of the session up to each action.
+
+    Order: seq, then action, product and quantity.  The clears are counted by
+    blocks, so a session with very many actions is counted by many tasks."""
+    order = ["session_id", "seq", "action", "product_id", "quantity"]
+    return running_sums(in_blocks(events, order, block_rows), ["session_id"],
+                        epoch=F.when(F.col("action") == "clear", 1)).drop("_pid", "_blk", "_row")
+
+
+def cart_event_outcomes(events: DataFrame, products: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per action: accepted or the rejection reason (exact sequential fold).
 
-    Rows are hash-partitioned by session and sorted by (session, seq); a
-    streaming ``mapInPandas`` keeps one cart in memory at a time."""
-    return _sorted_fold(_with_product(events, products), emit_lines=False)
+    A clear empties the whole cart, so it ends an epoch; within an epoch the
+    products of a session don't influence each other.  Rows are therefore
+    hash-partitioned by (session, epoch, product), sorted by ``seq`` and
+    folded by a streaming ``mapInPandas`` that keeps one cart line in memory.
+    Clears are accepted as they are; actions without a ``seq`` are rejected.
+    """
+    cols = ["session_id", "seq", "action", "product_id", "quantity"]
+    unplaced = events.filter(F.col("seq").isNull()).select(
+        "session_id", "seq", "action", "product_id", F.lit(False).alias("accepted"), F.lit("no seq").alias("reason"))
+    placed = events.filter(F.col("seq").isNotNull()).select(*cols)
+    clears = placed.filter(F.col("action") == "clear").select(
+        "session_id", "seq", "action", "product_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"))
+    rest = with_epochs(placed, block_rows).filter(F.col("action").isNull() | (F.col("action") != "clear"))
+    folded = _sorted_fold(_with_product(rest, products), emit_lines=False)
+    return folded.unionByName(clears).unionByName(unplaced)
 
 
 def fold_carts(events: DataFrame, products: DataFrame) -> DataFrame:
     """The cart lines ``(session_id, product_id, quantity)`` after all actions.
 
+    Only the actions after a session's last clear count, and there each
+    product is a case of its own.
+
     Fast path (exact, set-based): when a (session, product) can never hit
     the stock limit -- its largest update plus all its adds fit in stock
     -- the fold reduces to "state after the last reset", computed with
     combinable aggregates and joins of one row per key:
-    L = last unconditional reset (remove, update <= 0, session clear);
+    L = last unconditional reset (remove, update <= 0);
     F = first valid add after L (before it updates are rejected: absent);
-    U = last update after L, accepted only if after F;
+    U = last update from F on (at equal seq adds come first, then removes,
+    then updates by quantity);
     quantity = q(U) + adds after U, or the adds after L when no U.
-    Sessions with at least one product where stock may bind go through the
-    streaming sequential fold instead (same semantics, exact).
+    The (session, product) pairs where stock may bind go through the
+    streaming sequential fold instead (same semantics, exact); the other
+    products of their sessions don't.  Actions without a ``seq`` are left
+    out (:func:`cart_event_outcomes` rejects them).
     """
-    ev = _with_product(events, products)
-    clears = (ev.filter(F.col("action") == "clear").groupBy("session_id")
+    ev = events.filter(F.col("seq").isNotNull())
+    clears = (ev.filter(F.col("action") == "clear").groupBy(F.col("session_id").alias("_s"))
               .agg(F.max("seq").alias("_clear")))
-    items = ev.filter(F.col("action") != "clear").join(clears, "session_id", "left")
+    # at equal seq an add comes before a clear, the other actions after it
+    after = (F.col("seq") > F.col("_clear")) | ((F.col("seq") == F.col("_clear")) & (F.col("action") > "clear"))
+    ev = (ev.join(clears, F.col("session_id").eqNullSafe(F.col("_s")), "left")
+          .filter((F.col("_clear").isNull() | after) & F.col("action").isin("add", "update", "remove") & F.col("product_id").isNotNull())
+          .select("session_id", "seq", "action", "product_id", "quantity"))
+    items = _with_product(ev, products)
     key = ["session_id", "product_id"]
     is_add = (F.col("action") == "add") & (F.col("quantity") > 0)
     is_upd = (F.col("action") == "update") & (F.col("quantity") > 0)
     is_reset = (F.col("action") == "remove") | ((F.col("action") == "update")
                                                 & F.coalesce(F.col("quantity") <= 0, F.lit(True)))
     k1 = items.groupBy(*key).agg(
-        F.greatest(F.coalesce(F.max(F.when(is_reset, F.col("seq"))), F.lit(-1)),
-                   F.coalesce(F.first("_clear"), F.lit(-1))).alias("_L"),
+        F.max(F.when(is_reset, F.col("seq"))).alias("_L"),
         F.coalesce(F.sum(F.when(is_add, F.col("quantity"))), F.lit(0)).alias("_adds"),
         F.coalesce(F.max(F.when(is_upd, F.col("quantity"))), F.lit(0)).alias("_maxupd"),
         F.first("_stock").alias("_stock"), F.first("_active").alias("_active"),
         F.first("_exists").alias("_exists"))
     sellable = F.col("_exists") & F.col("_active")
-    risky = sellable & (F.col("_maxupd") + F.col("_adds") > F.coalesce(F.col("_stock"), F.lit(-1)))
-    risky_sessions = k1.filter(risky).select("session_id").distinct()
-    safe = k1.filter(sellable).join(risky_sessions, "session_id", "left_anti").select(*key, "_L")
+    risky = F.col("_maxupd") + F.col("_adds") > F.coalesce(F.col("_stock"), F.lit(-1))
+    risky_keys = k1.filter(sellable & risky).select(*key)
+    safe = k1.filter(sellable & ~risky).select(*key, "_L")
 
     # round 2: first add and last update after the last reset
-    after = items.join(safe, key).filter(F.col("seq") > F.col("_L"))
-    k2 = after.groupBy(*key).agg(
+    after_reset = items.join(safe, key).filter(F.col("_L").isNull() | (F.col("seq") > F.col("_L")))
+    k2 = after_reset.groupBy(*key).agg(
         F.first("_L").alias("_L"),
         F.min(F.when(is_add, F.col("seq"))).alias("_F"),
-        F.max(F.when(is_upd, F.col("seq"))).alias("_U"),
-        F.max_by(F.col("quantity"), F.when(is_upd, F.col("seq"))).alias("_qU"))
+        F.max(F.when(is_upd, F.col("seq"))).alias("_U"))
     k2 = k2.filter(F.col("_F").isNotNull()).withColumn(
-        "_U", F.when(F.col("_U") > F.col("_F"), F.col("_U")))
+        "_U", F.when(F.col("_U") >= F.col("_F"), F.col("_U")))
     # round 3: adds after the accepted update (or after the reset)
-    k3 = (after.join(k2.select(*key, "_U", "_qU"), key)
-          .withColumn("_from", F.coalesce(F.col("_U"), F.col("_L")))
+    k3 = (after_reset.join(k2.select(*key, "_U"), key)
           .groupBy(*key).agg(
-              F.coalesce(F.sum(F.when(is_add & (F.col("seq") > F.col("_from")), F.col("quantity"))),
+              F.coalesce(F.sum(F.when(is_add & (F.col("_U").isNull() | (F.col("seq") > F.col("_U"))), F.col("quantity"))),
                          F.lit(0)).alias("_tail"),
-              F.first("_qU").alias("_qU"), F.first("_U").alias("_U")))
+              F.max(F.when(is_upd & (F.col("seq") == F.col("_U")), F.col("quantity"))).alias("_qU"),
+              F.first("_U").alias("_U")))
     fast = k3.select(*key, (F.when(F.col("_U").isNotNull(), F.col("_qU")).otherwise(F.lit(0))
                             + F.col("_tail")).cast("int").alias("quantity")) \
         .filter(F.col("quantity") > 0)
-    slow = _sorted_fold(ev.join(risky_sessions, "session_id", "left_semi"), emit_lines=True)
+    slow = _sorted_fold(items.join(risky_keys, key, "left_semi").withColumn("epoch", F.lit(0).cast("long")), emit_lines=True)
     return fast.unionByName(slow)
 
 

@@ -25,6 +25,7 @@ from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import as_of_date, as_of_timestamp, parse_id_list
 from ..session import checkpoint_dir
 from .ids import dense_ids, next_id
+from .prefix import BLOCK, BLOCK_ROWS, in_blocks
 
 ORDER_TYPES = {f.name: f.dataType for f in S.ORDERS.fields}
 CREATE_REQUIRED = ["customer_name", "quantity", "subtotal_amount", "category", "subcategory"]
@@ -425,8 +426,6 @@ def upsert(target: DataFrame, source: DataFrame, key: str, seq: str | None = Non
 # Guarded stock deltas
 # ---------------------------------------------------------------------------
 
-BLOCK_ROWS = 4096               # deltas of a block
-
 _FOLD_SCHEMA = "product_id long, seq long, delta long, applied boolean, stock_after long, nth long, whole boolean"
 
 
@@ -469,12 +468,8 @@ def stock_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFra
     start applies as a whole, whatever happened before.  P and its minimum
     come from the blocks' sums and lowest prefixes alone.
     """
-    checkpoint_dir(rows.sparkSession)
-    placed = rows.orderBy("product_id", "seq", "delta").withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    placed = placed.select("product_id", "seq", "delta", "_stock0", F.shiftright("_mid", 33).alias("_pid"),
-                           F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")) \
-        .withColumn("_blk", F.expr(f"_row div {block_rows}"))
-    key = ["product_id", "_pid", "_blk"]
+    placed = in_blocks(rows.select("product_id", "seq", "delta", "_stock0"), ["product_id", "seq", "delta"], block_rows)
+    key = ["product_id", *BLOCK]
     prefix = F.sum("delta").over(Window.partitionBy(*key).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
     blocks = placed.withColumn("_prefix", prefix).groupBy(*key).agg(
         F.sum("delta").alias("_sum"), F.min("_prefix").alias("_lowest"), F.first("_stock0").alias("_stock0"))
@@ -494,7 +489,7 @@ def stock_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFra
 def _fold_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Decisions of all ``rows`` and the final stock of their products: safe
     blocks as wholes, only the rows of risky blocks one by one."""
-    key = ["product_id", "_pid", "_blk"]
+    key = ["product_id", *BLOCK]
     placed, blocks = stock_blocks(rows, block_rows)
     marked = placed.join(blocks.select(*key, "_safe", "_risky_before"), key)
     opened = marked.filter(~F.col("_safe")).select(

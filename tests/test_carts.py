@@ -1,13 +1,16 @@
+import random
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
+from domain_rows import rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shopfloor import schemas as S
 from shopfloor.operators import carts as K
-from domain_rows import rows_of
+from shopfloor.operators.prefix import in_blocks, running_sums
+
+CART_SCHEMA = "session_id string, seq long, action string, product_id long, quantity int"
 
 # FIXTURES.md section 5
 CART_EVENTS = [
@@ -45,13 +48,21 @@ def test_shipping_split(spark, products_seed):
     assert exact == [Decimal("3.33"), Decimal("3.33"), Decimal("3.34")]
 
 
-def brute_force(rows, stock, active):
-    carts = {}
-    for sid, seq, action, pid, q in sorted(rows, key=lambda r: (r[0], r[1])):
+def in_order(r):
+    """Session, seq, action, product, quantity; nulls first."""
+    return tuple((x is not None, x) for x in r)
+
+
+def brute_force(rows, stock, active, outcomes=False):
+    carts, out = {}, []
+    for sid, seq, action, pid, q in sorted(rows, key=in_order):
+        if seq is None:
+            out.append((sid, seq, action, pid, False, "no seq"))
+            continue
         lines = carts.setdefault(sid, {})
-        exists = pid in stock
-        K.cart_step(lines, action, pid, q, exists, active.get(pid, False), stock.get(pid))
-    return sorted((s, p, q) for s, l in carts.items() for p, q in l.items())
+        why = K.cart_step(lines, action, pid, q, pid in stock, active.get(pid, False), stock.get(pid))
+        out.append((sid, seq, action, pid, why is None, why))
+    return sorted(out, key=in_order) if outcomes else sorted((s, p, q) for s, l in carts.items() for p, q in l.items())
 
 
 actions = st.tuples(st.sampled_from(["s1", "s2", "s3"]), st.sampled_from(["add", "add", "update", "remove", "clear"]),
@@ -71,6 +82,48 @@ def test_fold_matches_sequential(spark, evs):
     assert got == brute_force(rows, stock, active)
 
 
+def _store(spark, stock, active):
+    prods = [(p, f"p{p}", "d", "c", "s", Decimal("1.00"), None, s, active[p], None, None) for p, s in stock.items()]
+    return spark.createDataFrame(prods, S.PRODUCTS)
+
+
+def test_shared_and_missing_positions(spark):
+    """Actions of equal seq are ordered by action, product, quantity; those without one are rejected."""
+    rng = random.Random(8)
+    stock, active = {1: 4, 2: 100, 3: 5}, {1: True, 2: True, 3: False}
+    rows = [(rng.choice("ab"), rng.choice([None, *range(12)]), a, None if a == "clear" else rng.choice([None, 1, 2, 3, 4]),
+             None if a in ("clear", "remove") else rng.choice([None, -1, 0, 1, 2, 3]))
+            for a in rng.choices(["add", "update", "remove", "clear", "gift"], [9, 5, 2, 1, 1], k=400)]
+    df = spark.createDataFrame(rows, CART_SCHEMA).repartition(4)
+    assert rows_of(K.fold_carts(df, _store(spark, stock, active))) == brute_force(rows, stock, active)
+    got = sorted((tuple(r) for r in K.cart_event_outcomes(df, _store(spark, stock, active), block_rows=5).collect()), key=in_order)
+    assert got == brute_force(rows, stock, active, outcomes=True)
+
+
+def test_a_session_with_most_actions_spreads_over_tasks(spark):
+    rng = random.Random(9)
+    stock, active = {p: 30 for p in range(1, 41)}, {p: True for p in range(1, 41)}
+    rows = [("hot" if k % 8 else f"s{k % 200}", k, "clear" if k % 500 == 1 else rng.choice(["add", "add", "update", "remove"]),
+             None if k % 500 == 1 else rng.randint(1, 40), None if k % 500 == 1 else rng.randint(0, 9)) for k in range(12_000)]
+    df = spark.createDataFrame(rows, CART_SCHEMA)
+    epochs = K.with_epochs(df, block_rows=200)
+    lines = epochs.where("session_id = 'hot'").groupBy(*K.LINE).count()
+    assert lines.agg(F.max("count")).first()[0] < len(rows) / 50         # a task folds lines, not the session
+    got = sorted((tuple(r) for r in K.cart_event_outcomes(df, _store(spark, stock, active), block_rows=200).collect()), key=in_order)
+    assert got == brute_force(rows, stock, active, outcomes=True)
+    assert rows_of(K.fold_carts(df, _store(spark, stock, active))) == brute_force(rows, stock, active)
+
+
+def test_running_sums_over_blocks(spark):
+    rows = [("a" if k % 3 else f"s{k % 7}", k, k % 5 - 2) for k in range(500)]
+    df = spark.createDataFrame(rows, "s string, k long, v long")
+    got = {r.k: r.total for r in running_sums(in_blocks(df.repartition(6), ["s", "k"], 9), ["s"], total=F.col("v")).collect()}
+    sums, want = {}, {}
+    for s, k, v in rows:
+        want[k] = sums[s] = sums.get(s, 0) + v
+    assert got == want
+
+
 def brute_force_checkout(carts, stock):
     """Reference semantics: each checkout validated against live stock."""
     st, acc = dict(stock), {}
