@@ -15,7 +15,7 @@ C1 fold semantics (per session, in ``seq`` order):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -312,19 +312,83 @@ def shipping_shares(lines: DataFrame, totals: DataFrame, exact_split: bool = Fal
 # C3, sequential: carts compete for stock in checkout order
 # ---------------------------------------------------------------------------
 
-def sequential_acceptance(lines: DataFrame, requests: DataFrame, products: DataFrame) -> DataFrame:
+BOUND_ROUNDS = 4                # rounds of bounds before the rest is decided by groups
+
+
+def connected_groups(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each node's connected group.
+
+    ``edges`` (a, b) are strings.  Every node is joined with the smallest
+    neighbour of its neighbours until each group is a star, which takes about
+    log n rounds, also for a chain; neighbours are never gathered."""
+    checkpoint_dir(edges.sparkSession)
+    known = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint(eager=True)
+    state = None
+    while True:
+        # large star: the greater neighbours of a node go to its smallest
+        both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # small star: a node and its smaller neighbours go to the smallest of these
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")) \
+            .unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        known = small.checkpoint(eager=True)
+        now = tuple(known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    roots = known.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("label"))
+    return known.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+
+
+def _decide_groups(batches):
+    """Stream the lines of undecided carts sorted by group, then checkout order;
+    the state is what the group's accepted carts took of each product."""
+    import pandas as pd
+    group, taken, cart, lines, out = None, {}, None, [], []
+
+    def decide():
+        if cart is None:
+            return
+        ok = all(stock is not None and lo + taken.get(p, 0) + q <= stock for p, q, lo, stock in lines)
+        if ok:
+            for p, q, *_ in lines:
+                taken[p] = taken.get(p, 0) + q
+        out.append((*cart, ok))
+
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if (r.session_id, r.seq) != cart or r.label != group:
+                decide()
+                cart, lines = (r.session_id, r.seq), []
+                if r.label != group:
+                    group, taken = r.label, {}
+            lines.append((int(r.product_id), int(r.q), int(r.lo), None if pd.isna(r.stock) else int(r.stock)))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "seq", "accepted"])
+            out.clear()
+    decide()
+    if out:
+        yield pd.DataFrame(out, columns=["session_id", "seq", "accepted"])
+
+
+def sequential_acceptance(lines: DataFrame, requests: DataFrame, products: DataFrame,
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact checkout-order semantics: cart k is accepted iff every line
     fits the stock left after the carts accepted before it (as when each
     checkout is validated against the live table).
 
-    Set-based fixpoint on bounds instead of a global sequential loop: per
-    line, ``lo`` = demand of earlier ACCEPTED carts on the product and
-    ``hi`` = demand of earlier carts not rejected.  A cart whose lines all
-    fit under ``hi`` is accepted, one with a line over stock under ``lo``
-    is rejected.  The earliest undecided cart has lo = hi, so every round
-    decides at least one cart: the loop ends without a cap.  Only
-    products whose total demand exceeds stock take part; the rest always
-    fit.  Returns ``(session_id, seq, accepted)``.
+    Bounds first: per line, ``lo`` = demand of earlier ACCEPTED carts on the
+    product and ``hi`` = demand of earlier carts not rejected.  A cart whose
+    lines all fit under ``hi`` is accepted, one with a line over stock under
+    ``lo`` is rejected.  Both are running sums over blocks, so a product that
+    most carts want is summed by many tasks.  After ``BOUND_ROUNDS`` rounds
+    the undecided carts (chains that wait for each other) are split into
+    connected groups by the products they share; groups don't influence each
+    other, and each is decided in checkout order by a streaming pass over
+    its undecided lines.  Only products whose total demand exceeds stock take
+    part; the rest always fit.  Returns ``(session_id, seq, accepted)``.
     """
     spark = lines.sparkSession
     checkpoint_dir(spark)
@@ -334,27 +398,39 @@ def sequential_acceptance(lines: DataFrame, requests: DataFrame, products: DataF
          .select("session_id", "seq", "product_id", F.col("quantity").cast("long").alias("q"), "_stock"))
     demand = L.groupBy("product_id").agg(F.sum("q").alias("_demand"), F.first("_stock").alias("_stock"))
     binding = demand.filter(F.col("_stock").isNull() | (F.col("_demand") > F.col("_stock"))).select("product_id")
-    Lb = L.join(binding, "product_id", "left_semi").checkpoint(eager=True)
+    Lb = in_blocks(L.join(binding, "product_id", "left_semi"), ["product_id", "seq", "session_id"], block_rows)
     status = (L.select("session_id", "seq").distinct()
               .join(Lb.select("session_id").distinct().withColumn("_b", F.lit(True)), "session_id", "left")
               .select("session_id", "seq",
                       F.when(F.col("_b").isNull(), F.lit("a")).otherwise(F.lit("u")).alias("st"))
               .checkpoint(eager=True))
-    w = Window.partitionBy("product_id").orderBy("seq", "session_id") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    while True:
-        if status.filter(F.col("st") == "u").limit(1).count() == 0:
+
+    def bounded():
+        x = running_sums(Lb.join(status, ["session_id", "seq"]), ["product_id"],
+                         _lo=F.when(F.col("st") == "a", F.col("q")), _hi=F.when(F.col("st") != "r", F.col("q")))
+        undecided = x.filter(F.col("st") == "u")            # its own quantity is in _hi
+        return undecided.withColumn("_hi", F.col("_hi") - F.col("q"))
+
+    for _ in range(BOUND_ROUNDS):
+        if status.filter(F.col("st") == "u").isEmpty():
             break
-        x = Lb.join(status, ["session_id", "seq"])
-        x = (x.withColumn("_lo", F.coalesce(F.sum(F.when(F.col("st") == "a", F.col("q"))).over(w), F.lit(0)))
-             .withColumn("_hi", F.coalesce(F.sum(F.when(F.col("st") != "r", F.col("q"))).over(w), F.lit(0))))
         fits_hi = F.coalesce(F.col("_hi") + F.col("q") <= F.col("_stock"), F.lit(False))
         fails_lo = F.coalesce(F.col("_lo") + F.col("q") > F.col("_stock"), F.lit(True))
-        dec = (x.filter(F.col("st") == "u").groupBy("session_id")
+        dec = (bounded().groupBy("session_id")
                .agg(F.bool_and(fits_hi).alias("_acc"), F.bool_or(fails_lo).alias("_rej")))
         status = (status.join(dec, "session_id", "left")
                   .select("session_id", "seq",
                           F.when(F.col("st") != "u", F.col("st")).when(F.col("_acc"), F.lit("a"))
                            .when(F.col("_rej"), F.lit("r")).otherwise(F.lit("u")).alias("st"))
                   .checkpoint(eager=True))
-    return status.select("session_id", "seq", (F.col("st") == "a").alias("accepted"))
+    decided = status.filter(F.col("st") != "u").select("session_id", "seq", (F.col("st") == "a").alias("accepted"))
+    if status.filter(F.col("st") == "u").isEmpty():
+        return decided
+    rest = bounded().select("session_id", "seq", "product_id", "q", F.col("_lo").alias("lo"), F.col("_stock").alias("stock")).checkpoint(eager=True)
+    cart = F.concat(F.lit("s"), "session_id")
+    groups = connected_groups(rest.select(cart.alias("a"), F.concat(F.lit("p"), F.col("product_id").cast("string")).alias("b")))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    folded = (rest.join(groups, cart == F.col("node")).select("label", "session_id", "seq", "product_id", "q", "lo", "stock")
+              .repartition(n, "label").sortWithinPartitions("label", "seq", "session_id", "product_id")
+              .mapInPandas(_decide_groups, "session_id string, seq long, accepted boolean"))
+    return decided.unionByName(folded)

@@ -151,6 +151,39 @@ def test_sequential_checkout_matches_live_stock(spark, carts):
     assert got == brute_force_checkout(cs, stock)
 
 
+def _contend(spark, carts, stock, **kw):
+    lines = spark.createDataFrame([(sid, p, q) for sid, _, ls in carts for p, q in ls], "session_id string, product_id long, quantity int")
+    req = spark.createDataFrame([(sid, seq) for sid, seq, _ in carts], "session_id string, seq long")
+    prods = spark.createDataFrame(list(stock.items()), "product_id long, stock_quantity int")
+    return {r.session_id: r.accepted for r in K.sequential_acceptance(lines, req, prods, **kw).collect()}
+
+
+def test_a_long_chain_of_competing_carts(spark, monkeypatch):
+    """Cart k waits for cart k - 1: 5,000 decisions that depend on each other take few rounds."""
+    n, rounds = 5000, []
+    checkpoint = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a, **k: rounds.append(1) or checkpoint(df, *a, **k))
+    carts = [(f"s{k}", k, [(k, 1), (k + 1, 1)]) for k in range(n)]
+    carts += [(f"t{k}", k, [(10 ** 6 + k % 50, 1 + k % 3)]) for k in range(600)]
+    stock = {k: 1 for k in range(n + 1)} | {10 ** 6 + k: k for k in range(50)}
+    assert _contend(spark, carts, stock, block_rows=64) == brute_force_checkout(carts, stock)
+    assert len(rounds) <= 30
+
+
+def test_groups_that_share_products(spark):
+    rng = random.Random(2)
+    stock = {p: rng.choice([0, 1, 3, 9]) for p in range(60)}
+    carts = [(f"s{k}", rng.randint(0, 200), [(p, rng.randint(1, 3)) for p in rng.sample(range(k % 6 * 10, k % 6 * 10 + 10), rng.randint(1, 4))])
+             for k in range(400)]
+    assert _contend(spark, carts, stock, block_rows=7) == brute_force_checkout(carts, stock)
+
+
+def test_connected_groups(spark):
+    edges = [(f"a{k:04}", f"a{k + 1:04}") for k in range(300) if k % 60] + [("x", "y"), ("z", "z"), ("y", "x")]
+    got = {r.node: r.label for r in K.connected_groups(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got["x"] == got["y"] == "x" and all(got[f"a{k:04}"] == f"a{(k - 1) // 60 * 60 + 1:04}" for k in range(1, 300) if k % 60)
+
+
 def test_checkout_totals_equal_items(spark, products_seed):
     from shopfloor.plans import checkout as CK
     lines = K.fold_carts(_events(spark), products_seed)
