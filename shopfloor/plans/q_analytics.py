@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import analytics as an
+from ..operators import substring_index as SI
+from ..session import checkpoint_dir, scratch_path
 from ..sources import testdata as td
+from ..sources.rank_directory import RankDirectory
 from .registered import SO, oracle, register
 
 ORDER_OUT = ("order_id, status, customer_name, order_date, quantity, subtotal_amount, "
@@ -155,6 +162,24 @@ def q_p4(spark, d):
     return an.search_orders(td.sales_orders(spark, d), status="Pending", customer_name="00001")
 
 
+# Terms to search for: the end of every customer's name, and short, empty, unknown and wildcard ones.
+_ODD_TERMS = ["", "99", "#7", "nobody", "_00000001", "R#%9", "CUSTOMER#00000010"]
+
+
+@register("p4_indexed_search", SO + """
+, t AS (SELECT DISTINCT right(c_name, 4) AS term FROM customer UNION SELECT unnest([""" + ", ".join(f"'{t}'" for t in _ODD_TERMS) + """])),
+n AS MATERIALIZED (SELECT order_id AS id, customer_name || '' AS name FROM so), m AS MATERIALIZED (SELECT term || '' AS term FROM t)
+SELECT m.term, n.id FROM n JOIN m ON n.name ILIKE '%' || m.term || '%'""")
+def q_p4_indexed(spark, d):
+    """Orders by a part of the customer's name, for many terms at once."""
+    orders = td.sales_orders(spark, d).select("order_id", "customer_name")
+    terms = td.read_table(spark, d, "customer").select(F.substring("c_name", -4, 4).alias("term")).unionByName(
+        spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in _ODD_TERMS])).alias("term")))
+    checkpoint_dir(spark)
+    index = SI.build(orders, "order_id", "customer_name").checkpoint(eager=True)
+    return SI.search(orders, index, terms, "order_id", "customer_name")
+
+
 @register("l1_page", oracle(SO + """
 SELECT * FROM so WHERE category = 'MACHINERY' ORDER BY order_id DESC LIMIT 50 OFFSET 100""",
                             doubles=MONEY_COLS, texts=("order_date",), bigints=("quantity",)))
@@ -162,6 +187,44 @@ def q_l1(spark, d):
     return an.page(td.sales_orders(spark, d), page_no=3, per_page=50, category="MACHINERY")
 
 
+_MIDDLE = "(SELECT COUNT(*) // 2 // 50 FROM so)"
+
+
+def _listing(spark, d):
+    return RankDirectory.write(td.sales_orders(spark, d), scratch_path(spark, f"listing-{uuid.uuid4().hex}"),
+                               [F.col("order_id").desc()])
+
+
+@register("l1_middle_page", oracle(SO + f"""
+SELECT * EXCLUDE (k) FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY order_id DESC) AS k FROM so) t
+WHERE k > {_MIDDLE} * 50 AND k <= ({_MIDDLE} + 1) * 50""", doubles=MONEY_COLS, texts=("order_date",), bigints=("quantity",)))
+def q_l1_middle(spark, d):
+    """The page in the middle of the whole table, from a rank directory."""
+    listing = _listing(spark, d)
+    total = listing.info().first()["total"]
+    return listing.page(total // 2 // 50 + 1, 50)
+
+
+@register("l1_listing_info", SO + """
+SELECT COUNT(*) AS total, CAST(50 AS BIGINT) AS per_page, (COUNT(*) + 49) // 50 AS total_pages FROM so""")
+def q_l1_listing_info(spark, d):
+    return _listing(spark, d).info(50)
+
+
+@register("l2_customer_last_page", oracle(SO + """
+, c AS (SELECT customer_name FROM so GROUP BY customer_name ORDER BY COUNT(*) DESC, customer_name LIMIT 1),
+t AS (SELECT so.*, ROW_NUMBER() OVER (ORDER BY order_date DESC, order_id DESC) AS k, COUNT(*) OVER () AS n
+      FROM so JOIN c ON c.customer_name = so.customer_name)
+SELECT * EXCLUDE (k, n) FROM t WHERE k > (n - 1) // 10 * 10""", doubles=MONEY_COLS, texts=("order_date",), bigints=("quantity",)))
+def q_l2_last(spark, d):
+    """The last page of the customer with the most orders, newest first."""
+    orders = td.sales_orders(spark, d)
+    most = orders.groupBy("customer_name").count().orderBy(F.col("count").desc(), "customer_name").first()[0]
+    listing = RankDirectory.write(orders, scratch_path(spark, f"listing-{uuid.uuid4().hex}"),
+                                  [F.col("order_date").desc(), F.col("order_id").desc()], segment="customer_name")
+    return listing.page(listing.info(10, most).first()["total_pages"], 10, most)
+
+
 @register("l1_page_info", SO + """
 SELECT COUNT(*) AS total, CAST(50 AS BIGINT) AS per_page, (COUNT(*) + 49) // 50 AS total_pages
 FROM so WHERE category = 'MACHINERY'""")

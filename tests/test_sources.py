@@ -1,12 +1,16 @@
 import json
 import os
+import random
+import re
 
+from domain_rows import rows_of
 from pyspark.sql import functions as F
 
 from shopfloor import schemas as S
+from shopfloor.operators import reconcile as RC
 from shopfloor.sources import files as FS
 from shopfloor.sources import jdbc as JD
-from domain_rows import rows_of
+from shopfloor.sources.rank_directory import RankDirectory
 
 
 def test_csv_json_roundtrip(spark, orders_small, scratch):
@@ -81,3 +85,75 @@ def test_import_rejects_what_the_table_cannot_hold(spark, orders_small):
     out = FS.import_orders(orders_small, raw)
     assert {r.order_id: r.quantity for r in out["target"].filter("order_id >= 900 OR order_id = 1").collect()} == {900: 3, 901: 1000, 1: 3}
     assert {r.order_id for r in out["rejects"].collect()} == {"902", "903", "904", "905"}
+
+
+def parts_read(page):
+    """Parts that the scan's partition filter lets through; the rows' places are pushed to the files."""
+    plan = str(page._jdf.queryExecution().executedPlan())
+    if "FileScan" not in plan:
+        return 0
+    assert "GreaterThanOrEqual(_row," in plan
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)[1]
+    one = re.search(r"_part#\d+L? IN \(([0-9,]*)\)", filters)
+    return len(one[1].split(",")) if one else len(set(re.findall(r"_part#\d+L? = (\d+)", filters))) or 99
+
+
+def test_a_page_reads_one_or_two_parts(spark, scratch):
+    rows = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 20_011).alias("v"), F.expr("id % 10 < 7").alias("hot"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listing = RankDirectory.write(rows, scratch + "/l", [F.col("v").desc(), "k"])
+        by_hot = RankDirectory.write(rows, scratch + "/s", ["v", "k"], segment="hot")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(((r.k, r.v, r.hot) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+    assert spark.read.parquet(scratch + "/l/parts").count() > 3
+    for number in (1, 77, 200, 400, 401):
+        page = listing.page(number, 50)
+        assert [tuple(r) for r in page.collect()] == want[(number - 1) * 50:number * 50]
+        assert parts_read(page) <= 2
+    assert tuple(listing.info(50).first()) == (20_000, 50, 400)
+    hot = sorted((r for r in want if r[2]), key=lambda r: (r[1], r[0]))
+    assert tuple(by_hot.info(30, True).first()) == (14_000, 30, 467)
+    for number in (1, 233, 467, 468):
+        page = by_hot.page(number, 30, True)
+        assert [tuple(r) for r in page.collect()] == hot[(number - 1) * 30:number * 30] and parts_read(page) <= 2
+    assert by_hot.page(1, 30, None).count() == 0 and by_hot.info(30, None).first()["total"] == 0
+
+
+def test_pages_of_an_empty_table_and_of_a_null_segment(spark, scratch):
+    empty = spark.createDataFrame([], "k long, s string")
+    assert RankDirectory.write(empty, scratch + "/e", ["k"]).page(1).count() == 0
+    some = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "k long, s string")
+    listing = RankDirectory.write(some, scratch + "/n", ["k"], segment="s")
+    assert [r.k for r in listing.page(1, 5, None).collect()] == [1, 3] and listing.page(2, 5, "a").count() == 0
+
+
+def test_checksum_tree_finds_every_difference(spark):
+    rng = random.Random(14)
+    a = [(rng.choice([None, *range(-3000, 3000)]), rng.choice([None, "x", "y"]), rng.choice([None, "x", "y"])) for _ in range(3000)]
+    b = [r for r in a if r[0] is None or r[0] % 701] + [(5, "new", None), (None, "x", "z")] + a[:3]
+    k = next(i for i, r in enumerate(b) if r[1] == "x" and r[2] is None)
+    b[k] = (b[k][0], None, "x")                          # a value moves to the other column
+    df = [spark.createDataFrame(x, "k long, v string, w string") for x in (a, b)]
+    out = RC.reconcile(*df, "k", 16)
+    from collections import Counter
+    ca, cb = Counter(a), Counter(b)
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert rows_of(out["missing"]) == sorted((ca - cb).elements(), key=key)
+    assert rows_of(out["unexpected"]) == sorted((cb - ca).elements(), key=key)
+    leaves = {None if r[0] is None else r[0] // 16 for r in [*(ca - cb), *(cb - ca)]}
+    assert {r.leaf for r in out["leaves"].collect()} == leaves
+    assert rows_of(out["counts"]) == [("source", len(a)), ("target", len(b))]
+    same = RC.reconcile(df[0], df[0].repartition(5), "k", 16)
+    assert same["leaves"].count() == same["missing"].count() == same["unexpected"].count() == 0
+
+
+def test_kept_trees_spare_a_side(spark, scratch):
+    """With both trees kept, only rows of unequal ranges reach the comparison."""
+    df = spark.range(5000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    RC.checksum_leaves(df, "k", 50).write.parquet(scratch + "/t")
+    other = df.withColumn("v", F.when(F.col("k") != 777, F.col("v")).otherwise("w"))
+    out = RC.reconcile(df, other, "k", 50, source_leaves=spark.read.parquet(scratch + "/t"))
+    assert [r.leaf for r in out["leaves"].collect()] == [15]
+    assert rows_of(out["missing"]) == [(777, "v")] and rows_of(out["unexpected"]) == [(777, "w")]
