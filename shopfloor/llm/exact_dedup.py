@@ -110,10 +110,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, whole rows: one of each group (of rows that repeat
-    the kept doc_id, any one)."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, whole rows: one row of each group.  Rows without an
+    id and rows that share one are told apart by their text; of rows that have
+    the kept id and an equal text, one with the most code points stays."""
+    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("`doc_id`").cast("long").alias("id"),
+                       F.sha2(F.regexp_replace(text, "[ \\t\\n\\x0B\\f\\r]", ""), 256).alias("sha"), F.char_length(text).alias("n"))
+    best = rows.join(keep, F.col("id").eqNullSafe(F.col("_keep")) & (F.col("sha") == F.col("_sha"))) \
+        .groupBy("sha").agg(F.max_by("row", "n").alias("row"))
+    return best.select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -71,7 +71,7 @@ def sequences(docs: DataFrame, vocab_path: str, seq_len: int = 1024, end_id: int
         import pyarrow as pa
         for b in batches:
             slot = permuted(b.column("number").to_numpy(), total, key) if b.num_rows else np.zeros(0, np.int64)
-            ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in b.column("ids").to_pylist()]
+            ids = [narrow(np.frombuffer(x, "<u4"), dtype).tobytes() for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("seq_no"), b.column("length"), pa.array(ids, pa.binary()),
                                    b.column("ids_crc32"), pa.array(slot, pa.int64())], names=names)
 
@@ -81,6 +81,13 @@ def sequences(docs: DataFrame, vocab_path: str, seq_len: int = 1024, end_id: int
     return out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")), total
 
 
+def narrow(ids: np.ndarray, dtype: str) -> np.ndarray:
+    """``ids`` as ``dtype``; an id that doesn't fit is an error, never another id."""
+    if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+        raise ValueError(f"token id {int(ids.max())} does not fit {dtype}; give a wider dtype")
+    return ids.astype(dtype)
+
+
 SHARD_ROWS = "shard long, first_slot long, n_records int, payload binary, payload_crc32 long"
 
 
@@ -89,8 +96,9 @@ def shard_blocks(seqs: DataFrame, total: int, seq_len: int = 1024, per_shard: in
     """Shards as rows of at most ``block`` records: first slot, payload (records of
     ``seq_len`` ids, one after another, sorted by slot) and its checksum.
 
-    Slots are evenly spread, so their ranges need no sampling: a task takes
-    an equal range of slots, and a row is never larger than a block.
+    A block of slots is dealt to a task by its number's hash; slots are evenly
+    spread, so tasks get about as many blocks, and a row is never larger than
+    a block.
     """
     if per_shard % block:
         raise ValueError("block must divide per_shard")

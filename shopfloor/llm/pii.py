@@ -9,9 +9,11 @@ number that fails its check, ...).  Patterns and instances form a graph.  In
 each round a pattern's score is the share of believed instances in its
 evidence, damped for little evidence: against it are instances known to be
 something else, which are the seeds of other kinds in the same words, dates,
-and candidates that are a seed of another kind elsewhere.  An instance that
-isn't known yet is no evidence either way, so a context may hold any share of
-them.  An instance's score is the chance that at least one of its trusted
+and candidates that are a seed of another kind elsewhere.  Instances that
+aren't known yet count against a pattern as far as they outnumber the believed
+ones: up to half of a context's identifiers may be unseen, but a few cards in
+words that stand around all sorts of numbers trust nothing.  A pattern needs a
+word with a letter.  An instance's score is the chance that at least one of its trusted
 patterns is right.  Patterns and instances above the bounds are trusted, and
 stay so; rounds go on until none is added.  Occurrences of trusted instances
 inside a trusted pattern are added to the base spans.
@@ -146,11 +148,12 @@ def _alike(word: str) -> str:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span; digits are made alike."""
+    """Lexical patterns around a span; digits are made alike.  Without a letter there is no pattern."""
     b, at = _before(text, start)
     a = _alike(_before(text, at)[0])
     b, c = _alike(b), _alike(_NEXT.match(text, end)[1])
-    return [f"l {a} {b}", f"b {b} _ {c}"]
+    found = (f"l {a} {b}", a + b), (f"b {b} _ {c}", b + c)
+    return [p for p, words in found if any(x.isalpha() for x in words)]
 
 
 _DATE = re.compile(r"(?:19|20)[0-9]{2}([ ./-]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])"
@@ -210,16 +213,19 @@ def bootstrapped(rows: DataFrame, pattern_bound: float = PATTERN_BOUND, instance
     edges = edges.join(other, ["k", "i"], "left").select(
         "p", "k", "i", "seed", (~F.col("seed") & (F.col("wrong") | F.coalesce("other", F.lit(False)))).alias("wrong"))
     edges = written(edges, "pii-edges")
-    # the evidence against a pattern stays the same in all rounds: more belief never takes trust away
+    # the evidence against a pattern never grows from round to round: more belief never takes trust away
     every = edges.groupBy("p").agg(F.sum(F.col("seed").cast("long")).alias("seeds"))
-    against = (edges.groupBy("p", "k").agg(F.sum(F.col("seed").cast("long")).alias("own"), F.sum(F.col("wrong").cast("long")).alias("wrong"))
-               .join(every, "p").select("p", "k", (F.col("wrong") + F.col("seeds") - F.col("own")).alias("bad")))
+    against = (edges.groupBy("p", "k").agg(F.sum(F.col("seed").cast("long")).alias("own"), F.sum(F.col("wrong").cast("long")).alias("wrong"),
+                                           F.sum((~F.col("wrong")).cast("long")).alias("fit"))
+               .join(every, "p").select("p", "k", (F.col("wrong") + F.col("seeds") - F.col("own")).alias("bad"), "fit"))
     against = written(against, "pii-against")
     believed, n_patterns, n_believed = written(seeds, "pii-believed"), 0, seeds.count()
     while True:
         patterns = (edges.join(believed, ["k", "i"]).groupBy("p", "k").agg(F.count(F.lit(1)).alias("good"))
                     .where(F.col("good") >= support).join(against, ["p", "k"])
-                    .select("p", "k", (F.col("good") / (F.col("good") + F.col("bad") + F.lit(damping))).alias("trust"))
+                    # unknown ones beyond the believed ones count against the pattern
+                    .withColumn("many", F.greatest(F.col("fit") - 2 * F.col("good"), F.lit(0)))
+                    .select("p", "k", (F.col("good") / (F.col("good") + F.col("bad") + F.col("many") + F.lit(damping))).alias("trust"))
                     .where(F.col("trust") >= pattern_bound))
         trusted = written(patterns, "pii-patterns")
         # the chance that one of the patterns is right; what is known to be wrong is never believed

@@ -82,6 +82,22 @@ def test_exact_groups(docs, clashing, empty):
     assert exact_dedup.deduplicated(clashing).columns == clashing.columns
 
 
+def test_one_row_of_each_group_stays(spark):
+    data = [(None, "alpha"), (None, "beta"), (1, "gamma"), (1, "delta"), (2, "gam ma"), (1, "g amma"), (1, "gamma"), (None, None), (3, " "),
+            (None, "alpha")]
+    got = exact_dedup.deduplicated(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(
+        [(None, "alpha"), (None, "beta"), (1, "delta"), (1, "g amma"), (3, " ")], key=repr)
+
+
+def test_ids_beyond_the_width_are_an_error():
+    assert feistel.narrow(np.array([65_535], "<u4"), "<u2").tolist() == [65_535]
+    assert feistel.narrow(np.array([70_000], "<u4"), "<u4").tolist() == [70_000]
+    with pytest.raises(ValueError):
+        feistel.narrow(np.array([1, 70_000], "<u4"), "<u2")
+
+
 def test_a_group_larger_than_a_task(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same text"))
                                   .otherwise(F.concat(F.lit("text "), "id")).alias("text")).repartition(7)
@@ -278,10 +294,82 @@ def test_words_around_a_span_are_whole_and_found_over_white_space(spark):
     long = "q" * 60
     assert pii.contexts(f"x {long}A {long}b" + " " * 200 + "1.2.3.4" + " " * 90 + f"{long}Tail z", 325, 332) == [
         f"l {long}a {long}b", f"b {long}b _ {long}tail"]
-    assert pii.contexts("1.2.3.4", 0, 7) == ["l  ", "b  _ "]
+    assert pii.contexts("1.2.3.4", 0, 7) == pii.contexts("(: 1.2.3.4 12 %", 3, 10) == []
     assert pii.contexts("a tel:1.2.3.4,b c", 6, 13) == ["l a tel:", "b tel: _ ,b"]
 
 
+def plain_rounds(texts):
+    """The rounds in plain Python: per text, the strings that are added."""
+    edges, spots = {}, []
+    for t in texts:
+        base, here = pii.base_spans(t), []
+        for seed, found in ((True, base), (False, pii.candidates(t, base))):
+            for s, k, e in found:
+                i, ps = pii.instance(t[s:e], k), pii.contexts(t, s, e)
+                here.append((seed, not seed and pii.known_wrong(t[s:e]), s, k, e, i, ps))
+                for p in ps:
+                    old = edges.get((p, k, i), (False, False))
+                    edges[p, k, i] = (old[0] or seed, old[1] or here[-1][1])
+        spots.append(here)
+    seeds = {(k, i) for (_, k, i), (seed, _) in edges.items() if seed}
+    for (p, k, i), (seed, wrong) in edges.items():
+        other = (k, i) not in seeds and any(x != k and j == i for x, j in seeds)
+        edges[p, k, i] = (seed, not seed and (wrong or other))
+    believed, trusted = set(seeds), {}
+    while True:
+        before = len(believed), len(trusted)
+        trusted = {}
+        for p, k in {(p, k) for p, k, _ in edges}:
+            own = {i: x for (q, kk, i), x in edges.items() if (q, kk) == (p, k)}
+            good = sum((k, i) in believed for i in own)
+            bad = sum(w for _, w in own.values()) + sum(x[0] for (q, kk, _), x in edges.items() if q == p and kk != k)
+            many = max(0, sum(not w for _, w in own.values()) - 2 * good)
+            if good >= pii.SUPPORT and good / (good + bad + many + pii.DAMPING) >= pii.PATTERN_BOUND:
+                trusted[p, k] = good / (good + bad + many + pii.DAMPING)
+        miss = collections.defaultdict(lambda: 1.0)
+        for (p, k, i), (_, wrong) in edges.items():
+            if not wrong and (p, k) in trusted:
+                miss[k, i] *= max(1 - trusted[p, k], 1e-12)
+        believed |= {x for x, m in miss.items() if 1 - m >= pii.INSTANCE_BOUND}
+        if (len(believed), len(trusted)) == before:
+            break
+    return [[t[s:e] for seed, wrong, s, k, e, i, ps in here if not seed and not wrong and (k, i) in believed
+             and any((p, k) in trusted for p in ps)] for t, here in zip(texts, spots)]
+
+
+def test_rounds_equal_the_plain_version(spark):
+    rng = random.Random(22)
+    makers = [lambda: card(rng.randrange(90), rng.random() < 0.7), lambda: f"10.0.{rng.randrange(9)}.{rng.choice([7, 7, 300])}",
+              lambda: rng.choice(["+1 ", ""]) + f"212 555 01{rng.randrange(40):02d}",
+              lambda: f"a{rng.randrange(20)}{rng.choice(['(at)', '@'])}b.example", lambda: "2019-05-12"]
+    # contexts of one kind, of several, of a few believed ones among many, and without words
+    spots = [("pay with card {} please", [0]), ("see {} or", [1]), ("reach me at {} now", [2]), ("write to {} soon", [3]),
+             ("my number is {} ok", [0, 2, 4]), ("{}", [0]), (": {} -", [2]), ("dial {} on", [2, 2, 2, 2, 4])]
+    texts = []
+    for _ in range(400):
+        words, kinds = rng.choice(spots)
+        texts.append(words.format(makers[rng.choice(kinds)]()))
+    want = plain_rounds(texts)
+    assert sum(map(len, want)) > 0 and added_in(spark, texts) == want
+
+
+def test_ordinary_numbers_stay(spark):
+    """A few cards among many other numbers in the same words, or in no words, trust nothing."""
+    for words in ("the number is {} and so on", "{}"):
+        texts = [words.format(card(k)) for k in range(6)] + [words.format(10 ** 11 + 7 * k) for k in range(400)]
+        assert added_in(spark, texts) == [[]] * 406
+
+
+def test_precision_and_recall_on_planted_contexts(spark):
+    """Contexts of cards hold up to half unseen ones; contexts of ordinary numbers hold a few cards."""
+    good = [(f"card on file c{c} {card(1000 * c + k, k % 10 >= c)} kept safe", k % 10 < c) for c in range(1, 6) for k in range(40)]
+    bad = [(f"item code b{c} {card(10 ** 6 + 1000 * c + k, k < 5)} in stock", False) for c in range(5) for k in range(60 * (c + 1))]
+    added = added_in(spark, [t for t, _ in good + bad])
+    hits = sum(bool(a) for a, (_, y) in zip(added, good + bad) if y)
+    assert hits == sum(y for _, y in good + bad) > 0
+    assert not any(a for a, (_, y) in zip(added, good + bad) if not y)
+
+
 def test_evidence_against_a_context(spark):
     """Words that stand around several kinds, and dates, are no sign of one kind."""
     texts = [f"it is the {x} of that" for k in range(8) for x in (card(k), f"10.0.0.{k}", f"a{k}@b.example")]
