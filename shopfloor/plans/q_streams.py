@@ -16,7 +16,7 @@ from ..operators import changes as CH
 from ..sources import files as FS
 from ..sources import testdata as td
 from ..streaming import jobs as J
-from .q_changes import _CMD_TARGET, ORDER_CASTS
+from .q_changes import _CMD_CHANGES, _CMD_TARGET, ORDER_CASTS
 from .q_carts import CART_FOLD
 from .registered import SO, oracle, register
 
@@ -75,6 +75,21 @@ def q_r7(spark, d):
     return res.select(F.col("day").cast("string").alias("day"), "status", "event_count", "amount")
 
 
+@register("r7_summary_events", """
+WITH e AS (SELECT * FROM events), wm AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS w FROM e)
+SELECT 'report.daily_summary' AS event_type, 'shopfloor' AS source, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
+       event_type AS status, COUNT(*) AS event_count
+FROM e GROUP BY date_trunc('day', ts), event_type
+HAVING CAST(MIN(date_trunc('day', ts)) + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT w FROM wm)""")
+def q_r7_events(spark, d):
+    """The closed days as report.daily_summary envelopes."""
+    ev = J.file_stream(spark, d, EVENTS_SRC, glob="events.parquet")
+    out = J.daily_summary_events(_run_append(spark, J.daily_summary(ev), "daily-events"), F.lit(AS_OF).cast("timestamp"))
+    return out.select("event_type", "source", F.get_json_object("data", "$.day").alias("day"),
+                      F.get_json_object("data", "$.status").alias("status"),
+                      F.get_json_object("data", "$.event_count").cast("long").alias("event_count"))
+
+
 def _command_stream_target(spark, d):
     base = J.run_dir(spark, "commands")
     src = os.path.join(base, "queue")
@@ -101,6 +116,39 @@ def q_r2_log(spark, d):
     return J.changelog_view(spark, os.path.join(base, "state"), snap)
 
 
+def _redelivered(spark, d):
+    """The queue in three deliveries, each message once to three times: again in
+    the same delivery, again in a later one."""
+    base = J.run_dir(spark, "redelivered")
+    src = os.path.join(base, "queue")
+    cmds = td.order_commands(spark, d).withColumn("sent_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    top = cmds.agg(F.max("seq")).first()[0] + 1
+    third = F.expr(f"seq * 3 div {top}")
+    schema = "seq long, action string, data string, sent_at timestamp"
+    snap = td.sales_orders(spark, d)
+    for n in range(3):
+        new = cmds.where(third == n)
+        again = new.where(F.col("seq") % 3 == 0).unionByName(cmds.where((third < n) & (F.col("seq") % 2 == 0)))
+        new.unionByName(again).write.mode("append").json(src)
+        q = J.start_command_stream(spark, J.file_stream(spark, src, schema, fmt="json"), os.path.join(base, "state"), snap,
+                                   as_of=AS_OF, trigger={"availableNow": True}, layout="changelog", message_id="seq")
+        q.awaitTermination()
+    return os.path.join(base, "state"), snap
+
+
+@register("r2_redelivered_stream_view", oracle(_CMD_TARGET, **ORDER_CASTS))
+def q_r2_redelivered(spark, d):
+    """Messages delivered up to three times over three triggers give the table of the plain queue."""
+    state, snap = _redelivered(spark, d)
+    return J.changelog_view(spark, state, snap)
+
+
+@register("r2_redelivered_changes", _CMD_CHANGES)
+def q_r2_redelivered_changes(spark, d):
+    state, _ = _redelivered(spark, d)
+    return spark.read.parquet(os.path.join(state, "changes")).drop("batch")
+
+
 @register("r2_command_stream_target", oracle(_CMD_TARGET, **ORDER_CASTS))
 def q_r2s(spark, d):
     return _command_stream_target(spark, d)

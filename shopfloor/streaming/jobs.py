@@ -103,8 +103,8 @@ def command_batch_writer(spark: SparkSession, base: str, initial_target: DataFra
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         man = _manifest(base, batch_id)
-        if _exists(spark, man):
-            return                                  # replay: already applied
+        if _exists(spark, man) or batch.isEmpty():
+            return                                  # replay: already applied; or only the watermark moved
         last = _last_committed(spark, base)
         target = initial_target if last is None else \
             spark.read.parquet(os.path.join(base, "target", f"version={last['version']}"))
@@ -190,7 +190,7 @@ def changelog_batch_writer(spark: SparkSession, base: str, snapshot: DataFrame,
     exists is skipped; a crash before the manifest leaves files that no
     reader sees and that the replay overwrites."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        if _exists(spark, _manifest(base, batch_id)):
+        if _exists(spark, _manifest(base, batch_id)) or batch.isEmpty():
             return
         last = _last_committed(spark, base)
         prev_max = _max_id(snapshot) if last is None else last["max_id"]
@@ -212,13 +212,23 @@ def compact_changelog(spark: SparkSession, base: str, snapshot: DataFrame, out_p
 
 
 def start_command_stream(spark: SparkSession, commands: DataFrame, base: str, initial_target: DataFrame,
-                         as_of: str | None = None, trigger: dict | None = None, layout: str = "snapshot"):
+                         as_of: str | None = None, trigger: dict | None = None, layout: str = "snapshot",
+                         message_id: str | None = None, sent_at: str = "sent_at", redelivery: str = "7 days"):
     """R2: queued commands -> foreachBatch apply.
 
+    A queue may deliver a message more than once.  With ``message_id`` (and
+    the event time ``sent_at``) each message is applied the first time it
+    comes, in whichever batch; ids are kept in the state store for the time
+    ``redelivery`` behind the newest message, and a message that comes later
+    than that is dropped as late.
+
     ``layout="snapshot"`` publishes a full order table per batch (simple,
     for small tables); ``layout="changelog"`` writes only the touched rows
     per batch over a fixed snapshot (``initial_target``), so a batch costs
     what it touches -- the layout for large tables."""
+    if message_id:
+        commands = (commands.withWatermark(sent_at, redelivery).dropDuplicatesWithinWatermark([message_id])
+                    .select("seq", "action", "data"))
     fn = (changelog_batch_writer(spark, base, initial_target, as_of) if layout == "changelog"
           else command_batch_writer(spark, base, initial_target, as_of))
     w = (commands.writeStream.option("checkpointLocation", os.path.join(base, "_checkpoint"))
