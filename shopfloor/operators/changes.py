@@ -155,6 +155,8 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
         # read by deletes, updates, patches and delta: the table is searched once
         checkpoint_dir(commands.sparkSession)
         named = named.checkpoint(eager=True)
+        # under new names: the copy keeps constraints of columns it no longer has, which a union trips over
+        named = named.select(*[F.col(c).alias(c) for c in named.columns])
     state = named.unionByName(created_rows)
     births = state.select(F.col("order_id").alias("oid"), "_born")
 
