@@ -108,6 +108,40 @@ def q_s8_rej(spark, d):
                                                     F.array_contains("violations", "malformed").alias("malformed"))
 
 
+def _array_import(spark, d):
+    """One JSON array document with all orders, read by ranges of 64 KB: texts with
+    quotes, brackets, commas and backslashes, blanks, nested values, broken elements."""
+    p = os.path.join(_dir(spark, "array-import"), "orders")
+    oid = F.col("order_id")
+    rows = td.sales_orders(spark, d).withColumn("status", F.when(oid % 3 == 0, F.lit('a "b\\\\", [{c}], \\')).otherwise("imported")) \
+        .withColumn("extra", F.when(oid % 5 == 0, F.array(F.struct(F.lit("x]},\"").alias("k")))))
+    element = F.when(oid % 19 == 0, F.concat(F.lit('{"order_id": oops '), oid, F.lit("}"))).otherwise(
+        F.to_json(F.struct(*[F.col(c) if c == "extra" else F.col(c).cast("string").alias(c) for c in rows.columns])))
+    lines = rows.select(F.lit(1).alias("_n"), oid, F.concat(F.lit("  "), element, F.lit(" ,")).alias("value"))
+    ends = spark.createDataFrame([(0, 0, "["), (2, 0, '{"order_id": "-1"}]')], "_n int, order_id long, value string")
+    # one file, as the reference's exporter writes it; the reader under test is what runs in parallel
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("_n", "order_id").select("value").write.text(p)
+    return FS.import_orders(td.sales_orders(spark, d), FS.read_order_array(spark, p, raw=True, range_bytes=64 << 10))
+
+
+_ARRAY_BAD = f"(order_id % 19 = 0 OR NOT ({_GOOD}))"
+
+
+@register("s8_array_import_upsert", oracle(SO + f"""
+SELECT * REPLACE (CASE WHEN {_ARRAY_BAD} THEN status WHEN order_id % 3 = 0 THEN 'a "b\\\\", [{{c}}], \\' ELSE 'imported' END AS status)
+FROM so""", **ORDER_CASTS))
+def q_s8_array(spark, d):
+    return _array_import(spark, d)["target"]
+
+
+@register("s8_array_import_rejects", SO + f"""
+SELECT CASE WHEN order_id % 19 <> 0 THEN order_id END AS order_id, order_id % 19 = 0 AS malformed FROM so WHERE {_ARRAY_BAD}
+UNION ALL SELECT -1, FALSE""")
+def q_s8_array_rej(spark, d):
+    return _array_import(spark, d)["rejects"].select(F.col("order_id").cast("bigint").alias("order_id"),
+                                                     F.array_contains("violations", "malformed").alias("malformed"))
+
+
 @register("s13_bi_feed", oracle(SO + """
 SELECT order_id, status, customer_name, order_date, quantity, subtotal_amount, tax_rate, shipping_cost,
        category, subcategory, CAST(year(order_date) AS BIGINT) AS year, CAST(month(order_date) AS BIGINT) AS month,

@@ -20,6 +20,7 @@ from .. import schemas as S
 from ..functions import rules as R
 from ..operators.analytics import bi_extract
 from ..operators.changes import upsert
+from .json_array import RANGE_BYTES, read_json_array
 
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:
@@ -31,7 +32,8 @@ def read_orders(spark: SparkSession, path: str, fmt: str = "parquet", raw: bool
     """The order table from parquet, CSV (header) or JSON.
 
     ``raw=True`` reads every column as text (for the coercion rules);
-    ``multiline=True`` reads a JSON array document (S8)."""
+    ``multiline=True`` reads a JSON array document in one task (S8; a large one
+    is read by :func:`read_order_array`)."""
     schema = S.ORDERS_RAW if raw else S.ORDERS
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
@@ -44,6 +46,15 @@ def read_orders(spark: SparkSession, path: str, fmt: str = "parquet", raw: bool
     raise ValueError(f"unknown format {fmt}")
 
 
+def read_order_array(spark: SparkSession, path: str, raw: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The order table from JSON array document(s), by many tasks.  ``_seq`` is
+    the place of a row in its file; a broken element is in ``_corrupt_record``."""
+    schema = _with_corrupt(S.ORDERS_RAW if raw else S.ORDERS)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return read_json_array(spark, path, range_bytes).select(
+        F.from_json("record", schema, options).alias("r"), F.struct("path", "offset").alias("_seq")).select("r.*", "_seq")
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
     """CSV with header.  One file only on request (``coalesce(1)``
     funnels everything through one task; fine for small exports only)."""
