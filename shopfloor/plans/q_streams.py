@@ -245,7 +245,10 @@ def q_r6_low(spark, d):
 
 
 def _cart_actions_stream(spark, d):
-    ev = J.file_stream(spark, d, EVENTS_SRC, glob="events.parquet")
+    return _cart_actions(J.file_stream(spark, d, EVENTS_SRC, glob="events.parquet"))
+
+
+def _cart_actions(ev):
     base = F.floor(F.col("value")).cast("int")
     et = F.col("event_type")
     return (ev.select(
@@ -278,5 +281,52 @@ def q_r8(spark, d):
     q.awaitTermination()
     emitted = spark.read.parquet(out)
     last = emitted.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
-    return (emitted.join(last, ["session_id", "batch_id"]).filter(~F.col("expired") & F.col("product_id").isNotNull())
+    return (emitted.join(last, ["session_id", "batch_id"]).filter(~F.col("expired") & F.col("quantity").isNotNull())
             .select("session_id", "product_id", F.col("quantity").cast("bigint").alias("quantity")))
+
+
+# Weekly sessions in five deliveries: each fifth action comes one delivery later
+# than its neighbours, each seventh a second time.
+_DELIVERED = """SELECT event_id, user_id, ts, 'u' || user_id || '-' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS session_id,
+       event_id * 4 // (SELECT MAX(event_id) + 1 FROM events) + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS delivery FROM events"""
+_TRIGGERS_SQL = CART_FOLD.replace("cart_events AS (", f"""delivered AS ({_DELIVERED}),
+cart_events AS (SELECT d.session_id, e.* EXCLUDE (session_id) FROM delivered d JOIN (""", 1).replace(
+    "),\npairs AS", ") e ON e.seq = d.event_id),\npairs AS", 1).replace("\ns AS (SELECT st.*", """\nplaced AS (
+  SELECT st.*, delivery, MIN(CASE WHEN action <> 'view' THEN delivery END) OVER (PARTITION BY st.session_id, st.product_id
+         ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later
+  FROM stream st JOIN delivered d ON d.event_id = st.seq),
+s AS (SELECT st.*""", 1).replace("FROM stream st LEFT JOIN", "FROM (SELECT * FROM placed WHERE later IS NULL OR later >= delivery) st LEFT JOIN", 1)
+
+
+def _cart_triggers(spark, d):
+    base = J.run_dir(spark, "cart-triggers")
+    src, out = os.path.join(base, "in"), os.path.join(base, "out")
+    top = td.read_table(spark, d, "events").agg(F.max("event_id")).first()[0] + 1
+    i = F.col("seq")
+    acts = _cart_actions(td.read_table(spark, d, "events")).withColumn(
+        "session_id", F.concat("session_id", F.lit("-"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")))
+    delivery = F.expr(f"seq * 4 div {top}") + F.when(i % 5 == 0, 1).otherwise(0)
+
+    def write(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+    for n in range(5):
+        acts.where((delivery == n) | ((i % 7 == 0) & (delivery == n - 1))).write.mode("append").parquet(src)
+        st = J.cart_state_stream(spark.readStream.schema(acts.schema).parquet(src), td.products(spark, d), delay="10 days")
+        q = (st.writeStream.outputMode("update").option("checkpointLocation", os.path.join(base, "ckpt"))
+             .foreachBatch(write).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("r8_cart_state_triggers", _TRIGGERS_SQL + """
+, last_ts AS (SELECT session_id, MAX(ts) AS ts FROM delivered GROUP BY session_id),
+wm AS (SELECT MAX(ts) - INTERVAL 10 DAY AS w FROM events)
+SELECT l.session_id, l.product_id, CAST(l.quantity AS BIGINT) AS quantity, t.ts + INTERVAL 7 DAY <= (SELECT w FROM wm) AS expired
+FROM lines l JOIN last_ts t ON t.session_id = l.session_id""")
+def q_r8_triggers(spark, d):
+    """Carts over five triggers, with clears, expired sessions, older event times in
+    later deliveries, actions delivered twice, and some too late to be applied."""
+    emitted = _cart_triggers(spark, d)
+    last = emitted.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
+    return (emitted.join(last, ["session_id", "batch_id"]).filter(F.col("quantity").isNotNull())
+            .select("session_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"), "expired"))

@@ -9,7 +9,6 @@ Checkpoints and outputs go to the shared checkpoint folder named by
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 
@@ -19,10 +18,10 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import envelope, parse_id_list
-from ..operators.carts import cart_step
 from ..operators.changes import apply_order_commands
 from ..session import checkpoint_dir
 from ..sources.files import write_versioned
+from .cart_state import CART_TTL_MS, cart_state
 
 _ship_by_value(__name__)
 
@@ -353,72 +352,15 @@ def daily_summary(events: DataFrame, ts_col: str = "ts", delay: str = "1 hour",
 # Cart state per session with a 7-day inactivity timeout
 # ---------------------------------------------------------------------------
 
-CART_STATE_SCHEMA = "lines string, last_seq long, newest long"
-CART_OUT_SCHEMA = "session_id string, product_id long, quantity int, expired boolean"
-CART_TTL_MS = 7 * 24 * 3600 * 1000
 
-
-def _cart_state_fn(key, pdfs, state):
-    """applyInPandasWithState: fold a session's new actions into its cart.
-
-    State: the cart as JSON ``{product: quantity}``.  The event-time
-    timeout is pushed 7 days past the newest action; when it fires the
-    cart expires (emitted once with ``expired=true``) and the state is
-    removed.  A cart without lines is one row without product and quantity,
-    so that readers see it replace the lines before.  An action older than
-    one already seen never moves the timeout back.  Memory holds one cart per
-    active session.
-    """
-    import pandas as pd
-    (session_id,) = key
-
-    def emitted(lines, expired):
-        pids, quantities = (list(lines), list(lines.values())) if lines else ([None], [None])
-        return pd.DataFrame({"session_id": [session_id] * len(pids), "product_id": pd.array(pids, "Int64"),
-                             "quantity": pd.array(quantities, "Int32"), "expired": [expired] * len(pids)})
-
-    if state.hasTimedOut:
-        lines = {int(k): v for k, v in json.loads(state.get[0]).items()}
-        state.remove()
-        yield emitted(lines, True)
-        return
-    lines, last_seq, newest = ({int(k): v for k, v in json.loads(state.get[0]).items()}, state.get[1], state.get[2]) \
-        if state.exists else ({}, -1, None)
-    # A session's rows of one micro-batch may arrive in several Arrow
-    # chunks; they are folded in seq order, so the micro-batch (bounded by
-    # the trigger's maxFilesPerTrigger / maxOffsetsPerTrigger) is sorted whole.
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-    for r in pdf.itertuples(index=False):
-        if r.seq <= last_seq:
-            continue                     # replayed action
-        pid = None if pd.isna(r.product_id) else int(r.product_id)
-        q = None if pd.isna(r.quantity) else int(r.quantity)
-        stock = None if pd.isna(r.p_stock) else int(r.p_stock)
-        cart_step(lines, r.action, pid, q, bool(r.p_exists), bool(r.p_active), stock)
-        last_seq = int(r.seq)
-        ts = int(r.ts_ms)
-        newest = ts if newest is None else max(newest, ts)
-    state.update((json.dumps({str(k): v for k, v in lines.items()}), last_seq, newest))
-    if newest is not None:
-        state.setTimeoutTimestamp(max(newest + CART_TTL_MS, state.getCurrentWatermarkMs() + 1))
-    yield emitted(lines, False)
-
-
-def cart_state_stream(actions: DataFrame, products: DataFrame, delay: str = "1 hour") -> DataFrame:
+def cart_state_stream(actions: DataFrame, products: DataFrame, delay: str = "1 hour", ttl_ms: int = CART_TTL_MS) -> DataFrame:
     """Streaming cart lines per session (stream-static join with the
-    catalog, then ``applyInPandasWithState`` keyed by session).
+    catalog, then keyed state, see :mod:`.cart_state`).
 
     ``actions``: streaming ``(session_id, seq, action, product_id,
     quantity, ts)``.  Output mode ``update``: each trigger emits the
     current lines of every session that changed (a row without product if
-    there are none), and expired carts."""
-    p = products.select(F.col("product_id").alias("_pid"), F.col("stock_quantity").alias("p_stock"),
-                        F.col("is_active").alias("p_active"), F.lit(True).alias("p_exists"))
+    there are none), expired carts, and rows with ``reason`` for actions
+    that came too late to be applied."""
     ntz = dict(actions.dtypes).get("ts") == "timestamp_ntz"
-    ev = (actions.withColumn("ts", event_time("ts") if ntz else F.col("ts")).withWatermark("ts", delay)
-          .withColumn("ts_ms", F.unix_millis("ts"))
-          .join(p, F.col("product_id") == F.col("_pid"), "left").drop("_pid")
-          .withColumn("p_exists", F.coalesce("p_exists", F.lit(False)))
-          .withColumn("p_active", F.coalesce("p_active", F.lit(False))))
-    return ev.groupBy("session_id").applyInPandasWithState(
-        _cart_state_fn, CART_OUT_SCHEMA, CART_STATE_SCHEMA, "update", "EventTimeTimeout")
+    return cart_state(actions, products, event_time("ts") if ntz else F.col("ts"), delay, ttl_ms)
