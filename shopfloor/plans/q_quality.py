@@ -3,12 +3,16 @@ defect-injected order table."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import rules as R
+from ..operators import profile as PF
 from ..operators import quality as Q
 from ..sources import testdata as td
+from ..streaming.jobs import run_dir
 from .registered import SOD, oracle, register
 
 KEYS = ", ".join(S.DUPLICATE_KEYS)
@@ -249,3 +253,43 @@ UNION ALL SELECT 'column_count', CAST({len(_ALL_COLS)} AS DOUBLE)
 """.replace("ALL_COLS", ", ".join(_ALL_COLS)))
 def q_a16(spark, d):
     return Q.quality_overview(_dirty(spark, d))
+
+
+# -- A9 / A11 / A12 / A14 / A16: mergeable profile ----------------------------
+
+_PROFILED = ["order_id", "status", "customer_name", "order_date", "quantity", "subtotal_amount", "tax_rate", "category"]
+_NUMBERS = ("order_id", "quantity", "subtotal_amount", "tax_rate")
+
+
+def _refreshed_sql():
+    """Full profile of the order table after one year was replaced."""
+    def one(c):
+        number, text = (f"CAST({c} AS DOUBLE)", "CAST(NULL AS VARCHAR)") if c in _NUMBERS else ("CAST(NULL AS DOUBLE)", f"CAST({c} AS VARCHAR)")
+        total = f"CAST(SUM(CAST({c} AS DECIMAL(38,10))) AS DOUBLE)" if c in _NUMBERS else "CAST(NULL AS DOUBLE)"
+        return f"""SELECT '{c}' AS "column", COUNT(*) AS rows, COUNT({c}) AS non_null, {total} AS total, MIN({number}) AS low_number,
+       MAX({number}) AS high_number, MIN({text}) AS low_text, MAX({text}) AS high_text, TRUE AS distinct_close FROM t"""
+    return SOD + """, t AS (SELECT * REPLACE (CASE WHEN year(order_date) = 1995 THEN quantity + 1000 ELSE quantity END AS quantity,
+                      CASE WHEN year(order_date) = 1995 THEN 'archived' ELSE status END AS status) FROM so)
+""" + "\nUNION ALL\n".join(one(c) for c in _PROFILED)
+
+
+@register("a16_profile_refresh", _refreshed_sql())
+def q_a16_refresh(spark, d):
+    """The profile of all orders after one year was replaced, from the kept
+    profiles of the other years and a scan of that year alone."""
+    base = run_dir(spark, "profile")
+    table, kept = os.path.join(base, "orders"), os.path.join(base, "profiles")
+    so = _dirty(spark, d).select(*_PROFILED).withColumn("year", F.year("order_date"))
+    so.write.partitionBy("year").parquet(table)
+    year = F.col("year")
+    PF.partition_profiles(spark.read.parquet(table), year, _PROFILED).write.parquet(kept)
+    is_new = year == 1995
+    new = so.where(is_new).withColumn("quantity", F.col("quantity") + 1000).withColumn("status", F.lit("archived"))
+    new.drop("year").write.mode("overwrite").parquet(os.path.join(table, "year=1995"))
+    now = spark.read.parquet(table)
+    prof = PF.merge_profiles(PF.refreshed(spark.read.parquet(kept), now.where(is_new), year, _PROFILED))
+    exact = now.agg(*[F.count_distinct(c).alias(c) for c in _PROFILED]).unpivot([], _PROFILED, "column", "distinct")
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct")) <= F.greatest(F.lit(1), F.col("distinct") * 0.07)
+    return prof.join(exact, "column").select(
+        "column", "rows", "non_null", *[F.col(c).cast("double").alias(c) for c in ("total", "low_number", "high_number")],
+        "low_text", "high_text", close.alias("distinct_close"))

@@ -15,6 +15,7 @@ from .. import schemas as S
 from ..operators import changes as CH
 from ..sources import files as FS
 from ..sources import testdata as td
+from ..streaming import daily as DY
 from ..streaming import jobs as J
 from .q_changes import _CMD_CHANGES, _CMD_TARGET, ORDER_CASTS
 from .q_carts import CART_FOLD
@@ -90,6 +91,36 @@ def q_r7_events(spark, d):
                       F.get_json_object("data", "$.event_count").cast("long").alias("event_count"))
 
 
+# Events in five deliveries, each eleventh two deliveries later than its neighbours.
+_LATE = """d AS (SELECT *, event_id * 3 // (SELECT MAX(event_id) + 1 FROM events) + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END AS n FROM events),
+b AS (SELECT n, MAX(MAX(ts)) OVER (ORDER BY n) - INTERVAL 1 HOUR AS w FROM d GROUP BY n),
+e AS (SELECT d.event_type AS status, value, date_trunc('day', ts) AS day0, n FROM d),
+placed AS (SELECT e.*, COALESCE(day0 + INTERVAL 1 DAY <= (SELECT MAX(w) FROM b WHERE b.n < e.n), FALSE) AS late FROM e),
+ends AS (SELECT MAX(w) AS w FROM b)"""
+
+
+@register("r7_late_rows", f"""WITH {_LATE}
+SELECT CASE WHEN late THEN 'correction' ELSE 'closed' END AS part, strftime(day0, '%Y-%m-%d') AS day, status, COUNT(*) AS event_count,
+       CAST(SUM(CAST(value AS DECIMAL(38,10))) AS DOUBLE) AS amount
+FROM placed WHERE day0 + INTERVAL 1 DAY <= (SELECT w FROM ends) GROUP BY late, day0, status""")
+def q_r7_late(spark, d):
+    """Days as they were closed, and what rows that came later add to them: together all rows of closed days."""
+    base = J.run_dir(spark, "daily-late")
+    src, state = os.path.join(base, "in"), os.path.join(base, "state")
+    ev = td.read_table(spark, d, "events")
+    top = ev.agg(F.max("event_id")).first()[0] + 1
+    n = F.expr(f"event_id * 3 div {top}") + F.when(F.col("event_id") % 11 == 0, 2).otherwise(0)
+    for i in range(5):
+        ev.where(n == i).write.mode("append").parquet(src)
+        rows = spark.readStream.schema(ev.schema).parquet(src).select(
+            J.event_time("ts").alias("t"), F.col("event_type").alias("status"), F.col("value").alias("amount"))
+        DY.start_daily_summary(rows, state, trigger={"availableNow": True}).awaitTermination()
+    closed = DY.closed_days(spark, state).withColumn("part", F.lit("closed"))
+    late = DY.corrections(spark, state).withColumn("part", F.lit("correction"))
+    return closed.unionByName(late).groupBy("part", F.col("day").cast("string").alias("day"), "status").agg(
+        F.sum("event_count").alias("event_count"), F.sum("amount").cast("double").alias("amount"))
+
+
 def _command_stream_target(spark, d):
     base = J.run_dir(spark, "commands")
     src = os.path.join(base, "queue")

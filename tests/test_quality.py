@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from domain_rows import rows_of
 from shopfloor.functions import rules as R
+from shopfloor.operators import profile as PF
 from shopfloor.operators import quality as Q
 
 
@@ -106,3 +108,28 @@ def test_mark_and_drop_add_up(spark):
     n, dups = df.count(), marked.filter("is_duplicate").count()
     assert Q.drop_duplicates_keep_first(df).count() == n - dups
     assert Q.duplicate_report(df).first().duplicates_found == dups > 0
+
+
+def test_profiles_of_parts_merge(spark, scratch):
+    """A refreshed profile equals a full one; only the changed part's folder is read."""
+    rows = [(p, i, None if i % 5 == 0 else f"v{i % 7}", i * 1.5 if p != 2 else None) for p in (1, 2, None) for i in range(200)]
+    sch = "part int, id int, name string, amount double"
+    df = spark.createDataFrame(rows, sch)
+    cols = ["id", "name", "amount"]
+    kept = PF.partition_profiles(df, F.col("part"), cols)
+    merged = {r["column"]: r for r in PF.merge_profiles(kept).collect()}
+    assert (merged["name"]["rows"], merged["name"]["null_count"], merged["name"]["distinct_estimate"]) == (600, 120, 7)
+    assert (merged["amount"]["low_number"], float(merged["amount"]["total"])) == (0, 2 * 1.5 * sum(range(200)))
+    new = df.where("part IS NULL").withColumn("name", F.lit("z")).withColumn("id", F.col("id") + 1000)
+    whole = df.where("part IS NOT NULL").unionByName(new)
+    got = PF.merge_profiles(PF.refreshed(kept, new, F.col("part"), cols))
+    assert rows_of(got) == rows_of(PF.merge_profiles(PF.partition_profiles(whole, F.lit("all"), cols)))
+    gone = spark.createDataFrame([(2,)], "part int")
+    left = PF.merge_profiles(PF.refreshed(kept, new.limit(0), F.col("part"), cols, gone=gone))
+    assert {r["rows"] for r in left.collect()} == {400}
+    path = scratch + "/profiled"
+    df.write.partitionBy("part").parquet(path)
+    one = PF.partition_profiles(spark.read.parquet(path).where("part = 1"), F.col("part"), cols)
+    assert "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().executedPlan().toString()
+    assert {(r.part, r.rows) for r in one.collect()} == {("1", 200)}
+    assert PF.merge_profiles(PF.partition_profiles(df.limit(0), F.col("part"))).count() == 0

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopfloor.operators import changes as CH
+from shopfloor.streaming import daily as DY
 from shopfloor.streaming import jobs as J
 from domain_rows import rows_of
 
@@ -209,3 +210,32 @@ def test_event_payloads(spark, orders_small):
     (row,) = J.daily_summary_events(day, ts).collect()
     assert row.event_type == "report.daily_summary"
     assert json.loads(row.data) == {"day": "2024-01-01", "status": "click", "event_count": 3, "amount": 4.5}
+
+
+def test_daily_summary_accounts_for_late_rows(spark, scratch):
+    """Closed days plus corrections are all rows of closed days; rows without a time go to the late rows."""
+    src, state = os.path.join(scratch, "late-in"), os.path.join(scratch, "late-state")
+    sch = "t timestamp, status string, amount double"
+
+    def at(day, hour=0):
+        return dt.datetime(2024, 1, day, hour)
+    parts = [[(at(1, 5), "a", 1.0), (at(1, 6), None, 2.0), (at(2, 0), "a", 4.0)],      # watermark 1 January 23:00: nothing closes
+             [(at(1, 23), "a", 8.0), (at(2, 1), "a", 16.0)],                            # in time; closes the first
+             [(at(1, 4), "a", 32.0), (at(1, 4), "b", 64.0), (None, "a", 1.0), (at(3, 2), "a", 2.0)],
+             [(at(2, 9), "a", 128.0)], []]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, sch).coalesce(1).write.parquet(os.path.join(src, f"p{i}"))
+        stream = spark.readStream.schema(sch).parquet(os.path.join(src, "*"))
+        DY.start_daily_summary(stream, state, trigger={"availableNow": True}).awaitTermination()
+    closed = rows_of(DY.closed_days(spark, state), F.col("day").cast("string"), "status", "event_count", F.col("amount").cast("int"))
+    assert closed == [("2024-01-01", "a", 2, 9), ("2024-01-01", None, 1, 2), ("2024-01-02", "a", 2, 20)]
+    late = rows_of(DY.corrections(spark, state), F.col("day").cast("string"), "status", "event_count", F.col("amount").cast("int"))
+    assert late == [("2024-01-01", "a", 1, 32), ("2024-01-01", "b", 1, 64), ("2024-01-02", "a", 1, 128)]
+    assert spark.read.parquet(os.path.join(state, "late")).where("t IS NULL").count() == 1
+    man = spark.read.json(os.path.join(state, "_manifests")).agg(F.sum("rows"), F.sum("late_rows")).first()
+    assert tuple(man) == (10, 4)
+    # a replayed batch whose manifest exists changes nothing
+    DY.summary_batch_writer(spark, state)(spark.createDataFrame(parts[0], sch), 0)
+    assert DY.closed_days(spark, state).count() == 3
+    ev = DY.correction_events(DY.corrections(spark, state), F.lit(AS_OF).cast("timestamp_ntz")).first()
+    assert ev.event_type == "report.daily_summary_correction" and json.loads(ev.data)["event_count"] == 1
