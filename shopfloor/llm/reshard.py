@@ -186,13 +186,19 @@ def rewrite(docs: DataFrame, old_shard: Column, assignment: DataFrame, path: str
     checksum and old shard; rows that agree in these are interchangeable.
     """
     moved = transfers(assignment)
-    affected = moved.select(F.col("old_shard").alias("_shard")).union(moved.select("shard")).distinct()
+    # A row's new shard is affected just when its old one is: rows of other shards are neither copied nor joined.
+    # Broadcast: one row a shard.
+    affected = F.broadcast(written(moved.select(F.col("old_shard").alias("_shard")).union(moved.select("shard")).distinct(), "affected"))
+
+    def of_affected(rows):
+        return rows.join(affected, F.col("old_shard") == F.col("_shard"), "left_semi")
     # the copy fixes the rows' numbers
-    every = written(docs.select(rest_of(docs), *_keys(old_shard, overhead), F.monotonically_increasing_id().alias("row")), "rewrite")
+    every = written(of_affected(docs.select(rest_of(docs), *_keys(old_shard, overhead)))
+                    .withColumn("row", F.monotonically_increasing_id()), "rewrite")
+    assignment = of_affected(assignment)
     rows = _copies(every.drop("rest").withColumn("chunk", F.floor(F.col("row") / CHUNK)), "row")
     places = _copies(assignment.withColumn("chunk", F.struct("shard", F.floor(F.col("slot") / CHUNK).alias("c"))), "slot")
-    to = (rows.join(places, ["no_id", "id", "size", "text_crc32", "old_shard", "copy"])
-          .join(F.broadcast(affected), F.col("shard") == F.col("_shard"), "left_semi").select("row", "shard", "slot"))
+    to = rows.join(places, ["no_id", "id", "size", "text_crc32", "old_shard", "copy"]).select("row", "shard", "slot")
     (every.select("rest", "row").join(to, "row")
      .select("rest.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
      .repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
