@@ -96,14 +96,15 @@ def shard_blocks(seqs: DataFrame, total: int, seq_len: int = 1024, per_shard: in
     """Shards as rows of at most ``block`` records: first slot, payload (records of
     ``seq_len`` ids, one after another, sorted by slot) and its checksum.
 
-    A block of slots is dealt to a task by its number's hash; slots are evenly
-    spread, so tasks get about as many blocks, and a row is never larger than
-    a block.
+    Slots are gapless, so equal ranges of blocks are equal work: task t gets the t-th
+    range, known without a sample of the rows, and ``write_shards`` writes it as
+    it is.  A row is never larger than a block.
     """
     if per_shard % block:
         raise ValueError("block must divide per_shard")
     spark = seqs.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = max(1, -(-total // block))
+    tasks = min(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks)
     # a block's records meet in one group of bounded size
     blocks = seqs.withColumn("_b", F.floor(F.col("slot") / block).cast("long"))
 
@@ -133,14 +134,15 @@ def shard_blocks(seqs: DataFrame, total: int, seq_len: int = 1024, per_shard: in
         if state["rows"]:
             yield close()
 
-    return (blocks.select("_b", "slot", "ids").repartition(tasks, "_b").sortWithinPartitions("_b", "slot")
+    return (blocks.select("_b", "slot", "ids").repartitionById(tasks, F.expr(f"int(_b * {tasks} div {n_blocks})"))
+            .sortWithinPartitions("slot")
             .transform(small_batches).mapInArrow(run, SHARD_ROWS))
 
 
 def write_shards(blocks: DataFrame, path: str) -> None:
-    """One folder a shard, its blocks in order of slots."""
-    blocks.repartitionByRange("shard", "first_slot").sortWithinPartitions("shard", "first_slot") \
-        .write.partitionBy("shard").parquet(path)
+    """One folder a shard, its blocks in order of slots: each task writes the range of
+    slots that ``shard_blocks`` gave it, without another shuffle."""
+    blocks.sortWithinPartitions("shard", "first_slot").write.partitionBy("shard").parquet(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, count: int, seq_len: int = 1024, per_shard: int = 4096,
