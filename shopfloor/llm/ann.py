@@ -10,8 +10,10 @@ all rows, in blocks, and the visits are widened until the neighbours' leaves
 are reached for the wanted share of them.
 
 Leaves are split into blocks of at most ``block`` rows (a vector that a third
-of all rows share fills many), each block answers its queries with its
-own nearest rows, and these are merged per query.  Scores are computed in
+of all rows share fills many) and the queries by a hash of their id into parts
+of about ``QUERY_ROWS``, so that one task holds a block and a part at most.  Each
+block answers the queries of each part with its own nearest rows, and these are
+merged per query.  Scores are computed in
 double precision from the original vectors, in an order that doesn't
 depend on the block, so equal vectors have equal scores.
 
@@ -41,6 +43,7 @@ CALIBRATION_QUERIES = 64
 BRANCHES = 8
 LEAF_ROWS = 64                  # sample rows below which a node is a leaf
 BLOCK_ROWS = 2_000
+QUERY_ROWS = 20_000
 RECALL = 0.98
 
 
@@ -161,7 +164,8 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding"
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit_rows: int = FIT_ROWS,
-           branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, block: int = BLOCK_ROWS) -> DataFrame:
+           branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, block: int = BLOCK_ROWS,
+           query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found of each query.
 
     ``is_query`` is a condition on vec_id.
@@ -197,6 +201,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit
     blocks = counts.groupBy("leaf").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
 
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    parts = max(1, -(-queries.count() // query_rows))
     visits = _calibrated(spark, rows, queries, tree, dim, k, recall)
 
     def plan(batches):
@@ -209,7 +214,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit
                                    pa.array([f for x in leaves for f in x], pa.int32())], names=["query_id", "q", "leaf"])
 
     asked = queries.mapInArrow(plan, "query_id long, q array<double>, leaf int").join(blocks, "leaf").select(
-        "leaf", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "query_id", "q")
+        "leaf", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), _part("query_id", parts).alias("part"), "query_id", "q")
+    blocked = blocked.select("*", F.explode(F.expr(f"sequence(0, {parts - 1})")).alias("part"))
 
     def answer(_, left, right):
         import pandas as pd
@@ -219,7 +225,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit
             got = nearest_in(np.stack(left["q"].to_numpy()), left["query_id"].to_numpy(), x, ids, k)
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
-    found = (asked.groupBy("leaf", "block").cogroup(blocked.groupBy("leaf", "block"))
+    group = ["leaf", "block", "part"]
+    found = (asked.groupBy(*group).cogroup(blocked.groupBy(*group))
              .applyInPandas(answer, "query_id long, vec_id long, score double"))
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     return (found.groupBy("query_id").agg(top.alias("top"))
@@ -228,6 +235,10 @@ def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit
                     (-F.col("t.s")).alias("score")))
 
 
+def _part(query_id: str, parts: int):
+    return F.pmod(F.xxhash64(query_id, F.lit("part")), F.lit(parts)).cast("int")
+
+
 def exact(rows: DataFrame, qids: np.ndarray, queries: np.ndarray, dim: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): k nearest of a bounded set of queries, against all rows in blocks."""
 

@@ -466,7 +466,10 @@ def test_rewritten_and_untouched_shards_hold_each_row_once(spark, scratch, monke
     plan = reshard.reshard(df, old, 5, room).cache()
     moves = {(r.old_shard, r.shard) for r in reshard.transfers(plan).collect()}
     assert moves and all(5 not in m for m in moves)
+    copied, keep_table = {}, reshard.written
+    monkeypatch.setattr(reshard, "written", lambda rows, name: copied.setdefault(name, keep_table(rows, name)))
     reshard.rewrite(df, old, plan, scratch + "/new")
+    assert copied["rewrite"].count() == len(data) and copied["rewrite"].where("old_shard = 5").count() == 0
     new = spark.read.parquet(scratch + "/new")
     got = new.collect()
     untouched = [n for n, r in enumerate(data + keep) if r[2] == 5]
@@ -497,7 +500,14 @@ def test_shards_are_read_from_any_slot(spark, docs, empty, tokenizer, scratch):
             ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
             assert [x for p in pieces[i] for x in p] == ids
     path = scratch + "/shards"
-    feistel.write_shards(feistel.shard_blocks(seqs, total, 64, 128, block=32), path)
+    blocks = feistel.shard_blocks(seqs, total, 64, 128, block=32, tasks=5)
+    # each task has one range of slots, and all about as many blocks
+    ends = blocks.groupBy(F.spark_partition_id().alias("task")).agg(F.min("first_slot"), F.max("first_slot"), F.count("*")).orderBy("task").collect()
+    assert len(ends) == 5 and all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
+    assert max(r[3] for r in ends) - min(r[3] for r in ends) <= 1
+    assert sorted(r.first_slot for r in blocks.collect()) == list(range(0, total, 32))
+    feistel.write_shards(blocks, path)
+    assert spark.read.parquet(path).agg(F.sum("n_records")).first()[0] == total
     want = {r.slot: np.frombuffer(r.ids, "<u2").tolist() for r in seqs.collect()}
     assert sorted(want) == list(range(total))
     got = feistel.read_from(spark, path, 17, 200, 64, 128).collect()
@@ -569,11 +579,12 @@ def vectors():
     return x
 
 
-def test_neighbours_and_recall(spark):
+@pytest.mark.parametrize("query_rows", [ann.QUERY_ROWS, 7])
+def test_neighbours_and_recall(spark, query_rows):
     data = vectors()
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("leaf", F.lit("x")).withColumn("v", F.lit(1))
     got = collections.defaultdict(list)
-    for r in ann.search(df, "vec_id % 50 = 0", fit_rows=600, block=100).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, "vec_id % 50 = 0", fit_rows=600, block=100, query_rows=query_rows).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     good = {i: np.array(v, float) for i, v in data if i is not None and v and len(v) == 16 and None not in v
             and np.isfinite(v).all() and any(v)}
