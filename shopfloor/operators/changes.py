@@ -126,7 +126,9 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     # equal seq is ordered by action, then payload.  Without the checkpointed
     # copy behind the places, filter push-down inlines from_json(payload)
     # into every predicate of every branch and re-parses each message.
-    checked = dense_ids(c.withColumn("_reason", reason), ["seq", "action", "payload"], "_pos")
+    # (The sort samples its input first, so that is a copy too.)
+    checkpoint_dir(commands.sparkSession)
+    checked = dense_ids(c.withColumn("_reason", reason).checkpoint(eager=True), ["seq", "action", "payload"], "_pos")
     static_rejects = _reject(checked.filter(F.col("_reason").isNotNull()), F.col("_reason"))
     ok = checked.filter(F.col("_reason").isNull()).drop("_reason")
 
