@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import reconcile as RC
 from ..sources import files as FS
+from ..sources import json_array as JA
 from ..sources import testdata as td
 from ..streaming import jobs as J
 from .q_changes import ORDER_CASTS
@@ -111,16 +112,15 @@ def q_s8_rej(spark, d):
 def _array_import(spark, d):
     """One JSON array document with all orders, read by ranges of 64 KB: texts with
     quotes, brackets, commas and backslashes, blanks, nested values, broken elements."""
-    p = os.path.join(_dir(spark, "array-import"), "orders")
+    p = os.path.join(_dir(spark, "array-import"), "orders.json")
     oid = F.col("order_id")
     rows = td.sales_orders(spark, d).withColumn("status", F.when(oid % 3 == 0, F.lit('a "b\\\\", [{c}], \\')).otherwise("imported")) \
         .withColumn("extra", F.when(oid % 5 == 0, F.array(F.struct(F.lit("x]},\"").alias("k")))))
     element = F.when(oid % 19 == 0, F.concat(F.lit('{"order_id": oops '), oid, F.lit("}"))).otherwise(
         F.to_json(F.struct(*[F.col(c) if c == "extra" else F.col(c).cast("string").alias(c) for c in rows.columns])))
-    lines = rows.select(F.lit(1).alias("_n"), oid, F.concat(F.lit("  "), element, F.lit(" ,")).alias("value"))
-    ends = spark.createDataFrame([(0, 0, "["), (2, 0, '{"order_id": "-1"}]')], "_n int, order_id long, value string")
-    # one file, as the reference's exporter writes it; the reader under test is what runs in parallel
-    lines.unionByName(ends).coalesce(1).sortWithinPartitions("_n", "order_id").select("value").write.text(p)
+    # one file, as the reference's exporter writes it, in the order of the ids
+    JA.write_document(rows.orderBy("order_id").select(F.concat(F.lit("  "), element, F.lit(" ,")).alias("value")), p,
+                      "[\n", '{"order_id": "-1"}]\n')
     return FS.import_orders(td.sales_orders(spark, d), FS.read_order_array(spark, p, raw=True, range_bytes=64 << 10))
 
 

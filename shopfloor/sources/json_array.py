@@ -11,6 +11,10 @@ how deep it is nested depends on everything before it, so ranges are read twice:
 3. ``pass=records``: each range cuts out the elements whose opening ``[`` or ``,``
    lies in it, reading on past its end for the last one.
 
+A task takes neighbouring ranges up to ``TASK_BYTES``, so that small ranges
+do not make as many tasks; the second pass reads them as one.
+:func:`write_document` writes one such document by many tasks.
+
 Defined results: elements keep their text and byte offset, which is their order
 in the file; broken elements are elements too (the reader of their columns
 rejects them); an empty file or array gives none; text after the array's end
@@ -20,7 +24,9 @@ something else than arrays is an error, as is an element longer than ``maxRecord
 
 from __future__ import annotations
 
+import itertools
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +41,9 @@ _ship_by_value(__name__)
 RANGE_BYTES = 64 << 20
 MAX_RECORD_BYTES = 64 << 20
 READ_BYTES = 4 << 20            # bytes looked at together
+TAIL_BYTES = 64 << 10           # bytes first read past the end of a range; doubled up to READ_BYTES
+TASK_BYTES = 32 << 20           # neighbouring ranges of a task, about
+LEAST_TASKS = 64                # as far as there are ranges
 SCAN_ROWS = "path string, start long, end long, quotes long, depth_outside long, depth_inside long"
 RECORD_ROWS = "path string, offset long, record string"
 STATE_ROWS = "path string, start long, end long, inside boolean, depth long"
@@ -46,6 +55,36 @@ class ByteRange(InputPartition):
         self.path, self.start, self.end, self.inside, self.depth = path, start, end, inside, depth
 
 
+class ByteRanges(InputPartition):
+    """The ranges of one task."""
+    def __init__(self, ranges: list[ByteRange]):
+        super().__init__((ranges[0].path, ranges[0].start))
+        self.ranges = ranges
+
+
+def _tasks(ranges: list[ByteRange]) -> list[ByteRanges]:
+    """Ranges in order of the files, dealt to tasks of about equal bytes."""
+    most = min(TASK_BYTES, sum(r.end - r.start for r in ranges) // LEAST_TASKS)
+    out, size = [], 0
+    for r in ranges:
+        if not out or size + r.end - r.start > most:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += r.end - r.start
+    return [ByteRanges(t) for t in out]
+
+
+def _joined(ranges: list[ByteRange]) -> list[ByteRange]:
+    """Ranges that follow one another in a file as one: the first one's state holds."""
+    out = []
+    for r in ranges:
+        if out and out[-1].path == r.path and out[-1].end == r.start:
+            r = ByteRange(r.path, out[-1].start, r.end, out[-1].inside, out.pop().depth)
+        out.append(r)
+    return out
+
+
 def _filesystem(path: str):
     from pyarrow import fs
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -115,25 +154,34 @@ class JsonArrayReader(DataSourceReader):
 
     def partitions(self):
         if self.scan:
-            return [ByteRange(p, at, min(size, at + self.range_bytes))
-                    for p, size in _files(self.path) for at in range(0, size, self.range_bytes)]
+            return _tasks([ByteRange(p, at, min(size, at + self.range_bytes))
+                           for p, size in _files(self.path) for at in range(0, size, self.range_bytes)])
         import pyarrow.dataset as ds
         system, inner = _filesystem(self.states)
         rows = ds.dataset(inner, filesystem=system, format="parquet").to_table(use_threads=False).to_pylist()   # one row a range
-        return [ByteRange(r["path"], r["start"], r["end"], r["inside"], r["depth"]) for r in rows]
+        rows.sort(key=lambda r: (r["path"], r["start"]))
+        return _tasks([ByteRange(r["path"], r["start"], r["end"], r["inside"], r["depth"]) for r in rows])
 
     def read(self, part):
         if part is None:                                  # no files: Spark asks one empty task
             return
-        system, inner = _filesystem(part.path)
-        with system.open_input_file(inner) as handle:
-            yield from (self._scan(handle, part) if self.scan else self._records(handle, part))
+        ranges = part.ranges if isinstance(part, ByteRanges) else [part]
+        for path, group in itertools.groupby(ranges if self.scan else _joined(ranges), key=lambda r: r.path):
+            system, inner = _filesystem(path)
+            with system.open_input_file(inner) as handle:
+                for r in group:
+                    yield from (self._scan(handle, r) if self.scan else self._records(handle, r))
 
     @staticmethod
-    def _blocks(handle, start: int, end: int | None = None):
-        """(offset, bytes) from ``start`` on, to ``end`` or the end of the file."""
+    def _blocks(handle, start: int, end: int, on: bool = False):
+        """(offset, bytes) from ``start`` to ``end``, then with ``on`` in small steps to the end of the file."""
         handle.seek(start)
-        while (want := READ_BYTES if end is None else min(READ_BYTES, end - start)) > 0:
+        step = min(TAIL_BYTES, READ_BYTES)
+        while start < end or on:
+            if start < end:
+                want = min(READ_BYTES, end - start)
+            else:
+                want, step = step, min(2 * step, READ_BYTES)
             block = handle.read(want)
             if not block:
                 return
@@ -159,7 +207,7 @@ class JsonArrayReader(DataSourceReader):
         escaped = _escaped_before(handle, part.start)
         inside, depth = part.inside, part.depth
         begun, pieces, length = None, [], 0               # the open element: its offset, bytes so far
-        for start, block in self._blocks(handle, part.start):
+        for start, block in self._blocks(handle, part.start, part.end, on=True):
             at, kinds, escaped = _structure(block, escaped)
             is_quote = kinds == 0x22
             in_string = (int(inside) + np.cumsum(is_quote)) % 2 == 1
@@ -230,3 +278,37 @@ def read_json_array(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
     json_array_ranges(spark, path, range_bytes).write.parquet(states)
     return (spark.read.format("json_array").option("states", states)
             .option("maxrecordbytes", max_record_bytes).load(path))
+
+
+def _put(source: str, target: str, at: int) -> None:
+    """The bytes of a file to their place in another one."""
+    system, inner = _filesystem(source)
+    with system.open_input_stream(inner) as rows, open(_filesystem(target)[1], "r+b") as out:
+        out.seek(at)
+        shutil.copyfileobj(rows, out, READ_BYTES)
+
+
+def write_document(lines: DataFrame, path: str, head: str, tail: str) -> None:
+    """``head``, the ordered text ``lines`` and ``tail`` as one file at ``path``.
+
+    Tasks write the lines as parts; then each part is copied to its place in the
+    file, by a task of its own.  That takes a shared folder: a store without
+    writes in the middle of a file is an error."""
+    from pyarrow import fs
+    spark = lines.sparkSession
+    system, inner = _filesystem(path)
+    if not isinstance(system, fs.LocalFileSystem):
+        raise ValueError(f"{path}: one file is written by many tasks in a shared folder only")
+    parts = f"{path}-parts"
+    lines.write.text(parts)
+    first, last = head.encode(), tail.encode()
+    places, at = [], len(first)
+    for part, size in _files(parts):                      # one a task
+        places.append((part, at))
+        at += size
+    with open(inner, "wb") as out:
+        out.write(first)
+        out.seek(at)
+        out.write(last)
+    if places:
+        spark.sparkContext.parallelize(places, len(places)).foreach(lambda p: _put(p[0], path, p[1]))

@@ -83,3 +83,31 @@ def test_array_is_read_by_many_tasks(spark, tmp_path):
     empty = tmp_path / "none"
     empty.mkdir()
     assert JA.read_json_array(spark, str(empty)).count() == 0
+
+
+def test_small_ranges_share_tasks_and_read_little_past_their_end(tmp_path):
+    path = str(tmp_path / "doc.json")
+    with open(path, "w") as f:
+        f.write(json.dumps([{"order_id": i, "status": "x" * 100} for i in range(20_000)]))
+    reader = JA.JsonArrayReader({"path": path, "pass": "scan", "rangebytes": "1000"})
+    tasks = reader.partitions()
+    ranges = sum(len(t.ranges) for t in tasks)
+    assert 20 < len(tasks) <= 2 * JA.LEAST_TASKS < ranges
+    reader.scan = False
+    part, sizes = JA.ByteRange(path, 50_000, 51_000, True, 2), []
+    with open(path, "rb") as f:
+        for _, block in JA.JsonArrayReader._blocks(f, part.start, part.end, on=True):
+            sizes.append(len(block))
+            if len(sizes) == 2:
+                break
+    assert sizes == [1000, JA.TAIL_BYTES]
+
+
+def test_a_document_is_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "doc.json")
+    lines = spark.range(0, 1000, 1, 5).selectExpr("concat('{\"id\": ', id, ', \"t\": \"é\"},') AS value")
+    JA.write_document(lines, path, "[\n", '{"id": -1}]\n')
+    with open(path, encoding="utf-8") as f:
+        assert [r["id"] for r in json.load(f)] == [*range(1000), -1]
+    JA.write_document(lines.limit(0), str(tmp_path / "none.json"), "[", "]")
+    assert (tmp_path / "none.json").read_text() == "[]"
