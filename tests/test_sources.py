@@ -157,3 +157,14 @@ def test_kept_trees_spare_a_side(spark, scratch):
     out = RC.reconcile(df, other, "k", 50, source_leaves=spark.read.parquet(scratch + "/t"))
     assert [r.leaf for r in out["leaves"].collect()] == [15]
     assert rows_of(out["missing"]) == [(777, "v")] and rows_of(out["unexpected"]) == [(777, "w")]
+
+
+def test_array_elements_are_parsed_once(spark, tmp_path):
+    """The parse of an element is not copied into the rules that an import checks."""
+    path = tmp_path / "orders.json"
+    path.write_text('[{"order_id": "1"}, oops]')
+    raw = FS.read_order_array(spark, str(path), raw=True)
+    rejects = FS.import_orders(spark.createDataFrame([], S.ORDERS), raw)["rejects"]
+    plan = rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert sorted(("malformed" in r.violations) for r in rejects.collect()) == [False, True]
