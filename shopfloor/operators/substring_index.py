@@ -8,9 +8,10 @@ characters, or with a wildcard of LIKE, have no trigrams to go by and take
 the scan, with the same result.
 
 A trigram that nearly all rows hold has a list in very many chunks, so no
-list is gathered in one task; candidates are counted by (term, row) with a
-combinable count.  To spare work on such lists, a term is looked up by its
-``RAREST`` rarest trigrams (the text decides anyway).
+list is gathered in one task: terms are joined to the chunks one by one.  A
+term is looked up by its rarest trigram alone, and all terms of a trigram go
+along with each of its rows, so that rows are counted by their trigrams and
+not by the terms that share them.  The text decides.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096                    # ids of a chunk of a list, about
-RAREST = 4                      # trigrams a term is looked up by
+TERMS = 64                      # terms that go along with a row, at most
 PORTION = 500                   # terms of a scan
 
 
@@ -35,7 +36,7 @@ def build(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.where(F.char_length(F.lower(F.col(text))) >= 3).select(F.col(key).alias("id"), F.explode(_trigrams(F.col(text))).alias("gram"))
     counts = rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     return (rows.join(counts, "gram").withColumn("chunk", F.expr("pmod(xxhash64(id), chunks)"))
-            .groupBy("gram", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+            .groupBy("gram", "chunk").agg(F.sort_array(F.collect_set("id")).alias("ids")))
 
 
 def search(df: DataFrame, index: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,12 +49,16 @@ def search(df: DataFrame, index: DataFrame, terms: DataFrame, key: str, text: st
     # how long each asked list is; a gram without a list makes its term find nothing
     sizes = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum(F.size("ids")).alias("rows"))
     order = Window.partitionBy("term").orderBy(F.coalesce("rows", F.lit(0)), "gram")        # a term has few grams
-    rarest = grams.join(sizes, "gram", "left").withColumn("k", F.row_number().over(order)).where(F.col("k") <= RAREST)
-    wanted = rarest.groupBy("term").agg(F.count(F.lit(1)).alias("wanted"))
-    found = (rarest.select("term", "gram").join(index, "gram").select("term", F.explode("ids").alias("id"))
-             .groupBy("term", "id").agg(F.count(F.lit(1)).alias("n")).join(wanted, "term").where("n = wanted").select("term", "id"))
+    rarest = grams.join(sizes, "gram", "left").withColumn("k", F.row_number().over(order)).where("k = 1").select("gram", "term")
+    part = F.expr(f"pmod(xxhash64(term), greatest(1, ceil(count(*) OVER (PARTITION BY gram) / {TERMS})))")
+    together = rarest.withColumn("part", part).groupBy("gram", "part").agg(F.collect_list("term").alias("terms"))
+    by_chunk = index.select("gram", "chunk").join(together, "gram").select("gram", "chunk", "terms")
+    found = index.join(by_chunk, ["gram", "chunk"]).select(F.explode("ids").alias("id"), "terms")
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    out = found.join(rows, "id").where(F.ilike("text", F.concat(F.lit("%"), "term", F.lit("%")))).select("term", "id")
+    low = rows.withColumn("low", F.lower("text"))
+    # without wildcards, ILIKE is: the lower-cased text holds the lower-cased term
+    held = F.filter("terms", lambda t: F.contains(F.col("low"), F.lower(t)))
+    out = found.join(low, "id").select(F.explode(held).alias("term"), "id")
     # typed search terms without trigrams: a row is held against PORTION of them at a time
     scanned = sorted(r.term for r in asked.where(~plain).collect())
     for k in range(0, len(scanned), PORTION):

@@ -34,3 +34,13 @@ def test_empty_inputs(spark):
     assert SI.search(none, SI.build(none, "id", "text"), terms, "id", "text").count() == 0
     assert SI.search(some, SI.build(some, "id", "text"), terms.limit(0), "id", "text").count() == 0
     assert sorted(r.term for r in SI.search(some, SI.build(some, "id", "text"), terms, "id", "text").collect()) == ["", "bcd"]
+
+
+def test_rows_meet_a_trigram_once_for_all_its_terms(spark, monkeypatch):
+    """Terms of one trigram go along with its rows, rows of one key are told apart by their text."""
+    monkeypatch.setattr(SI, "TERMS", 5)
+    df = spark.createDataFrame([(i // 2, f"abc{i:03d}") for i in range(400)], "id long, text string")
+    names = [f"abc{i:03d}"[:n] for i in range(40) for n in (5, 6)]
+    index = SI.build(df, "id", "text")
+    found = SI.search(df, index, spark.createDataFrame([(n,) for n in names], "term string"), "id", "text")
+    assert sorted(tuple(r) for r in found.collect()) == _plain(spark, df, names)
