@@ -1,8 +1,8 @@
-"""Live carts as keyed state (``transformWithStateInPandas``).
+"""Live carts as keyed state (``transformWithState``).
 
-A session's state is a map of products and one small clock, in the RocksDB
-store: a trigger loads and writes the lines that its actions name, whatever
-the size of the cart.  A timer expires the cart seven days of event time
+A session's state is its lines by product and one small clock, in the RocksDB
+store.  A trigger emits the whole cart of each session it names, so the lines are one
+value: a call of the store for each of them took most of a trigger's time.  A timer expires the cart seven days of event time
 after its newest action.
 
 Order.  Actions carry ``seq``.  Only actions on one product, and clears, depend on
@@ -16,7 +16,7 @@ with a reason too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -29,11 +29,13 @@ CART_OUT = "session_id string, product_id long, quantity int, expired boolean, l
 CART_TTL_MS = 7 * 24 * 3600 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ACTIONS = ("add", "update", "remove", "clear")
+_OUT_NAMES = [c.split()[0] for c in CART_OUT.split(", ")]
+_OUT = Row(*_OUT_NAMES)
 _FIELDS = ["seq", "action", "product_id", "quantity", "p_exists", "p_active", "p_stock", "ts_ms"]
 
 
 class CartProcessor(StatefulProcessor):
-    """State: ``lines`` product -> (quantity, last seq), quantity 0 for a line that
+    """State: ``lines`` products with quantity and last seq, quantity 0 for a line that
     is gone but whose order counts; ``clock`` (last clear, newest event time, timer)."""
 
     def __init__(self, ttl_ms: int = CART_TTL_MS):
@@ -41,16 +43,21 @@ class CartProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.lines = handle.getMapState("lines", "product_id long", "quantity int, seq long")
+        self.lines = handle.getValueState("lines", "product_ids array<long>, quantities array<int>, seqs array<long>")
         self.clock = handle.getValueState("clock", "cleared long, newest long, timer long")
 
     def handleInputRows(self, key, rows, timerValues):
-        cleared, newest, timer = self.clock.get() if self.clock.exists() else (-1, -1, -1)
+        yield self._frame(key[0], False, *self._apply((a for chunk in rows for a in zip(*(chunk[c].tolist() for c in _FIELDS))), timerValues))
+
+    def _apply(self, actions, timerValues):
+        """Fold the actions of one trigger; the lines that then hold something, and the actions that came too late."""
+        known = self.clock.exists()
+        cleared, newest, timer = self.clock.get() if known else (-1, -1, -1)
+        lines, changed = self._load() if known else {}, False
         late = []
         # Arrow chunks of a session are in no order; the actions of one trigger are folded by seq.
         # A few numbers an action are held, as many as the trigger's bound lets in.
-        actions = sorted((a for chunk in rows for a in zip(*(chunk[c].tolist() for c in _FIELDS))),
-                         key=lambda a: -1 if a[0] is None or a[0] != a[0] else a[0])
+        actions = sorted(actions, key=lambda a: -1 if a[0] is None or a[0] != a[0] else a[0])
         for seq, action, pid, q, exists, active, stock, ts in actions:
             pid, q, stock, ts = (None if v is None or v != v else int(v) for v in (pid, q, stock, ts))
             newest = newest if ts is None else max(newest, ts)
@@ -62,29 +69,31 @@ class CartProcessor(StatefulProcessor):
                 continue
             if action == "clear":
                 if seq > cleared:
-                    kept = self._clear(seq)
-                    cleared = seq
-                    if kept:
+                    lines = {p: line for p, line in lines.items() if line[1] >= seq}
+                    cleared, changed = seq, True
+                    if any(held > 0 and last > seq for held, last in lines.values()):
                         late.append((seq, None, "lines with later actions stay"))
                 continue
-            line = self.lines.getValue((pid,)) if self.lines.containsKey((pid,)) else None
+            line = lines.get(pid)
             if seq <= cleared or (line is not None and seq <= line[1]):
                 late.append((seq, pid, "after a later action or delivered twice"))
                 continue
-            one = {pid: int(line[0])} if line is not None and line[0] > 0 else {}
+            one = {pid: line[0]} if line is not None and line[0] > 0 else {}
             cart_step(one, action, pid, q, bool(exists), bool(active), stock)
-            self.lines.updateValue((pid,), (one.get(pid, 0), seq))
-        timer = self._set_timer(newest, timer, timerValues)
-        self.clock.update((cleared, newest, timer))
-        yield self._emitted(key[0], False, late)
-
-    def _clear(self, seq: int) -> int:
-        """Forget the lines last touched before ``seq``; how many others hold something."""
-        entries = [(int(k[0]), int(v[0]), int(v[1])) for k, v in self.lines.iterator()] if self.lines.exists() else []
-        for pid, _, last in entries:
-            if last < seq:
-                self.lines.removeKey((pid,))
-        return sum(q > 0 for _, q, last in entries if last > seq)
+            lines[pid] = (one.get(pid, 0), seq)
+            changed = True
+        if changed or not known:
+            pids = sorted(lines)
+            self.lines.update((pids, [lines[p][0] for p in pids], [lines[p][1] for p in pids]))
+        self.clock.update((cleared, newest, self._set_timer(newest, timer, timerValues)))
+        return self._held(lines), late
+
+    def _load(self) -> dict:
+        return {pid: (q, seq) for pid, q, seq in zip(*self.lines.get())} if self.lines.exists() else {}
+
+    @staticmethod
+    def _held(lines: dict) -> list:
+        return sorted((pid, q) for pid, (q, _) in lines.items() if q > 0)
 
     def _set_timer(self, newest: int, timer: int, timerValues) -> int:
         due = max(newest + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1)
@@ -95,26 +104,53 @@ class CartProcessor(StatefulProcessor):
         self.handle.registerTimer(due)
         return due
 
-    def _emitted(self, session, expired: bool, late=()):
+    @staticmethod
+    def _rows(session, expired: bool, lines, late=()) -> list:
+        return [(session, pid, q, expired, None, None) for pid, q in lines or [(None, None)]] + \
+            [(session, pid, None, expired, seq, reason) for seq, pid, reason in late]
+
+    def _frame(self, *emitted):
         import pandas as pd
-        lines = sorted((int(k[0]), int(v[0])) for k, v in self.lines.iterator() if v[0] > 0) if self.lines.exists() else []
-        rows = [(pid, q, None, None) for pid, q in lines] or [(None, None, None, None)]
-        rows += [(pid, None, seq, reason) for seq, pid, reason in late]
-        pids, quantities, seqs, reasons = zip(*rows)
-        return pd.DataFrame({"session_id": [session] * len(rows), "product_id": pd.array(pids, "Int64"),
-                             "quantity": pd.array(quantities, "Int32"), "expired": [expired] * len(rows),
-                             "late_seq": pd.array(seqs, "Int64"), "reason": pd.Series(reasons, dtype=object)})
+        columns = zip(("object", "Int64", "Int32", "bool", "Int64", "object"), zip(*self._rows(*emitted)))
+        return pd.DataFrame({name: pd.array(values, kind) if kind.startswith("Int") else pd.Series(values, dtype=kind)
+                             for name, (kind, values) in zip(_OUT_NAMES, columns)})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = self._emitted(key[0], True)
+    def _expired(self) -> list:
+        lines = self._held(self._load())
         self.lines.clear()
         self.clock.clear()
-        yield out
+        return lines
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._frame(key[0], True, self._expired())
 
     def close(self) -> None:
         pass
 
 
+def _packed() -> "F.Column":
+    """The ``_FIELDS`` as one text of whole numbers: a row's values are taken over one by one,
+    at more than the cost of the action."""
+    number = {"action": F.nullif(F.array_position(F.array(*[F.lit(a) for a in _ACTIONS]), F.col("action")), F.lit(0))}
+    return F.concat_ws(",", *[F.coalesce((number.get(c, F.col(c))).cast("long").cast("string"), F.lit("")) for c in _FIELDS])
+
+
+def _unpacked(text: str) -> tuple:
+    seq, action, *rest = (int(v) if v else None for v in text.split(","))
+    return seq, None if action is None else _ACTIONS[action - 1], *rest
+
+
+class CartRowProcessor(CartProcessor):
+    """The same on plain rows with the text ``fields``: a frame for each session costs more than its few actions."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        actions = (_unpacked(r["fields"]) for r in rows)
+        yield from (_OUT(*r) for r in self._rows(key[0], False, *self._apply(actions, timerValues)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from (_OUT(*r) for r in self._rows(key[0], True, self._expired()))
+
+
 def cart_state(actions: DataFrame, products: DataFrame, event_time, delay: str = "1 hour",
                ttl_ms: int = CART_TTL_MS) -> DataFrame:
     """Carts of a stream of ``(session_id, seq, action, product_id, quantity, ts)``; ``event_time`` is a Column."""
@@ -123,7 +159,7 @@ def cart_state(actions: DataFrame, products: DataFrame, event_time, delay: str =
                         F.col("is_active").alias("p_active"), F.lit(True).alias("p_exists"))
     ev = (actions.withColumn("ts", event_time).withWatermark("ts", delay)
           .join(p, F.col("product_id") == F.col("_pid"), "left")
-          .select("session_id", "seq", "action", "product_id", "quantity", F.unix_millis("ts").alias("ts_ms"), "ts",
-                  "p_stock", F.coalesce("p_exists", F.lit(False)).alias("p_exists"),
-                  F.coalesce("p_active", F.lit(False)).alias("p_active")))
-    return ev.groupBy("session_id").transformWithStateInPandas(CartProcessor(ttl_ms), CART_OUT, "Update", "EventTime")
+          .withColumns({"ts_ms": F.unix_millis("ts"), "p_exists": F.coalesce("p_exists", F.lit(False)),
+                        "p_active": F.coalesce("p_active", F.lit(False))})
+          .select("session_id", _packed().alias("fields"), "ts"))
+    return ev.groupBy("session_id").transformWithState(CartRowProcessor(ttl_ms), CART_OUT, "Update", "EventTime")

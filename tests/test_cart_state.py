@@ -109,3 +109,24 @@ def test_odd_rows_and_expiry():
     (out,) = p.handleExpiredTimer(("x",), Clock(2000), None)
     assert list(out.quantity) == [1] and out.expired.all()
     assert not p.lines.exists() and not p.clock.exists()
+
+
+def test_a_trigger_on_a_large_cart_takes_few_calls_of_the_store():
+    p, calls = _processor(), []
+    for state in (p.lines, p.clock):
+        for name in ("exists", "get", "update", "updateValue", "getValue", "containsKey", "iterator"):
+            def counted(*a, _do=getattr(state, name), _name=name):
+                calls.append(_name)
+                return _do(*a)
+            setattr(state, name, counted)
+    rows = [(i, "add", i, 1, i) for i in range(300)]
+    assert _run(p, rows)[0] == {i: 1 for i in range(300)} and _run(p, [(999, "remove", 7, None, 999)])[0].keys() == set(range(300)) - {7}
+    assert len(calls) <= 12
+
+
+def test_packed_actions_are_the_plain_ones(spark):
+    from shopfloor.streaming import cart_state as CS
+    rows = [(1, "add", 5, 2, True, False, 9, 1000), (None, None, None, None, False, False, None, None), (3, "view", 1, -1, True, True, 0, -5)]
+    df = spark.createDataFrame(rows, "seq long, action string, product_id long, quantity int, p_exists boolean, p_active boolean, p_stock int, ts_ms long")
+    got = [CS._unpacked(r[0]) for r in df.select(CS._packed()).collect()]
+    assert got == [(1, "add", 5, 2, 1, 0, 9, 1000), (None, None, None, None, 0, 0, None, None), (3, None, 1, -1, 1, 1, 0, -5)]
