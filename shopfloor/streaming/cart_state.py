@@ -2,7 +2,7 @@
 
 A session's state is its lines by product and one small clock, in the RocksDB
 store.  A trigger emits the whole cart of each session it names, so the lines are one
-value: a call of the store for each of them took most of a trigger's time.  A timer expires the cart seven days of event time
+value, read and written in one call.  A timer expires the cart seven days of event time
 after its newest action.
 
 Order.  Actions carry ``seq``.  Only actions on one product, and clears, depend on
