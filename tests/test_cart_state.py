@@ -130,3 +130,45 @@ def test_packed_actions_are_the_plain_ones(spark):
     df = spark.createDataFrame(rows, "seq long, action string, product_id long, quantity int, p_exists boolean, p_active boolean, p_stock int, ts_ms long")
     got = [CS._unpacked(r[0]) for r in df.select(CS._packed()).collect()]
     assert got == [(1, "add", 5, 2, 1, 0, 9, 1000), (None, None, None, None, 0, 0, None, None), (3, None, 1, -1, 1, 1, 0, -5)]
+
+
+class Due:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_a_bucket_of_carts_is_the_carts_alone_with_one_read_write_and_timer():
+    from shopfloor.streaming import cart_state as CS
+    rng, codes = random.Random(3), {a: str(i + 1) for i, a in enumerate(CS._ACTIONS)}
+    bucket, alone, seq, calls = CS.CartBucketProcessor(1000), {}, 200, []
+    bucket.init(Handle())
+    for name in ("get", "update"):
+        setattr(bucket.carts, name, lambda *a, _do=getattr(bucket.carts, name), _name=name: calls.append(_name) or _do(*a))
+    rows_of = lambda pdf: sorted(map(str, pdf.astype(object).where(pdf.notna(), None).itertuples(index=False)))
+    for trigger in range(4):
+        acts = {}
+        for session in rng.sample([*range(60)], 40):
+            for _ in range(rng.randrange(1, 5)):
+                seq += 1
+                action = rng.choice([*codes])
+                acts.setdefault(f"s{session}" if session else None, []).append(
+                    (2 * seq - rng.choice([0, 0, 181]), action, None if action == "clear" else rng.randrange(3), 2, True, True, 9, seq))
+        expect, clock = [], Clock(seq - 300)
+        for session, rows in acts.items():
+            alone.setdefault(session, _processor())
+            expect.append(next(alone[session].handleInputRows((session,), iter([pd.DataFrame(rows, columns=_FIELDS)]), clock)))
+        packed = [(s, ",".join(codes.get(v, "" if v is None else str(int(v)) if not isinstance(v, str) else "") for v in row)) for s, rows in acts.items() for row in rows]
+        rng.shuffle(packed)
+        calls.clear()
+        (out,) = bucket.handleInputRows((0,), iter([pd.DataFrame(packed[i::2], columns=["session_id", "fields"]) for i in range(2)]), clock)
+        assert rows_of(out) == rows_of(pd.concat(expect)) and len(calls) <= 2
+        assert bucket.handle.timers == {min(t for p in alone.values() for t in p.handle.timers)}
+    watermark = sorted(t for p in alone.values() for t in p.handle.timers)[30]
+    expect = [next(p.handleExpiredTimer((s,), Clock(watermark), None)) for s, p in alone.items() if min(p.handle.timers) <= watermark]
+    fired = bucket.handle.timers.pop()
+    (out,) = bucket.handleExpiredTimer((0,), Clock(watermark), Due(fired))
+    assert len(expect) > 30 and rows_of(out) == rows_of(pd.concat(expect))
+    assert bucket.handle.timers == {min(t for p in alone.values() for t in p.handle.timers if t > watermark)}
