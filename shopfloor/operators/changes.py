@@ -24,7 +24,7 @@ from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import as_of_date, as_of_timestamp, parse_id_list
 from ..session import checkpoint_dir
-from .ids import dense_ids, next_id
+from .ids import dense_ids, ids_in_place, next_id
 from .prefix import BLOCK, BLOCK_ROWS, in_blocks
 
 ORDER_TYPES = {f.name: f.dataType for f in S.ORDERS.fields}
@@ -53,10 +53,15 @@ def _bad_value(data: Column, fields) -> Column:
     return reduce(lambda a, b: a | b, checks, F.lit(False))
 
 
+def _any_field(fields, test) -> Column:
+    """True when ``test`` holds for a field.  Checks written out one by one for all fields
+    make generated code too long for the JVM to compile, at many times the cost of a row."""
+    return F.exists(F.array(*[F.lit(f) for f in fields]), lambda f: F.coalesce(test(f), F.lit(False)))
+
+
 def _null_value(data: Column, fields) -> Column:
     """True when a field is present without a value."""
-    return reduce(lambda a, b: a | b, [F.coalesce(F.map_contains_key(data, f) & data[f].isNull(), F.lit(False))
-                                       for f in fields])
+    return _any_field(fields, lambda f: F.map_contains_key(data, f) & data[f].isNull())
 
 
 def _negative_value(data: Column, fields) -> Column:
@@ -108,8 +113,7 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     known = is_create | is_update | is_delete
     no_id = F.coalesce(F.col("oid"), F.lit(0)) == 0
     has_field = reduce(lambda a, b: a | b, [F.map_contains_key("data", f) for f in allowed])
-    missing_req = reduce(lambda a, b: a | b,
-                         [~F.coalesce(F.map_contains_key("data", f), F.lit(False)) for f in CREATE_REQUIRED])
+    missing_req = _any_field(CREATE_REQUIRED, lambda f: ~F.coalesce(F.map_contains_key("data", f), F.lit(False)))
 
     reason = (F.when(F.col("seq").isNull(), "no seq")
               .when(F.col("action").isin(READ_ACTIONS), "read-only action (not applied)")
@@ -134,9 +138,9 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
 
     # -- creates: fresh ids in command order (W4), defaults (D2) --------------
     creates = ok.filter(is_create)
-    # Table, feed and delta below all use the ids of this one checkpointed copy.
-    created = dense_ids(creates.select("_pos", "seq", "data", "payload"), ["_pos"], "order_id",
-                        base=next_base if next_base is not None else next_id(target, "order_id"))
+    # The checkpointed copy lies in order, so table, feed and delta below all count the same ids from it.
+    created = ids_in_place(creates.select("_pos", "seq", "data", "payload"), "order_id",
+                           base=next_base if next_base is not None else next_id(target, "order_id"))
     d = F.col("data")
 
     def create_value(f):

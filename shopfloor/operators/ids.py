@@ -39,7 +39,18 @@ def dense_ids(df: DataFrame, order_by: list, id_col: str = "id",
     """
     ordered = df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id())
     checkpoint_dir(df.sparkSession)
-    ordered = ordered.checkpoint(eager=True)
+    return _numbered(ordered.checkpoint(eager=True), id_col, base)
+
+
+def ids_in_place(df: DataFrame, id_col: str = "id", base: int | Column | DataFrame = 0) -> DataFrame:
+    """:func:`dense_ids` of rows that lie in order already: filtered rows of a result of
+    :func:`dense_ids`, without a shuffle since.  Its checkpointed copy fixes them, so
+    they are neither sorted nor copied again."""
+    return _numbered(df.withColumn("_mid", F.monotonically_increasing_id()), id_col, base)
+
+
+def _numbered(ordered: DataFrame, id_col: str, base: int | Column | DataFrame) -> DataFrame:
+    """Rows in order, tagged with ``_mid``, numbered over all partitions."""
     ordered = (ordered.withColumn("_pid", F.shiftright(F.col("_mid"), _ROW_BITS))
                .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(_ROW_MASK))))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
