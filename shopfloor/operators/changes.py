@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import as_of_date, as_of_timestamp, parse_id_list
-from ..session import checkpoint_dir
-from .ids import dense_ids, ids_in_place, next_id
+from ..session import checkpoint_dir, dropping_shuffles, shared_copy
+from .ids import dense_ids, ids_in_place, next_id, ordered_copy
 from .prefix import BLOCK, BLOCK_ROWS, in_blocks
 
 ORDER_TYPES = {f.name: f.dataType for f in S.ORDERS.fields}
@@ -104,9 +104,6 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     """
     ts = as_of_timestamp(as_of)
     parsed = F.from_json("payload", "map<string,string>")
-    c = (commands.withColumnRenamed("data", "payload").withColumn("data", parsed)
-         .select("seq", "action", "data", "payload",
-                 F.col("data")["order_id"].try_cast("long").alias("oid")))
     is_create = F.col("action") == "create_order"
     is_update = F.col("action") == "update_order"
     is_delete = F.col("action") == "delete_order"
@@ -126,70 +123,81 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     if constraints:
         reason = (reason.when((is_create | is_update) & _null_value(F.col("data"), allowed), "NULL not allowed")
                   .when((is_create | is_update) & _negative_value(F.col("data"), allowed), "negative value"))
-    # Parse and classify once, and give every command a place of its own:
-    # equal seq is ordered by action, then payload.  Without the checkpointed
-    # copy behind the places, filter push-down inlines from_json(payload)
-    # into every predicate of every branch and re-parses each message.
-    # (The sort samples its input first, so that is a copy too.)
-    checkpoint_dir(commands.sparkSession)
-    checked = dense_ids(c.withColumn("_reason", reason).checkpoint(eager=True), ["seq", "action", "payload"], "_pos")
-    static_rejects = _reject(checked.filter(F.col("_reason").isNotNull()), F.col("_reason"))
-    ok = checked.filter(F.col("_reason").isNull()).drop("_reason")
-
-    # -- creates: fresh ids in command order (W4), defaults (D2) --------------
-    creates = ok.filter(is_create)
-    # The checkpointed copy lies in order, so table, feed and delta below all count the same ids from it.
-    created = ids_in_place(creates.select("_pos", "seq", "data", "payload"), "order_id",
-                           base=next_base if next_base is not None else next_id(target, "order_id"))
     d = F.col("data")
 
     def create_value(f):
         if f == "order_date":
-            return F.coalesce(d[f].try_cast("date"), as_of_date(as_of)).alias(f)
+            return F.coalesce(d[f].try_cast("date"), as_of_date(as_of))
         v = d[f]
         if f in CREATE_DEFAULTS:   # default only when the key is absent
             v = F.when(F.map_contains_key(d, f), v).otherwise(F.lit(CREATE_DEFAULTS[f]))
-        return _typed(v, f).cast(ORDER_TYPES[f]).alias(f)
-    created_rows = created.select("order_id", *[create_value(f) for f in S.ORDER_FIELDS],
-                                  F.col("_pos").alias("_born"), F.col("seq").alias("_bseq"))
+        return _typed(v, f).cast(ORDER_TYPES[f])
+
+    def classified(rows):
+        """Parsed once: what is wrong with a command, and a good create's fields (columns ``_n_...``)."""
+        c = rows.withColumn("data", parsed).withColumn("oid", d["order_id"].try_cast("long")).withColumn("_reason", reason)
+        c = c.withColumn("_new", F.coalesce(is_create & F.col("_reason").isNull(), F.lit(False)))
+        return c.select("seq", "action", "payload", "oid", "_reason", "_new",
+                        *[F.when(F.col("_new"), create_value(f)).alias(f"_n_{f}") for f in S.ORDER_FIELDS])
+    # One sorted copy holds all commands: equal seq is ordered by action, then
+    # payload.  Rows are shuffled as they came, parsed and classified on their
+    # way into the copy, and what their text holds isn't stored beside it, but
+    # for a create's fields.  Without that copy, filter push-down inlines
+    # from_json(payload) into every predicate of every branch.
+    raw = commands.select("seq", "action", F.col("data").alias("payload"))
+    checked = ordered_copy(raw, ["seq", "action", "payload"], classified, "_new")
+    static_rejects = _reject(checked.filter(F.col("_reason").isNotNull()), F.col("_reason"))
+
+    # -- creates: fresh ids in command order (W4), defaults (D2) --------------
+    # Table, feed and delta below all read the same ids from that copy.
+    created = ids_in_place(checked.filter("_new"), "order_id",
+                           base=next_base if next_base is not None else next_id(target, "order_id"))
+    created_rows = created.select("order_id", *[F.col(f"_n_{f}").alias(f) for f in S.ORDER_FIELDS],
+                                  F.col("seq").alias("_bseq"))
 
     # -- the rows the batch names: all that follows is of the batch's size ----
-    asked = ok.filter(~is_create).select(F.col("oid").alias("_asked")).distinct()
-    named = target.join(asked, target.order_id == F.col("_asked"), "left_semi").select(
-        *S.ORDERS.names, F.lit(0).cast("long").alias("_born"), F.lit(None).cast("long").alias("_bseq"))
-    if reliable_ids:
-        # read by deletes, updates, patches and delta: the table is searched once
-        checkpoint_dir(commands.sparkSession)
-        named = named.checkpoint(eager=True)
-        # under new names: the copy keeps constraints of columns it no longer has, which a union trips over
-        named = named.select(*[F.col(c).alias(c) for c in named.columns])
+    edits = (checked.filter(F.col("_reason").isNull() & ~F.col("_new"))
+             .select(F.col("_mid").alias("_pos"), "seq", "action", "oid", parsed.alias("data"), "payload").checkpoint(eager=True))
+    # Few ids and few fates are joined without a shuffle of the creates: the planner knows the size of a copy.
+    asked = shared_copy(edits.select(F.col("oid").alias("_asked")).distinct(), "asked")
+    with dropping_shuffles(commands.sparkSession):
+        named = target.join(asked, target.order_id == F.col("_asked"), "left_semi").select(
+            *S.ORDERS.names, F.lit(None).cast(checked.schema["seq"].dataType).alias("_bseq"))
+        if reliable_ids:
+            # read by deletes, updates, patches and delta: the table is searched once
+            named = named.checkpoint(eager=True)
+    # under new names: the copy keeps constraints of columns it no longer has, which a union trips over
+    named = named.select(*[F.col(c).alias(c) for c in named.columns])
     state = named.unionByName(created_rows)
-    births = state.select(F.col("order_id").alias("oid"), "_born")
+    births = state.join(asked, state.order_id == F.col("_asked"), "left_semi").select(
+        F.col("order_id").alias("oid"), "_bseq", F.lit(True).alias("_found"))
 
     # -- a row lives from its birth to its first later delete ------------------
-    placed = ok.filter(~is_create).select("_pos", "seq", "action", "oid", "data", "payload").join(births, "oid", "left")
-    born = F.col("_born").isNotNull() & (F.col("_pos") > F.col("_born"))
-    died = placed.filter(born & is_delete).groupBy("oid").agg(
-        F.min("_pos").alias("_died"), F.min_by("seq", "_pos").alias("_dseq"))
-    placed = placed.join(died.select("oid", "_died"), "oid", "left")
+    # At equal seq a create is first ("create_order" sorts before "delete_order" and "update_order").
+    placed = edits.join(births, "oid", "left")
+    born = F.col("_found").isNotNull() & (F.col("_bseq").isNull() | (F.col("seq") >= F.col("_bseq")))
+    died = placed.filter(born & is_delete).groupBy("oid").agg(F.min("_pos").alias("_died"))
+    placed = placed.join(died, "oid", "left")
     applied = F.coalesce(born & F.when(is_delete, F.col("_pos") == F.col("_died"))
                          .otherwise(F.col("_died").isNull() | (F.col("_pos") < F.col("_died"))), F.lit(False))
-    placed = placed.withColumn("_applied", applied)
+    with dropping_shuffles(commands.sparkSession):
+        placed = placed.select("_pos", "seq", "action", "oid", "data", "payload", applied.alias("_applied")).checkpoint(eager=True)
     up_applied = placed.filter(F.col("_applied") & is_update)
     del_applied = placed.filter(F.col("_applied") & is_delete)
 
     # last write wins per field; struct keeps "set to NULL" apart from "absent"
-    patch = up_applied.groupBy("oid").agg(*[
-        F.max_by(F.struct(F.col("data")[f].alias("v")),
-                 F.when(F.map_contains_key("data", f), F.col("_pos"))).alias(f"_p_{f}")
-        for f in allowed], F.max_by("seq", "_pos").alias("_useq"))
-    merged = (state.join(patch, state.order_id == patch.oid, "left").drop("oid")
-              .join(died.withColumnRenamed("oid", "_doid"), F.col("order_id") == F.col("_doid"), "left"))
+    fate = shared_copy(placed.filter("_applied").groupBy("oid").agg(
+        *[F.max_by(F.struct(F.col("data")[f].alias("v")),
+                   F.when(is_update & F.map_contains_key("data", f), F.col("_pos"))).alias(f"_p_{f}")
+          for f in allowed],
+        F.max_by("seq", F.when(is_update, F.col("_pos"))).alias("_useq"),
+        F.min(F.when(is_delete, F.col("_pos"))).alias("_died"),
+        F.min_by("seq", F.when(is_delete, F.col("_pos"))).alias("_dseq")), "fates")
     new_cols = [
         (F.when(F.col(f"_p_{f}").isNotNull(), _typed(F.col(f"_p_{f}.v"), f)).otherwise(F.col(f))
          if f in allowed else F.col(f)).cast(ORDER_TYPES[f]).alias(f)
         for f in S.ORDER_FIELDS]
-    alive = merged.filter(F.col("_died").isNull())
+    alive = state.join(fate, state.order_id == fate.oid, "left").filter(F.col("_died").isNull())
     new_target = (target.join(asked, target.order_id == F.col("_asked"), "left_anti").select(*S.ORDERS.names)
                   .unionByName(alive.select("order_id", *new_cols)))
 
@@ -210,7 +218,7 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     # -- delta: touched ids only --------------------------------------------
     last = F.coalesce("_useq", "_bseq")         # created then patched: once
     upserts = alive.filter(last.isNotNull()).select("order_id", F.lit("upsert").alias("op"), last.alias("seq"), *new_cols)
-    deletes = merged.filter(F.col("_died").isNotNull() & (F.col("_born") == 0)).select(
+    deletes = named.join(fate.filter(F.col("_died").isNotNull()), named.order_id == fate.oid).select(
         "order_id", F.lit("delete").alias("op"), F.col("_dseq").alias("seq"),
         *[F.lit(None).cast(ORDER_TYPES[f]).alias(f) for f in S.ORDER_FIELDS])
     delta = upserts.unionByName(deletes)

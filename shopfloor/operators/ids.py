@@ -9,10 +9,12 @@ partition count, hence safe to broadcast) turns that into a global rank.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, shared_copy
 
 _ROW_BITS = 33                      # layout of monotonically_increasing_id
 _ROW_MASK = (1 << _ROW_BITS) - 1
@@ -42,15 +44,28 @@ def dense_ids(df: DataFrame, order_by: list, id_col: str = "id",
     return _numbered(ordered.checkpoint(eager=True), id_col, base)
 
 
-def ids_in_place(df: DataFrame, id_col: str = "id", base: int | Column | DataFrame = 0) -> DataFrame:
-    """:func:`dense_ids` of rows that lie in order already: filtered rows of a result of
-    :func:`dense_ids`, without a shuffle since.  Its checkpointed copy fixes them, so
-    they are neither sorted nor copied again."""
-    return _numbered(df.withColumn("_mid", F.monotonically_increasing_id()), id_col, base)
+def ordered_copy(df: DataFrame, order_by: list, tag: Callable[[DataFrame], DataFrame], first: str) -> DataFrame:
+    """``df`` in ``order_by`` order as a compressed copy, each row with its place ``_mid``.
+
+    ``tag`` adds columns to the rows on their way into the copy, after the
+    shuffle, so they are computed once and never shuffled.  Rows for which the
+    boolean column ``first`` of it holds come before the others of their
+    partition, so their row numbers have no gaps (see :func:`ids_in_place`).
+    ``_mid`` is in order among these rows, and among the others.
+    """
+    placed = tag(df.repartitionByRange(*order_by)).sortWithinPartitions(F.desc(first), *order_by)
+    return shared_copy(placed.withColumn("_mid", F.monotonically_increasing_id()), "in-order", compression="zstd")
+
+
+def ids_in_place(rows: DataFrame, id_col: str = "id", base: int | Column | DataFrame = 0) -> DataFrame:
+    """:func:`dense_ids` of all ``first`` rows of an :func:`ordered_copy`, which are
+    neither sorted nor copied again; the partitions are counted once."""
+    return _numbered(rows, id_col, base, keep=True)
 
 
-def _numbered(ordered: DataFrame, id_col: str, base: int | Column | DataFrame) -> DataFrame:
-    """Rows in order, tagged with ``_mid``, numbered over all partitions."""
+def _numbered(ordered: DataFrame, id_col: str, base: int | Column | DataFrame, keep: bool = False) -> DataFrame:
+    """Rows in order, tagged with ``_mid``, numbered over all partitions; ``keep``:
+    the partitions' offsets are checkpointed, for several readers of the result."""
     ordered = (ordered.withColumn("_pid", F.shiftright(F.col("_mid"), _ROW_BITS))
                .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(_ROW_MASK))))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -66,6 +81,9 @@ def _numbered(ordered: DataFrame, id_col: str, base: int | Column | DataFrame) -
     offsets = (counts.unionByName(base_row)
                .select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
                .filter(F.col("_pid") >= 0))
+    if keep:
+        checkpoint_dir(ordered.sparkSession)
+        offsets = offsets.checkpoint(eager=True)
     # one row per partition: bounded by the partition count
     out = ordered.join(F.broadcast(offsets), "_pid")
     out = out.withColumn(id_col, (F.col("_off") + F.col("_row") + 1).cast("bigint"))
