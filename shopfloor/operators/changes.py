@@ -45,12 +45,16 @@ def _typed(value: Column, field: str) -> Column:
     return value.try_cast(dt)
 
 
+def _parsed_columns(data: Column) -> dict[str, Column]:
+    """The fields that aren't text, as ``_t_`` columns: parsed once for all checks and for a create's row."""
+    return {f"_t_{f}": _typed(data[f], f) for f, t in ORDER_TYPES.items()
+            if f in S.ORDER_FIELDS and not isinstance(t, T.StringType)}
+
+
 def _bad_value(data: Column, fields) -> Column:
     """True when a present, non-null value in the map does not parse."""
-    checks = [F.coalesce(F.map_contains_key(data, f) & data[f].isNotNull()
-                         & _typed(data[f], f).isNull(), F.lit(False))
-              for f in fields if not isinstance(ORDER_TYPES[f], T.StringType)]
-    return reduce(lambda a, b: a | b, checks, F.lit(False))
+    return reduce(lambda a, b: a | b, [data[f].isNotNull() & F.col(f"_t_{f}").isNull() for f in fields
+                                       if not isinstance(ORDER_TYPES[f], T.StringType)], F.lit(False))
 
 
 def _any_field(fields, test) -> Column:
@@ -59,14 +63,21 @@ def _any_field(fields, test) -> Column:
     return F.exists(F.array(*[F.lit(f) for f in fields]), lambda f: F.coalesce(test(f), F.lit(False)))
 
 
+def _missing_field(data: Column, fields) -> Column:
+    """True when a field is not present; a value that is there needs no search among the keys."""
+    return reduce(lambda a, b: a | b, [data[f].isNull() for f in fields]) & _any_field(
+        fields, lambda f: ~F.coalesce(F.map_contains_key(data, f), F.lit(False)))
+
+
 def _null_value(data: Column, fields) -> Column:
     """True when a field is present without a value."""
-    return _any_field(fields, lambda f: F.map_contains_key(data, f) & data[f].isNull())
+    return F.exists(F.map_values(data), lambda v: v.isNull()) & _any_field(
+        fields, lambda f: F.map_contains_key(data, f) & data[f].isNull())
 
 
-def _negative_value(data: Column, fields) -> Column:
+def _negative_value(fields) -> Column:
     """True when a present number is below 0."""
-    return reduce(lambda a, b: a | b, [F.coalesce(_typed(data[f], f) < 0, F.lit(False))
+    return reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_t_{f}") < 0, F.lit(False))
                                        for f in fields if f in S.NUMERIC_FIELDS], F.lit(False))
 
 
@@ -110,7 +121,7 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     known = is_create | is_update | is_delete
     no_id = F.coalesce(F.col("oid"), F.lit(0)) == 0
     has_field = reduce(lambda a, b: a | b, [F.map_contains_key("data", f) for f in allowed])
-    missing_req = _any_field(CREATE_REQUIRED, lambda f: ~F.coalesce(F.map_contains_key("data", f), F.lit(False)))
+    missing_req = _missing_field(F.col("data"), CREATE_REQUIRED)
 
     reason = (F.when(F.col("seq").isNull(), "no seq")
               .when(F.col("action").isin(READ_ACTIONS), "read-only action (not applied)")
@@ -122,20 +133,21 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
               .when((is_create | is_update) & _bad_value(F.col("data"), allowed), "invalid value"))
     if constraints:
         reason = (reason.when((is_create | is_update) & _null_value(F.col("data"), allowed), "NULL not allowed")
-                  .when((is_create | is_update) & _negative_value(F.col("data"), allowed), "negative value"))
+                  .when((is_create | is_update) & _negative_value(allowed), "negative value"))
     d = F.col("data")
 
     def create_value(f):
+        v = d[f] if isinstance(ORDER_TYPES[f], T.StringType) else F.col(f"_t_{f}")
         if f == "order_date":
-            return F.coalesce(d[f].try_cast("date"), as_of_date(as_of))
-        v = d[f]
+            return F.coalesce(v, as_of_date(as_of))
         if f in CREATE_DEFAULTS:   # default only when the key is absent
-            v = F.when(F.map_contains_key(d, f), v).otherwise(F.lit(CREATE_DEFAULTS[f]))
-        return _typed(v, f).cast(ORDER_TYPES[f])
+            v = F.when(F.map_contains_key(d, f), v).otherwise(_typed(F.lit(CREATE_DEFAULTS[f]), f))
+        return v.cast(ORDER_TYPES[f])
 
     def classified(rows):
         """Parsed once: what is wrong with a command, and a good create's fields (columns ``_n_...``)."""
-        c = rows.withColumn("data", parsed).withColumn("oid", d["order_id"].try_cast("long")).withColumn("_reason", reason)
+        c = rows.withColumn("data", parsed).withColumns({"oid": d["order_id"].try_cast("long"), **_parsed_columns(d)})
+        c = c.withColumn("_reason", reason)
         c = c.withColumn("_new", F.coalesce(is_create & F.col("_reason").isNull(), F.lit(False)))
         return c.select("seq", "action", "payload", "oid", "_reason", "_new",
                         *[F.when(F.col("_new"), create_value(f)).alias(f"_n_{f}") for f in S.ORDER_FIELDS])
@@ -180,13 +192,14 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     placed = placed.join(died, "oid", "left")
     applied = F.coalesce(born & F.when(is_delete, F.col("_pos") == F.col("_died"))
                          .otherwise(F.col("_died").isNull() | (F.col("_pos") < F.col("_died"))), F.lit(False))
-    with dropping_shuffles(commands.sparkSession):
-        placed = placed.select("_pos", "seq", "action", "oid", "data", "payload", applied.alias("_applied")).checkpoint(eager=True)
-    up_applied = placed.filter(F.col("_applied") & is_update)
-    del_applied = placed.filter(F.col("_applied") & is_delete)
+    placed = placed.withColumn("_applied", applied)
+    with dropping_shuffles(commands.sparkSession):      # read by fates and feed
+        done = placed.filter("_applied").select("_pos", "seq", "action", "oid", "data", "payload").checkpoint(eager=True)
+    up_applied = done.filter(is_update)
+    del_applied = done.filter(is_delete)
 
     # last write wins per field; struct keeps "set to NULL" apart from "absent"
-    fate = shared_copy(placed.filter("_applied").groupBy("oid").agg(
+    fate = shared_copy(done.groupBy("oid").agg(
         *[F.max_by(F.struct(F.col("data")[f].alias("v")),
                    F.when(is_update & F.map_contains_key("data", f), F.col("_pos"))).alias(f"_p_{f}")
           for f in allowed],

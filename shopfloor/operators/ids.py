@@ -44,16 +44,19 @@ def dense_ids(df: DataFrame, order_by: list, id_col: str = "id",
     return _numbered(ordered.checkpoint(eager=True), id_col, base)
 
 
-def ordered_copy(df: DataFrame, order_by: list, tag: Callable[[DataFrame], DataFrame], first: str) -> DataFrame:
+def ordered_copy(df: DataFrame, order_by: list[str], tag: Callable[[DataFrame], DataFrame], first: str) -> DataFrame:
     """``df`` in ``order_by`` order as a compressed copy, each row with its place ``_mid``.
 
     ``tag`` adds columns to the rows on their way into the copy, after the
     shuffle, so they are computed once and never shuffled.  Rows for which the
-    boolean column ``first`` of it holds come before the others of their
-    partition, so their row numbers have no gaps (see :func:`ids_in_place`).
-    ``_mid`` is in order among these rows, and among the others.
+    boolean column ``first`` of it holds (they must have a value of the first
+    sort column) come before the others of their partition, so their row
+    numbers have no gaps (see :func:`ids_in_place`).  ``_mid`` is in order among
+    these rows, and among the others.
     """
-    placed = tag(df.repartitionByRange(*order_by)).sortWithinPartitions(F.desc(first), *order_by)
+    # Rows are compared by the first key alone where it differs: the flag itself would be a poor one.
+    ahead = F.when(F.col(first), F.col(order_by[0])).asc_nulls_last()
+    placed = tag(df.repartitionByRange(*order_by)).sortWithinPartitions(ahead, *order_by)
     return shared_copy(placed.withColumn("_mid", F.monotonically_increasing_id()), "in-order", compression="zstd")
 
 
