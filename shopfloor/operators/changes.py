@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from .._shipping import ship_by_value as _ship_by_value
 from ..functions.columns import as_of_date, as_of_timestamp, parse_id_list
-from ..session import checkpoint_dir, dropping_shuffles, shared_copy
+from ..session import checkpoint_dir, shared_copy
 from .ids import dense_ids, ids_in_place, next_id, ordered_copy
 from .prefix import BLOCK, BLOCK_ROWS, in_blocks
 
@@ -172,12 +172,12 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
              .select(F.col("_mid").alias("_pos"), "seq", "action", "oid", parsed.alias("data"), "payload").checkpoint(eager=True))
     # Few ids and few fates are joined without a shuffle of the creates: the planner knows the size of a copy.
     asked = shared_copy(edits.select(F.col("oid").alias("_asked")).distinct(), "asked")
-    with dropping_shuffles(commands.sparkSession):
-        named = target.join(asked, target.order_id == F.col("_asked"), "left_semi").select(
-            *S.ORDERS.names, F.lit(None).cast(checked.schema["seq"].dataType).alias("_bseq"))
-        if reliable_ids:
-            # read by deletes, updates, patches and delta: the table is searched once
-            named = named.checkpoint(eager=True)
+    # a batch that names no row doesn't search the table
+    held = target.limit(0) if asked.isEmpty() else target.join(asked, target.order_id == F.col("_asked"), "left_semi")
+    named = held.select(*S.ORDERS.names, F.lit(None).cast(checked.schema["seq"].dataType).alias("_bseq"))
+    if reliable_ids:
+        # read by deletes, updates, patches and delta: the table is searched once
+        named = named.checkpoint(eager=True)
     # under new names: the copy keeps constraints of columns it no longer has, which a union trips over
     named = named.select(*[F.col(c).alias(c) for c in named.columns])
     state = named.unionByName(created_rows)
@@ -193,8 +193,8 @@ def apply_order_commands(target: DataFrame, commands: DataFrame, as_of: str | No
     applied = F.coalesce(born & F.when(is_delete, F.col("_pos") == F.col("_died"))
                          .otherwise(F.col("_died").isNull() | (F.col("_pos") < F.col("_died"))), F.lit(False))
     placed = placed.withColumn("_applied", applied)
-    with dropping_shuffles(commands.sparkSession):      # read by fates and feed
-        done = placed.filter("_applied").select("_pos", "seq", "action", "oid", "data", "payload").checkpoint(eager=True)
+    # read by fates and feed
+    done = placed.filter("_applied").select("_pos", "seq", "action", "oid", "data", "payload").checkpoint(eager=True)
     up_applied = done.filter(is_update)
     del_applied = done.filter(is_delete)
 

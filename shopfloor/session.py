@@ -100,10 +100,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _one_chain(df: DataFrame) -> bool:
+    """Whether each step of the plan has one input.  With several, AQE may end a query whose
+    other stages still run, and these would wait for shuffle files that are gone."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1:
+        node = node.children().head()
+    return node.children().isEmpty()
+
+
 @contextlib.contextmanager
-def dropping_shuffles(spark: SparkSession):
-    """A frame that is both made and checkpointed (or written) in here leaves no shuffle
-    files; else they stay until the driver happens to collect its garbage."""
+def _dropping_shuffles(spark: SparkSession):
+    """A query that starts and ends in here leaves no shuffle files; else they stay until
+    the driver happens to collect its garbage."""
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
@@ -120,6 +129,6 @@ def shared_copy(df: DataFrame, name: str, **options: str) -> DataFrame:
     as with a checkpoint, but it takes fewer bytes, and the planner knows its size."""
     spark = df.sparkSession
     path = f"{scratch_path(spark, name)}-{uuid.uuid4().hex}"
-    with dropping_shuffles(spark):
+    with _dropping_shuffles(spark) if _one_chain(df) else contextlib.nullcontext():
         df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

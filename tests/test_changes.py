@@ -443,3 +443,32 @@ def test_creates_edits_and_rejects_keep_one_order_over_partitions(spark, orders_
         assert {r.order_id for r in out["delta"].collect()} == set(target)
     finally:
         spark.conf.unset(aqe)
+
+
+def test_shuffles_are_dropped_behind_one_chain_of_steps_only(spark, monkeypatch):
+    """AQE may end a query with an empty side while its other stages run; on executors these waited 120 s for dropped files."""
+    from shopfloor import session as SE
+    key, kept, seen = SE._DROP_SHUFFLES, SE._dropping_shuffles, []
+    monkeypatch.setattr(SE, "_dropping_shuffles", lambda s: seen.append(s) or kept(s))
+    ids, before = spark.range(50), spark.conf.get(key, None)
+    assert SE.shared_copy(ids.join(spark.range(5).where("id > 9"), "id", "left_semi"), "join").count() == 0 and not seen
+    assert SE.shared_copy(ids.repartitionByRange(3, "id"), "chain").count() == 50 and len(seen) == 1
+    assert spark.conf.get(key, None) == before
+
+
+def test_a_batch_of_creates_alone_does_not_search_the_table(spark, orders_small):
+    """The rows that edits name were searched by joins of the whole table also if there were no edits."""
+    frame, kept, plans = type(orders_small), type(orders_small).checkpoint, []
+
+    def noted(self, *a, **b):
+        if "order_id" in self.columns and "_bseq" in self.columns:
+            plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return kept(self, *a, **b)
+    frame.checkpoint = noted
+    try:
+        pay = {"customer_name": "N", "quantity": "1", "subtotal_amount": "5.00", "category": "x", "subcategory": "y"}
+        out = CH.apply_order_commands(orders_small, _cmds(spark, [(1, "create_order", pay)]), as_of=AS_OF)
+    finally:
+        frame.checkpoint = kept
+    assert len(plans) == 1 and "Join" not in plans[0]
+    assert out["target"].count() == orders_small.count() + 1
